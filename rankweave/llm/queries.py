@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankweave.llm import mixing, url_rules
+from rankweave.llm import decontaminate, mixing, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a window of some benchmark item."""
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document when sources are balanced to their targets."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -23,5 +36,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op8_mix_sources, op9_url_filter)}
-ORACLES = {"op9_url_filter": url_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op8_mix_sources, op9_url_filter)}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op9_url_filter": url_rules.ORACLE}

@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, mixing, url_rules
+from rankweave.llm import decontaminate, mixing, scratch, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold of every page: payloads of responses, headers alone of revisits."""
+    folder = scratch.Scratch(spark).path("warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    responses = warc.read_archive(spark, folder).where("record_type = 'response'")
+    revisits = warc.read_archive(spark, folder, payload=False).where("record_type = 'revisit'")
+    return responses.drop("payload").unionByName(revisits.drop("payload")).select(
+        warc.page_id("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_id("refers_to").alias("refers_to"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a window of some benchmark item."""
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
@@ -36,5 +51,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op8_mix_sources, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op8_mix_sources, op9_url_filter)}
 ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op9_url_filter": url_rules.ORACLE}

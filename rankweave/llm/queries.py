@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, mixing, scratch, url_rules, warc
+from rankweave.llm import decontaminate, mixing, scratch, topk, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors by integer inner product for every row whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_products(vectors.where("vec_id % 100 = 0"), vectors)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document when sources are balanced to their targets."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -51,5 +57,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op8_mix_sources, op9_url_filter)}
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op9_url_filter": url_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op5_top_products, op8_mix_sources, op9_url_filter)}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op9_url_filter": url_rules.ORACLE}

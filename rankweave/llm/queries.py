@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, mixing, scratch, topk, url_rules, warc
+from rankweave.llm import decontaminate, mixing, near_dups, scratch, topk, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups at a similarity of 0.85 on three-word shingles."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document when sources are balanced to their targets."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -57,5 +62,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op5_top_products, op8_mix_sources, op9_url_filter)}
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op9_url_filter": url_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op5_top_products, op6_near_duplicates, op8_mix_sources, op9_url_filter)}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op6_near_duplicates": near_dups.ORACLE, "op9_url_filter": url_rules.ORACLE}

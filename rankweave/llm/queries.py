@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, mixing, near_dups, scratch, topk, url_rules, warc
+from rankweave.llm import decontaminate, mixing, near_dups, scratch, topk, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +62,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op5_top_products, op6_near_duplicates, op8_mix_sources, op9_url_filter)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op5_top_products, op6_near_duplicates, op8_mix_sources, op9_url_filter, op10_toxicity)}
 ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op6_near_duplicates": near_dups.ORACLE, "op9_url_filter": url_rules.ORACLE}

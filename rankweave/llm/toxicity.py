@@ -23,6 +23,9 @@ ORDER, DECAY, POWER = 3, 0.5, 3
 #: A sentence ends at one of .!? or a line's end, or after this many words.
 SENTENCE_WORDS = 25
 CACHE_UNITS = 300_000
+#: What a unit adds up to this is taken for noise when a document's units are added up.
+UNIT_FLOOR = 0.2
+FEATURES = 4
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -93,8 +96,9 @@ class Units:
     count: int
 
     def text(self, i: int) -> bytes:
+        """The unit between marks of its edges."""
         w = self.letters
-        return w.data[w.starts[i] : w.ends[i]].tobytes()
+        return b"\x02" + w.data[w.starts[i] : w.ends[i]].tobytes() + b"\x03"
 
 
 def units(words: Words, count: int) -> Units:
@@ -174,16 +178,18 @@ class Model:
         return np.array(known, np.float64)[back] if known else np.zeros(0)
 
     def features(self, u: Units) -> np.ndarray:
-        """Of each row: log of 1 + sentences beyond the margin, best sentence (clipped), log of 1 + units."""
-        out = np.zeros((u.count, 3))
+        """Of each row: log of 1 + sentences beyond the margin, best sentence (clipped), log of 1 + units, log of 1 + what units add beyond UNIT_FLOOR."""
+        out = np.zeros((u.count, FEATURES))
         out[:, 1] = self.offset
         if len(u.rows):
             begins = np.flatnonzero(np.concatenate([[True], u.sentences[1:] != u.sentences[:-1]]))
-            value = np.add.reduceat(self.unit_scores(u), begins) + self.offset
+            each = self.unit_scores(u)
+            value = np.add.reduceat(each, begins) + self.offset
             rows = u.rows[begins]
             np.maximum.at(out[:, 1], rows, value)
             out[:, 0] = np.log1p(np.bincount(rows[value > 0], minlength=u.count))
             out[:, 2] = np.log1p(np.bincount(u.rows, minlength=u.count))
+            out[:, 3] = np.log1p(np.bincount(u.rows, np.maximum(0, each - UNIT_FLOOR), minlength=u.count))
         out[:, 1] = np.clip(out[:, 1], -2, 2)
         return out
 
@@ -193,18 +199,42 @@ class Model:
 
 
 def choose_landmarks(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, size: int) -> list[bytes]:
-    """Units that are more frequent (in documents) among toxic ones than chance allows, by chi square, and the most frequent units of clean ones."""
-    n = n_toxic + n_clean
-    ranked = []
-    for unit, a in toxic.items():
-        b = clean[unit]
-        if 4 <= len(unit) <= LANDMARK_BYTES and a * n_clean > b * n_toxic:
-            expected = (a + b) * n_toxic / n
-            ranked.append((-((a - expected) ** 2) / expected, unit))
-    ranked.sort()
-    signs = [u for _, u in ranked[: size * 2 // 3]]
-    usual = [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if 4 <= len(u) <= LANDMARK_BYTES and u not in signs]
-    return signs + usual[: size - len(signs)]
+    """Starts and ends of units that toxic documents use more than chance allows, by chi square, and frequent units of clean ones.
+
+    Counters hold documents by unit.  Of pieces that share five bytes in a row only the best is taken.
+    """
+    counts: dict[bytes, list[int]] = {}
+    for label, counter in ((0, toxic), (1, clean)):
+        for unit, n in counter.items():
+            for g in affixes(unit):
+                if label == 0:
+                    counts.setdefault(g, [0, 0])[0] += n
+                elif g in counts:
+                    counts[g][1] += n
+    share = n_toxic / (n_toxic + n_clean)
+    ranked = sorted((-((a - (a + b) * share) ** 2) / ((a + b) * share), -len(g), g) for g, (a, b) in counts.items() if a > (a + b) * share and a >= 3)
+    signs: list[bytes] = []
+    taken: set[bytes] = set()
+    for _, _, g in ranked:
+        grams = {g[i : i + 5] for i in range(len(g) - 4)}
+        bare = g.strip(b"\x02\x03")
+        if not grams & taken and not any(bare in x or x.strip(b"\x02\x03") in bare for x in signs):
+            signs.append(g)
+            taken |= {bare[i : i + 5] for i in range(len(bare) - 4)} | grams
+        if len(signs) >= size * 3 // 4:
+            break
+    usual = sorted((u for u in clean if 4 <= len(u) <= LANDMARK_BYTES - 2), key=lambda u: (-clean[u], u))
+    return signs + [b"\x02" + u + b"\x03" for u in usual if u not in taken][: size - len(signs)]
+
+
+def affixes(unit: bytes) -> set[bytes]:
+    """Starts and ends of 4 to 9 bytes, with a mark of the word's edge."""
+    whole = b"\x02" + unit + b"\x03"
+    longest = LANDMARK_BYTES - 1
+    out = {whole[:n] for n in range(5, longest) if n < len(whole)} | {whole[-n:] for n in range(5, longest) if n < len(whole)}
+    if 6 <= len(whole) <= LANDMARK_BYTES:
+        out.add(whole)
+    return out
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -250,19 +280,20 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
     for u in pieces:
         pairs = np.unique(np.stack([u.rows.astype(np.uint64), u.letters.hashes]), axis=1) if len(u.rows) else np.zeros((2, 0), np.uint64)
         hashes, where = np.unique(u.letters.hashes, return_index=True)
-        names = dict(zip(hashes.tolist(), (u.text(i) for i in where), strict=True))
+        names = dict(zip(hashes.tolist(), (u.text(i)[1:-1] for i in where), strict=True))
         label = y[done + pairs[0].astype(np.int64)]
         for c in (0, 1):
             seen[c].update(names[h] for h in pairs[1][label == c].tolist())
         done += u.count
-    flat = (np.zeros(3), np.ones(3))
+    flat = (np.zeros(FEATURES), np.ones(FEATURES))
+    none = np.zeros(FEATURES)
     rate = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     if not len(y) or y.min() == y.max() or not seen[1]:
-        return Model([], np.zeros(0), 0.0, np.array([0, 0, 0, rate]), flat)
+        return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
     marks = choose_landmarks(seen[1], seen[0], int(y.sum()), int(len(y) - y.sum()), landmarks)
     if not marks:
-        return Model([], np.zeros(0), 0.0, np.array([0, 0, 0, rate]), flat)
-    model = Model(marks, np.zeros(len(marks)), 0.0, np.zeros(4), flat)
+        return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
+    model = Model(marks, np.zeros(len(marks)), 0.0, np.append(none, 0.0), flat)
     gram = similarity(marks, model.matrix, model.own)
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))[None, :]  # Nystroem map of kernel values

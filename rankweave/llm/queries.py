@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, mixing, near_dups, scratch, topk, toxicity, url_rules, warc
+from rankweave.llm import decontaminate, mixing, near_dups, personal_data, scratch, topk, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,18 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: what the base rules find, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data.find_personal_data(docs, personal_data.train(docs), carry=["doc_id"])
+    counts = [personal_data.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(personal_data.joined(F.col("base")), 256).alias("base_sha256"),
+        personal_data.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document when sources are balanced to their targets."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -70,5 +82,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op5_top_products, op6_near_duplicates, op8_mix_sources, op9_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op5_top_products, op6_near_duplicates, op7_personal_data, op8_mix_sources, op9_url_filter, op10_toxicity)}
 ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op6_near_duplicates": near_dups.ORACLE, "op9_url_filter": url_rules.ORACLE}

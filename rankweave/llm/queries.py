@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, mixing, near_dups, personal_data, scratch, topk, toxicity, url_rules, warc
+from rankweave.llm import decontaminate, main_text, mixing, near_dups, personal_data, scratch, topk, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = main_text.extract_main_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives hold of every page: payloads of responses, headers alone of revisits."""
     folder = scratch.Scratch(spark).path("warc")
@@ -82,5 +88,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_round_trip, op3_decontaminate, op5_top_products, op6_near_duplicates, op7_personal_data, op8_mix_sources, op9_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_warc_round_trip, op3_decontaminate, op5_top_products, op6_near_duplicates, op7_personal_data, op8_mix_sources, op9_url_filter, op10_toxicity)}
 ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op6_near_duplicates": near_dups.ORACLE, "op9_url_filter": url_rules.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
@@ -184,12 +184,12 @@ def near_duplicates(
        and one row of it goes on.
     2. Band keys of registers give buckets.  With 44 bands of 8, a pair at a
        similarity of 0.85 (0.8) shares none with a chance of 1e-6 (3e-4).
-    3. Every class meets the smallest one of its buckets; links are confirmed on
-       full sets, after the estimate has ruled out what cannot be one.
-    4. What a bucket leaves in different groups meets again, with 2, 4, 8 ...
-       members at a time against all others, until no bucket holds a pair that
-       is neither in one group nor compared.  So no pair of a bucket is lost,
-       yet a group of n near copies costs about n comparisons.
+    3. Every class meets the most central one of its buckets; links are confirmed
+       on full sets, after the estimate has ruled out what cannot be one.
+    4. Where a bucket still holds different groups, its members meet again by
+       their rarest shingles, with the filters of exact set joins, which lose no
+       link.  So a large group costs about one comparison a member, and only
+       pairs that can be links are made.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased.  A text
     with fewer than k words has its word sequence as its only shingle; a null
@@ -205,17 +205,12 @@ def near_duplicates(
     classes = scratch.keep(whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers")), "classes")
 
     banded = classes.select("id", "registers").mapInArrow(_bander, "key long, id long")
-    shared = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low"), "shared")
-    members = scratch.keep(banded.join(shared, "key"), "members").select("key", "id", "low")
-
-    links = scratch.keep(_confirm(members, classes, texts, scratch, k, percent, broadcast_ids), "links")
-    groups = components(links, scratch) if not links.isEmpty() else None
+    shared = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"), "shared")
+    members = scratch.keep(banded.join(shared, "key").select("key", "id", "size"), "members")
 
+    groups = _groups(members, classes, texts, scratch, k, percent, broadcast_ids)
     out = sketches.drop("registers").join(classes.select("n", "h1", "h2", "id"), ["n", "h1", "h2"], "left")
-    if groups is not None:
-        out = out.join(groups, out["id"] == groups["node"], "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(groups, out["id"] == groups["node"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return out.select(
         "doc_id",
@@ -225,8 +220,8 @@ def near_duplicates(
     )
 
 
-def _confirm(members, classes, texts, scratch: Scratch, k: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """Confirmed links (a, b) that join what the buckets' pairs join."""
+def _groups(members, classes, texts, scratch: Scratch, k: int, percent: int, broadcast_ids: int) -> DataFrame:
+    """Component of every class that is linked to a smaller one, as (node, component)."""
     spark = scratch.spark
     wanted = scratch.keep(members.select("id").distinct(), "wanted")
     picked = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
@@ -247,33 +242,74 @@ def _confirm(members, classes, texts, scratch: Scratch, k: int, percent: int, br
         full = fit.join(sets.select(*a), "a").join(sets.select(*b), "b")
         return full.mapInArrow(_verifier(k, percent), "a long, b long, linked boolean")
 
-    first = members.where("low < id").groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a"))
+    # the member of a bucket whose own buckets are the fullest has least of its own, so most others link to it
+    central = members.groupBy("id").agg(F.sum("size").alias("rank"))
+    ranked = scratch.keep(members.join(central, "id"), "ranked")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("top"))
+    first = (
+        ranked.join(centres, "key").groupBy("id").agg(F.max("top").alias("top"))
+        .select("id", (-F.col("top.minus")).alias("centre")).where("id != centre")
+        .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    )
     tried = scratch.keep(check(first), "tried")
     links = tried.where("linked").select("a", "b")
-    open_ = members.select("key", "id")
-    centres = 1
-    while True:
-        groups = components(links, scratch) if not links.isEmpty() else spark.createDataFrame([], "node long, component long")
-        placed = open_.join(groups, open_["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        left = scratch.keep(placed.join(mixed, "key"), "open")
-        if left.isEmpty():
-            return links
-        # the next centres of each bucket: its smallest ids
-        place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        heads = left.withColumn("place", place).where(F.col("place") <= centres).select("key", F.col("id").alias("centre"), F.col("component").alias("own"))
-        heads = scratch.keep(heads, "centres")
-        pairs = (
-            left.join(heads, "key").where("component != own AND id != centre")
-            .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-            .join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        pairs = scratch.keep(pairs, "pairs")
-        if not pairs.isEmpty():
-            tried = scratch.keep(tried.unionByName(check(pairs)), "tried")
-            links = tried.where("linked").select("a", "b")
-        open_ = left.join(heads.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti").select("key", "id")
-        centres *= 2
+    groups = components(links, scratch) if not links.isEmpty() else spark.createDataFrame([], "node long, component long")
+    placed = members.select("key", "id").join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    open_ = scratch.keep(placed.join(mixed, "key").select("id", "component").distinct(), "open")
+    if open_.isEmpty():
+        return groups
+    pairs = scratch.keep(_rare_pairs(open_.join(sets, "id"), scratch, k, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = scratch.keep(check(pairs).where("linked").select("a", "b"), "more")
+    if more.isEmpty():
+        return groups
+    return components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
+
+
+def _rare_pairs(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """All pairs (a < b) of different components that can still be linked, and few others.
+
+    Of two linked sets, each ordered by how many of ``docs`` hold a shingle, the
+    first ones (n less percent of n, plus 1) share a member, and the places of
+    the first shared one leave room for the overlap (prefix and position
+    filters).  Shingles that a document alone has come first, so documents
+    with too many of their own drop out before they meet anything.
+    """
+    held = docs.select("id", "component", "n", "text").mapInArrow(_lister(k), "id long, component long, n long, h long")
+    held = scratch.keep(held, "shingles")
+    often = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = (
+        held.join(often, "h", "left")
+        .groupBy("id", "component", "n")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("all"))
+        .select("id", "component", "n", F.posexplode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))))
+        .where("col.df > 1")
+    )
+    # an overlap of at most n - pos must make (100 + percent) * overlap >= percent * (n + other n)
+    most = F.floor(F.lit(100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")
+    posted = scratch.keep(ordered.select(F.col("col.h").alias("h"), "id", "component", "n", most.alias("most")), "postings")
+    for _ in range(2):  # leave out what finds no partner of a fitting size, then what has partners of its own component alone
+        span = posted.groupBy("h").agg(F.min("n").alias("least"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h", "least")
+        posted = scratch.keep(posted.join(span, "h").where("least <= most").select("h", "id", "component", "n", "most"), "postings")
+    a, b = posted.alias("a"), posted.alias("b")
+    fits = (
+        (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
+        & (F.col("a.n") <= F.col("b.most")) & (F.col("b.n") <= F.col("a.most"))
+        & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
+    )
+    return a.join(b, fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def _lister(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, count, words in split_words(batch["text"], NOT_SPACE):
+                hashes, owner, _ = shingle_sets(words, count, k)
+                part = batch.slice(row, count)
+                columns = [part[c].take(pa.array(owner)) for c in ("id", "component", "n")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes.view(np.int64))], names=["id", "component", "n", "h"])
+
+    return rows
 
 
 ORACLE = r"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.scratch import Scratch
+from rankweave.llm.scratch import Scratch, received, send
 from rankweave.llm.words import ALNUM, member, run_hash, split_words
 
 #: Characters of benchmark text whose index is sent to every executor at once; more take several passes.
@@ -151,7 +151,7 @@ def find_leaks(
     )
     for shard in range(shards):
         part = usable.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).orderBy("i", "t")
-        index = spark.sparkContext.broadcast(BenchmarkIndex([(r["i"], r["t"]) for r in part.collect()], window, k))
+        index = send(spark, BenchmarkIndex([(r["i"], r["t"]) for r in part.collect()], window, k))
         last = shard == shards - 1
         shape = T.StructType([f for f in work.schema if not (last and f.name in ("__text", "__spans"))])
         work = work.mapInArrow(_scanner(index, last), shape)
@@ -162,7 +162,7 @@ def find_leaks(
 
 def _scanner(index, last: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        own = received(index)
         for batch in batches:
             old_spans, old_items = batch["__spans"].to_pylist(), batch["__items"].to_pylist()
             n_words, n_hit, all_spans, all_items = [], [], [], []

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, main_text, mixing, near_dups, personal_data, scratch, topk, toxicity, url_rules, warc
+from rankweave.llm import decontaminate, main_text, mixing, near_dups, personal_data, scratch, token_counts, topk, toxicity, url_rules, warc
+
+
+#: The vocabulary file of op4.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +49,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and word pieces of every document."""
+    first, later = token_counts.byte_level_pieces(VOCABULARY)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), first, later, carry=["doc_id"])
+
+
 def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors by integer inner product for every row whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -88,5 +98,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_warc_round_trip, op3_decontaminate, op5_top_products, op6_near_duplicates, op7_personal_data, op8_mix_sources, op9_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_warc_round_trip, op3_decontaminate, op4_token_counts, op5_top_products, op6_near_duplicates, op7_personal_data, op8_mix_sources, op9_url_filter, op10_toxicity)}
 ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op6_near_duplicates": near_dups.ORACLE, "op9_url_filter": url_rules.ORACLE}

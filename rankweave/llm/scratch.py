@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -66,3 +68,12 @@ class Scratch:
             self.clear()
         except Exception:  # noqa: BLE001  the JVM may end first
             pass
+
+
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a value whose class executors need not have installed; ``received`` gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> object:
+    return pickle.loads(sent.value)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.scratch import Scratch
+from rankweave.llm.scratch import Scratch, received, send
 
 #: Queries that are sent to every executor at once; more queries take several passes.
 BLOCK_QUERIES = 8192
@@ -154,7 +154,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _scanner(sent, dim: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(sent.value)
+        best = Best(received(sent))
         for batch in batches:
             ids, bucket = batch["id"].to_numpy(), batch["bucket"].to_numpy()
             vectors = matrix(batch["v"], dim)
@@ -221,7 +221,7 @@ def top_products(
             block = Block(some["id"].to_numpy(), matrix(some["v"].combine_chunks(), dim), k)
             if seeds.num_rows:
                 block.raise_floor(seeds["id"].to_numpy(), matrix(seeds["v"].combine_chunks(), dim))
-            sent = spark.sparkContext.broadcast(block)
+            sent = send(spark, block)
             hits = own.select("id", "bucket", "v").mapInArrow(_scanner(sent, dim), shape).select(F.lit(part).alias("part"), "q", "query_id", "vec_id", "score")
             found = found.unionByName(hits) if part else hits
             part += 1

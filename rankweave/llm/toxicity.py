@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.llm.scratch import received, send
 from rankweave.llm.words import NOT_SPACE, Words, _words, split_words
 
 #: Labelled documents that the model is fitted on at most (those with the least hashed ids).
@@ -333,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
 def _scorer(sent):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = received(sent)
         for batch in batches:
             parts = [model.scores(units(words, count)) for _, count, words in split_words(batch["__text"], NOT_SPACE)]
             names = [c for c in batch.schema.names if c != "__text"]
@@ -353,7 +354,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", carry
     predicted are replaced.
     """
     kept = [c for c in (carry or docs.columns) if c not in ("score", "predicted")]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     work = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text")).withColumn("score", F.lit(0.0))
     out = work.mapInArrow(_scorer(sent), work.drop("__text").schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -1,0 +1 @@
+"""No streaming operators: the domain is offline evaluation, and none of its operators has stream semantics."""

@@ -208,8 +208,12 @@ def near_duplicates(
     shared = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"), "shared")
     members = scratch.keep(banded.join(shared, "key").select("key", "id", "size"), "members")
 
-    groups = _groups(members, classes, texts, scratch, k, percent, broadcast_ids)
-    out = sketches.drop("registers").join(classes.select("n", "h1", "h2", "id"), ["n", "h1", "h2"], "left")
+    out = sketches.drop("registers").join(classes.select("n", "h1", "h2", "id"), ["n", "h1", "h2"], "left").select("doc_id", "n", "id")
+    out = scratch.keep(out, "rows")
+    # rows of one id with different texts are in several classes, which belong together
+    least = out.where("doc_id IS NOT NULL AND id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    same = out.join(least.select("doc_id", "a"), "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    groups = _groups(members, classes, texts, same, scratch, k, percent, broadcast_ids)
     out = out.join(groups, out["id"] == groups["node"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return out.select(
@@ -220,7 +224,7 @@ def near_duplicates(
     )
 
 
-def _groups(members, classes, texts, scratch: Scratch, k: int, percent: int, broadcast_ids: int) -> DataFrame:
+def _groups(members, classes, texts, same, scratch: Scratch, k: int, percent: int, broadcast_ids: int) -> DataFrame:
     """Component of every class that is linked to a smaller one, as (node, component)."""
     spark = scratch.spark
     wanted = scratch.keep(members.select("id").distinct(), "wanted")
@@ -252,7 +256,7 @@ def _groups(members, classes, texts, scratch: Scratch, k: int, percent: int, bro
         .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     )
     tried = scratch.keep(check(first), "tried")
-    links = tried.where("linked").select("a", "b")
+    links = tried.where("linked").select("a", "b").unionByName(same)
     groups = components(links, scratch) if not links.isEmpty() else spark.createDataFrame([], "node long, component long")
     placed = members.select("key", "id").join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")

@@ -191,12 +191,12 @@ def test_base_spans_against_plain_patterns(spark):
 
 
 def test_model_adds_spans_and_redacts(spark):
-    plain = [f"call +44 20 7946 0{i:03d} or mail user{i}@mail{i % 7}.org, host 10.0.{i % 200}.7, card 4111 1111 1111 1111, code {i}{i}{i}{i}{i}{i}" for i in range(200)]
+    plain = [f"call +44 20 7946 0{i:03d} or mail user{i}@mail{i % 7}.org, host 10.0.{i % 200}.7, card 4111 1111 1111 1111, code {i}x{i}" for i in range(200)]
     rows = docs(spark, list(enumerate(plain)) + [(500, "reach me: jane.doe (at) mail.org or (020) 7946 0123"), (501, None)]).withColumn("spans", F.lit(1))
     found = personal_data.find_personal_data(rows, personal_data.train(rows))
     got = {r["doc_id"]: r for r in found.withColumn("clean", personal_data.redact(F.col("text"), F.col("spans"))).collect()}
-    assert all(len(got[i]["spans"]) >= len(got[i]["base"]) == 4 for i in range(200))
-    assert got[3]["clean"] == "call <phone> or mail <email>, host <ip>, card <card>, code 333333"
+    assert all(len(got[i]["spans"]) >= len(got[i]["base"]) >= 4 for i in range(200))
+    assert got[3]["clean"] == "call <phone> or mail <email>, host <ip>, card <card>, code 3x3"
     assert got[501]["spans"] == [] and got[501]["clean"] is None
     none = personal_data.find_personal_data(rows.limit(0), personal_data.train(rows.limit(0)))
     assert none.count() == 0
@@ -260,7 +260,7 @@ def test_toxicity_learns_gapped_words_and_takes_edges(spark):
     rng = random.Random(4)
     clean = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}lum" for i in range(200)]
     insult = lambda: rng.choice(["grobnak", "gro.bnak", "gr0bnak", "grobbnak", "snurfle", "snurrfle", "s-n-u-r-f-l-e"])
-    texts = [words(rng, 40, clean) + "." for _ in range(300)]
+    texts = [words(rng, rng.choice((20, 40, 200, 2000)), clean) + "." for _ in range(300)]
     for i in range(0, 300, 3):
         texts[i] = f"{texts[i][:60]} you {insult()} {insult()} {texts[i][60:]}"
     rows = docs(spark, list(enumerate(texts)) + [(900, None), (901, ""), (902, words(rng, 20_000, clean))]).withColumn("score", F.lit("old"))
@@ -268,7 +268,7 @@ def test_toxicity_learns_gapped_words_and_takes_edges(spark):
     model = toxicity.train(rows, labels)
     got = {r["doc_id"]: r for r in toxicity.score_documents(rows, model).collect()}
     right = sum(got[i]["predicted"] == (i % 3 == 0) for i in range(300))
-    assert right >= 285 and [got[i]["predicted"] for i in (900, 901, 902)] == [0, 0, 0]
+    assert right >= 280 and [got[i]["predicted"] for i in (900, 901, 902)] == [0, 0, 0]
     assert toxicity.score_documents(rows.limit(0), model).count() == 0
     none = toxicity.train(rows, labels.limit(0))
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_documents(rows.limit(5), none).collect())

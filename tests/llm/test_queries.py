@@ -102,17 +102,19 @@ def test_mix(spark):
         assert r["target"] == pytest.approx(target[s])
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
-    for s in order:
-        assert taken[s] == pytest.approx(target[s], rel=0.01)
+    for s in order:  # what is missing or over is less than any document that could still be added or left out
+        gap = target[s] - taken[s]
+        assert abs(gap) < 0.05 * target[s] + 1
+        own = [r for r in got if docs[r["doc_id"]]["source"] == s and r["size"] > 0]
+        assert not any(r["size"] <= abs(gap) - 1 and (r["copies"] < 3 if gap > 0 else r["copies"] > 0) for r in own)
     assert {r["doc_id"]: r["taken"] for r in got} == {r["doc_id"]: r["taken"] for r in result(spark, "op8_mix_sources")}
 
 
 def test_toxicity_held_out(spark):
-    global SF
-    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
-    got = queries.op10_toxicity(spark, "/root/testdata/sf0.01").collect()
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()}
+    got = queries.op10_toxicity(spark, "/root/testdata/sf0.1").collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     held = [(r["score"], labels[r["doc_id"]]) for r in got if r["held_out"] and labels.get(r["doc_id"]) is not None]
     good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
     area = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
-    assert len(good) >= 5 and area > 0.85
+    assert len(good) >= 50 and area > 0.85, (len(good), area)

@@ -126,6 +126,13 @@ def units(words: Words, count: int) -> Units:
     return _spelled(out)
 
 
+def compact(u: Units) -> Units:
+    """The same in less memory, for keeping many."""
+    w = u.letters
+    small = Words(w.data, w.starts.astype(np.int32), w.ends.astype(np.int32), np.zeros(0, np.int32), w.hashes, np.zeros(0, np.int32))
+    return Units(small, u.rows.astype(np.int32), u.sentences.astype(np.int32), u.count)
+
+
 def _spelled(u: Units) -> Units:
     """Join runs of four or more single letters of one row."""
     single = (u.letters.ends - u.letters.starts) == 1
@@ -199,21 +206,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
 
 
-def choose_landmarks(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, size: int) -> list[bytes]:
+def choose_landmarks(pieces: list[Units], y: np.ndarray, size: int) -> list[bytes]:
     """Starts and ends of units that toxic documents use more than chance allows, by chi square, and frequent units of clean ones.
 
-    Counters hold documents by unit.  Of pieces that share five bytes in a row only the best is taken.
+    Of pieces that share five bytes in a row only the best is taken.  Names are
+    kept for units of toxic documents alone; clean ones are counted by hash.
     """
     counts: dict[bytes, list[int]] = {}
-    for label, counter in ((0, toxic), (1, clean)):
-        for unit, n in counter.items():
+    toxic: Counter = Counter()
+    for names, n in _by_label(pieces, y, 1):
+        toxic.update(dict(zip(names, n, strict=True)))
+    for unit, n in toxic.items():
+        for g in affixes(unit):
+            counts.setdefault(g, [0, 0])[0] += n
+    del toxic
+    counts = {g: c for g, c in counts.items() if c[0] >= 3}
+    for names, n in _by_label(pieces, y, 0):
+        for unit, own in zip(names, n, strict=True):
             for g in affixes(unit):
-                if label == 0:
-                    counts.setdefault(g, [0, 0])[0] += n
-                elif g in counts:
-                    counts[g][1] += n
-    share = n_toxic / (n_toxic + n_clean)
-    ranked = sorted((-((a - (a + b) * share) ** 2) / ((a + b) * share), -len(g), g) for g, (a, b) in counts.items() if a > (a + b) * share and a >= 3)
+                if g in counts:
+                    counts[g][1] += own
+    share = y.mean()
+    ranked = sorted((-((a - (a + b) * share) ** 2) / ((a + b) * share), -len(g), g) for g, (a, b) in counts.items() if a > (a + b) * share)
     signs: list[bytes] = []
     taken: set[bytes] = set()
     for _, _, g in ranked:
@@ -224,8 +238,45 @@ def choose_landmarks(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int,
             taken |= {bare[i : i + 5] for i in range(len(bare) - 4)} | grams
         if len(signs) >= size * 3 // 4:
             break
-    usual = sorted((u for u in clean if 4 <= len(u) <= LANDMARK_BYTES - 2), key=lambda u: (-clean[u], u))
-    return signs + [b"\x02" + u + b"\x03" for u in usual if u not in taken][: size - len(signs)]
+    return signs + [b"\x02" + u + b"\x03" for u in _usual(pieces, y, 4 * size) if u not in taken][: size - len(signs)]
+
+
+def _pairs(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each unit of each row once: rows, hashes, and where the unit stands."""
+    order = np.lexsort((u.letters.hashes, u.rows))
+    rows, hashes = u.rows[order], u.letters.hashes[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    return rows[new], hashes[new], order[new]
+
+
+def _by_label(pieces: list[Units], y: np.ndarray, label: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    """For each piece the distinct units of documents with a label, and in how many of them they are."""
+    done = 0
+    for u in pieces:
+        rows, hashes, at = _pairs(u)
+        mine = y[done + rows] == label
+        _, where, n = np.unique(hashes[mine], return_index=True, return_counts=True)
+        yield [u.text(i)[1:-1] for i in at[mine][where]], n.tolist()
+        done += u.count
+
+
+def _usual(pieces: list[Units], y: np.ndarray, most: int) -> list[bytes]:
+    """Units of fitting length that the most clean documents hold."""
+    held, done = [], 0
+    for u in pieces:
+        rows, hashes, at = _pairs(u)
+        sizes = u.letters.ends[at] - u.letters.starts[at]
+        held.append(hashes[(y[done + rows] == 0) & (sizes >= 4) & (sizes <= LANDMARK_BYTES - 2)])
+        done += u.count
+    values, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+    top = np.lexsort((values, -n))[:most]
+    wanted = dict(zip(values[top].tolist(), n[top].tolist(), strict=True))
+    names: dict[bytes, int] = {}
+    for u in pieces:
+        here, where = np.unique(u.letters.hashes, return_index=True)
+        names.update((u.text(where[i])[1:-1], wanted[int(here[i])]) for i in np.flatnonzero(np.isin(here, values[top])))
+    return sorted(names, key=lambda x: (-names[x], x))
 
 
 def affixes(unit: bytes) -> set[bytes]:
@@ -238,16 +289,21 @@ def affixes(unit: bytes) -> set[bytes]:
     return out
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Primal support vector machine with squared hinge loss, by Newton steps; the last weight is the offset."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = penalty * np.eye(x.shape[1])
+def fit_machine(parts: list[np.ndarray], labels: list[np.ndarray], penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Primal support vector machine with squared hinge loss, by Newton steps over parts of the rows; the last weight is the offset."""
+    size = parts[0].shape[1] + 1
+    w = np.zeros(size)
+    ridge = penalty * np.eye(size)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        own = x[active]
-        new = np.linalg.solve(own.T @ own + ridge, own.T @ y[active])
+        curve, pull = ridge.copy(), np.zeros(size)
+        for part, y in zip(parts, labels, strict=True):
+            x = np.hstack([part, np.ones((len(part), 1))])
+            active = y * (x @ w) < 1
+            own = x[active]
+            curve += own.T @ own
+            pull += own.T @ y[active]
+        new = np.linalg.solve(curve, pull)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -267,31 +323,22 @@ def fit_calibration(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarra
     return w
 
 
-def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -> Model:
+def fit(texts: list[str | None] | pa.Array, toxic: list[int], landmarks: int = LANDMARKS) -> Model:
     """Fit on whole texts with labels.
 
     Sentences are the examples of the machine and have the label of their
     document; sentences of toxic documents without an insult are noise that the
     clean ones outvote.  Documents are then calibrated by logistic regression.
     """
-    pieces = [units(words, count) for _, count, words in split_words(pa.array(texts, pa.string()), NOT_SPACE)]
+    texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
+    pieces = [compact(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE)]
     y = np.array(toxic, np.float64)
-    seen = (Counter(), Counter())
-    done = 0
-    for u in pieces:
-        pairs = np.unique(np.stack([u.rows.astype(np.uint64), u.letters.hashes]), axis=1) if len(u.rows) else np.zeros((2, 0), np.uint64)
-        hashes, where = np.unique(u.letters.hashes, return_index=True)
-        names = dict(zip(hashes.tolist(), (u.text(i)[1:-1] for i in where), strict=True))
-        label = y[done + pairs[0].astype(np.int64)]
-        for c in (0, 1):
-            seen[c].update(names[h] for h in pairs[1][label == c].tolist())
-        done += u.count
     flat = (np.zeros(FEATURES), np.ones(FEATURES))
     none = np.zeros(FEATURES)
     rate = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    if not len(y) or y.min() == y.max() or not seen[1]:
+    if not len(y) or y.min() == y.max():
         return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
-    marks = choose_landmarks(seen[1], seen[0], int(y.sum()), int(len(y) - y.sum()), landmarks)
+    marks = choose_landmarks(pieces, y, landmarks)
     if not marks:
         return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
     model = Model(marks, np.zeros(len(marks)), 0.0, np.append(none, 0.0), flat)
@@ -305,10 +352,10 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
             hashes, where, back = np.unique(u.letters.hashes, return_index=True, return_inverse=True)
             kernel = similarity([u.text(i) for i in where], model.matrix, model.own)[back]
             begins = np.flatnonzero(np.concatenate([[True], u.sentences[1:] != u.sentences[:-1]]))
-            rows.append(np.add.reduceat(kernel, begins, axis=0).astype(np.float64) @ root)
+            rows.append((np.add.reduceat(kernel, begins, axis=0).astype(np.float64) @ root).astype(np.float32))
             labels.append(2 * y[done + u.rows[begins]] - 1)
         done += u.count
-    w = fit_machine(np.concatenate(rows), np.concatenate(labels))
+    w = fit_machine(rows, labels)
     model.weights, model.offset = root @ w[:-1], float(w[-1])
     x = np.concatenate([model.features(u) for u in pieces])
     model.scale = (x.mean(0), np.maximum(x.std(0), 1e-6))
@@ -329,7 +376,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).toArrow()
-    return fit(rows["text"].to_pylist(), rows["toxic"].to_pylist())
+    return fit(rows["text"].combine_chunks(), rows["toxic"].to_pylist())
 
 
 def _scorer(sent):

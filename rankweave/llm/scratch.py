@@ -72,8 +72,12 @@ class Scratch:
 
 def send(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast a value whose class executors need not have installed; ``received`` gives it back."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return spark.sparkContext.broadcast([cloudpickle.dumps(value)])
 
 
 def received(sent: Broadcast) -> object:
-    return pickle.loads(sent.value)
+    """The value that was sent, which later tasks of the same worker share."""
+    box = sent.value
+    if len(box) == 1:
+        box.append(pickle.loads(box[0]))
+    return box[1]

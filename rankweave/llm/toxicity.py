@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ ORDER, DECAY, POWER = 3, 0.5, 3
 #: A sentence ends at one of .!? or a line's end, or after this many words.
 SENTENCE_WORDS = 25
 CACHE_UNITS = 300_000
+#: Units that meet the landmarks together.
+BLOCK_UNITS = 2048
 #: What a unit adds up to this is taken for noise when a document's units are added up.
 UNIT_FLOOR = 0.2
 FEATURES = 4
@@ -43,28 +47,40 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray | None = None, order: int =
     All of ``s`` (U x L) with all of ``t`` (M x N): U x M; without ``t`` each of ``s`` with itself: U.
     A common subsequence of ``order`` bytes counts ``decay`` to the power of its whole stretch in both strings.
     """
-    alone = t is None
-    columns = [s[:, j] for j in range(s.shape[1])] if alone else [t[None, :, j] for j in range(t.shape[1])]
-    columns = [np.where(c == 0, 1, c) for c in columns]  # padding meets nothing
-    shape = (len(s),) if alone else (len(s), len(t))
-    total = np.zeros(shape, np.float32)
-    n, square = len(columns), np.float32(decay * decay)
-    lam = np.float32(decay)
-    # tails[i][j]: weight of common subsequences of i bytes in s so far and the first j bytes of t, up to both ends
-    tails = [[np.ones(shape, np.float32)] * (n + 1)] + [[np.zeros(shape, np.float32) for _ in range(n + 1)] for _ in range(order - 1)]
-    for a in range(s.shape[1]):
-        x = s[:, a] if alone else s[:, a, None]
+    if t is None:
+        ranked, columns, count = None, [np.where(c == 0, 1, c)[None, :] for c in s.T], [1] * s.shape[1]
+    else:  # longest first, so that the strings that reach a column are the first ones
+        ranked = np.argsort(-(t > 0).sum(1), kind="stable")
+        count = [int(n) for n in (t > 0).sum(0)]
+        columns = [t[ranked[:n], j, None] for j, n in enumerate(count) if n]
+    n, lam, square = len(columns), np.float32(decay), np.float32(decay * decay)
+    width = len(s)
+    total = np.zeros((count[0] if n else 1, width), np.float32)
+    # tails[i][j]: weight of common subsequences of i + 1 bytes in s so far and the first j bytes of t, up to both ends
+    tails = [[np.zeros((m, width), np.float32) for m in [count[0] if n else 1, *count[:n]]] for _ in range(order - 1)]
+    for x in np.ascontiguousarray(s.T):
         if not x.any():
             break
-        equal = [(x == c).astype(np.float32) * square for c in columns]
+        equal = [np.multiply(x == c, square, dtype=np.float32) for c in columns]
         for j in range(n):
-            total += equal[j] * tails[order - 1][j]
-        for i in range(order - 1, 0, -1):
-            run = np.zeros(shape, np.float32)
+            total[: count[j]] += equal[j] * tails[order - 2][j][: count[j]] if order > 1 else equal[j]
+        for i in range(order - 2, -1, -1):
+            run = None
             for j in range(n):
-                run = lam * run + equal[j] * tails[i - 1][j]
-                tails[i][j + 1] = lam * tails[i][j + 1] + run
-    return total
+                new = equal[j] * tails[i - 1][j][: count[j]] if i else equal[j]
+                if run is not None:
+                    run = run[: count[j]]
+                    run *= lam
+                    run += new
+                else:
+                    run = new.copy()
+                tails[i][j + 1] *= lam
+                tails[i][j + 1] += run
+    if ranked is None:
+        return total[0]
+    out = np.zeros((len(t), width), np.float32)
+    out[ranked[: len(total)]] = total
+    return out.T
 
 
 def padded(units: list[bytes], size: int) -> np.ndarray:
@@ -79,8 +95,8 @@ def similarity(units: list[bytes], marks: np.ndarray, marks_own: np.ndarray) ->
     out = np.zeros((len(units), len(marks)), np.float32)
     parts = [(i, u[a : a + UNIT_BYTES]) for i, u in enumerate(units) for a in range(0, max(1, len(u) - UNIT_BYTES // 2), UNIT_BYTES // 2)]
     parts.sort(key=lambda x: len(x[1]))
-    for a in range(0, len(parts), 2048):
-        part = parts[a : a + 2048]
+    for a in range(0, len(parts), BLOCK_UNITS):
+        part = parts[a : a + BLOCK_UNITS]
         s = padded([u for _, u in part], max(1, len(part[-1][1])))
         norm = np.sqrt(np.maximum(subsequence_kernel(s), 1e-12)[:, None] * marks_own[None, :])
         np.maximum.at(out, [i for i, _ in part], np.minimum(1.0, subsequence_kernel(s, marks) / norm) ** POWER)
@@ -369,14 +385,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most ``sample_docs`` labelled documents that are not held out."""
+    """Fit on at most ``sample_docs`` labelled documents that are not held out, in one task, which returns the model alone."""
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).toArrow()
-    return fit(rows["text"].combine_chunks(), rows["toxic"].to_pylist())
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
+    found = rows.select("text", F.col("toxic").cast("int").alias("toxic")).coalesce(1).mapInArrow(_fitter, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [])
+
+
+def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = list(batches)
+    texts = pa.chunked_array([b["text"] for b in parts], pa.string()).combine_chunks()
+    model = fit(texts, [x for b in parts for x in b["toxic"].to_pylist()])
+    yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def _scorer(sent):

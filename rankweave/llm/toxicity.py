@@ -6,6 +6,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,10 @@ from rankweave.llm.words import NOT_SPACE, Words, _words, split_words
 
 #: Labelled documents that the model is fitted on at most (those with the least hashed ids).
 SAMPLE_DOCS = 5000
-LANDMARKS = 24
+#: Chi square (one degree of freedom) from which a piece of a word becomes a landmark; there is no cap on their number.
+LEVEL = 20.0
+#: Usual clean units at least; else one for every three toxic pieces.
+LEAST_USUAL = 6
 #: Longer units are scored by their best stretch of this many bytes.
 UNIT_BYTES = 32
 LANDMARK_BYTES = 12
@@ -28,6 +32,10 @@ SENTENCE_WORDS = 25
 CACHE_UNITS = 300_000
 #: Units that meet the landmarks together.
 BLOCK_UNITS = 2048
+#: Subsequences that are looked up together.
+BLOCK_TRIPLES = 100_000
+#: Sentences whose units are added up together.
+BLOCK_SENTENCES = 2048
 #: What a unit adds up to this is taken for noise when a document's units are added up.
 UNIT_FLOOR = 0.2
 FEATURES = 4
@@ -90,16 +98,70 @@ def padded(units: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def similarity(units: list[bytes], marks: np.ndarray, marks_own: np.ndarray) -> np.ndarray:
+class Index:
+    """Landmarks by their subsequences of ``order`` bytes, so that a unit meets only landmarks that share one with it."""
+
+    def __init__(self, marks: list[bytes], order: int = ORDER, decay: float = DECAY):
+        self.order, self.decay, self.size = order, decay, len(marks)
+        used = sorted(set(b"".join(marks)))
+        self.symbol = np.zeros(256, np.int32)  # 0: in no landmark
+        self.symbol[used] = np.arange(1, len(used) + 1)
+        self.base = len(used) + 1
+        entries: dict[tuple[int, int], float] = {}
+        for i, m in enumerate(marks):
+            at, weights = self._places(len(m))
+            for code, w in zip(self._codes(self.symbol[np.frombuffer(m, np.uint8)][None, :], at)[0].tolist(), weights.tolist(), strict=True):
+                entries[code, i] = entries.get((code, i), 0.0) + w
+        held = sorted(entries)
+        self.begin = np.searchsorted(np.array([c for c, _ in held], np.int64), np.arange(self.base**order + 1)).astype(np.int32)
+        self.owner = np.array([i for _, i in held], np.int64)
+        self.weight = np.array([entries[x] for x in held], np.float64)
+
+    def _places(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array(list(combinations(range(length), self.order)), np.int64).reshape(-1, self.order).T
+        return at, self.decay ** (at[-1] - at[0] + 1.0)
+
+    def _codes(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        codes = symbols[:, at[0]]
+        for x in at[1:]:
+            codes = codes * self.base + symbols[:, x]
+        return codes
+
+    def kernel(self, s: np.ndarray) -> np.ndarray:
+        """``subsequence_kernel`` of byte strings, padded with zeros, with all landmarks."""
+        out = np.zeros((len(s), self.size), np.float32)
+        at, weights = self._places(s.shape[1])
+        step = max(1, BLOCK_TRIPLES // max(1, len(weights)))
+        for a in range(0, len(s) if len(weights) and self.size else 0, step):
+            codes = self._codes(self.symbol[s[a : a + step]], at)
+            n = self.begin[codes + 1] - self.begin[codes]
+            row, place = np.nonzero(n)
+            n, first = n[row, place], self.begin[codes[row, place]]
+            entry = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+            cell = np.repeat(row * self.size, n) + self.owner[entry]
+            rows = len(codes)
+            total = np.bincount(cell, np.repeat(weights[place], n) * self.weight[entry], minlength=rows * self.size)
+            out[a : a + step] = total.reshape(rows, self.size)
+        return out
+
+
+def similarity(units: list[bytes], index: Index, marks_own: np.ndarray) -> np.ndarray:
     """Normalised kernel to the power POWER, of units with landmarks; a long unit counts by its best stretch."""
-    out = np.zeros((len(units), len(marks)), np.float32)
+    out = np.zeros((len(units), index.size), np.float32)
     parts = [(i, u[a : a + UNIT_BYTES]) for i, u in enumerate(units) for a in range(0, max(1, len(u) - UNIT_BYTES // 2), UNIT_BYTES // 2)]
     parts.sort(key=lambda x: len(x[1]))
-    for a in range(0, len(parts), BLOCK_UNITS):
-        part = parts[a : a + BLOCK_UNITS]
+    sizes = np.array([len(u) for _, u in parts], np.int64)
+    for a in np.unique(np.concatenate([np.arange(0, len(parts), BLOCK_UNITS), np.searchsorted(sizes, np.unique(sizes))])).tolist():
+        end = min(a + BLOCK_UNITS, len(parts), int(np.searchsorted(sizes, sizes[a], "right")))  # units of one length
+        part = parts[a:end]
         s = padded([u for _, u in part], max(1, len(part[-1][1])))
         norm = np.sqrt(np.maximum(subsequence_kernel(s), 1e-12)[:, None] * marks_own[None, :])
-        np.maximum.at(out, [i for i, _ in part], np.minimum(1.0, subsequence_kernel(s, marks) / norm) ** POWER)
+        value = np.minimum(1.0, index.kernel(s) / norm) ** POWER
+        rows = np.array([i for i, _ in part])
+        if len(np.unique(rows)) == len(rows):
+            out[rows] = np.maximum(out[rows], value)
+        else:
+            np.maximum.at(out, rows, value)
     return out
 
 
@@ -179,8 +241,8 @@ class Model:
     scale: tuple[np.ndarray, np.ndarray]
 
     def __post_init__(self):
-        self.matrix = padded(self.marks, LANDMARK_BYTES)
-        self.own = np.maximum(subsequence_kernel(self.matrix), 1e-12) if self.marks else np.zeros(0, np.float32)
+        self.index = Index(self.marks)
+        self.own = np.maximum(subsequence_kernel(padded(self.marks, LANDMARK_BYTES)), 1e-12) if self.marks else np.zeros(0, np.float32)
         self.cache: dict[int, float] = {}
 
     def __getstate__(self):
@@ -192,7 +254,9 @@ class Model:
         known = [self.cache.get(h) for h in hashes.tolist()]
         missing = [i for i, x in enumerate(known) if x is None]
         if missing and self.marks:
-            values = similarity([u.text(where[i]) for i in missing], self.matrix, self.own) @ self.weights
+            values = np.concatenate(
+                [similarity([u.text(where[i]) for i in missing[a : a + 4 * BLOCK_UNITS]], self.index, self.own) @ self.weights for a in range(0, len(missing), 4 * BLOCK_UNITS)]
+            )
         else:
             values = np.zeros(len(missing))
         if len(self.cache) > CACHE_UNITS:
@@ -222,8 +286,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
 
 
-def choose_landmarks(pieces: list[Units], y: np.ndarray, size: int) -> list[bytes]:
-    """Starts and ends of units that toxic documents use more than chance allows, by chi square, and frequent units of clean ones.
+def choose_landmarks(pieces: list[Units], y: np.ndarray, level: float = LEVEL) -> list[bytes]:
+    """Starts and ends of units that toxic documents use more than chance allows (chi square of ``level`` or more), and frequent units of clean ones.
 
     Of pieces that share five bytes in a row only the best is taken.  Names are
     kept for units of toxic documents alone; clean ones are counted by hash.
@@ -246,15 +310,16 @@ def choose_landmarks(pieces: list[Units], y: np.ndarray, size: int) -> list[byte
     ranked = sorted((-((a - (a + b) * share) ** 2) / ((a + b) * share), -len(g), g) for g, (a, b) in counts.items() if a > (a + b) * share)
     signs: list[bytes] = []
     taken: set[bytes] = set()
-    for _, _, g in ranked:
+    for less, _, g in ranked:
+        if -less < level * (1 - share):
+            break
         grams = {g[i : i + 5] for i in range(len(g) - 4)}
         bare = g.strip(b"\x02\x03")
         if not grams & taken and not any(bare in x or x.strip(b"\x02\x03") in bare for x in signs):
             signs.append(g)
             taken |= {bare[i : i + 5] for i in range(len(bare) - 4)} | grams
-        if len(signs) >= size * 3 // 4:
-            break
-    return signs + [b"\x02" + u + b"\x03" for u in _usual(pieces, y, 4 * size) if u not in taken][: size - len(signs)]
+    usual = max(LEAST_USUAL, len(signs) // 3)
+    return signs + [b"\x02" + u + b"\x03" for u in _usual(pieces, y, 16 * usual) if u not in taken][:usual]
 
 
 def _pairs(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -339,7 +404,7 @@ def fit_calibration(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarra
     return w
 
 
-def fit(texts: list[str | None] | pa.Array, toxic: list[int], landmarks: int = LANDMARKS) -> Model:
+def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEVEL) -> Model:
     """Fit on whole texts with labels.
 
     Sentences are the examples of the machine and have the label of their
@@ -354,11 +419,11 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], landmarks: int = L
     rate = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     if not len(y) or y.min() == y.max():
         return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
-    marks = choose_landmarks(pieces, y, landmarks)
+    marks = choose_landmarks(pieces, y, level)
     if not marks:
         return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
     model = Model(marks, np.zeros(len(marks)), 0.0, np.append(none, 0.0), flat)
-    gram = similarity(marks, model.matrix, model.own)
+    gram = similarity(marks, model.index, model.own)
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))[None, :]  # Nystroem map of kernel values
     rows, labels = [], []
@@ -366,10 +431,13 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], landmarks: int = L
     for u in pieces:
         if len(u.rows):
             hashes, where, back = np.unique(u.letters.hashes, return_index=True, return_inverse=True)
-            kernel = similarity([u.text(i) for i in where], model.matrix, model.own)[back]
+            kernel = similarity([u.text(i) for i in where], model.index, model.own)
             begins = np.flatnonzero(np.concatenate([[True], u.sentences[1:] != u.sentences[:-1]]))
-            rows.append((np.add.reduceat(kernel, begins, axis=0).astype(np.float64) @ root).astype(np.float32))
-            labels.append(2 * y[done + u.rows[begins]] - 1)
+            for a in range(0, len(begins), BLOCK_SENTENCES):
+                own = begins[a : a + BLOCK_SENTENCES]
+                end = begins[a + BLOCK_SENTENCES] if a + BLOCK_SENTENCES < len(begins) else len(back)
+                rows.append((np.add.reduceat(kernel[back[own[0] : end]], own - own[0], axis=0).astype(np.float64) @ root).astype(np.float32))
+                labels.append(2 * y[done + u.rows[own]] - 1)
         done += u.count
     w = fit_machine(rows, labels)
     model.weights, model.offset = root @ w[:-1], float(w[-1])

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rankweave.llm import components, decontaminate, main_text, mixing, near_dups, personal_data, token_counts, topk, toxicity, url_rules, warc
 from rankweave.llm.scratch import Scratch, new_path
+from rankweave.llm.words import NOT_SPACE, split_words
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -272,3 +275,28 @@ def test_toxicity_learns_gapped_words_and_takes_edges(spark):
     assert toxicity.score_documents(rows.limit(0), model).count() == 0
     none = toxicity.train(rows, labels.limit(0))
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_documents(rows.limit(5), none).collect())
+
+
+def test_toxicity_of_a_large_lexicon():
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    stems, clean = sorted({letters(4) for _ in range(125)})[:120], [letters(rng.randrange(1, 5)) for _ in range(400)]
+
+    def made(stem):
+        own = [rng.choice(clean) for _ in range(rng.randrange(20, 60))]
+        return " ".join([*own[:10], stem or rng.choice(clean), *own[10:]]) + "."
+
+    texts = [made(s) for s in stems * 10] + [made(None) for _ in range(2400)]
+    model = toxicity.fit(texts, [1] * 1200 + [0] * 2400)
+    new = pa.array([made(s) for s in stems] + [made(None) for _ in range(240)])
+    score = np.concatenate([model.scores(toxicity.units(w, n)) for _, n, w in split_words(new, NOT_SPACE)])
+    assert len(model.marks) > 120
+    assert (score[:120] >= 0.5).mean() >= 0.95 and (score[120:] >= 0.5).mean() <= 0.02
+
+
+def test_landmark_index_against_the_kernel():
+    rng = random.Random(6)
+    units = [b"\x02" + bytes(rng.choice(b"abcde\xc3") for _ in range(rng.randrange(20))) + b"\x03" for _ in range(200)]
+    marks = [u for u in units if 5 <= len(u) <= toxicity.LANDMARK_BYTES]
+    want = toxicity.subsequence_kernel(toxicity.padded(units, 22), toxicity.padded(marks, toxicity.LANDMARK_BYTES))
+    assert np.allclose(toxicity.Index(marks).kernel(toxicity.padded(units, 22)), want, rtol=1e-4, atol=1e-6)

@@ -83,11 +83,11 @@ class Best:
             score = products(self.block.vectors[own], vectors)
             least = self.floor[own]
             k = self.block.k
-            if len(ids) > k + 1:  # one more, as a query may meet its own row
-                least = np.maximum(least, np.partition(score, -(k + 1), axis=1)[:, -(k + 1)])
-            i, j = np.nonzero(score >= least[:, None])
-            other = self.block.ids[own[i]] != ids[j]
-            i, j = i[other], j[other]
+            mine = self.block.ids[own, None] == ids[None, :]  # any number of rows may have the query's own id
+            if len(ids) > k:
+                score[mine] = np.iinfo(np.int64).min
+                least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+            i, j = np.nonzero((score >= least[:, None]) & ~mine)
             self.add(own[i], ids[j], score[i, j])
 
 

@@ -137,6 +137,19 @@ def test_top_products_with_ties_nulls_and_blocks(spark):
     assert topk.top_products(frame, frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shares", [(2, 3, 5), (60,)])
+def test_top_products_of_repeated_ids(spark, shares):
+    rng = random.Random(11)
+    rows = [(i, [rng.choice((-1.0, 1.0)) for _ in range(12)]) for i in range(200)]
+    rows += [(q, [x * 1.0 for x in rows[q][1]]) for q, n in enumerate(shares) for _ in range(n - 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    good = [(i, [int(1024 * x // 1) for x in v]) for i, v in rows]
+    for q in range(len(shares)):
+        scored = sorted((-sum(a * b for a, b in zip(good[q][1], v, strict=True)), i) for i, v in good if i != q)
+        got = topk.top_products(frame.where(F.col("vec_id") == q).limit(1), frame, seed_rows=12).orderBy("rank").collect()
+        assert [tuple(r) for r in got] == [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:10])]
+
+
 # --- near duplicates ---
 
 

@@ -103,15 +103,33 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return ((a == b).mean(1) - chance) / (1 - chance)
 
 
+def _fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two order-free fingerprints of each row's whole set."""
+    sums = np.zeros((2, len(hashes) + 1), np.uint64)
+    np.cumsum(hashes, out=sums[0, 1:])
+    np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
+    return sums[:, first[1:]] - sums[:, first[:-1]]
+
+
+def _marker(k: int):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, count, words in split_words(batch["text"], NOT_SPACE):
+                hashes, _, first = shingle_sets(words, count, k)
+                own = _fingerprints(hashes, first)
+                part = batch.slice(row, count)
+                sums = [pa.array(np.diff(first).astype(np.int64)), pa.array(own[0].view(np.int64)), pa.array(own[1].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *sums, part["text"]], names=["least", "n", "h1", "h2", "text"])
+
+    return mark
+
+
 def _sketcher(k: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, count, words in split_words(batch["text"], NOT_SPACE):
                 hashes, rows, first = shingle_sets(words, count, k)
-                sums = np.zeros((2, len(hashes) + 1), np.uint64)
-                np.cumsum(hashes, out=sums[0, 1:])
-                np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
-                own = sums[:, first[1:]] - sums[:, first[:-1]]  # order-free fingerprints of the whole set
+                own = _fingerprints(hashes, first)
                 regs = registers(hashes, rows, count)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -202,20 +220,27 @@ def near_duplicates(
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sketches = scratch.keep(texts.mapInArrow(_sketcher(k), "doc_id long, n long, h1 long, h2 long, registers binary"), "sketches")
     whole = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers")), "classes")
+    # the smallest id names a class, unless an id in several rows can be the smallest of several classes
+    repeated = not whole.groupBy("doc_id").count().where("count > 1").isEmpty()
+    classes = whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.first("registers").alias("registers"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id() if repeated else F.col("least")), "classes")
 
     banded = classes.select("id", "registers").mapInArrow(_bander, "key long, id long")
     shared = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"), "shared")
     members = scratch.keep(banded.join(shared, "key").select("key", "id", "size"), "members")
 
-    out = sketches.drop("registers").join(classes.select("n", "h1", "h2", "id"), ["n", "h1", "h2"], "left").select("doc_id", "n", "id")
+    out = sketches.drop("registers").join(classes.select("n", "h1", "h2", "id", "least"), ["n", "h1", "h2"], "left").select("doc_id", "n", "id", "least")
     out = scratch.keep(out, "rows")
     # rows of one id with different texts are in several classes, which belong together
-    least = out.where("doc_id IS NOT NULL AND id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
-    same = out.join(least.select("doc_id", "a"), "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    groups = _groups(members, classes, texts, same, scratch, k, percent, broadcast_ids)
+    several = out.where("doc_id IS NOT NULL AND id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    same = out.join(several.select("doc_id", "a"), "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    groups = _groups(members, classes, texts, same, scratch, k, percent, broadcast_ids, repeated)
+    if repeated:  # from numbers of classes to the smallest id of each group
+        placed = classes.select("id", "least").join(groups, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("group"), "least")
+        placed = scratch.keep(placed, "placed")
+        groups = placed.select("node", "group").join(placed.groupBy("group").agg(F.min("least").alias("component")), "group").select("node", "component")
     out = out.join(groups, out["id"] == groups["node"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "least", "doc_id"))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -224,13 +249,21 @@ def near_duplicates(
     )
 
 
-def _groups(members, classes, texts, same, scratch: Scratch, k: int, percent: int, broadcast_ids: int) -> DataFrame:
+def _groups(members, classes, texts, same, scratch: Scratch, k: int, percent: int, broadcast_ids: int, repeated: bool) -> DataFrame:
     """Component of every class that is linked to a smaller one, as (node, component)."""
     spark = scratch.spark
     wanted = scratch.keep(members.select("id").distinct(), "wanted")
     picked = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-    own = texts.join(picked, texts["doc_id"] == wanted["id"], "left_semi")
-    sets = classes.join(picked, "id", "left_semi").select("id", "n", "registers").join(own, F.col("id") == F.col("doc_id")).drop("doc_id")
+    if repeated:  # one text of each class, picked by its fingerprint
+        chosen = scratch.keep(classes.join(picked, "id", "left_semi"), "chosen")
+        ids = chosen.select("least").distinct()
+        ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+        own = texts.join(ids, F.col("doc_id") == F.col("least"), "left_semi").mapInArrow(_marker(k), "least long, n long, h1 long, h2 long, text string")
+        own = own.groupBy("least", "n", "h1", "h2").agg(F.first("text").alias("text"))
+        sets = chosen.join(own, ["least", "n", "h1", "h2"]).select("id", "n", "registers", "text")
+    else:
+        own = texts.join(picked, texts["doc_id"] == wanted["id"], "left_semi")
+        sets = classes.join(picked, "id", "left_semi").select("id", "n", "registers").join(own, F.col("id") == F.col("doc_id")).drop("doc_id")
     sets = scratch.keep(sets, "sets")
 
     def check(pairs: DataFrame) -> DataFrame:

@@ -183,6 +183,46 @@ def test_groups_of_repeated_and_null_ids(spark):
     assert near_dups.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_that_stay_open(spark):
+    rng = random.Random(12)
+    pairs, texts, hub = 12, {}, [f"h{j}" for j in range(100)]
+    for p in range(pairs):  # k = 1: sets of 100 words, two of them at 92 of 108, a hub near neither
+        common = [f"p{p}c{j}" for j in range(92)]
+        texts[10 * p + 1] = common + [f"p{p}x{j}" for j in range(8)]
+        texts[10 * p + 2] = common + [f"p{p}y{j}" for j in range(8)]
+    for own in texts.values():
+        rng.shuffle(own)
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    rows += [(i, t) for i, t in rows if i % 10 == 1] * 4 + [(500, " ".join(hub)), (500, "other words"), (7, "other words")]
+    got = near_dups.near_duplicates(docs(spark, rows), k=1, percent=85).collect()
+    want = {i: i - i % 10 + 1 for i in texts} | {500: 7, 7: 7}
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+
+    # the join itself, with both sets of each pair held as one row for each class
+    frame = spark.createDataFrame([(i, i, 100, " ".join(t)) for i, t in texts.items()], "id long, component long, n long, text string")
+    found = near_dups._rare_pairs(frame, Scratch(spark), 1, 85).collect()
+    assert {(r["a"], r["b"]) for r in found} == {(10 * p + 1, 10 * p + 2) for p in range(pairs)}
+
+
+def test_sets_hold_each_class_once(spark, monkeypatch):
+    rng = random.Random(13)
+    seen = []
+    plain = Scratch.keep
+
+    def keep(self, frame, name):
+        out = plain(self, frame, name)
+        if name == "sets":
+            seen.extend((r["id"], r["text"].split()[-1]) for r in out.select("id", "text").collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    base = words(rng, 100, [f"w{i}" for i in range(500)])
+    rows = [(1, base + " a")] * 5 + [(1, base + " b")] * 3 + [(2, base + " c"), (3, base + " a")]
+    got = near_dups.near_duplicates(docs(spark, rows), k=3, percent=85).collect()
+    assert {r["component_id"] for r in got} == {1} and len(got) == len(rows)
+    assert sorted(x for _, x in seen) == ["a", "b", "c"] and len({i for i, _ in seen}) == 3
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components.components(edges.union(spark.createDataFrame([(900, 800), (800, 900)], "a long, b long")), Scratch(spark)).collect()

@@ -15,7 +15,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
     neighbours to its smallest neighbour, then its smaller ones.  Each step
     keeps the components, and the edges end as stars around the smallest node.
     Only grouped minima and joins on nodes are used; a round's edges are
-    written, so that the plan does not grow.
+    written, so that the plan does not grow.  An error tells of more than
+    ``rounds`` rounds; they grow with the logarithm of the longest path.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     before = None
@@ -32,6 +33,6 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
         now = scratch.keep(small, "stars")
         mark = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
         if mark == before:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = mark
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError(f"components are not found after {rounds} rounds")

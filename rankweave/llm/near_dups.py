@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
 from rankweave.llm.scratch import Scratch
-from rankweave.llm.words import NOT_SPACE, mix, run_hash, split_words
+from rankweave.llm.words import NOT_SPACE, PIECE_BYTES, Words, mix, run_hash, split_words, whole_words
 
 BANDS, ROWS = 44, 8
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 #: Most ids that are sent to every executor to pick out the texts of candidates; more are shuffled.
 BROADCAST_IDS = 1_000_000
+#: A key that holds more than this share of the rows is split, or its partner sent to all; there are at most as many such keys as shares.
+HOT_SHARES = 1000
 #: Tries to fill an empty register from a random other one, before the next one to the right is taken.
 FILL_TRIES = 64
 
@@ -41,10 +45,43 @@ def shingle_sets(words, count: int, k: int) -> tuple[np.ndarray, np.ndarray, np.
     hashes, rows = hashes[order], rows[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    again = np.flatnonzero(~new)  # only runs of k words can repeat in a row
+    if not all(words.same(at[order[again]] + j, at[order[again - 1]] + j).all() for j in range(k)):
+        return _apart(words, at, k, hashes, rows, order, count)
     hashes, rows = hashes[new], rows[new]
     return hashes, rows, np.searchsorted(rows, np.arange(count + 1))
 
 
+def _apart(words: Words, at: np.ndarray, k: int, hashes: np.ndarray, rows: np.ndarray, order: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingle_sets`` where different shingles of a row share a hash: repeated hashes give way to longer ones of the words themselves."""
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    group = np.cumsum(new) - 1
+    for i in np.flatnonzero(np.bincount(group)[group] > 1).tolist():
+        hashes[i] = int.from_bytes(hashlib.sha256(words.text(int(at[order[i]]), k)).digest()[:8], "little")
+    found = np.unique(np.rec.fromarrays([rows, hashes], names="row,hash"))
+    rows, hashes = np.ascontiguousarray(found["row"]), np.ascontiguousarray(found["hash"])
+    return hashes, rows, np.searchsorted(rows, np.arange(count + 1))
+
+
+def exact_sets(words: Words, count: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of all rows as numbers that stand for their words themselves: rows and numbers, in order."""
+    names, which = words.distinct()
+    at, _ = words.grams(k)
+    sizes = np.diff(words.first)
+    owners, numbers, used = [], [], 0
+    for n, starts in [(k, at), *((n, words.first[np.flatnonzero(sizes == n)]) for n in range(1, k))]:
+        run = which[starts]
+        for j in range(1, n):
+            run = np.unique(run * len(names) + which[starts + j], return_inverse=True)[1]
+        owners.append(words.rows[starts])
+        numbers.append(run + used)
+        used += int(run.max()) + 1 if len(run) else 0
+    owner, number = np.concatenate(owners), np.concatenate(numbers)
+    key = np.unique(owner * max(1, used) + number)
+    return key // max(1, used), key % max(1, used)
+
+
 def registers(hashes: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     """HyperMinHash registers of each row's set (sorted by row and hash), as 16-bit numbers.
 
@@ -103,25 +140,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return ((a == b).mean(1) - chance) / (1 - chance)
 
 
-def _fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Two order-free fingerprints of each row's whole set."""
-    sums = np.zeros((2, len(hashes) + 1), np.uint64)
-    np.cumsum(hashes, out=sums[0, 1:])
-    np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
-    return sums[:, first[1:]] - sums[:, first[:-1]]
-
+def _digests(words: Words) -> pa.Array:
+    """SHA-256 of each row's words, joined by single spaces."""
+    return pa.array([hashlib.sha256(x).digest() for x in words.normal()], pa.binary())
 
-def _marker(k: int):
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, count, words in split_words(batch["text"], NOT_SPACE):
-                hashes, _, first = shingle_sets(words, count, k)
-                own = _fingerprints(hashes, first)
-                part = batch.slice(row, count)
-                sums = [pa.array(np.diff(first).astype(np.int64)), pa.array(own[0].view(np.int64)), pa.array(own[1].view(np.int64))]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *sums, part["text"]], names=["least", "n", "h1", "h2", "text"])
 
-    return mark
+def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, count, words in split_words(batch["text"], NOT_SPACE):
+            part = batch.slice(row, count)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], _digests(words), part["text"]], names=["least", "digest", "text"])
 
 
 def _sketcher(k: int):
@@ -129,17 +157,15 @@ def _sketcher(k: int):
         for batch in batches:
             for row, count, words in split_words(batch["text"], NOT_SPACE):
                 hashes, rows, first = shingle_sets(words, count, k)
-                own = _fingerprints(hashes, first)
                 regs = registers(hashes, rows, count)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(row, count),
                         pa.array(np.diff(first).astype(np.int64)),
-                        pa.array(own[0].view(np.int64)),
-                        pa.array(own[1].view(np.int64)),
+                        _digests(words),
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), count, [None, pa.py_buffer(np.ascontiguousarray(regs))]).cast(pa.binary()),
                     ],
-                    names=["doc_id", "n", "h1", "h2", "registers"],
+                    names=["doc_id", "n", "digest", "registers"],
                 )
 
     return sketch
@@ -168,21 +194,27 @@ def _verifier(k: int, percent: int):
             rows = np.flatnonzero(likely >= share - 6 * spread)
             ok = np.zeros(batch.num_rows, dtype=bool)
             some = batch.take(pa.array(rows))
-            for at in range(0, len(rows), 200):
-                sets = [list(_sets(some[c].slice(at, 200), k)) for c in ("text_a", "text_b")]
-                for j, (x, y) in enumerate(zip(*sets, strict=True)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[rows[at + j]] = 100 * common >= percent * (len(x) + len(y) - common)
+            size = np.cumsum(pc.add(pc.binary_length(some["text_a"]), pc.binary_length(some["text_b"])).to_numpy(zero_copy_only=False)) if len(rows) else rows
+            at = 0
+            while at < len(rows):  # as many pairs as make a piece
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE_BYTES, "right")))
+                ok[rows[at:end]] = linked(some["text_a"].slice(at, end - at), some["text_b"].slice(at, end - at), k, percent)
+                at = end
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok)], names=["a", "b", "linked"])
 
     return verify
 
 
-def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    for _, count, words in split_words(texts, NOT_SPACE):
-        hashes, _, first = shingle_sets(words, count, k)
-        for r in range(count):
-            yield hashes[first[r] : first[r + 1]]
+def linked(a: pa.Array, b: pa.Array, k: int, percent: int) -> np.ndarray:
+    """Which pairs of texts reach the similarity, by the words themselves."""
+    n = len(a)
+    rows, numbers = exact_sets(whole_words(pa.concat_arrays([a, b]), NOT_SPACE), 2 * n, k)
+    sizes = np.bincount(rows, minlength=2 * n)
+    order = np.lexsort((numbers, rows % n))
+    pair, numbers = rows[order] % n, numbers[order]
+    both = (pair[1:] == pair[:-1]) & (numbers[1:] == numbers[:-1])
+    common = np.bincount(pair[1:][both], minlength=n)
+    return (common > 0) & (100 * common >= percent * (sizes[:n] + sizes[n:] - common))
 
 
 def near_duplicates(
@@ -198,12 +230,13 @@ def near_duplicates(
     Returns, for every row: doc_id, n_shingles (distinct ones), component_id
     (smallest id of its group) and kept (doc_id = component_id).
 
-    1. Rows with equal sets (128-bit fingerprints of whole sets) form a class,
-       and one row of it goes on.
+    1. Rows with equal word sequences (by SHA-256) form a class, and one row of
+       it goes on.
     2. Band keys of registers give buckets.  With 44 bands of 8, a pair at a
        similarity of 0.85 (0.8) shares none with a chance of 1e-6 (3e-4).
     3. Every class meets the most central one of its buckets; links are confirmed
-       on full sets, after the estimate has ruled out what cannot be one.
+       on full sets of the words themselves, after the estimate has ruled out
+       what cannot be one.
     4. Where a bucket still holds different groups, its members meet again by
        their rarest shingles, with the filters of exact set joins, which lose no
        link.  So a large group costs about one comparison a member, and only
@@ -218,18 +251,18 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sketches = scratch.keep(texts.mapInArrow(_sketcher(k), "doc_id long, n long, h1 long, h2 long, registers binary"), "sketches")
+    sketches = scratch.keep(texts.mapInArrow(_sketcher(k), "doc_id long, n long, digest binary, registers binary"), "sketches")
     whole = sketches.where("n > 0 AND doc_id IS NOT NULL")
     # the smallest id names a class, unless an id in several rows can be the smallest of several classes
     repeated = not whole.groupBy("doc_id").count().where("count > 1").isEmpty()
-    classes = whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.first("registers").alias("registers"))
+    classes = whole.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id() if repeated else F.col("least")), "classes")
 
     banded = classes.select("id", "registers").mapInArrow(_bander, "key long, id long")
     shared = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"), "shared")
     members = scratch.keep(banded.join(shared, "key").select("key", "id", "size"), "members")
 
-    out = sketches.drop("registers").join(classes.select("n", "h1", "h2", "id", "least"), ["n", "h1", "h2"], "left").select("doc_id", "n", "id", "least")
+    out = sketches.drop("registers").join(classes.select("digest", "id", "least"), "digest", "left").select("doc_id", "n", "id", "least")
     out = scratch.keep(out, "rows")
     # rows of one id with different texts are in several classes, which belong together
     several = out.where("doc_id IS NOT NULL AND id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
@@ -258,9 +291,9 @@ def _groups(members, classes, texts, same, scratch: Scratch, k: int, percent: in
         chosen = scratch.keep(classes.join(picked, "id", "left_semi"), "chosen")
         ids = chosen.select("least").distinct()
         ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-        own = texts.join(ids, F.col("doc_id") == F.col("least"), "left_semi").mapInArrow(_marker(k), "least long, n long, h1 long, h2 long, text string")
-        own = own.groupBy("least", "n", "h1", "h2").agg(F.first("text").alias("text"))
-        sets = chosen.join(own, ["least", "n", "h1", "h2"]).select("id", "n", "registers", "text")
+        own = texts.join(ids, F.col("doc_id") == F.col("least"), "left_semi").mapInArrow(_marker, "least long, digest binary, text string")
+        own = own.groupBy("least", "digest").agg(F.first("text").alias("text"))
+        sets = chosen.join(own, ["least", "digest"]).select("id", "n", "registers", "text")
     else:
         own = texts.join(picked, texts["doc_id"] == wanted["id"], "left_semi")
         sets = classes.join(picked, "id", "left_semi").select("id", "n", "registers").join(own, F.col("id") == F.col("doc_id")).drop("doc_id")
@@ -268,7 +301,6 @@ def _groups(members, classes, texts, same, scratch: Scratch, k: int, percent: in
 
     def check(pairs: DataFrame) -> DataFrame:
         """Verify pairs (a < b)."""
-        a, b = ([F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in ("id", "n", "registers", "text")] for x in "ab")
         sizes = sets.select("id", "n")
         fit = (
             pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("x")), "a")
@@ -276,7 +308,20 @@ def _groups(members, classes, texts, same, scratch: Scratch, k: int, percent: in
             .where(F.least("x", "y") * 100 >= F.greatest("x", "y") * percent)
             .select("a", "b").distinct()
         )
-        full = fit.join(sets.select(*a), "a").join(sets.select(*b), "b")
+        fit = scratch.keep(fit, "fit")
+        most = max(256, fit.count() // HOT_SHARES)
+        degree = fit.select("a").unionAll(fit.select("b")).groupBy("a").count().where(F.col("count") > most)
+        hot = F.broadcast(degree.select(F.col("a").alias("hot"), F.ceil(F.col("count") / most).cast("int").alias("parts")))  # 2 * HOT_SHARES rows at most
+        parts = F.coalesce("parts", F.lit(1))
+        for x, y in ("ab", "ba"):
+            fit = fit.join(hot, F.col(x) == F.col("hot"), "left").withColumns({f"slot_{x}": F.pmod(F.xxhash64(y), parts), f"hot_{x}": F.col("hot").isNotNull()}).drop("hot", "parts")
+        # a text that many pairs share is met last, in parts, so that it isn't copied before the pairs are dealt
+        late = F.col("hot_a") & ~F.col("hot_b")
+        side = lambda c, x, y: F.when(late, F.col(c + y)).otherwise(F.col(c + x))
+        full = fit.select("a", "b", *(side(c, x, y).alias(f"{name}_{x}") for c, name in (("", "id"), ("slot_", "slot")) for x, y in ("ab", "ba")))
+        dealt = sets.join(hot, F.col("id") == F.col("hot"), "left").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("hot", "parts")
+        for x in "ab":
+            full = full.join(dealt.toDF(*(f"{c}_{x}" for c in dealt.columns)), [f"id_{x}", f"slot_{x}"]).drop(f"id_{x}", f"slot_{x}")
         return full.mapInArrow(_verifier(k, percent), "a long, b long, linked boolean")
 
     # the member of a bucket whose own buckets are the fullest has least of its own, so most others link to it
@@ -314,9 +359,13 @@ def _rare_pairs(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> Data
     """
     held = docs.select("id", "component", "n", "text").mapInArrow(_lister(k), "id long, component long, n long, h long")
     held = scratch.keep(held, "shingles")
-    often = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    often = scratch.keep(held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    most = max(64, held.count() // HOT_SHARES)
+    usual = often.where(F.col("df") > most).select("h", F.col("df").alias("hot_df"))  # HOT_SHARES rows at most
+    told = held.join(F.broadcast(usual), "h", "left")
+    told = told.where("hot_df IS NULL").drop("hot_df").join(often.where(F.col("df") <= most), "h", "left").unionByName(told.where("hot_df IS NOT NULL").withColumnRenamed("hot_df", "df"))
     ordered = (
-        held.join(often, "h", "left")
+        told
         .groupBy("id", "component", "n")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("all"))
         .select("id", "component", "n", F.posexplode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))))

@@ -1,5 +1,7 @@
 """Words and word n-grams of Arrow text columns as NumPy arrays of positions and 64-bit hashes.
 
+Hashes find what may be equal; whoever reports equality compares bytes (``Words.distinct``).
+
 All work is on UTF-8 bytes of a few texts at a time, so its memory follows the
 longest text rather than the batch.
 """
@@ -15,8 +17,10 @@ import pyarrow as pa
 #: Texts are taken together up to about this many bytes.
 PIECE_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Two primes below 2**31 and a base for each: a word's hash is its value as a polynomial modulo both.
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1103515245, 1664525009)
+_RUN = np.uint64(0x9E3779B97F4A7C15)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -40,24 +44,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of both bases and of their inverses, for exponents up to n - 1."""
     global _powers
-    if len(_powers[0]) < n:
+    if not _powers or len(_powers[0]) < n:
         size = max(n, PIECE_BYTES + 1)
         tables = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            tables.append(np.cumprod(steps, dtype=np.uint64))
+        for prime, base in zip(_PRIMES, _BASES, strict=True):
+            for b in (base, pow(base, -1, prime)):
+                powers = np.ones(1, np.int64)
+                while len(powers) < size:
+                    powers = np.concatenate([powers, powers * pow(b, len(powers), prime) % prime])
+                tables.append(powers[:size])
         if n > 4 * PIECE_BYTES:  # one very long text: not worth keeping
-            return tables[0], tables[1]
-        _powers = (tables[0], tables[1])
+            return tables
+        _powers = tables
     return _powers
 
 
+def _running(values: np.ndarray, prime: int) -> np.ndarray:
+    """Prefix sums modulo a prime of values below 2**40, starting with 0."""
+    out = np.zeros(len(values) + 1, np.int64)
+    step, carry = 1 << 22, 0  # 2**22 values below 2**40 fit
+    for a in range(0, len(values), step):
+        part = out[a + 1 : a + 1 + step]
+        np.cumsum(values[a : a + step], out=part)
+        part += carry
+        part %= prime
+        carry = int(part[-1])
+    return out
+
+
 @dataclass
 class Words:
     """Words of consecutive rows: byte range in ``data``, row and hash of each; ``first`` has a word index for every row and the end."""
@@ -74,6 +94,45 @@ class Words:
         raw = self.data
         return b" ".join(raw[s:e].tobytes() for s, e in zip(self.starts[i : i + n], self.ends[i : i + n], strict=True))
 
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """The different words, and for every word which one it is.
+
+        Words are told apart by their bytes: hashes only group them, and where
+        two different words share one, all are compared as bytes.
+        """
+        raw = self.data.tobytes()
+        _, where, which = np.unique(self.hashes, return_index=True, return_inverse=True)
+        if not self.same(np.arange(len(which)), where[which]).all():
+            names: dict[bytes, int] = {}
+            which = np.fromiter((names.setdefault(raw[s:e], len(names)) for s, e in zip(self.starts.tolist(), self.ends.tolist(), strict=True)), np.int64, len(self.starts))
+            return list(names), which
+        return [raw[s:e] for s, e in zip(self.starts[where].tolist(), self.ends[where].tolist(), strict=True)], which
+
+    def same(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether words have the bytes of others, place by place."""
+        size = self.ends - self.starts
+        out = (one == other) | (size[one] == size[other])
+        todo = np.flatnonzero(out & (one != other))
+        for a in range(0, len(todo), 1 << 17):
+            at = todo[a : a + (1 << 17)]
+            n = size[one[at]]
+            first = np.cumsum(n) - n
+            inside = np.arange(int(n.sum())) - np.repeat(first, n)
+            differ = self.data[np.repeat(self.starts[one[at]], n) + inside] != self.data[np.repeat(self.starts[other[at]], n) + inside]
+            out[at[np.add.reduceat(differ, first) > 0] if len(at) else at] = False
+        return out
+
+    def normal(self) -> list[bytes]:
+        """The words of every row, joined by single spaces."""
+        size = self.ends - self.starts
+        first = np.cumsum(size) - size
+        inside = np.repeat(self.starts, size) + np.arange(int(size.sum())) - np.repeat(first, size)
+        flat = np.full(len(inside) + len(size), 32, np.uint8)  # a space after each word
+        flat[np.arange(len(inside)) + np.repeat(np.arange(len(size)), size)] = self.data[inside]
+        edge = np.append(first, len(inside)) + np.arange(len(size) + 1)
+        raw = flat.tobytes()
+        return [raw[a : b - 1] if b > a else b"" for a, b in zip(edge[self.first[:-1]].tolist(), edge[self.first[1:]].tolist(), strict=True)]
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word and hash of every run of k words inside one row."""
         n = len(self.hashes) - k + 1
@@ -87,7 +146,7 @@ def run_hash(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k word hashes from each position."""
     total = np.full(len(at), k, np.uint64)
     for j in range(k):
-        total = total * np.uint64(_BASE) + hashes[at + j]
+        total = total * _RUN + hashes[at + j]
     return mix(total)
 
 
@@ -99,6 +158,13 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, raw
 
 
+def whole_words(texts: pa.Array, keep: np.ndarray, lower: bool = True) -> Words:
+    """Words of all rows in one piece."""
+    offsets, raw = _buffers(texts)
+    data = raw[offsets[0] : offsets[-1]]
+    return _words(LOWER[data] if lower else data, offsets - offsets[0], keep)
+
+
 def split_words(texts: pa.Array, keep: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, Words]]:
     """For pieces of the column: first row, number of rows, and their words (rows counted inside the piece)."""
     offsets, raw = _buffers(texts)
@@ -122,10 +188,13 @@ def _words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> Words:
     stops = inside[1:-1] & ~inside[2:]
     stops[edges - 1] = inside[1:-1][edges - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    up_a, down_a, up_b, down_b = _power_tables(n + 1)
+    value = data.astype(np.int64) + 1
+    halves = []
+    for up, down, prime in ((up_a, down_a, _PRIMES[0]), (up_b, down_b, _PRIMES[1])):
+        sums = _running(value * up[:n], prime)
+        halves.append(((sums[ends] - sums[starts]) % prime * down[starts] % prime).astype(np.uint64))
+    hashes = mix(halves[0] << np.uint64(32) ^ halves[1] ^ ((ends - starts).astype(np.uint64) << np.uint64(31)))
     rows = np.searchsorted(offsets, starts, "right") - 1
     first = np.searchsorted(rows, np.arange(len(offsets)))
     return Words(data, starts, ends, rows, hashes, first)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm import components, decontaminate, main_text, mixing, near_dups, personal_data, token_counts, topk, toxicity, url_rules, warc
 from rankweave.llm.scratch import Scratch, new_path
-from rankweave.llm.words import NOT_SPACE, split_words
+from rankweave.llm.words import NOT_SPACE, split_words, whole_words
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -223,6 +223,41 @@ def test_sets_hold_each_class_once(spark, monkeypatch):
     assert sorted(x for _, x in seen) == ["a", "b", "c"] and len({i for i, _ in seen}) == 3
 
 
+def colliding(n=1024):
+    """Two different texts of one length that collide in a polynomial hash modulo 2**64, whatever its odd base."""
+    signs = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)
+
+
+def test_equal_hashes_link_nothing(spark, monkeypatch):
+    a, b = colliding()
+    rows = [(1, a), (2, b), (3, f"{a} {a} {a}"), (4, f"{b} {b} {b}"), (5, f"{a} {b} {a} {b} {a} {b}")]
+    got = near_dups.near_duplicates(docs(spark, rows), k=3, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.groups(dict(rows), 3, 85)
+    # hashes of a single value: all words seem equal, and still sets and links are those of the words
+    one = whole_words(pa.array(["a b c d a b c d", "a b c d a b c d e", "x y z w", "a b", None, "b a"]), NOT_SPACE)
+    one.hashes[:] = 7
+    assert len(one.distinct()[0]) == 9 and np.diff(near_dups.shingle_sets(one, 6, 3)[2]).tolist() == [4, 5, 2, 1, 0, 1]
+    plain = near_dups.whole_words
+
+    def flat(*args):
+        out = plain(*args)
+        out.hashes[:] = 7
+        return out
+
+    monkeypatch.setattr(near_dups, "whole_words", flat)
+    texts = pa.array(["a b c d", "a b", "x y z", ""]), pa.array(["a b c d d", "a b c", "X y z", ""])
+    assert near_dups.linked(*texts, 3, 60).tolist() == [True, False, True, False]
+
+
+def test_pairs_of_a_shared_text_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "HOT_SHARES", 10**9)
+    rng = random.Random(21)
+    texts = dict(enumerate(family(rng, 60, [f"w{i}" for i in range(500)], 700, 3)))
+    got = near_dups.near_duplicates(docs(spark, texts.items()), k=3, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.groups(texts, 3, 85)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components.components(edges.union(spark.createDataFrame([(900, 800), (800, 900)], "a long, b long")), Scratch(spark)).collect()

@@ -50,7 +50,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and word pieces of every document."""
+    """Words of every document and their greedy word pieces (not the tokens that the vocabulary's own tokenizer would give)."""
     first, later = token_counts.byte_level_pieces(VOCABULARY)
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), first, later, carry=["doc_id"])
 

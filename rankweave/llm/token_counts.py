@@ -9,14 +9,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rankweave.llm.rows import named, packed, unpacked
 from rankweave.llm.scratch import received, send
 from rankweave.llm.words import NOT_SPACE, split_words
 
-#: The most pieces of a vocabulary, which is sent to every executor.
-MOST_PIECES = 1_000_000
+#: Counts of so many words are kept by a task.
 CACHE_WORDS = 500_000
+#: Longer words are counted each time.
+CACHE_BYTES = 64
 
 
 def byte_level_pieces(path: str) -> tuple[set[bytes], set[bytes]]:
@@ -104,41 +106,39 @@ class Automaton:
 def _counter(sent):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = received(sent)
-        cache: dict[int, int] = {}
+        cache: dict[bytes, int] = {}
         for batch in batches:
-            words_of, tokens_of = [], []
-            for _, rows, words in split_words(batch["__text"], NOT_SPACE, lower=False):
-                hashes, where, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+            words_of, tokens_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, words in split_words(batch["text"], NOT_SPACE, lower=False):
+                names, which = words.distinct()
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
-                known = [cache.get(h) for h in hashes.tolist()]
+                known = [cache.get(w) for w in names]
                 for i, n in enumerate(known):
                     if n is None:
-                        known[i] = cache[int(hashes[i])] = automaton.count(words.text(where[i], 1))
-                sums = np.concatenate([[0], np.cumsum(np.array(known, np.int64)[back])]) if known else np.zeros(1, np.int64)
+                        known[i] = n = automaton.count(names[i])
+                        if len(names[i]) <= CACHE_BYTES:
+                            cache[names[i]] = n
+                sums = np.concatenate([[0], np.cumsum(np.array(known, np.int64)[which])])
                 tokens_of.append(sums[words.first[1:]] - sums[words.first[:-1]])
                 words_of.append(np.diff(words.first))
-            new = {"n_words": words_of, "n_tokens": tokens_of}
-            names = [c for c in batch.schema.names if c != "__text"]
-            none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *new[c]])) if c in new else batch[c] for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.concatenate(words_of)), pa.array(np.concatenate(tokens_of))], names=["row", "n_words", "n_tokens"])
 
     return count
 
 
 def count_tokens(docs: DataFrame, first: set[bytes], later: set[bytes], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Add ``n_words`` and ``n_tokens`` to the columns ``carry`` of ``docs`` (all by default; equal names are replaced).
+    """Add ``n_words`` and ``n_tokens`` to the columns ``carry`` of ``docs`` (all by default; equal names, in any case, are replaced).
 
     A word is a run of anything but ASCII white space; its pieces are the
     greedy ones: the longest of ``first`` that begins it, then again and again
     the longest of ``later``.  A word that cannot be spelled is one unknown
-    token.  A null or empty text has no words and no tokens.
+    token.  A null or empty text has no words and no tokens.  The automaton is
+    sent to every executor; the caller holds the vocabulary in memory, so it
+    fits there too.
     """
-    if len(first) + len(later) > MOST_PIECES:
-        raise ValueError(f"a vocabulary of more than {MOST_PIECES} pieces")
-    kept = [c for c in (carry or docs.columns) if c not in ("n_words", "n_tokens")]
     sent = send(docs.sparkSession, Automaton(sorted(first), sorted(later)))
-    work = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text")).withColumns(
-        {"n_words": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long")}
-    )
-    return work.mapInArrow(_counter(sent), work.drop("__text").schema)
+    work = docs.select(packed(docs, ("n_words", "n_tokens"), carry).alias("row"), named(text_col).alias("text"))
+    shape = T.StructType([work.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    out = work.mapInArrow(_counter(sent), shape)
+    return out.select(*unpacked(out), "n_words", "n_tokens")

@@ -10,6 +10,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rankweave.llm.rows import named, packed, unpacked
 
 # --- Fixed values: element names of HTML and words that name page furniture ---
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,10 +36,11 @@ CLOSED_BY = {
 }
 #: Elements that an implied end does not reach beyond.
 SCOPE = frozenset("table ul ol dl td th body html article section div main button select".split())
-FURNITURE_TAGS = frozenset(
-    "script style noscript template nav footer aside form button select textarea iframe svg math canvas video audio object "
-    "menu dialog head title input xmp noembed noframes".split()
+#: Elements whose text is never shown as text, or is a control's.
+UNSEEN = frozenset(
+    "script style noscript template head title iframe svg math canvas video audio object noembed noframes xmp button select textarea input datalist".split()
 )
+FURNITURE_TAGS = frozenset("nav footer aside menu dialog".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners "
@@ -45,23 +49,98 @@ FURNITURE_WORDS = frozenset(
     "comment comments commentlist discussion respond reply replies disqus related recommended recommendations share sharing social "
     "widget widgets copyright skip search".split()
 )
-COMMENT_WORDS = frozenset("comment comments reply replies discussion disqus".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies discussion disqus respond".split())
+#: Words that layouts use for elements around everything too.
+LAYOUT_WORDS = frozenset("nav navbar menu sidebar sidebars aside banner header topbar footer foot search login signin signup notice notices overlay modal skip".split())
 HEADER_WORDS = frozenset("header topbar".split())
 CONTENT_WORDS = frozenset("content article post entry body story main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+#: What the start tag of a name closes.
+CLOSES: dict[str, list[str]] = {}
+for _open, _names in CLOSED_BY.items():
+    for _name in _names:
+        CLOSES.setdefault(_name, []).append(_open)
+
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _NAMES = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+#: How an element is hinted at: not at all, as furniture or a page around it, as furniture, as unseen.
+NONE, PERHAPS, FURNITURE, NEVER = range(4)
+#: Share of a page's own text that an element has to hold to be the page itself, whatever its name.
+WRAPPER_SHARE = 0.9
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str, int]]:
+    """Texts and tags in turn: kind (text, open or close), text or lower-case name, attributes, and where the tag ends.
+
+    ``send`` a place to go on from there.  Every character is looked at a bounded
+    number of times: what is known to be missing further on (an end of a
+    comment, a quote, a bracket) isn't searched again, and after one quote
+    that never ends tags end at their first bracket.
+    """
+    at, end = 0, len(source)
+    absent: set[str] = set()
+    text = 0
+
+    def find(sign: str, start: int) -> int:
+        if sign in absent:
+            return -1
+        found = source.find(sign, start)
+        if found < 0:
+            absent.add(sign)
+        return found
+
+    def tag_end(start: int) -> int:
+        """Where the bracket is that ends a tag's attributes, -1 if there is none."""
+        p = start
+        while "quotes" not in absent:
+            p = _PLAIN.match(source, p).end()
+            if p == end:
+                return -1 if find(">", start) < 0 else source.find(">", start)
+            if source[p] == ">":
+                return p
+            close = find(source[p], p + 1)
+            if close < 0:
+                absent.add("quotes")
+            p = close + 1
+        return find(">", start)
+
+    while at < end:
+        begin = find("<", at)
+        if begin < 0:
+            break
+        nxt = source[begin + 1 : begin + 2]
+        kind, name, attributes, stop = "", "", "", -1
+        if nxt in ("!", "?") and nxt:
+            long = "-->" if source.startswith("<!--", begin) else "]]>" if source.startswith("<![CDATA[", begin) else ">"
+            stop = find(long, begin + 2)
+            stop = stop + len(long) if stop >= 0 else end
+        else:
+            m = _TAG.match(source, begin + 1)
+            if m:
+                close = tag_end(m.end())
+                if close < 0:  # no tag ends from here on
+                    break
+                kind, name, attributes, stop = "close" if m[1] else "open", m[2].lower(), source[m.end() : close], close + 1
+        if stop < 0:  # a bracket of the text
+            at = begin + 1
+            continue
+        if begin > text:
+            yield "text", source[text:begin], "", begin
+        moved = None
+        if kind:
+            moved = yield kind, name, attributes, stop
+        at = text = max(stop, moved or 0)
+    if text < end:
+        yield "text", source[text:], "", end
 
 
 class Page:
-    """Elements of a page in order of their start tags, without page furniture.
+    """Elements of a page in order of their start tags.
 
     ``events`` are texts (and, as None, block edges) with their element; an
     element's subtree is the range from its number to ``last``.
@@ -71,118 +150,153 @@ class Page:
         self.tag, self.parent, self.last = ["#root"], [-1], [0]
         self.events: list[tuple[int, str | None]] = []
         self.inside = [False]  # an article or the main part
-        self.dropped = [False]
+        self.hint = [NONE]
+        self.unseen = [False]
         self.body = 0
         self.parse(source)
+        self.dropped = self.furniture()
 
     def parse(self, source: str) -> None:
         stack = [0]
-        opened: dict[str, int] = {}
-        at, end = 0, len(source)
+        open_at: dict[str, list[int]] = {}  # depths of the open elements of a name
+        scopes, blocks = [0], [0]  # depths of open elements that implied ends stop at, and of blocks
 
         def close(depth: int) -> None:
             while len(stack) > depth:
                 n = stack.pop()
+                name = self.tag[n]
                 self.last[n] = len(self.tag) - 1
-                opened[self.tag[n]] -= 1
+                open_at[name].pop()
+                if name in SCOPE:
+                    scopes.pop()
+                if name in BLOCK:
+                    blocks.pop()
                 self.edge(n)
 
-        while at < end:
-            m = _TOKEN.search(source, at)
-            stop = m.start() if m else end
-            if stop > at and not self.dropped[stack[-1]]:
-                self.events.append((stack[-1], source[at:stop]))
-            if m is None:
-                break
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
-            if not name:
-                continue
-            if m[1] or m[4]:
-                if opened.get(name):
-                    depth = len(stack) - 1
-                    while self.tag[stack[depth]] != name:
-                        if name not in BLOCK and self.tag[stack[depth]] in BLOCK:
-                            depth = -1  # an inline end tag does not end a block
-                            break
-                        depth -= 1
-                    if depth > 0:
-                        close(depth)
-                continue
-            for d in range(len(stack) - 1, 0, -1):
-                own = self.tag[stack[d]]
-                if name in CLOSED_BY.get(own, ()):
-                    close(d)
-                    break
-                if own in SCOPE:
-                    break
-            if name == "br":
-                if not self.dropped[stack[-1]]:
-                    self.events.append((stack[-1], " "))
-                continue
-            if name in ("html", "body") and opened.get(name):
-                continue
-            n = self.add(name, m[3] or m[6] or "", stack[-1])
-            if name in RAW:
-                tail = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-                at = tail.start() if tail else end
-            if name in VOID:
-                self.edge(n)
-                continue
-            stack.append(n)
-            opened[name] = opened.get(name, 0) + 1
+        found = tokens(source)
+        item = next(found, None)
+        while item is not None:
+            kind, name, attributes, stop = item
+            go = None
+            if kind == "text":
+                if not self.unseen[stack[-1]]:
+                    self.events.append((stack[-1], name))
+            elif kind == "close":
+                depth = open_at[name][-1] if open_at.get(name) else 0
+                if depth and (name in BLOCK or blocks[-1] < depth):  # an inline end tag does not end a block
+                    close(depth)
+            else:
+                depth = max((open_at[x][-1] for x in CLOSES.get(name, ()) if open_at.get(x)), default=0)
+                if depth and depth >= scopes[-1]:
+                    close(depth)
+                if name == "br":
+                    if not self.unseen[stack[-1]]:
+                        self.events.append((stack[-1], " "))
+                elif not (name in ("html", "body") and open_at.get(name)):
+                    n = self.add(name, attributes, stack[-1])
+                    if name in RAW:
+                        tail = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, stop)
+                        go = tail.start() if tail else len(source)
+                    if name in VOID:
+                        self.edge(n)
+                    else:
+                        open_at.setdefault(name, []).append(len(stack))
+                        if name in SCOPE:
+                            scopes.append(len(stack))
+                        if name in BLOCK:
+                            blocks.append(len(stack))
+                        stack.append(n)
+            try:
+                item = found.send(go) if kind != "text" else next(found)
+            except StopIteration:
+                item = None
         close(1)
         self.last[0] = len(self.tag) - 1
 
     def add(self, name: str, attributes: str, parent: int) -> int:
         n = len(self.tag)
+        hint = self.hinted(name, attributes, self.inside[parent])
         self.tag.append(name)
         self.parent.append(parent)
         self.last.append(n)
         self.inside.append(self.inside[parent] or name in ("article", "main"))
-        self.dropped.append(self.dropped[parent] or self.furniture(name, attributes, self.inside[parent]))
+        self.hint.append(hint)
+        self.unseen.append(self.unseen[parent] or hint == NEVER)
         if name == "body" and not self.body:
             self.body = n
         self.edge(n)
         return n
 
     def edge(self, n: int) -> None:
-        """A block's edge; that of furniture belongs to the element around it."""
+        """A block's edge."""
         if self.tag[n] in BLOCK:
-            owner = self.parent[n] if self.dropped[n] else n
-            if not self.dropped[owner]:
-                self.events.append((owner, None))
+            self.events.append((n, None))
 
     @staticmethod
-    def furniture(name: str, attributes: str, inside: bool) -> bool:
-        if name in FURNITURE_TAGS or (name == "header" and not inside):
-            return True
-        if not attributes or name in ("html", "body"):
-            return False
+    def hinted(name: str, attributes: str, inside: bool) -> int:
+        """What an element's name and attributes say of it."""
+        if name in UNSEEN:
+            return NEVER
+        hint = FURNITURE if name in FURNITURE_TAGS or (name == "header" and not inside) else PERHAPS if name == "form" else NONE
+        if not attributes:
+            return hint
         words: set[str] = set()
         for key, value in _NAMES.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
+                return NEVER
             if key == "role" and value.lower() in FURNITURE_ROLES:
-                return True
-            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return True
+                hint = max(hint, PERHAPS if value.lower() == "form" else FURNITURE)
             if key in ("class", "id"):
                 words.update(w.lower() for w in _WORDS.findall(value))
-        if name in ("article", "main"):
-            return bool(words & COMMENT_WORDS)
-        if words & HEADER_WORDS and not inside and name not in HEADINGS and not words & CONTENT_WORDS:
-            return True
-        return bool(words & FURNITURE_WORDS) and (not words & CONTENT_WORDS or bool(words & COMMENT_WORDS))
+        if name in ("html", "body"):
+            return NONE
+        if words & COMMENT_WORDS:
+            return FURNITURE
+        if name in ("article", "main") or words & CONTENT_WORDS:
+            return hint
+        if words & FURNITURE_WORDS - LAYOUT_WORDS:
+            return FURNITURE
+        if words & LAYOUT_WORDS and not (words & HEADER_WORDS and not words & FURNITURE_WORDS and (inside or name in HEADINGS)):
+            return max(hint, PERHAPS)
+        return hint
+
+    def furniture(self) -> list[bool]:
+        """Elements that don't count: unseen ones and furniture.
+
+        What may be furniture by its name alone (a form, a layout's words) is
+        the page itself if it holds nearly all text outside of sure furniture.
+        """
+        n = len(self.tag)
+        own = [0] * n
+        sure = [h >= FURNITURE for h in self.hint]
+        linked = [False] * n
+        for i in range(1, n):
+            sure[i] = sure[i] or sure[self.parent[i]]
+            linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+        for i, text in self.events:
+            if text is not None and not sure[i] and not linked[i]:
+                own[i] += len(text) - text.count(" ")
+        for i in range(n - 1, 0, -1):
+            own[self.parent[i]] += own[i]
+        out = [False] * n
+        for i in range(1, n):
+            out[i] = out[self.parent[i]] or self.hint[i] >= FURNITURE or (self.hint[i] == PERHAPS and own[i] < WRAPPER_SHARE * own[0])
+        return out
 
     def densities(self) -> tuple[list[float], list[float]]:
-        """Composite text density of every element, and the sum over its children."""
+        """Composite text density of every element, and the sum over its children.
+
+        The density is characters per tag, adjusted by how many of both are in
+        links; furniture has none and adds nothing to what is around it.
+        """
         n = len(self.tag)
         chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
         in_link = [False] * n
         for i in range(1, n):
             in_link[i] = in_link[self.parent[i]] or self.tag[i] == "a"
         for i, text in self.events:
-            if text is not None:
+            if text is not None and not self.dropped[i]:
                 size = len("".join(text.split()))
                 chars[i] += size
                 linked[i] += size if in_link[i] else 0
@@ -196,43 +310,44 @@ class Page:
         ratio = linked[self.body] / max(1, chars[self.body])
         density, total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
-            c, t, lc, lt = chars[i], max(1, tags[i]), max(1, linked[i]), max(1, links[i])
-            if c and not self.dropped[i]:
-                base = math.log(c / max(1, c - linked[i]) * linked[i] + ratio * c + math.e)
-                density[i] = c / t * math.log(max(1.0, c / lc * t / lt)) / max(1e-3, math.log(base))
+            if chars[i] and not self.dropped[i]:
+                density[i] = composite_density(chars[i], tags[i], linked[i], links[i], ratio)
                 if i:
                     total[self.parent[i]] += density[i]
+        self.link_share = [a / max(1, b) for a, b in zip(linked, chars, strict=True)]
         return density, total
 
     def selected(self) -> list[tuple[int, int]]:
         """Subtrees of the main text, as ranges of elements in page order.
 
-        The element with the greatest sum leads.  Inside an article (or the
-        main part) the whole of the outermost one is taken.  Else the least
-        density on the way up to the body is the threshold, and what hangs on
-        that way is content if it reaches the threshold, or is a heading.
+        The element with the greatest sum leads (among equals the outermost).
+        The least density on its way up to the body is the threshold: what
+        hangs on that way is content if it reaches the threshold, or is a
+        heading next to content.  An article or main part on that way has no
+        threshold inside: all of it but furniture is content.  Children of the
+        leading element that are mostly links and don't reach the threshold are
+        not.
         """
         density, total = self.densities()
-        best = max(range(len(total)), key=lambda i: (total[i], -i)) if any(total) else self.body
-        if total[best] == 0 and any(density):
-            best = max(range(len(density)), key=lambda i: (density[i], -i))
+        if not any(density):
+            return []
+        best = max(range(len(total)), key=lambda i: (total[i], -i)) if any(total) else max(range(len(density)), key=lambda i: (density[i], -i))
         path = [best]
         while path[-1] not in (self.body, 0):
             path.append(self.parent[path[-1]])
-        whole = [i for i in path if self.tag[i] in ("article", "main")]
-        if whole:
-            kinds = {self.tag[i] for i in whole}
-            top = [i for i in whole if self.tag[i] == "article"][-1] if "article" in kinds else whole[-1]
-            return [(top, self.last[top])]
-        if len(path) == 1:
-            return [(best, self.last[best])]
         threshold = min(density[i] for i in path)
+        whole = [i for i in path if self.tag[i] == "article"] or [i for i in path if self.tag[i] == "main"]
+        if whole:  # nested articles belong to the outermost one
+            return [(whole[-1], self.last[whole[-1]])]
         on_way = set(path)
-        out = [(best, self.last[best])]
+        out = []
         for i in range(1, len(self.tag)):
-            if i not in on_way and self.parent[i] in on_way and not best <= i <= self.last[best] and (density[i] >= threshold or self.tag[i] in HEADINGS):
+            p = self.parent[i]
+            if p == best and self.tag[i] in BLOCK and self.link_share[i] > 0.5 and density[i] < threshold:
+                out += [(-i, self.last[i])]  # a menu
+            elif p in on_way and i not in on_way and p != best and not best <= i <= self.last[best] and (density[i] >= threshold or self.tag[i] in HEADINGS):
                 out.append((i, self.last[i]))
-        return sorted(out)
+        return [(best, self.last[best]), *out]
 
     def text(self) -> str:
         blocks: list[str] = []
@@ -247,40 +362,42 @@ class Page:
 
         chosen = bytearray(len(self.tag))
         for a, b in ranges:
-            chosen[a : b + 1] = b"\1" * (b + 1 - a)
+            chosen[abs(a) : b + 1] = (b"\0" if a < 0 else b"\1") * (b + 1 - abs(a))
         for n, text in self.events:
-            if not chosen[n]:
+            if text is None:  # the edge of furniture parts what is around it
                 flush()
-            elif text is None:
-                flush()
-            else:
+            elif chosen[n] and not self.dropped[n]:
                 parts.append(text)
         flush()
         return "\n".join(blocks)
 
 
+def composite_density(chars: int, tags: int, linked: int, links: int, ratio: float) -> float:
+    """Composite text density of an element with these characters and tags, of which some are in links; ``ratio`` is the body's linked share."""
+    tags, other = max(1, tags), max(1, chars - linked)
+    base = math.log(chars / other * linked + ratio * chars + math.e)
+    return chars / tags * math.log(max(1.0, chars / max(1, linked) * tags / max(1, links))) / max(1e-3, math.log(base))
+
+
 def main_text(source: str | None) -> str:
     return Page(source).text() if source else ""
 
 
-def _extractor(column: str):
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([main_text(batch["__html"][i].as_py()) for i in range(batch.num_rows)], pa.string())
-            names = [c for c in batch.schema.names if c != "__html"]
-            yield pa.RecordBatch.from_arrays([found if c == column else batch[c] for c in names], names=names)
-
-    return extract
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([main_text(x.as_py()) for x in batch["html"]], pa.string())
+        yield pa.RecordBatch.from_arrays([batch["row"], found], names=["row", "text"])
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
     """Add ``text`` (main text, blocks joined by line ends) and ``n_chars`` (its code points) to the columns ``carry`` of ``pages``.
 
-    All columns are carried by default; equal names are replaced.  A null or
-    empty page, or one of furniture alone, has an empty text.  Markup may be
-    broken: open elements end with the page, unknown end tags are ignored.
+    All columns are carried by default; equal names, in any case, are replaced.
+    A null or empty page, or one of furniture alone, has an empty text; no rows
+    give no rows, repeated rows stay.  Markup may be broken: open elements end
+    with the page, unknown end tags are ignored, a tag without an end is text.
+    Pages of any length take time in proportion to it.
     """
-    kept = [c for c in (carry or pages.columns) if c not in ("text", "n_chars")]
-    work = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{html_col}`").alias("__html")).withColumn("text", F.lit("").cast("string"))
-    out = work.mapInArrow(_extractor("text"), work.drop("__html").schema)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    work = pages.select(packed(pages, ("text", "n_chars"), carry).alias("row"), named(html_col).alias("html"))
+    out = work.mapInArrow(_extract, T.StructType([work.schema["row"], T.StructField("text", T.StringType())]))
+    return out.select(*unpacked(out), "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,6 +1,8 @@
 """Hand-made cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,80 @@ def test_main_text_of_broken_pages():
     assert main_text.main_text(deep) == "deep text here"
 
 
+BLOCKS = "".join(f"<p>Block {i} of the piece has quite a few plain words in it, as the text of a page does.</p>" for i in range(4))
+TEXT = "\n".join(f"Block {i} of the piece has quite a few plain words in it, as the text of a page does." for i in range(4))
+LINKS = "".join(f"<li><a href='/{i}'>Some linked title number {i} that is not short</a></li>" for i in range(9))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div><ul>{LINKS}</ul></div><div>{BLOCKS}</div><div><a href=/next>Next</a> <a href=/last>Last</a></div></body>",
+        f"<body><div class='ad'><p>{'Buy this now. ' * 90}</p></div><div>{BLOCKS}</div><footer>f</footer></body>",
+        f"<form action='/post'><input name=x value=y><div>{BLOCKS}</div><button>Send</button></form>",
+        f"<body><div id='page' class='has-sidebar'><div class='sidebar'><p>On the side</p></div><section>{BLOCKS}</section></div></body>",
+        f"<body><form><label>Your mail</label><p>Sign up for all of our letters</p></form><main>{BLOCKS}</main></body>",
+        f"<body><article><h2><a href=/1>Teaser one</a></h2></article><article>{BLOCKS}</article><article><h2><a href=/2>Teaser two</a></h2></article></body>",
+        f"<body><article>{BLOCKS}<section id='comments'>{'<p>I think that this is a very long remark of a reader.</p>' * 40}</section></article></body>",
+        f"<body>{BLOCKS}<ul>{LINKS}</ul></body>",
+    ],
+)
+def test_main_text_by_density(page):
+    assert main_text.main_text(page) == TEXT
+
+
+def test_main_text_needs_density(monkeypatch):
+    page = f"<body><div><ul>{LINKS}</ul></div><div>{BLOCKS}</div><div><a href=/next>Next</a> <a href=/last>Last</a></div></body>"
+    monkeypatch.setattr(main_text, "composite_density", lambda *a: 1.0)
+    assert main_text.main_text(page) != TEXT
+
+
+def test_densities_against_a_plain_tree():
+    rng = random.Random(31)
+
+    def tree(depth):
+        name = rng.choice(["div", "div", "section", "a", "span"])
+        return name, [tree(depth - 1) if depth and rng.random() < 0.6 else rng.choice(["some words", "w", "a longer piece of text"]) for _ in range(rng.randrange(1, 5))]
+
+    def markup(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(markup, x[1]))}</{x[0]}>"
+
+    def counts(x, link):
+        if isinstance(x, str):
+            n = len(x.replace(" ", ""))
+            return n, 0, n * link, 0
+        inner = [counts(y, link or x[0] == "a") for y in x[1]]
+        tags, links = (sum(c[i] for c in inner) for i in (1, 3))
+        kids = [y for y in x[1] if not isinstance(y, str)]
+        return sum(c[0] for c in inner), tags + len(kids), sum(c[2] for c in inner), links + sum(y[0] == "a" for y in kids)
+
+    def walk(x, link, ratio, out):
+        c, t, lc, lt = counts(x, link)
+        own = c / max(1, t) * math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / max(1e-3, math.log(math.log(c / max(1, c - lc) * lc + ratio * c + math.e))) if c else 0.0
+        place = len(out)
+        out.append(None)
+        kids = [walk(y, link or x[0] == "a", ratio, out) for y in x[1] if not isinstance(y, str)]
+        out[place] = (own, sum(kids))
+        return own
+
+    for _ in range(30):
+        top = ("body", [tree(3) for _ in range(3)])
+        c, _, lc, _ = counts(top, False)
+        want: list = []
+        walk(top, False, lc / max(1, c), want)
+        density, total = main_text.Page(markup(top)).densities()
+        assert np.allclose(list(zip(density[1:], total[1:], strict=True)), want)
+
+
+def test_main_text_of_hostile_pages_is_linear():
+    pages = ["<a " * 20_000, '<a href="' * 20_000, "<b>" * 16_000 + "x" + "</b>" * 16_000, '<a " > " ' * 20_000 + '"', "<p><button>" + "<b>" * 16_000 + "<div>" * 16_000, "<!-- " * 20_000, "<p>" * 50_000]
+    began = time.time()
+    for page in pages:
+        main_text.main_text(page)
+    assert time.time() - began < 20
+    assert main_text.main_text(f"<article><p data-x=\"{'y' * 9000} > <b>z</b>\">Real text</p></article>") == "Real text"
+
+
 def test_main_text_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Some words</p>", 7, "old"), (1, "u", None, None, None)], "page_id long, url string, html string, n_chars int, text string")
     got = main_text.extract_main_text(pages)
@@ -137,6 +213,25 @@ def test_top_products_with_ties_nulls_and_blocks(spark):
     assert topk.top_products(frame, frame.limit(0)).count() == 0
 
 
+def test_top_products_of_large_and_tiny_vectors(spark):
+    rng = random.Random(17)
+    rows = [(i, [rng.choice((-1.0, 1.0)) * rng.random() * 10.0 ** rng.randrange(-6, 12) for _ in range(2)]) for i in range(60)]
+    rows += [(60, [4e6, 0.0]), (61, [0.5, 0.0]), (62, [1e-300, 5e-324]), (63, []), (64, []), (64, []), (65, [4e6, 0.0]), (66, [1e306, 3.0, -1.0]), (67, [0.0, 2.0, 1.0]), (68, [-0.0, 1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    exact = [(i, [int((1024 * x) // 1) if abs(x) < 1e300 else int(x) * 1024 for x in v]) for i, v in rows]
+    queries = [61, 62, 63, 64, 67, 68, *(i for i, v in exact[:60] if max(map(abs, v)) < 2**12)]
+    got = topk.top_products(frame.where(F.col("vec_id").isin(queries)), frame, block_queries=5, seed_rows=12).collect()
+    want = []
+    for q, own in exact:
+        if q in queries:
+            scored = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in exact if i != q and len(v) == len(own))
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:10])]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert any(i in (60, 65) and q == 61 for q, _, i, _ in want)
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_products(frame.where("vec_id = 60"), frame.where("vec_id = 65")).collect()
+
+
 @pytest.mark.parametrize("shares", [(2, 3, 5), (60,)])
 def test_top_products_of_repeated_ids(spark, shares):
     rng = random.Random(11)

@@ -1,7 +1,9 @@
 """Personal data: rule-based spans, and candidates that a gradient-boosted model accepts.
 
 All work on documents is done by SQL functions; the model's trees become an
-expression, so that scoring needs neither Python nor a shuffle.
+expression, so that scoring needs neither Python nor a shuffle.  The model
+learns from written examples with known spans, real and misleading ones,
+which SQL functions make up as well.
 """
 
 from __future__ import annotations
@@ -10,9 +12,10 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.llm.rows import named, packed, unpacked
 from rankweave.llm.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -25,34 +28,46 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: High-recall generators: forms with other separators, spelled-out signs, or no plus.
-CANDIDATES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,24}){0,4}|(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,24}){1,4})",
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3,5}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]{0,2}[0-9]){11,20}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+|\()?[0-9][0-9().\x20-]{5,20}[0-9](?![0-9A-Za-z])",
-}
-CONTEXT = r"(?i)(phone|tel|call|mobile|fax|mail|contact|card|visa|pay|ip|host|address|server)"
-
-#: Documents that the model is fitted on, about (chosen by a hash of the id).
-SAMPLE_DOCS = 20_000
+#: High-recall generators, whose spans overlap: forms with other separators, spelled-out signs, or no plus, in wide and narrow cuts.
+#: Their bounds are those of the formats (64 and 63 characters in parts of an address; numbers of 6 to 26 places), not of texts.
+GENERATORS = (
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,4}"),
+    ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3,5}(?![0-9A-Za-z])"),
+    ("card", r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]{0,2}[0-9]){11,25}(?![0-9A-Za-z])"),
+    ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:([\x20.-])[0-9]{4})(?:\1[0-9]{4})(?:\1[0-9]{4})(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z])(?:\+|\()?[0-9][0-9().\x20/-]{5,24}[0-9](?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,8}(?:[\x20.-][0-9]{2,8}){0,3}(?![0-9A-Za-z])"),
+)
+# --- Fixed values: words before a number that speak for or against personal data ---
+FOR_WORDS = "phone tel telefon call mobile fax mail contact write card visa mastercard pay karte carte tarjeta ip host address server client".split()
+AGAINST_WORDS = "order invoice version section isbn serial date ref total between page build item article chapter until room figure".split()
+CONTEXT, DECOY = (r"(?i)\b(" + "|".join(words) + r")\b" for words in (FOR_WORDS, AGAINST_WORDS))
+
+#: Characters before a candidate that are its context.
+CONTEXT_CHARS = 48
+#: Written examples that the model is fitted on; a fourth of them is held out for the thresholds.
+EXAMPLES = 6000
 TREES, DEPTH = 20, 3
-#: A kind's threshold is the least score above which candidates of known label are right this often.
-PRECISION = 0.995
+#: A kind's threshold is the least score above which held-out candidates are right this often.
+PRECISION = 0.98
 
 #: Matches whose places are added up together.
 BLOCK = 256
 
-FEATURES = ("kind", "digits", "signs", "length", "groups", "longest", "checksum", "small_parts", "parens", "dots", "distinct", "context", "glued", "letters")
+FEATURES = ("kind", "digits", "signs", "length", "groups", "longest", "shortest", "checksum", "small_parts", "parens", "dots", "plus", "zero", "at", "distinct", "context", "decoy", "glued", "letters")
+
+
+#: What an address with a spelled-out sign holds.
+SPELLED = r"[\[(]at[\])]|\x20dot\x20|\x20at\x20[A-Za-z0-9-]+\.[A-Za-z]"
 
 
 def can_match(text: Column, kind: str, wide: bool = False) -> Column:
-    """A cheap test that every text with a match passes."""
-    digit = F.regexp(text, F.lit("[0-9]"))
+    """A cheap test that every text with a match of a rule (or of a generator) passes."""
     if kind == "email":
         sign = F.contains(text, F.lit("@"))
-        return sign | F.contains(text, F.lit(" at ")) | F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")) if wide else sign
-    return digit if wide or kind != "phone" else F.contains(text, F.lit("+"))
+        return sign | ((F.contains(text, F.lit("at")) | F.contains(text, F.lit(" dot "))) & F.regexp(text, F.lit(SPELLED))) if wide else sign
+    return F.regexp(text, F.lit("[0-9]")) if wide or kind != "phone" else F.contains(text, F.lit("+"))
 
 
 def let(value: Column, body) -> Column:
@@ -72,7 +87,7 @@ def matches(text: Column, pattern: str, there: Column, keep) -> Column:
         def add(a: Column, i: Column) -> Column:
             match, piece = F.get(s["found"], i), F.get(s["pieces"], i)
             start = a["at"] + F.length(piece)
-            here = F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"), F.right(piece, F.lit(24)).alias("before"), F.left(F.get(s["pieces"], i + 1), F.lit(1)).alias("after"))
+            here = F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"), F.right(piece, F.lit(CONTEXT_CHARS)).alias("before"), F.left(F.get(s["pieces"], i + 1), F.lit(1)).alias("after"))
             return F.struct((start + F.length(match)).alias("at"), F.when(keep(match), F.array_append(a["out"], here)).otherwise(a["out"]).alias("out"))
 
         return F.aggregate(F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(s["found"])) - 1), F.struct(at.alias("at"), none.alias("out")), add, lambda a: a["out"])
@@ -96,15 +111,19 @@ def digits_of(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
 
-def luhn(digits: Column) -> Column:
-    """Whether the digits' checksum holds."""
+def luhn_sum(digits: Column) -> Column:
 
     def add(total: Column, i: Column) -> Column:
         d = F.ascii(F.substring(digits, -i, F.lit(1))) - 48
         twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
         return total + F.when(i % 2 == 0, twice).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
+    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
+
+
+def luhn(digits: Column) -> Column:
+    """Whether the digits' checksum holds."""
+    return luhn_sum(digits) % 10 == 0
 
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -133,50 +152,99 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_features(text: Column) -> Column:
-    """All candidates with their features and a weak label: 1 by the base rule, 0 against it, null if it doesn't say."""
+    """All candidates of all generators, with their features."""
 
-    def described(k: int, kind: str, m: Column) -> Column:
+    def described(k: int, m: Column) -> Column:
         match, digits = m["match"], digits_of(m["match"])
         n = F.length(digits)
         runs = F.filter(F.split(match, "[^0-9]+"), lambda x: F.length(x) > 0)
-        after_sign = F.regexp(match, F.lit(r"^\+"))
-        small = F.regexp(match, F.lit(rf"^{_PART}(?:\[?\.\]?{_PART}){{3}}$"))
-        if kind == "email":
-            label = F.when(F.regexp(match, F.lit(r"^[^@]+@[^@]+\.[A-Za-z]")), 1).when(~F.regexp(match, F.lit(r"(?i)(\.|dot)")), 0)
-        elif kind == "ip":
-            label = F.when(small & ~F.contains(match, F.lit("[")), 1).when(~small, 0)
-        elif kind == "card":
-            fits = n.between(12, 19) & luhn(digits)
-            label = F.when(fits & F.regexp(match, F.lit(r"^[0-9](?:[\x20-]?[0-9])+$")), 1).when(~fits, 0)
-        else:
-            label = F.when(after_sign & n.between(9, 15), 1).when(~n.between(9, 15) | F.regexp(match, F.lit("^[0-9]+$")), 0)
+        sizes = F.transform(runs, lambda x: F.length(x))
         values = {
             "kind": F.lit(k),
-            "digits": F.least(n, F.lit(24)),
+            "digits": F.least(n, F.lit(30)),
             "signs": F.least(F.length(F.regexp_replace(match, r"[0-9A-Za-z+]", "")), F.lit(12)),
             "length": F.least(F.length(match), F.lit(40)),
             "groups": F.least(F.size(runs), F.lit(8)),
-            "longest": F.least(F.coalesce(F.array_max(F.transform(runs, lambda x: F.length(x))), F.lit(0)), F.lit(20)),
-            "checksum": (luhn(digits) & (n > 0)).cast("int"),
-            "small_parts": small.cast("int"),
-            "parens": F.regexp(match, F.lit(r"\([0-9]{1,4}\)")).cast("int"),
-            "dots": F.least(F.length(F.regexp_replace(match, r"[^.]", "")), F.lit(6)),
+            "longest": F.least(F.coalesce(F.array_max(sizes), F.lit(0)), F.lit(20)),
+            "shortest": F.least(F.coalesce(F.array_min(sizes), F.lit(0)), F.lit(20)),
+            "checksum": F.when(n > 0, luhn(digits)).otherwise(False).cast("int"),
+            "small_parts": F.regexp(match, F.lit(rf"^{_PART}(?:\[?\.\]?{_PART}){{3}}$")).cast("int"),
+            "parens": F.regexp(match, F.lit(r"\([0-9]{1,5}\)")).cast("int"),
+            "dots": F.least(F.regexp_count(match, F.lit(r"(?i)\.|\bdot\b")), F.lit(6)),
+            "plus": F.contains(match, F.lit("+")).cast("int"),
+            "zero": F.regexp(match, F.lit(r"^\(?0")).cast("int"),
+            "at": F.when(F.contains(match, F.lit("@")), 2).when(F.regexp(match, F.lit(r"[\[(]at[\])]")), 1).otherwise(0),
             "distinct": F.size(F.array_distinct(F.split(digits, ""))),
             "context": F.regexp(m["before"], F.lit(CONTEXT)).cast("int"),
-            "glued": (F.regexp(m["before"], F.lit("[0-9A-Za-z]$")) | F.regexp(m["after"], F.lit("^[0-9A-Za-z]"))).cast("int"),
+            "decoy": F.regexp(m["before"], F.lit(DECOY)).cast("int"),
+            "glued": (F.regexp(m["before"], F.lit("[0-9A-Za-z._-]$")) | F.regexp(m["after"], F.lit("^[0-9A-Za-z_]"))).cast("int"),
             "letters": F.least(F.length(F.regexp_replace(match, r"[^A-Za-z]", "")), F.lit(30)),
         }
-        return F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            label.cast("int").alias("label"),
-            *(values[f].cast("double").alias(f) for f in FEATURES),
-        )
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), *(values[f].cast("double").alias(f) for f in FEATURES))
 
-    def of(k: int, kind: str) -> Column:
-        return F.transform(matches(text, CANDIDATES[kind], can_match(text, kind, wide=True), lambda m: F.lit(True)), lambda m: described(k, kind, m))
+    def of(kind: str, pattern: str) -> Column:
+        k = KINDS.index(kind)
+        return F.transform(matches(text, pattern, can_match(text, kind, wide=True), lambda m: F.lit(True)), lambda m: described(k, m))
 
-    return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
+    return F.concat(*(of(kind, pattern) for kind, pattern in GENERATORS))
+
+
+def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
+    """Written texts with one number or address each: text, start and end of it, kind, whether it is personal data, and held_out.
+
+    Forms, words before it and digits are drawn by hashes of the row's number;
+    a third of both sides stands without a telling word, and a tenth after a misleading one.
+    """
+    i = F.col("id")
+    draw = lambda seed, most: F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(most))
+    digits = lambda seed, size: F.lpad(draw(seed, 10**size).cast("string"), size, "0")
+    part = lambda seed: draw(seed, 256).cast("string")
+    name = lambda seed, size: F.translate(F.substring(F.md5(F.concat(i.cast("string"), F.lit(f":{seed}"))), 1, size), "0123456789", "ghijklmnop")
+    any_size = lambda seed: F.substring(name(seed, 16), F.lit(1), (draw(seed + 100, 13) + 2).cast("int"))
+    one_of = lambda seed, *xs: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs)), (draw(seed, len(xs)) + 1).cast("int"))
+    join = lambda *xs: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in xs))
+
+    body = join("4", digits(20, 14))
+    check = F.pmod(10 - luhn_sum(join(body, "0")) % 10, F.lit(10)).cast("string")
+    card, wrong = join(body, check), join(body, F.pmod(check.cast("int") + 1 + draw(21, 9), F.lit(10)).cast("string"))
+    grouped = lambda x, sign: F.regexp_replace(x, "([0-9]{4})(?=[0-9])", f"$1{sign}")
+    user, host, top = one_of(1, name(2, 6), join(name(3, 5), ".", name(4, 7)), join(name(5, 4), digits(6, 2))), name(7, 8), one_of(8, "com", "org", "net", "de", "co.uk")
+    real = {
+        "email": (join(user, "@", host, ".", top), join(user, " (at) ", host, ".", top), join(user, "[at]", host, "[dot]", top), join(user, " at ", host, " dot ", top), join(user, " (at) ", host, " (dot) ", top)),
+        "ip": (join(part(9), ".", part(10), ".", part(11), ".", part(12)), join(part(9), "[.]", part(10), "[.]", part(11), "[.]", part(12))),
+        "card": (card, grouped(card, " "), grouped(card, "-"), grouped(card, ".")),
+        "phone": (
+            join("+", digits(13, 2), " ", digits(14, 3), " ", digits(15, 6)), join("+1 (", digits(13, 3), ") ", digits(14, 3), "-", digits(15, 4)),
+            join("(0", digits(13, 2), ") ", digits(14, 4), " ", digits(15, 4)), join("0", digits(13, 2), "-", digits(14, 4), "-", digits(15, 4)),
+            join("0", digits(13, 3), "/", digits(14, 7)), join("0", digits(13, 2), " ", digits(14, 4), " ", digits(15, 4)), join("555-", digits(14, 3), "-", digits(15, 4)),
+        ),
+    }
+    false = {
+        "email": (join(user, "@", host), join(any_size(2), " at ", any_size(7)), join("@", any_size(7)), join(any_size(2), " at ", any_size(7), "."), join(any_size(2), ". ", any_size(7), " at ", any_size(3))),
+        "ip": (
+            join(digits(9, 3), ".", part(10), ".", (draw(11, 700) + 256).cast("string"), ".", part(12)), join(digits(9, 1), ".", digits(10, 1), ".", digits(11, 2), ".", digits(12, 1), ".", digits(13, 1)),
+            join(digits(9, 1), ".", digits(10, 1), ".", digits(11, 1), ".", digits(12, 1), ".", digits(13, 1), ".", digits(14, 1)),
+        ),
+        "card": (wrong, grouped(wrong, " "), digits(20, 16), join("978-", digits(22, 1), "-", digits(23, 2), "-", digits(24, 6), "-", digits(25, 1)), digits(20, 13), join(digits(20, 12), digits(21, 9)), grouped(wrong, "-")),
+        "phone": (
+            join("20", digits(13, 2), "-0", (draw(14, 9) + 1).cast("string"), "-1", digits(15, 1), " 1", digits(16, 1)), join(digits(13, 1), " ", digits(14, 3), " ", digits(15, 3), " ", digits(16, 3)),
+            join("19", digits(13, 2), "-20", digits(14, 2)), join("1", digits(13, 1), ".0", digits(14, 1), ".20", digits(15, 2)), join(digits(13, 3), ".", digits(14, 3), ".", digits(15, 3)), digits(13, 8), digits(13, 16),
+            join(digits(13, 2), "-", digits(14, 3), "-", digits(15, 2)), join(digits(13, 4), " ", digits(14, 4), " ", digits(15, 4)), join("1", digits(14, 9)),
+        ),
+    }
+    by_kind = lambda seed, forms: F.element_at(F.array(*(one_of(seed, *forms[kind]) for kind in KINDS)), F.col("kind") + 1)
+    telling = F.when(F.col("personal") == (draw(31, 10) > 0), one_of(32, *FOR_WORDS)).otherwise(one_of(32, *AGAINST_WORDS))
+    before = F.when(draw(33, 3) == 0, join(name(34, 3), " ", name(35, 7))).otherwise(join(name(34, 5), " ", telling, one_of(36, "", ":", " no.", " is")))
+    made = (
+        spark.range(0, n, numPartitions=1)
+        .select("id", (draw(30, len(KINDS))).cast("int").alias("kind"), (draw(37, 2) == 0).alias("personal"), (F.col("id") % 4 == 0).alias("held_out"))
+        .withColumns({"before": join(before, " "), "span": F.when(F.col("personal"), by_kind(38, real)).otherwise(by_kind(39, false))})
+    )
+    return made.select(
+        "kind", "personal", "held_out",
+        join(F.col("before"), F.col("span"), one_of(40, "", ".", ", ", " and "), " ", name(41, 6), " ", name(42, 3)).alias("text"),
+        F.length("before").alias("from"), (F.length("before") + F.length("span")).alias("to"),
+    )
 
 
 class Scorer:
@@ -194,11 +262,12 @@ class Scorer:
 
         return reduce(lambda a, b: a + b, [walk(root) * F.lit(weight) for weight, root in self.trees], F.lit(0.0))
 
-    def accepts(self, candidate) -> Column:
-        if not self.trees:
-            return F.lit(False)
-        least = reduce(lambda e, x: F.when(candidate["kind"] == x[0], F.lit(x[1])).otherwise(e), self.thresholds.items(), F.lit(float("inf")))
-        return self.margin(candidate) >= least
+    def excess(self, candidate) -> Column:
+        """How far a candidate's score is above the threshold of its kind; null if the kind has none."""
+        if not self.trees or not self.thresholds:
+            return F.lit(None).cast("double")
+        least = reduce(lambda e, x: F.when(candidate["kind"] == x[0], F.lit(x[1])).otherwise(e), self.thresholds.items(), F.lit(None).cast("double"))
+        return self.margin(candidate) - least
 
 
 def tree_of(node) -> object:
@@ -209,41 +278,32 @@ def tree_of(node) -> object:
     return int(split.featureIndex()), float(split.threshold()), tree_of(node.leftChild()), tree_of(node.rightChild())
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Scorer:
-    """Fit on the candidates of about ``sample_docs`` documents, by the weak labels of the base rules.
+def train(spark: SparkSession, n: int = EXAMPLES) -> Scorer:
+    """Fit on the candidates of ``n`` written examples: those that are exactly a personal span are right, all others wrong.
 
-    Equal feature rows are counted first, so the model is fitted on distinct
-    rows with weights.  Signs that the rules ask for (a plus, plain dots) are no
-    features, so that the model can accept forms without them.
+    Equal feature rows are counted, so the model is fitted on distinct rows with
+    weights.  Of each kind's held-out candidates the scores give the threshold;
+    a kind that never reaches the precision takes no candidate.
     """
-    scratch = Scratch(docs.sparkSession)
-    total = docs.count()
-    share = min(1.0, sample_docs / max(1, total))
-    some = docs.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1_000_000)) < share * 1_000_000)
-    found = some.select(F.explode(candidate_features(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("c")).select("c.*").where("label IS NOT NULL")
-    counted = scratch.keep(found.groupBy("label", *FEATURES).agg(F.count("*").cast("double").alias("weight")).coalesce(1), "features")
-    sides = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
-    if len(sides) < 2:
-        return Scorer([], {})
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counted).withColumn("label", F.col("label").cast("double"))
+    found = examples(spark, n).select("personal", "held_out", F.col("kind").alias("of"), "from", "to", F.explode(candidate_features(F.col("text"))).alias("c"))
+    right = F.col("personal") & (F.col("of") == F.col("c.kind")) & (F.col("from") == F.col("c.start")) & (F.col("to") == F.col("c.end"))
+    labelled = found.select(right.cast("int").alias("label"), "held_out", *(F.col(f"c.{f}").alias(f) for f in FEATURES))
+    counted = Scratch(spark).keep(labelled.groupBy("label", "held_out", *FEATURES).agg(F.count("*").cast("double").alias("weight")).coalesce(1), "features")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counted.where("NOT held_out")).withColumn("label", F.col("label").cast("double"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="weight", seed=7, maxBins=64).fit(rows.select("label", "features", "weight"))
     trees = [(float(w), tree_of(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees, strict=True)]
     scorer = Scorer(trees, {})
-    bins = (
-        counted.select("kind", "label", "weight", scorer.margin({f: F.col(f) for f in FEATURES}).alias("margin"))
-        .withColumn("bin", F.floor(F.col("margin") * 20).cast("int"))
+    scores = (
+        counted.where("held_out").select("kind", "label", "weight", F.floor(scorer.margin({f: F.col(f) for f in FEATURES}) * 20).alias("bin"))
         .groupBy("kind", "bin").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good"))
         .orderBy("kind", F.col("bin").desc()).collect()
     )  # at most a few hundred bins: margins are bounded by the trees
-    for kind in {int(r["kind"]) for r in bins}:
-        n = good = least = 0.0
-        for r in (r for r in bins if int(r["kind"]) == kind):
-            n, good = n + r["n"], good + r["good"]
-            if good < PRECISION * n:  # from here down too many are wrong
-                least = (r["bin"] + 1) / 20
-                break
-        if good > 0:
-            scorer.thresholds[kind] = max(0.0, least)
+    for kind in range(len(KINDS)):
+        total = good = 0.0
+        for r in (r for r in scores if int(r["kind"]) == kind):
+            total, good = total + r["n"], good + r["good"]
+            if good >= PRECISION * total and r["good"] > 0:
+                scorer.thresholds[kind] = float(r["bin"]) / 20
     return scorer
 
 
@@ -253,29 +313,36 @@ def joined(spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, scorer: Scorer, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Add ``base`` and ``spans`` to the columns ``carry`` of ``docs`` (all by default; equal names are replaced).
+    """Add ``base`` and ``spans`` to the columns ``carry`` of ``docs`` (all by default; equal names, in any case, are replaced).
 
     Both are arrays of (start, kind, end), kind being an index of KINDS, in
     code points, in order of start and kind.  ``base`` has what the base rules
-    find; ``spans`` also what the model accepts outside of base spans and
-    no rule refutes, the first of overlapping ones.  A null text has no spans.
+    find; ``spans`` also the candidates that the model accepts outside of base
+    spans, the best-scored of overlapping ones.  A null or empty text has no
+    spans; no rows give no rows, repeated rows stay.
     """
-    kept = [c for c in (carry or docs.columns) if c not in ("base", "spans")]
-    text = F.coalesce(F.col("__text"), F.lit(""))
-    work = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
-    work = work.withColumn("base", F.array_sort(base_spans(text)))
-    meets = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.transform(
-        F.filter(candidate_features(text), lambda c: ~meets(c) & (F.coalesce(c["label"], F.lit(1)) == 1) & scorer.accepts(c)),
-        lambda c: F.struct(c["start"].alias("start"), c["kind"].cast("int").alias("kind"), c["end"].alias("end")),
-    )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    apart = F.aggregate(
-        F.array_sort(more),
-        none,
-        lambda out, c: F.when((F.size(out) == 0) | (F.coalesce(F.get(out, F.size(out) - 1)["end"], F.lit(0)) <= c["start"]), F.array_append(out, c)).otherwise(out),
-    )
-    return work.withColumn("spans", F.array_sort(F.concat("base", apart))).drop("__text")
+    work = docs.select(packed(docs, ("base", "spans"), carry).alias("row"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    work = work.withColumn("base", F.array_sort(base_spans(F.col("text"))))
+    shape = "array<struct<start:int,more:boolean,kind:int,end:int,score:double>>"
+    struct = lambda start, more, kind, end, score: F.struct(start.alias("start"), more.alias("more"), kind.cast("int").alias("kind"), end.alias("end"), score.alias("score"))
+    scored = F.transform(candidate_features(F.col("text")), lambda c: struct(c["start"], F.lit(True), c["kind"], c["end"], scorer.excess(c)))
+    work = work.withColumn("more", F.filter(scored, lambda c: c["score"] >= 0))
+    both = F.array_sort(F.concat(F.transform("base", lambda b: struct(b["start"], F.lit(False), b["kind"], b["end"], F.lit(0.0))), F.col("more")))
+
+    def add(a: Column, x: Column) -> Column:
+        last = F.get(a["out"], F.size(a["out"]) - 1)
+        meets = F.coalesce(last["more"] & (last["end"] > x["start"]), F.lit(False))  # a candidate taken before
+        replaced = F.array_append(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), x)
+        taken = F.when(meets, F.when(~x["more"] | (x["score"] > last["score"]), replaced).otherwise(a["out"])).otherwise(F.array_append(a["out"], x))
+        return F.struct(
+            F.when(x["more"] & (x["start"] < a["upto"]), a["out"]).otherwise(taken).alias("out"),
+            F.when(x["more"], a["upto"]).otherwise(F.greatest(a["upto"], x["end"])).alias("upto"),
+        )
+
+    chosen = F.aggregate(both, F.struct(F.array().cast(shape).alias("out"), F.lit(0).alias("upto")), add, lambda a: a["out"])
+    spans = F.array_sort(F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    out = work.withColumn("spans", F.when(F.size("more") > 0, spans).otherwise(F.col("base")))
+    return out.select(*unpacked(out), "base", "spans")
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -69,7 +69,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: what the base rules find, and all spans."""
     docs = table(spark, sf_dir, "documents")
-    found = personal_data.find_personal_data(docs, personal_data.train(docs), carry=["doc_id"])
+    found = personal_data.find_personal_data(docs, personal_data.train(spark), carry=["doc_id"])
     counts = [personal_data.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
     return found.select(
         "doc_id", *counts,

@@ -36,9 +36,14 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from rankweave.llm.rows import named
+from rankweave.llm.scratch import Scratch
+
 MANIFEST = "_manifest.json"
 FILE_BYTES = 128 << 20
 SPLIT_BYTES = 16 << 20
+#: A payload that more than this share of the pages has is looked up by a broadcast; there are at most as many as shares.
+HOT_SHARES = 1000
 _HEAD = "<4s4x2sH2sHI"  # magic and flags, (mtime), xfl and os, extra length, subfield, its length, member length
 
 SCHEMA = "record_id string, record_type string, url string, refers_to string, payload_digest string, payload_bytes long, digest_ok boolean, payload binary"
@@ -46,8 +51,20 @@ SCHEMA = "record_id string, record_type string, url string, refers_to string, pa
 HEADER_COLUMNS = ("record_id", "record_type", "url", "refers_to", "payload_digest", "payload_bytes")
 
 
+#: Schemes that Spark uses for stores that Arrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (pafs.LocalFileSystem(), path)
+    """The file system of a path and the path in it: Arrow's own, or Hadoop's client for any other scheme that Spark can use."""
+    parts = re.match(r"([a-z][a-z0-9+.-]*):/(?:/([^/]*))?", path)
+    if not parts:
+        return pafs.LocalFileSystem(), path
+    scheme = SCHEMES.get(parts[1], parts[1])
+    try:
+        return pafs.FileSystem.from_uri(scheme + path[len(parts[1]) :])
+    except pa.ArrowInvalid:  # a scheme that Arrow doesn't know
+        return pafs.HadoopFileSystem(f"{scheme}://{parts[2] or ''}"), path[parts.end() :] or "/"
 
 
 def sha1_label(raw: bytes) -> str:
@@ -332,27 +349,38 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with
     the smallest id is the response; rows that share this id and payload are
     all responses.  A null html is an empty payload; a null id never owns a
-    payload that a row with an id has.  Only ids and digests are compared, and
-    equal digests are pre-aggregated.
+    payload that a row with an id has.  Only ids and digests are compared,
+    equal digests are pre-aggregated, and only responses carry their payload.
+    Other columns are not written; no rows give an empty archive.
     """
     register(pages.sparkSession)
-    body = F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), body.alias("payload")).withColumns(
+    body = F.coalesce(named(html_col).cast("binary"), F.lit(b""))
+    rows = pages.select(named(id_col).cast("long").alias("id"), named(url_col).alias("url"), body.alias("payload")).withColumns(
         {"payload_sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")}
     )
-    owners = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_sha1").agg(F.min("id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(owners, "payload_sha1", "left")
-    again = F.col("owner").isNotNull() & ~F.col("id").eqNullSafe(F.col("owner"))
+    scratch = Scratch(pages.sparkSession)
+    slim = scratch.keep(rows.where(F.col("payload_bytes") >= min_bytes).select("id", "url", "payload_sha1", "payload_bytes"), "slim")
+    owners = scratch.keep(slim.groupBy("payload_sha1").agg(F.min("id").alias("owner"), F.count("*").alias("n")), "owners")
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
-    joined.select(
-        name(F.col("id")).alias("record_id"),
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        "url",
-        F.when(again, name(F.col("owner"))).alias("refers_to"),
-        "payload_sha1",
-        "payload_bytes",
-        F.when(~again, F.col("payload")).alias("payload"),
-    ).write.format("warc").mode("append").save(path)
+    # revisits need no payload; those of a payload that a large share of the pages has get its owner by a broadcast
+    most = max(64, slim.count() // HOT_SHARES)
+    hot = F.broadcast(owners.where(F.col("n") > most).select("payload_sha1", F.col("owner").alias("hot_owner")))  # HOT_SHARES rows at most
+    told = slim.join(hot, "payload_sha1", "left")
+    cold = told.where("hot_owner IS NULL").drop("hot_owner").join(owners.where((F.col("n") > 1) & (F.col("n") <= most)).drop("n"), "payload_sha1")
+    again = cold.unionByName(told.where("hot_owner IS NOT NULL").withColumnRenamed("hot_owner", "owner")).where("owner IS NOT NULL AND NOT id <=> owner")
+    revisits = again.select(
+        name(F.col("id")).alias("record_id"), F.lit("revisit").alias("record_type"), "url", name(F.col("owner")).alias("refers_to"),
+        "payload_sha1", "payload_bytes", F.lit(None).cast("binary").alias("payload"),
+    )
+    # a response is met by its own id and digest, so equal payloads go to different tasks
+    first = owners.select(F.col("payload_sha1").alias("o_sha1"), "owner")
+    own = (F.col("payload_sha1") == F.col("o_sha1")) & F.col("id").eqNullSafe(F.col("owner"))
+    met = rows.join(first, own, "left").where((F.col("payload_bytes") < min_bytes) | F.col("o_sha1").isNotNull())
+    responses = met.select(
+        name(F.col("id")).alias("record_id"), F.lit("response").alias("record_type"), "url", F.lit(None).cast("string").alias("refers_to"),
+        "payload_sha1", "payload_bytes", "payload",
+    )
+    responses.unionByName(revisits).write.format("warc").mode("append").save(path)
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.llm.rows import named, packed, unpacked
+from rankweave.llm.scratch import Scratch
+
 #: The most rules that are sent to every executor; larger rule sets are shuffled.
 BROADCAST_RULES = 100_000
+#: A place that holds more than this share of the pages is judged by a broadcast row; there are at most as many such places as shares.
+HOT_SHARES = 1000
 
 RULES = [
     ("net", "/", "block"),
@@ -17,7 +22,10 @@ RULES = [
 
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    """Rules as rows (host, path, verdict)."""
+    shape = "array<struct<host:string,path:string,verdict:string>>"
+    parts = [F.struct(*(F.lit(x).alias(c) for x, c in zip(r, ("host", "path", "verdict"), strict=True))) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*parts).cast(shape)))
 
 
 def url_host(url: Column) -> Column:
@@ -54,10 +62,12 @@ def filter_urls(
     (host and path together; then the longer host; then block) wins.
 
     A null url, or one without ``://``, has an empty host and path and fits no
-    rule; rows without a rule get ``default``.  Repeated rows stay.  Columns of
-    ``pages`` named host, path, rule or verdict are replaced.  A rule with a
-    null part is ignored; repeated rules count once.
+    rule; rows without a rule get ``default``.  Repeated rows stay, no rows give
+    no rows.  Columns of ``pages`` named host, path, rule or verdict (in any
+    case) are replaced, all others stay.  A rule with a null part is ignored;
+    repeated rules count once.
     """
+    scratch = Scratch(pages.sparkSession)
     labels = lambda host: F.size(F.split(host, r"\."))
     usable = rules.select("host", "path", "verdict").dropna().distinct()
     shape = usable.agg(
@@ -74,14 +84,12 @@ def filter_urls(
     if shape["n"] <= broadcast_rules:
         coded = F.broadcast(coded)
 
-    added = {"host", "path", "rule", "verdict"}
-    rest = [c for c in pages.columns if c not in added]
     located = pages.select(
-        *(F.col(f"`{c}`") for c in rest),
-        url_host(F.col(f"`{url_col}`")).alias("host"),
-        url_path(F.col(f"`{url_col}`")).alias("path"),
+        packed(pages, ("host", "path", "rule", "verdict")).alias("row"),
+        url_host(named(url_col)).alias("host"),
+        url_path(named(url_col)).alias("path"),
     )
-    places = located.select("host", "path").distinct()
+    places = scratch.keep(located.groupBy("host", "path").agg(F.count("*").alias("n")), "places")
     parts = F.split("host", r"\.")
     counts = F.array(*(F.lit(n) for n in sorted(shape["labels"]))) if shape["labels"] else F.array().cast("array<int>")
     lengths = F.array(*(F.lit(n) for n in sorted(shape["lengths"]))) if shape["lengths"] else F.array().cast("array<int>")
@@ -110,12 +118,16 @@ def filter_urls(
             )
         ).alias("best")
     )
-    return located.join(best, ["host", "path"], "left").select(
-        *(F.col(f"`{c}`") for c in rest),
-        "host",
-        "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+    best = scratch.keep(best, "best")
+    # rows of hot places get their rule by a broadcast, and are spread over slots that match nothing in the shuffled join
+    total = places.agg(F.sum("n")).first()[0] or 0
+    hot = places.where(F.col("n") > max(64, total // HOT_SHARES)).select("host", "path").join(best, ["host", "path"], "left")
+    hot = F.broadcast(hot.select("host", "path", F.col("best").alias("own"), F.lit(True).alias("hot")))
+    told = located.join(hot, ["host", "path"], "left").withColumn("slot", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(HOT_SHARES)) + 1).otherwise(0))
+    judged = told.join(best.withColumn("slot", F.lit(0).cast("long")), ["host", "path", "slot"], "left")
+    rule = F.coalesce("best", "own")
+    return judged.select(
+        *unpacked(judged), "host", "path", rule["rule"].alias("rule"), F.coalesce(rule["verdict"], F.lit(default)).alias("verdict")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.llm.rows import named, packed, unpacked
 from rankweave.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,33 +16,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(totals: DataFrame, weights=WEIGHTS, cap: float = 3.0) -> DataFrame:
+def source_targets(totals: DataFrame, scratch: Scratch, weights=WEIGHTS, cap: float = 3.0) -> DataFrame:
     """Targets of sources from ``(source, source_size)``, one row per source.
 
     Sources stand in code-point order, null last, and weigh ``weights`` over
     and over.  Together they get as many tokens as there are; none gets over
     ``cap`` times its size, and what is over goes to the others by weight.
     That is a water level: ``target = min(cap * size, weight * level)``, the
-    level being where the targets add up, found by one pass over the sources
-    in order of ``cap * size / weight``.
+    level being where the targets add up, found by running sums over the
+    sources in order of ``cap * size / weight``.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     share = F.array(*(F.lit(float(w)) for w in weights))
-    ranked = totals.withColumn(
-        "weight", F.get(share, (F.row_number().over(order) - 1) % len(weights))
-    ).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    fill = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        ranked.withColumn("full", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("all", F.sum("source_size").over(everything))
-        .withColumn("level", (F.col("all") - F.col("full")) / F.col("open"))
-        # the first source in this order that the level does not fill fixes it; further on the quotient only falls
-        .withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(everything))
-        .select("source", "source_size", "weight", F.least("most", F.col("weight") * F.coalesce("level", F.lit(0.0))).alias("target"))
-    )
+    ranked = running(totals, [F.col("source").asc_nulls_last()], {"place": F.lit(1)}, scratch)
+    ranked = ranked.withColumns({"weight": F.get(share, ((F.col("place") - 1) % len(weights)).cast("int")), "most": F.col("source_size") * F.lit(float(cap))})
+    filled = running(ranked.drop("place"), [F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()], {"full": F.col("most"), "used": F.col("weight")}, scratch)
+    filled = scratch.keep(filled, "filled")
+    everything, weighed = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(everything) - (F.col("full") - F.col("most"))) / (F.lit(weighed) - (F.col("used") - F.col("weight")))
+    # the first source in this order that the level does not fill fixes it; further on the quotient only falls
+    fixed = filled.agg(F.max(F.when(level * F.col("weight") <= F.col("most"), level))).first()[0]
+    return filled.select("source", "source_size", "weight", F.least("most", F.col("weight") * F.lit(fixed or 0.0)).alias("target"))
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch) -> DataFrame:
+    """Add running sums in an order of unique keys, range by range: no task sees more than its range and the ranges' totals."""
+    ranged = scratch.keep(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("range").agg(*(F.sum(c).alias(f"sum_{n}") for n, c in sums.items()))  # a row for each range
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range", *(F.coalesce(F.sum(f"sum_{n}").over(before), F.lit(0)).alias(f"before_{n}") for n in sums))
+    here = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(totals), "range").select(*df.columns, *((F.sum(c).over(here) + F.col(f"before_{n}")).alias(n) for n, c in sums.items()))
 
 
 def tilt_rates(lengths: DataFrame, targets: DataFrame, scratch: Scratch, cap: float = 3.0, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
@@ -54,7 +58,8 @@ def tilt_rates(lengths: DataFrame, targets: DataFrame, scratch: Scratch, cap: fl
     dual's curvature, kept inside a bracket that shrinks with the sign of the
     gap (and halved where the curvature gives no step).  A round is one grouped
     sum over the length histogram, whose rows are distinct lengths, not
-    documents.  Returns lengths with ``rate``.
+    documents.  Returns lengths with ``rate``; a dual that isn't solved after
+    ``rounds`` rounds is an error.
     """
     mean = lengths.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     state = scratch.keep(
@@ -99,6 +104,8 @@ def tilt_rates(lengths: DataFrame, targets: DataFrame, scratch: Scratch, cap: fl
         state = scratch.keep(following, "tilt")
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"the dual is not solved after {rounds} rounds")
     return (
         lengths.alias("l")
         .join(state.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source")), "left")
@@ -106,13 +113,15 @@ def tilt_rates(lengths: DataFrame, targets: DataFrame, scratch: Scratch, cap: fl
     )
 
 
-def whole_copies(rated: DataFrame, targets: DataFrame, cap: int = 3, passes: int = 4) -> DataFrame:
+def whole_copies(rated: DataFrame, targets: DataFrame, scratch: Scratch, cap: int = 3, passes: int = 64) -> DataFrame:
     """Whole copies for each (source, size) of ``rated`` (source, size, n, rate): adds ``copies``.
 
     Rates add up from the longest documents down and each length gets the
     whole numbers that its stretch crosses.  What a source then lacks (or has
     over) is settled by passes that add (or take away) single copies, longest
     fitting lengths first; each pass leaves less than the last length it used.
+    They end when no source has a length that still fits: a pass at least
+    halves what is left, so their number grows with the logarithm of the longest length.
     """
     down = Window.partitionBy("source").orderBy(F.col("size").desc())
     to_here = down.rowsBetween(Window.unboundedPreceding, 0)
@@ -127,18 +136,21 @@ def whole_copies(rated: DataFrame, targets: DataFrame, cap: int = 3, passes: int
         .withColumn("copies", F.greatest(F.lit(0).cast("long"), F.least("copies", F.col("n") * cap)))
         .drop("upto", "before", "rate")
     )
+    room = F.when(F.col("lack") > 0, F.col("n") * cap - F.col("copies")).otherwise(F.col("copies"))
     for _ in range(passes):
-        out = out.withColumn("lack", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(whole))
-        movable = F.when(F.col("size") > F.abs("lack"), 0).when(F.col("lack") > 0, F.col("n") * cap - F.col("copies")).otherwise(F.col("copies"))
+        out = scratch.keep(out.withColumn("lack", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(whole)), "copies")
+        if out.where((F.col("size") > 0) & (F.col("size") <= F.abs("lack")) & (room > 0)).isEmpty():
+            return out.drop("lack")
+        movable = F.when((F.col("size") > F.abs("lack")) | (F.col("size") == 0), 0).otherwise(room)
         out = (
-            out.withColumn("movable", F.when(F.col("size") == 0, 0).otherwise(movable).cast("long"))
+            out.withColumn("movable", movable.cast("long"))
             .withColumn("larger", F.sum(F.col("movable") * F.col("size")).over(to_here) - F.col("movable") * F.col("size"))
             .withColumn("moved", F.floor((F.abs("lack") - F.col("larger")) / F.expr("nullif(size, 0)")))
             .withColumn("moved", F.greatest(F.lit(0).cast("long"), F.least("movable", F.coalesce("moved", F.lit(0).cast("long")))))
             .withColumn("copies", F.col("copies") + F.signum("lack").cast("long") * F.col("moved"))
             .drop("lack", "movable", "larger", "moved")
         )
-    return out
+    raise RuntimeError(f"copies are not settled after {passes} passes")
 
 
 def mix_sources(
@@ -154,33 +166,32 @@ def mix_sources(
 
     Adds ``size`` (words of the text), ``source_size``, ``target`` (tokens the
     source should give), ``copies`` and ``taken`` (= copies * size).  Columns of
-    ``docs`` with these names are replaced; all others stay.
+    ``docs`` with these names (in any case) are replaced; all others stay.
 
     The documents of one source and length share a rate, and so are counted
     rather than compared: all iterations run over the histogram of lengths.  A
-    group's copies are dealt to its documents in order of a hash of the id,
-    within ``splits`` parts, so that no group has to fit into one task.
+    group's copies are dealt to its documents in order of a hash of id and
+    text, within ``splits`` parts, so that no group has to fit into one task.
 
     A null or empty text has size 0 and takes 0 words.  A null source is a
     source like any other and comes last.  Rows with equal ids are separate
     documents.  No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    added = {"size", "source_size", "target", "copies", "taken"}
-    rest = [c for c in docs.columns if c not in added]
+    mark = F.xxhash64(named(id_col), named(text_col))
     keyed = docs.select(
-        *(F.col(f"`{c}`") for c in rest),
-        word_count(F.col(f"`{text_col}`")).alias("size"),
-        F.col(f"`{source_col}`").cast("string").alias("__source"),
-        F.col(f"`{id_col}`").alias("__id"),
+        packed(docs, ("size", "source_size", "target", "copies", "taken")).alias("row"),
+        word_count(named(text_col)).alias("size"),
+        named(source_col).cast("string").alias("source"),
+        mark.alias("mark"),
+        F.pmod(mark, F.lit(splits)).alias("part"),
     )
-    small = scratch.keep(keyed.select("__id", F.col("__source").alias("source"), "size", F.pmod(F.xxhash64("__id"), F.lit(splits)).alias("part")), "sizes")
-    parts = scratch.keep(small.groupBy("source", "size", "part").agg(F.count("*").alias("n_part")), "parts")
+    parts = scratch.keep(keyed.groupBy("source", "size", "part").agg(F.count("*").alias("n_part")), "parts")
     lengths = scratch.keep(parts.groupBy("source", "size").agg(F.sum("n_part").alias("n")), "lengths")
-    totals = lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"))
-    targets = scratch.keep(source_targets(totals, weights, cap), "targets")
+    totals = scratch.keep(lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size")), "totals")
+    targets = scratch.keep(source_targets(totals, scratch, weights, cap), "targets")
     rated = tilt_rates(lengths, targets, scratch, float(cap))
-    dealt = scratch.keep(whole_copies(rated, targets, cap), "copies")
+    dealt = whole_copies(rated, targets, scratch, cap)
 
     earlier = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("offset", F.coalesce(F.sum("n_part").over(earlier), F.lit(0)))
@@ -189,16 +200,16 @@ def mix_sources(
         F.col("g.source").alias("p_source"), F.col("g.size").alias("p_size"), F.col("part").alias("p_part"), "source_size", "target", "offset",
         F.expr("copies div n").alias("each"), F.expr("copies % n").alias("extra"),
     )
-    same = Window.partitionBy("__source", "size", "__part").orderBy(F.xxhash64("__id", F.lit(1)), "__id")
-    placed = keyed.withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(splits))).withColumn("__index", F.row_number().over(same) - 1)
+    same = Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("mark", F.lit(1)), "mark")
+    placed = keyed.withColumn("index", F.row_number().over(same) - 1)
     joined = placed.join(
         plan,
-        F.col("__source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("__part") == F.col("p_part")),
+        F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("part") == F.col("p_part")),
         "left",
     )
-    copies = F.col("each") + F.when(F.col("__index") + F.col("offset") < F.col("extra"), 1).otherwise(0)
+    copies = F.col("each") + F.when(F.col("index") + F.col("offset") < F.col("extra"), 1).otherwise(0)
     return joined.select(
-        *(F.col(f"`{c}`") for c in rest),
+        *unpacked(joined),
         "size",
         "source_size",
         "target",

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankweave.llm.rows import named, packed, unpacked
 from rankweave.llm.scratch import Scratch, received, send
-from rankweave.llm.words import ALNUM, member, run_hash, split_words
+from rankweave.llm.words import ALNUM, Words, member, mix, run_hash, split_words
 
-#: Characters of benchmark text whose index is sent to every executor at once; more take several passes.
-SHARD_CHARS = 2_000_000
+#: Words as the SQL functions count them: those of lower-cased text.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The largest Bloom filter that is sent to every executor has 2 ** SIEVE_BITS bits (16 MB).
+SIEVE_BITS = 27
+#: Most keys of texts (64 characters) and items of theirs that are sent to every executor; more are shuffled.
+BROADCAST_KEYS = 200_000
 
 
 def winnow(rows: np.ndarray, at: np.ndarray, hashes: np.ndarray, w: int) -> np.ndarray:
@@ -35,83 +41,132 @@ def winnow(rows: np.ndarray, at: np.ndarray, hashes: np.ndarray, w: int) -> np.n
     return at[np.unique((np.arange(n) + place)[full])]
 
 
-class BenchmarkIndex:
-    """Windows of some benchmark items, their hashes, and the fingerprints that lead to them.
+def prints(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start words and hashes of the k-grams that winnowing selects: every run of ``window`` words holds one."""
+    at, hashes = words.grams(k)
+    chosen = winnow(words.rows[at], at, hashes, window - k + 1)
+    return chosen, run_hash(words.hashes, chosen, k)
 
-    A window is ``window`` consecutive words, or all words of a shorter item.
-    Fingerprints of full windows are winnowed k-grams: every run of ``window``
-    words holds ``window - k + 1`` k-grams, and so one that winnowing selects.
-    Windows of fewer words are looked up by their own hash.
-    """
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int, k: int):
-        self.window, self.k = window, k
-        self.ids = list(dict.fromkeys(i for i, _ in items))
-        place = {x: n for n, x in enumerate(self.ids)}
-        self.found: dict[int, dict[bytes, list[int]]] = {}  # by hash: windows and their items
-        lengths: dict[int, set[int]] = {}
-        prints: list[np.ndarray] = []
-        texts = pa.array([t for _, t in items], pa.string())
-        for row, count, words in split_words(texts, ALNUM):
-            at, hashes = words.grams(k)
-            chosen = winnow(words.rows[at], at, hashes, window - k + 1)
-            prints.append(run_hash(words.hashes, chosen, k))
-            for r in range(count):
-                a, b = words.first[r], words.first[r + 1]
-                n = min(window, b - a)
-                if n == 0:
-                    continue
-                starts = np.arange(a, b - n + 1)
-                who = place[items[row + r][0]]
-                for s, h in zip(starts, run_hash(words.hashes, starts, n).tolist(), strict=True):
-                    lengths.setdefault(int(n), set()).add(h)
-                    owners = self.found.setdefault(h, {}).setdefault(words.text(s, n), [])
-                    if not owners or owners[-1] != who:
-                        owners.append(who)
-        self.prints = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)]))
-        self.lengths = {n: np.array(sorted(x), np.uint64) for n, x in lengths.items()}
-
-    def candidates(self, words) -> Iterator[tuple[int, np.ndarray]]:
-        """Window lengths and the word positions at which such a window may start."""
-        for n, table in self.lengths.items():
-            if n < self.window:
-                at, hashes = words.grams(n)
-                yield n, at[member(hashes, table)]
-                continue
-            at, hashes = words.grams(self.k)
-            chosen = winnow(words.rows[at], at, hashes, self.window - self.k + 1)
-            hit = chosen[member(run_hash(words.hashes, chosen, self.k), self.prints)]
-            # extend: all windows that cover the fingerprint
-            around = np.unique((hit[:, None] - np.arange(self.window - self.k + 1)[None, :]).ravel())
-            around = around[(around >= 0) & (around + n <= len(words.rows))]
-            around = around[words.rows[around] == words.rows[around + n - 1]]
-            yield n, around[member(run_hash(words.hashes, around, n), table)]
-
-    def hits(self, words, count: int) -> tuple[list[list[int]], list[set[int]]]:
-        """For each row: starts and ends (alternating, in words of the row) of confirmed windows, and their items."""
-        spans: list[list[int]] = [[] for _ in range(count)]
-        items: list[set[int]] = [set() for _ in range(count)]
-        for n, starts in self.candidates(words):
-            for s, h in zip(starts.tolist(), run_hash(words.hashes, starts, n).tolist(), strict=True):
-                owners = self.found[h].get(words.text(s, n))
-                if owners:
-                    r = int(words.rows[s])
-                    own, here = spans[r], s - int(words.first[r])
-                    if own and own[-1] >= here >= own[-2]:
-                        own[-1] = max(own[-1], here + n)
-                    else:
-                        own += [here, here + n]
-                    items[r].update(owners)
-        return spans, items
-
-
-def covered(spans: list[int]) -> int:
-    """Number of positions inside any of the ranges (starts and ends alternating)."""
-    total, reach = 0, 0
-    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-        total += max(0, b - max(a, reach))
-        reach = max(reach, b)
-    return total
+def digests(words: Words, starts: np.ndarray, n: int) -> list[bytes]:
+    """SHA-256 of runs of n words."""
+    raw, edge = words.spaced()
+    return [hashlib.sha256(raw[a : b - 1]).digest() for a, b in zip(edge[starts].tolist(), edge[starts + n].tolist(), strict=True)]
+
+
+class Sieve:
+    """A Bloom filter of a fixed number of bits: tells which hashes can't be among those that it was made from."""
+
+    def __init__(self, bits: int, slots: np.ndarray, values: np.ndarray):
+        self.bits = bits
+        self.table = np.zeros(1 << (bits - 6), np.uint64)
+        self.table[slots] = values
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), dtype=bool)
+        for place in places(hashes, self.bits):
+            out &= (self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+        return out
+
+
+def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two bits of a filter for each hash."""
+    return [hashes >> np.uint64(64 - bits), mix(hashes) >> np.uint64(64 - bits)]
+
+
+def build_sieve(found: DataFrame) -> Sieve:
+    """A filter of the hashes ``h``, with about ten bits for each up to SIEVE_BITS; words of the filter are put together by Spark."""
+    bits = min(SIEVE_BITS, max(10, int(10 * found.count() + 1).bit_length()))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.concatenate(places(batch["h"].to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], names=["slot", "value"])
+
+    table = found.mapInArrow(spread, "slot long, value long").groupBy("slot").agg(F.bit_or("value").alias("value")).toArrow()  # 2 ** (bits - 6) rows at most
+    return Sieve(bits, table["slot"].to_numpy(), table["value"].to_numpy().view(np.uint64))
+
+
+def _indexer(window: int, k: int):
+    """Benchmark rows (item, text) to fingerprints (h) and windows (digest, n, item)."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, words in split_words(batch["text"], ALNUM):
+                sizes = np.diff(words.first)
+                whole, _ = words.grams(window)
+                _, chosen = prints(words, window, k)
+                runs = [(window, whole, chosen)]
+                for n in range(1, window):
+                    starts = words.first[np.flatnonzero(sizes == n)]
+                    runs.append((n, starts, run_hash(words.hashes, starts, n)))
+                for n, starts, hashes in runs:
+                    if len(starts):
+                        owner = batch["item"].slice(row).take(pa.array(words.rows[starts]))
+                        empty = pa.nulls(len(starts), pa.int64())
+                        yield pa.RecordBatch.from_arrays([empty, pa.array(digests(words, starts, n), pa.binary()), pa.array(np.full(len(starts), n, np.int32)), owner], names=["h", "digest", "n", "item"])
+                        hashes = np.unique(hashes)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(hashes.view(np.int64)), pa.nulls(len(hashes), pa.binary()), pa.array(np.full(len(hashes), n, np.int32)), pa.nulls(len(hashes), owner.type)], names=["h", "digest", "n", "item"]
+                        )
+
+    return index
+
+
+def _places_of(words: Words, lengths: list[int], window: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Window lengths with the starts and hashes of the document's fingerprints for them."""
+    for n in lengths:
+        if n == window:
+            yield n, *prints(words, window, k)
+        else:
+            yield n, *words.grams(n)
+
+
+def _finder(sent, lengths: list[int], window: int, k: int):
+    """Texts to (text_key, h) of the fingerprints that the sieve lets through."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = received(sent)
+        for batch in batches:
+            for row, count, words in split_words(batch["text"], ALNUM):
+                rows, hashes = [], []
+                for _, starts, h in _places_of(words, lengths, window, k):
+                    through = sieve.holds(h)
+                    rows.append(words.rows[starts[through]])
+                    hashes.append(h[through])
+                pairs = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(hashes)], names="row,h"))
+                names = {int(r): hashlib.sha256(batch["text"][row + int(r)].as_py().encode()).hexdigest() for r in np.unique(pairs["row"])}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[int(r)] for r in pairs["row"]], pa.string()), pa.array(np.ascontiguousarray(pairs["h"]).view(np.int64))], names=["text_key", "h"]
+                )
+
+    return find
+
+
+def _extender(lengths: list[int], window: int, k: int):
+    """Texts with their shared fingerprints to all windows that cover one: (text_key, start, n, digest)."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, count, words in split_words(batch["text"], ALNUM):
+                shared = [np.sort(np.array(batch["hashes"][row + r].as_py(), np.int64).view(np.uint64)) for r in range(count)]
+                for n, starts, hashes in _places_of(words, lengths, window, k):
+                    mine = np.zeros(len(starts), dtype=bool)
+                    edge = np.searchsorted(words.rows[starts], np.arange(count + 1))
+                    for r in range(count):
+                        mine[edge[r] : edge[r + 1]] = member(hashes[edge[r] : edge[r + 1]], shared[r])
+                    at = starts[mine]
+                    if n == window:
+                        at = np.unique((at[:, None] - np.arange(window - k + 1)[None, :]).ravel())
+                        at = at[(at >= 0) & (at + n <= len(words.rows))]
+                        at = at[words.rows[at] == words.rows[at + n - 1]]
+                    owner = words.rows[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["text_key"].slice(row).take(pa.array(owner)), pa.array((at - words.first[owner]).astype(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(digests(words, at, n), pa.binary())],
+                        names=["text_key", "start", "n", "digest"],
+                    )
+
+    return extend
 
 
 def find_leaks(
@@ -123,62 +178,67 @@ def find_leaks(
     carry: list[str] | None = None,
     window: int = 10,
     k: int = 5,
-    shard_chars: int = SHARD_CHARS,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """Find the words of every document that lie inside a benchmark window.
 
     Adds to the columns ``carry`` of ``docs`` (all of them if not given; equal
-    names are replaced): ``n_words``, ``n_hit`` (words inside any occurrence of
-    any window), ``items`` (ids of the items with such windows, unordered) and
-    ``contaminated`` (n_hit > 0).
+    names, in any case, are replaced): ``n_words``, ``n_hit`` (words inside any
+    occurrence of any window), ``items`` (ids of the items with such windows,
+    unordered) and ``contaminated`` (n_hit > 0).
+
+    A window is ``window`` consecutive words of an item, or all words of a
+    shorter one.  Fingerprints of both sides are the k-grams that winnowing
+    selects (for shorter items their only window); they are joined on their
+    hashes, after a Bloom filter of bounded size has left out most that have
+    no partner.  Texts with shared fingerprints are extended to the windows
+    around them, and these are joined with the benchmark's windows by SHA-256.
+    Equal texts are looked at once.
 
     Texts are lower-cased in A-Z only; a word is a run of digits, a-z and
-    characters beyond ASCII.  A null or empty text has no words.  Items with a
-    null id, or no words, take no part; rows with one id are one item.  The
-    benchmark is indexed in shards of bounded size, each of which reads the
-    documents once, and needs no shuffle of documents.
+    characters beyond ASCII.  A null or empty text has no words.  Items without
+    words take no part; rows with one id are one item, and so are all rows with
+    a null id (which is then one of ``items``).  No rows give no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    added = {"n_words", "n_hit", "items", "contaminated"}
-    kept = [c for c in (carry or docs.columns) if c not in added]
-    usable = benchmark.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    id_type = usable.schema["i"].dataType
-    size = usable.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_chars))
-    work = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text")).withColumns(
-        {"__spans": F.array().cast("array<int>"), "__items": F.array().cast(T.ArrayType(id_type)), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")}
+    text = named(text_col)
+    work = docs.select(packed(docs, ("n_words", "n_hit", "items", "contaminated"), carry).alias("row"), text.alias("text"))
+    counted = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+
+    usable = benchmark.select(named(item_col).alias("item"), named(item_text_col).alias("text")).where("text IS NOT NULL")
+    item = usable.schema["item"].dataType
+    shape = T.StructType([T.StructField("h", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("item", item)])
+    index = scratch.keep(usable.mapInArrow(_indexer(window, k), shape), "benchmark")
+    known = scratch.keep(index.where("h IS NOT NULL").select("h").distinct(), "prints")
+    windows = scratch.keep(index.where("digest IS NOT NULL").select("digest", "item").distinct(), "windows")
+    lengths = sorted(r["n"] for r in index.select("n").distinct().collect())  # ``window`` numbers at most
+    none = F.array().cast(T.ArrayType(item))
+    if not lengths:
+        return work.select(*unpacked(work), counted, F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.lit(False).alias("contaminated"))
+
+    sieve = send(spark, build_sieve(known))
+    texts = docs.select(text.alias("text")).where("text IS NOT NULL")
+    maybe = texts.mapInArrow(_finder(sieve, lengths, window, k), "text_key string, h long")
+    shared = scratch.keep(maybe.join(known, "h").distinct().groupBy("text_key").agg(F.collect_list("h").alias("hashes")), "shared")
+    keys = shared.select("text_key")
+    keys = F.broadcast(keys) if shared.count() <= broadcast_keys else keys
+    own = texts.withColumn("text_key", F.sha2("text", 256)).join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    around = own.join(shared, "text_key").mapInArrow(_extender(lengths, window, k), "text_key string, start long, n int, digest binary")
+    hits = scratch.keep(around.join(windows.select("digest").distinct(), "digest"), "hits")
+
+    before = Window.partitionBy("text_key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest("start", F.coalesce(F.max(F.col("start") + F.col("n")).over(before), F.lit(0)))
+    inside = hits.select("text_key", F.greatest(F.col("start") + F.col("n") - reach, F.lit(0)).alias("new")).groupBy("text_key").agg(F.sum("new").alias("n_hit"))
+    owners = hits.select("text_key", "digest").distinct().join(windows, "digest").select("text_key", F.struct("item").alias("item")).distinct()  # structs, as lists leave nulls out
+    items = owners.groupBy("text_key").agg(F.transform(F.collect_list("item"), lambda x: x["item"]).alias("items"))
+    found = scratch.keep(inside.join(items, "text_key"), "found")
+    size = found.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    found = F.broadcast(found) if max(size) <= broadcast_keys else found
+    out = work.withColumn("text_key", F.sha2("text", 256)).join(found, "text_key", "left")
+    return out.select(
+        *unpacked(out), counted, F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated")
     )
-    for shard in range(shards):
-        part = usable.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).orderBy("i", "t")
-        index = send(spark, BenchmarkIndex([(r["i"], r["t"]) for r in part.collect()], window, k))
-        last = shard == shards - 1
-        shape = T.StructType([f for f in work.schema if not (last and f.name in ("__text", "__spans"))])
-        work = work.mapInArrow(_scanner(index, last), shape)
-        if not last:
-            work = scratch.keep(work, "leaks")
-    return work.select(*(F.col(f"`{c}`") for c in kept), "n_words", "n_hit", F.col("__items").alias("items"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def _scanner(index, last: bool):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = received(index)
-        for batch in batches:
-            old_spans, old_items = batch["__spans"].to_pylist(), batch["__items"].to_pylist()
-            n_words, n_hit, all_spans, all_items = [], [], [], []
-            for row, count, words in split_words(batch["__text"], ALNUM):
-                spans, items = own.hits(words, count)
-                n_words += np.diff(words.first).tolist()
-                for r in range(count):
-                    s = spans[r] + old_spans[row + r]
-                    all_spans.append(s)
-                    n_hit.append(covered(s) if s else 0)
-                    all_items.append(list(dict.fromkeys([*(own.ids[i] for i in sorted(items[r])), *old_items[row + r]])))
-            new = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "__items": pa.array(all_items, batch["__items"].type), "__spans": pa.array(all_spans, batch["__spans"].type)}
-            names = [c for c in batch.schema.names if not (last and c in ("__text", "__spans"))]
-            yield pa.RecordBatch.from_arrays([new.get(c, batch[c]) for c in names], names=names)
-
-    return scan
 
 
 ORACLE = r"""

@@ -122,15 +122,18 @@ class Words:
             out[at[np.add.reduceat(differ, first) > 0] if len(at) else at] = False
         return out
 
-    def normal(self) -> list[bytes]:
-        """The words of every row, joined by single spaces."""
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """All words with a space after each, and where each begins there (and the end)."""
         size = self.ends - self.starts
         first = np.cumsum(size) - size
-        inside = np.repeat(self.starts, size) + np.arange(int(size.sum())) - np.repeat(first, size)
-        flat = np.full(len(inside) + len(size), 32, np.uint8)  # a space after each word
+        inside = np.repeat(self.starts - first, size) + np.arange(int(size.sum()))
+        flat = np.full(len(inside) + len(size), 32, np.uint8)
         flat[np.arange(len(inside)) + np.repeat(np.arange(len(size)), size)] = self.data[inside]
-        edge = np.append(first, len(inside)) + np.arange(len(size) + 1)
-        raw = flat.tobytes()
+        return flat.tobytes(), np.append(first, len(inside)) + np.arange(len(size) + 1)
+
+    def normal(self) -> list[bytes]:
+        """The words of every row, joined by single spaces."""
+        raw, edge = self.spaced()
         return [raw[a : b - 1] if b > a else b"" for a, b in zip(edge[self.first[:-1]].tolist(), edge[self.first[1:]].tolist(), strict=True)]
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:

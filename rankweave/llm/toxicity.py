@@ -10,15 +10,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rankweave.llm.rows import named, packed, unpacked
 from rankweave.llm.scratch import received, send
 from rankweave.llm.words import NOT_SPACE, Words, _words, split_words
 
 #: Labelled documents that the model is fitted on at most (those with the least hashed ids).
 SAMPLE_DOCS = 5000
+#: Bytes of their texts that the fit takes at most, in one task; a text of more than a sixteenth of it stays out of the fit (not of the scores).
+SAMPLE_BYTES = 16 << 20
 #: Chi square (one degree of freedom) from which a piece of a word becomes a landmark; there is no cap on their number.
 LEVEL = 20.0
 #: Usual clean units at least; else one for every three toxic pieces.
@@ -165,6 +170,11 @@ def similarity(units: list[bytes], index: Index, marks_own: np.ndarray) -> np.nd
     return out
 
 
+def edged(unit: bytes) -> bytes:
+    """A unit between marks of its edges."""
+    return b"\x02" + unit + b"\x03"
+
+
 @dataclass
 class Units:
     """Units of the rows of a piece: words reduced to letters, and spelled-out words (rows of single letters) joined."""
@@ -177,7 +187,7 @@ class Units:
     def text(self, i: int) -> bytes:
         """The unit between marks of its edges."""
         w = self.letters
-        return b"\x02" + w.data[w.starts[i] : w.ends[i]].tobytes() + b"\x03"
+        return edged(w.data[w.starts[i] : w.ends[i]].tobytes())
 
 
 def units(words: Words, count: int) -> Units:
@@ -243,26 +253,25 @@ class Model:
     def __post_init__(self):
         self.index = Index(self.marks)
         self.own = np.maximum(subsequence_kernel(padded(self.marks, LANDMARK_BYTES)), 1e-12) if self.marks else np.zeros(0, np.float32)
-        self.cache: dict[int, float] = {}
+        self.cache: dict[bytes, float] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "cache": {}}
 
     def unit_scores(self, u: Units) -> np.ndarray:
         """What each unit adds to its sentence; distinct units are computed once."""
-        hashes, where, back = np.unique(u.letters.hashes, return_index=True, return_inverse=True)
-        known = [self.cache.get(h) for h in hashes.tolist()]
+        names, back = u.letters.distinct()
+        known = [self.cache.get(x) for x in names]
         missing = [i for i, x in enumerate(known) if x is None]
-        if missing and self.marks:
-            values = np.concatenate(
-                [similarity([u.text(where[i]) for i in missing[a : a + 4 * BLOCK_UNITS]], self.index, self.own) @ self.weights for a in range(0, len(missing), 4 * BLOCK_UNITS)]
-            )
-        else:
-            values = np.zeros(len(missing))
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        for i, x in zip(missing, values.tolist(), strict=True):
-            known[i] = self.cache[int(hashes[i])] = x
+        for a in range(0, len(missing), 4 * BLOCK_UNITS):
+            part = missing[a : a + 4 * BLOCK_UNITS]
+            values = similarity([edged(names[i]) for i in part], self.index, self.own) @ self.weights if self.marks else np.zeros(len(part))
+            for i, x in zip(part, values.tolist(), strict=True):
+                known[i] = x
+                if len(names[i]) <= UNIT_BYTES:
+                    self.cache[names[i]] = x
         return np.array(known, np.float64)[back] if known else np.zeros(0)
 
     def features(self, u: Units) -> np.ndarray:
@@ -292,15 +301,16 @@ def choose_landmarks(pieces: list[Units], y: np.ndarray, level: float = LEVEL) -
     Of pieces that share five bytes in a row only the best is taken.  Names are
     kept for units of toxic documents alone; clean ones are counted by hash.
     """
-    counts: dict[bytes, list[int]] = {}
+    held: dict[bytes, int] = {}
     toxic: Counter = Counter()
     for names, n in _by_label(pieces, y, 1):
         toxic.update(dict(zip(names, n, strict=True)))
     for unit, n in toxic.items():
         for g in affixes(unit):
-            counts.setdefault(g, [0, 0])[0] += n
+            held[g] = held.get(g, 0) + n
     del toxic
-    counts = {g: c for g, c in counts.items() if c[0] >= 3}
+    counts = {g: [n, 0] for g, n in held.items() if n >= 3}
+    del held
     for names, n in _by_label(pieces, y, 0):
         for unit, own in zip(names, n, strict=True):
             for g in affixes(unit):
@@ -430,8 +440,8 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
     done = 0
     for u in pieces:
         if len(u.rows):
-            hashes, where, back = np.unique(u.letters.hashes, return_index=True, return_inverse=True)
-            kernel = similarity([u.text(i) for i in where], model.index, model.own)
+            names, back = u.letters.distinct()
+            kernel = similarity([edged(x) for x in names], model.index, model.own)
             begins = np.flatnonzero(np.concatenate([[True], u.sentences[1:] != u.sentences[:-1]]))
             for a in range(0, len(begins), BLOCK_SENTENCES):
                 own = begins[a : a + BLOCK_SENTENCES]
@@ -452,33 +462,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most ``sample_docs`` labelled documents that are not held out, in one task, which returns the model alone."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``sample_docs`` labelled documents and ``sample_bytes`` of text that are not held out, in one task, which returns the model alone.
+
+    The sample is drawn by a hash of the id.  An id with several labels is toxic
+    if one of them says so; null ids and labels, and null texts, are no
+    examples.  Without examples of both kinds the model knows their rate alone.
+    """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
-    found = rows.select("text", F.col("toxic").cast("int").alias("toxic")).coalesce(1).mapInArrow(_fitter, "model binary").collect()
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes // 16).join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
+    found = rows.select("text", F.col("toxic").cast("int").alias("toxic")).coalesce(1).mapInArrow(_fitter(sample_bytes), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit([], [])
 
 
-def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = list(batches)
-    texts = pa.chunked_array([b["text"] for b in parts], pa.string()).combine_chunks()
-    model = fit(texts, [x for b in parts for x in b["toxic"].to_pylist()])
-    yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(model)], pa.binary())], names=["model"])
+def _fitter(sample_bytes: int):
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic, size = [], [], 0
+        for batch in batches:
+            ends = size + np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+            part = batch.slice(0, int(np.searchsorted(ends, sample_bytes, "right")))
+            texts.append(part["text"])
+            toxic += part["toxic"].to_pylist()
+            size = ends[-1] if len(ends) else size
+        model = fit(pa.chunked_array(texts, pa.string()).combine_chunks(), toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(model)], pa.binary())], names=["model"])
+
+    return fitted
 
 
 def _scorer(sent):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = received(sent)
         for batch in batches:
-            parts = [model.scores(units(words, count)) for _, count, words in split_words(batch["__text"], NOT_SPACE)]
-            names = [c for c in batch.schema.names if c != "__text"]
-            values = pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())
-            yield pa.RecordBatch.from_arrays([values if c == "score" else batch[c] for c in names], names=names)
+            parts = [model.scores(units(words, count)) for _, count, words in split_words(batch["text"], NOT_SPACE)]
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())], names=["row", "score"])
 
     return score
 
@@ -489,11 +510,11 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", carry
     Only the text enters the score.  Words are reduced to letters (signs and
     digits that look like letters count as such, words spelled in single letters
     are joined), and the kernel tolerates letters put in or left out.  Null and
-    empty texts get the score of a text without words.  Columns named score or
-    predicted are replaced.
+    empty texts get the score of a text without words; texts of any length are
+    scored whole; equal texts have equal scores; no rows give no rows.  Columns
+    named score or predicted, in any case, are replaced.
     """
-    kept = [c for c in (carry or docs.columns) if c not in ("score", "predicted")]
     sent = send(docs.sparkSession, model)
-    work = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text")).withColumn("score", F.lit(0.0))
-    out = work.mapInArrow(_scorer(sent), work.drop("__text").schema)
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    work = docs.select(packed(docs, ("score", "predicted"), carry).alias("row"), named(text_col).alias("text"))
+    out = work.mapInArrow(_scorer(sent), T.StructType([work.schema["row"], T.StructField("score", T.DoubleType())]))
+    return out.select(*unpacked(out), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -3,6 +3,7 @@
 import math
 import random
 import time
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -532,3 +533,41 @@ def test_landmark_index_against_the_kernel():
     marks = [u for u in units if 5 <= len(u) <= toxicity.LANDMARK_BYTES]
     want = toxicity.subsequence_kernel(toxicity.padded(units, 22), toxicity.padded(marks, toxicity.LANDMARK_BYTES))
     assert np.allclose(toxicity.Index(marks).kernel(toxicity.padded(units, 22)), want, rtol=1e-4, atol=1e-6)
+
+
+def test_kernel_against_all_subsequences():
+    rng = random.Random(5)
+    strings = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    got = toxicity.subsequence_kernel(toxicity.padded(strings, 9), toxicity.padded(strings, 9))
+
+    def plain(s, t, order=toxicity.ORDER, decay=toxicity.DECAY):
+        weigh = lambda x: [(bytes(x[i] for i in at), decay ** (at[-1] - at[0] + 1)) for at in combinations(range(len(x)), order)]
+        return sum(v * w for a, v in weigh(s) for b, w in weigh(t) if a == b)
+
+    assert np.allclose(got, [[plain(s, t) for t in strings] for s in strings], rtol=1e-4, atol=1e-6)
+    assert np.allclose(toxicity.subsequence_kernel(toxicity.padded(strings, 9)), [plain(s, s) for s in strings], rtol=1e-4, atol=1e-6)
+
+
+# --- columns of other names ---
+
+ADDED = {
+    "main_text": (lambda spark, rows: main_text.extract_main_text(rows, html_col="text"), {"text", "n_chars"}),
+    "token_counts": (lambda spark, rows: token_counts.count_tokens(rows, {b"a"}, {b"a"}), {"n_words", "n_tokens"}),
+    "leaks": (lambda spark, rows: decontaminate.find_leaks(rows, rows.select(F.col("doc_id").alias("item_id"), "text")), {"n_words", "n_hit", "items", "contaminated"}),
+    "mixing": (lambda spark, rows: mixing.mix_sources(rows), {"size", "source_size", "target", "copies", "taken"}),
+    "urls": (lambda spark, rows: url_rules.filter_urls(rows, url_rules.rules_frame(spark), url_col="text"), {"host", "path", "rule", "verdict"}),
+    "toxicity": (lambda spark, rows: toxicity.score_documents(rows, toxicity.fit([], [])), {"score", "predicted"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ADDED))
+def test_clashing_columns(spark, name):
+    function, added = ADDED[name]
+    rows = docs(spark, [(1, "a b c"), (1, "a b c"), (None, None), (2, "")])
+    private = ["row", "best", "__html", "__text", "__id", "__source", "__part", "__index", "text_key", "part", "mark", "slot", "hot", "own", "a.b", "index", "range", "n", "none"]
+    others = {c: F.lit(i) for i, c in enumerate([*private, *(c.upper() for c in sorted(added) if c != "text")])}
+    got = function(spark, rows.withColumns(others))
+    assert set(got.columns) == added | set(private) | set(rows.columns)
+    found = got.collect()
+    assert len(found) == 4 and all(r["a.b"] == private.index("a.b") and r["row"] == 0 for r in found)
+    assert function(spark, rows.limit(0)).count() == 0

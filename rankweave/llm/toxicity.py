@@ -426,7 +426,7 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
     y = np.array(toxic, np.float64)
     flat = (np.zeros(FEATURES), np.ones(FEATURES))
     none = np.zeros(FEATURES)
-    rate = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    rate = np.log((y.sum() + 1) / (len(y) - y.sum() + 2))  # without examples nothing is called toxic
     if not len(y) or y.min() == y.max():
         return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
     marks = choose_landmarks(pieces, y, level)

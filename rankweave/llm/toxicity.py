@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from rankweave.llm.rows import named, packed, unpacked
 from rankweave.llm.scratch import received, send
-from rankweave.llm.words import NOT_SPACE, Words, _words, split_words
+from rankweave.llm.words import NOT_SPACE, Words, _words, mix, split_words
 
 #: Labelled documents that the model is fitted on at most (those with the least hashed ids).
 SAMPLE_DOCS = 5000
@@ -295,6 +295,65 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
 
 
+@dataclass
+class Sentences:
+    """Of a piece: where its sentences begin, which of them stand for the sample's distinct ones, and the labels of these (1 if most rows that hold one are toxic)."""
+
+    begins: np.ndarray
+    chosen: np.ndarray
+    labels: np.ndarray
+
+
+def distinct_sentences(pieces: list[Units], y: np.ndarray, fresh: list[np.ndarray]) -> list[Sentences]:
+    """Sentences of the sample of which at least half the units are fresh, of equal ones (the same units in any order) the first, so that copies count once."""
+    begins, keys, votes, new, done = [], [], [], [], 0
+    for u, own in zip(pieces, fresh, strict=True):
+        at = np.flatnonzero(np.concatenate([[True], u.sentences[1:] != u.sentences[:-1]])) if len(u.rows) else np.zeros(0, np.int64)
+        begins.append(at)
+        keys.append(np.add.reduceat(mix(u.letters.hashes), at) if len(at) else np.zeros(0, np.uint64))
+        votes.append(y[done + u.rows[at]])
+        new.append(2 * np.add.reduceat(own.astype(np.int64), at) >= np.diff(np.append(at, len(own))) if len(at) else np.zeros(0, dtype=bool))
+        done += u.count
+    every, vote = np.concatenate(keys), np.concatenate(votes)
+    _, first, back, n = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+    toxic = np.bincount(back, vote, minlength=len(n)) * 2 > n
+    stands = np.zeros(len(every), dtype=bool)
+    stands[first] = True
+    stands &= np.concatenate(new)
+    out, done = [], 0
+    for at in begins:
+        chosen = np.flatnonzero(stands[done : done + len(at)])
+        out.append(Sentences(at, chosen, toxic[back[done + chosen]].astype(np.float64)))
+        done += len(at)
+    return out
+
+
+def fresh_units(pieces: list[Units]) -> list[np.ndarray]:
+    """Which units stand between neighbours that no earlier one of the same text stood between, so that copies and near copies count once."""
+    keys = []
+    for u in pieces:
+        h = u.letters.hashes
+        near = np.zeros((2, len(h)), np.uint64)
+        same = u.rows[1:] == u.rows[:-1]
+        near[0, 1:], near[1, :-1] = np.where(same, h[:-1], 0), np.where(same, h[1:], 0)
+        keys.append(mix(mix(near[0] + np.uint64(1)) + h) ^ mix(near[1] + np.uint64(2)))
+    first = np.zeros(sum(map(len, keys)), dtype=bool)
+    first[np.unique(np.concatenate(keys), return_index=True)[1]] = True
+    return np.split(first, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def of_sentences(s: Sentences, size: int) -> np.ndarray:
+    """Which units are in the chosen sentences."""
+    ends = np.append(s.begins[1:], size)
+    return np.repeat(np.isin(np.arange(len(s.begins)), s.chosen), ends - s.begins) if len(s.begins) else np.zeros(0, dtype=bool)
+
+
+def only(u: Units, keep: np.ndarray) -> Units:
+    """Some of the units."""
+    w = u.letters
+    return Units(Words(w.data, w.starts[keep], w.ends[keep], w.rows, w.hashes[keep], w.first), u.rows[keep], u.sentences[keep], u.count)
+
+
 def choose_landmarks(pieces: list[Units], y: np.ndarray, level: float = LEVEL) -> list[bytes]:
     """Starts and ends of units that toxic documents use more than chance allows (chi square of ``level`` or more), and frequent units of clean ones.
 
@@ -417,8 +476,8 @@ def fit_calibration(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarra
 def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEVEL) -> Model:
     """Fit on whole texts with labels.
 
-    Sentences are the examples of the machine and have the label of their
-    document; sentences of toxic documents without an insult are noise that the
+    Distinct sentences are the examples of the machine and have the label that
+    most documents with them have; sentences of toxic documents without an insult are noise that the
     clean ones outvote.  Documents are then calibrated by logistic regression.
     """
     texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
@@ -429,29 +488,39 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
     rate = np.log((y.sum() + 1) / (len(y) - y.sum() + 2))  # without examples nothing is called toxic
     if not len(y) or y.min() == y.max():
         return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
-    marks = choose_landmarks(pieces, y, level)
+    fresh = fresh_units(pieces)
+    marks = choose_landmarks([only(u, f) for u, f in zip(pieces, fresh, strict=True)], y, level)
     if not marks:
         return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
     model = Model(marks, np.zeros(len(marks)), 0.0, np.append(none, 0.0), flat)
     gram = similarity(marks, model.index, model.own)
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))[None, :]  # Nystroem map of kernel values
-    rows, labels = [], []
-    done = 0
+    # the kernel of every distinct unit with all landmarks is computed once
+    names: dict[bytes, int] = {}
+    which = []
     for u in pieces:
-        if len(u.rows):
-            names, back = u.letters.distinct()
-            kernel = similarity([edged(x) for x in names], model.index, model.own)
-            begins = np.flatnonzero(np.concatenate([[True], u.sentences[1:] != u.sentences[:-1]]))
-            for a in range(0, len(begins), BLOCK_SENTENCES):
-                own = begins[a : a + BLOCK_SENTENCES]
-                end = begins[a + BLOCK_SENTENCES] if a + BLOCK_SENTENCES < len(begins) else len(back)
-                rows.append((np.add.reduceat(kernel[back[own[0] : end]], own - own[0], axis=0).astype(np.float64) @ root).astype(np.float32))
-                labels.append(2 * y[done + u.rows[own]] - 1)
-        done += u.count
+        here, back = u.letters.distinct()
+        which.append(np.array([names.setdefault(x, len(names)) for x in here], np.int32)[back] if here else np.zeros(0, np.int32))
+    kernel = np.zeros((len(names), len(marks)), np.float16)
+    every = list(names)
+    for a in range(0, len(every), 4 * BLOCK_UNITS):
+        kernel[a : a + 4 * BLOCK_UNITS] = similarity([edged(x) for x in every[a : a + 4 * BLOCK_UNITS]], model.index, model.own)
+    rows, labels = [], []
+    for u, s, ids in zip(pieces, distinct_sentences(pieces, y, fresh), which, strict=True):
+        ids = ids[of_sentences(s, len(u.rows))]
+        begins = np.cumsum(np.append(0, np.diff(np.append(s.begins, len(u.rows)))[s.chosen]))
+        for a in range(0, len(s.chosen), BLOCK_SENTENCES):
+            at = begins[a : a + BLOCK_SENTENCES + 1]
+            rows.append((np.add.reduceat(kernel[ids[at[0] : at[-1]]].astype(np.float32), at[:-1] - at[0], axis=0).astype(np.float64) @ root).astype(np.float32))
+            labels.append(2 * s.labels[a : a + BLOCK_SENTENCES] - 1)
     w = fit_machine(rows, labels)
     model.weights, model.offset = root @ w[:-1], float(w[-1])
-    x = np.concatenate([model.features(u) for u in pieces])
+    del rows
+    for a in range(0, len(every), 4 * BLOCK_UNITS):
+        model.cache.update(zip(every[a : a + 4 * BLOCK_UNITS], (kernel[a : a + 4 * BLOCK_UNITS].astype(np.float64) @ model.weights).tolist(), strict=True))
+    del kernel
+    x = np.concatenate([model.features(u) for u in pieces])  # from the cache
     model.scale = (x.mean(0), np.maximum(x.std(0), 1e-6))
     model.calibration = fit_calibration((x - model.scale[0]) / model.scale[1], y)
     model.cache.clear()

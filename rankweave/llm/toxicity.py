@@ -32,6 +32,8 @@ LEAST_USUAL = 6
 UNIT_BYTES = 32
 LANDMARK_BYTES = 12
 ORDER, DECAY, POWER = 3, 0.5, 3
+#: A subsequence stretches over this many bytes at most: two may be put in between three.
+SPAN = 5
 #: A sentence ends at one of .!? or a line's end, or after this many words.
 SENTENCE_WORDS = 25
 CACHE_UNITS = 300_000
@@ -103,11 +105,35 @@ def padded(units: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def stretches(length: int, order: int, decay: float, span: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of a string that stretch over ``span`` bytes at most, and their weights."""
+    at = [x for x in combinations(range(length), order) if span is None or x[-1] - x[0] < span]
+    places = np.array(at, np.int64).reshape(-1, order).T
+    return places, decay ** (places[-1] - places[0] + 1.0)
+
+
+def own_kernel(s: np.ndarray, order: int = ORDER, decay: float = DECAY, span: int | None = SPAN) -> np.ndarray:
+    """The kernel of byte strings of one length each with itself."""
+    at, weights = stretches(s.shape[1], order, decay, span)
+    if not len(weights) or not len(s):
+        return np.zeros(len(s))
+    codes = s[:, at[0]].astype(np.int64)
+    for x in at[1:]:
+        codes = codes * 256 + s[:, x]
+    sort = np.argsort(codes, axis=1)
+    codes = np.take_along_axis(codes, sort, 1)
+    new = np.ones(codes.shape, dtype=bool)
+    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    begins = np.flatnonzero(new)
+    return np.bincount(begins // len(weights), np.add.reduceat(weights[sort].ravel(), begins) ** 2, minlength=len(s))
+
+
 class Index:
     """Landmarks by their subsequences of ``order`` bytes, so that a unit meets only landmarks that share one with it."""
 
-    def __init__(self, marks: list[bytes], order: int = ORDER, decay: float = DECAY):
-        self.order, self.decay, self.size = order, decay, len(marks)
+    def __init__(self, marks: list[bytes], order: int = ORDER, decay: float = DECAY, span: int | None = None):
+        self.order, self.decay, self.span, self.size = order, decay, span, len(marks)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         used = sorted(set(b"".join(marks)))
         self.symbol = np.zeros(256, np.int32)  # 0: in no landmark
         self.symbol[used] = np.arange(1, len(used) + 1)
@@ -123,8 +149,9 @@ class Index:
         self.weight = np.array([entries[x] for x in held], np.float64)
 
     def _places(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(list(combinations(range(length), self.order)), np.int64).reshape(-1, self.order).T
-        return at, self.decay ** (at[-1] - at[0] + 1.0)
+        if length not in self.known:
+            self.known[length] = stretches(length, self.order, self.decay, self.span)
+        return self.known[length]
 
     def _codes(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         codes = symbols[:, at[0]]
@@ -160,7 +187,7 @@ def similarity(units: list[bytes], index: Index, marks_own: np.ndarray) -> np.nd
         end = min(a + BLOCK_UNITS, len(parts), int(np.searchsorted(sizes, sizes[a], "right")))  # units of one length
         part = parts[a:end]
         s = padded([u for _, u in part], max(1, len(part[-1][1])))
-        norm = np.sqrt(np.maximum(subsequence_kernel(s), 1e-12)[:, None] * marks_own[None, :])
+        norm = np.sqrt(np.maximum(own_kernel(s), 1e-12)[:, None] * marks_own[None, :])
         value = np.minimum(1.0, index.kernel(s) / norm) ** POWER
         rows = np.array([i for i, _ in part])
         if len(np.unique(rows)) == len(rows):
@@ -251,8 +278,8 @@ class Model:
     scale: tuple[np.ndarray, np.ndarray]
 
     def __post_init__(self):
-        self.index = Index(self.marks)
-        self.own = np.maximum(subsequence_kernel(padded(self.marks, LANDMARK_BYTES)), 1e-12) if self.marks else np.zeros(0, np.float32)
+        self.index = Index(self.marks, span=SPAN)
+        self.own = np.array([max(1e-12, own_kernel(padded([x], len(x)))[0]) for x in self.marks], np.float64)
         self.cache: dict[bytes, float] = {}
 
     def __getstate__(self):

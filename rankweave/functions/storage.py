@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset (local runs and tests)."""
+    """``spark.checkpoint.dir``, or a temporary folder where it is unset (local sessions and tests); an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='rankweave-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

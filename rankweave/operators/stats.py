@@ -28,8 +28,11 @@ def bootstrap(scores: DataFrame, column: str, resamples: int = 1000, seed: int =
 
     Such scores matter only by how many are 1, so a resample counts draws below
     that number; its draws are made where they are counted, from two scalars.
+    Any other score is an error; null ones are left out.
     """
-    total = scores.agg(F.count(column).alias("n"), F.coalesce(F.sum(F.col(column).cast("long")), F.lit(0)).alias("ones")).where("n > 0")
+    value = F.col(column)
+    known = F.when(value.isin(0, 1), value.cast("long")).when(value.isNotNull(), F.raise_error(F.lit("a score is neither 0 nor 1")).cast("long"))
+    total = scores.agg(F.count(column).alias("n"), F.coalesce(F.sum(known), F.lit(0)).alias("ones")).where("n > 0")
     spark = scores.sparkSession
     tries = spark.range(resamples).withColumnRenamed("id", "resample")
     rows = tries.join(F.broadcast(total))  # one row of totals

@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     spark = SparkSession.builder.appName("rankweave").getOrCreate()
-    ratings = sources.load_ratings(spark, args.dataset, data_path(args))
+    ratings = sources.load_ratings(spark, args.dataset, data_path(args), sources.ON_DUPLICATE.get(args.dataset))
     os.makedirs(args.out, exist_ok=True)
     policy = experiments.POLICIES[args.dataset]
     if args.experiment == "ranking":

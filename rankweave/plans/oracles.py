@@ -152,7 +152,7 @@ ORACLES = {
     "candidates_sampled": _sql(f"SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {H}, item_id) AS k FROM cand) WHERE k <= 10", _SPLIT, _CANDIDATES),
     "candidates_negative": _sql(
         f"""SELECT user_id, item_id, true AS is_test FROM test UNION ALL
-            SELECT user_id, item_id, false FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {H}, item_id) AS k FROM free) WHERE k <= 20""",
+            SELECT user_id, item_id, false FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {H}, item_id) AS k FROM free) WHERE k <= 100""",
         _SPLIT,
         """free AS (SELECT u.user_id, i.item_id FROM (SELECT DISTINCT user_id FROM test) u CROSS JOIN (SELECT DISTINCT item_id FROM sp) i
                     ANTI JOIN sp t ON u.user_id = t.user_id AND i.item_id = t.item_id)""",
@@ -180,7 +180,7 @@ ORACLES = {
     "bootstrap_ci": _sql(
         """SELECT round(avg(mean), 9) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM (
              SELECT b, avg(CASE WHEN ((((b * 1000003 + p * 7919 + 42 * 104729) % 2147483647) * 48271) % 2147483647) % n < ones THEN 1.0 ELSE 0.0 END) AS mean
-             FROM (SELECT count(*) AS n, sum(contradicts) AS ones FROM st), range(200) AS x(b), unnest(range(n)) AS y(p) GROUP BY 1)""",
+             FROM (SELECT count(*) AS n, sum(contradicts) AS ones FROM st), range(1000) AS x(b), unnest(range(n)) AS y(p) GROUP BY 1)""",
         *_STRONG,
     ),
     "train_plus_test": _sql("SELECT user_id, item_id, sum(rating) AS rating FROM sp GROUP BY 1, 2", _SPLIT),

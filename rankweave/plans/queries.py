@@ -169,7 +169,7 @@ def candidates_sampled(spark, d):
 
 def candidates_negative(spark, d):
     train, test = split(spark, d)
-    return candidates.negative_sampling(train, test, 20)
+    return candidates.negative_sampling(train, test)
 
 
 def candidates_rerank(spark, d):
@@ -257,7 +257,7 @@ def macro_stats(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    own = stats.bootstrap(scoring.pair_scores(_pairs(spark, d)), "contradicts", 200)
+    own = stats.bootstrap(scoring.pair_scores(_pairs(spark, d)), "contradicts")
     return own.select(*(r(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
@@ -286,7 +286,7 @@ def best_sweep(spark, d):
         error = stats.rmse(scaling.score_cells(test, scaling.fit_sweeps(train, k)))
         lists = ranking.top_items(item_scores(train, test, k), train, TOP)
         gain = ranking.macro(ranking.ranking_metrics(lists, test, TOP))
-        one = error.crossJoin(gain).select(F.lit(k).cast("long").alias("k"), r("rmse", 9).alias("rmse"), r("ndcg", 9).alias("ndcg"))  # one row each
+        one = error.join(F.broadcast(gain), F.lit(True)).select(F.lit(k).cast("long").alias("k"), r("rmse", 9).alias("rmse"), r("ndcg", 9).alias("ndcg"))  # one row each
         rows = one if rows is None else rows.unionByName(one)
     return stats.best_k(rows)
 

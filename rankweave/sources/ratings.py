@@ -152,11 +152,23 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def load_ratings(spark: SparkSession, dataset: str, folder: str) -> DataFrame:
-    """Ratings of a known set; zero and missing ratings are no ratings."""
+#: How repeated pairs of a set are brought together: the last one by time wins, or they add up.
+ON_DUPLICATE = {"ML-100K": "last", "ML-1M": "last", "ML-20M": "sum", "Netflix": "sum"}
+
+
+def load_ratings(spark: SparkSession, dataset: str, folder: str, on_duplicate: str | None = None) -> DataFrame:
+    """Ratings of a known set; zero and missing ratings are no ratings.
+
+    Pairs that are rated again become one row (user_id, item_id, rating) by
+    ``on_duplicate`` (see ``deduplicate``; ON_DUPLICATE has what a set's matrix
+    is put together by); None keeps all rows and their times.
+    """
     if dataset not in READERS:
         raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(READERS)}")
-    return READERS[dataset](spark, folder).where("rating > 0")
+    rows = READERS[dataset](spark, folder).where("rating > 0")
+    if on_duplicate is None:
+        return rows
+    return deduplicate(rows, on_duplicate)
 
 
 def load_config(path: str) -> dict:

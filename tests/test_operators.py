@@ -185,6 +185,8 @@ def test_readers(spark, tmp_path):
     assert {r["part"] for r in sources.read_ml100k_split(spark, d).collect()} == {"train", "test"}
     with pytest.raises(ValueError):
         sources.load_ratings(spark, "?", d)
+    assert {tuple(r) for r in sources.load_ratings(spark, "ML-100K", d, "last").collect()} == {(1, 2, 3.0), (5, 6, 1.0)}
+    assert [tuple(r) for r in sources.load_ratings(spark, "ML-20M", d, "sum").collect()] == [(1, 2, 3.5)]
 
 
 def test_blocks(spark, tmp_path):
@@ -211,3 +213,12 @@ def test_whole_experiments_and_sinks(spark, tmp_path):
     assert experiments.run_strong_and_subtle(own, "lenient").where("metric = 'n'").count() == 2
     rows, best = experiments.run_sweep(own, [1, 3])
     assert rows.count() == 2 and best.first()["k_rmse"] in (1, 3)
+
+
+def test_scores_of_cold_cells_and_bad_bootstrap_scores(spark):
+    train = spark.createDataFrame([(1, 1, 5.0), (1, 2, 3.0), (2, 1, 4.0), (2, 2, 1.0)], "user_id long, item_id long, rating double")
+    cells = spark.createDataFrame([(1, 1, 5.0), (1, 9, 2.0), (8, 1, 3.0)], "user_id long, item_id long, rating double")
+    got = {(r["user_id"], r["item_id"]): r["score"] for r in svd.score_cells(cells, svd.truncated_svd(train, 2), [2]).collect()}
+    assert got[1, 9] == got[8, 1] == 0.0 and got[1, 1] == pytest.approx(5.0, abs=1e-6)
+    with pytest.raises(Exception, match="neither 0 nor 1"):
+        stats.bootstrap(cells, "rating", 10).collect()

@@ -54,8 +54,9 @@ def rmse(scored: DataFrame) -> DataFrame:
 
 
 def best_k(sweep: DataFrame) -> DataFrame:
-    """From rows (k, rmse, ndcg): the k of the least rmse and of the greatest ndcg; the smallest k on ties."""
+    """From rows (k, rmse, ndcg...): the k of the least rmse and of the greatest value of each ndcg column; the smallest k on ties."""
+    gains = [c for c in sweep.columns if c.startswith("ndcg")]
     return sweep.agg(
         F.min(F.struct("rmse", "k"))["k"].alias("k_rmse"),
-        (-F.max(F.struct("ndcg", (-F.col("k")).alias("minus")))["minus"]).alias("k_ndcg"),
+        *((-F.max(F.struct(c, (-F.col("k")).alias("minus")))["minus"]).alias(f"k_{c}") for c in gains),
     )

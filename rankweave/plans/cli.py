@@ -8,6 +8,7 @@ import os
 
 from pyspark.sql import SparkSession
 
+from rankweave.functions.storage import written
 from rankweave.plans import experiments
 from rankweave.sources import ratings as sources
 from rankweave.sources import sinks
@@ -49,8 +50,10 @@ def main(argv: list[str] | None = None) -> None:
         return
     else:
         run = experiments.run_long_tail if args.experiment == "long_tail" else experiments.run_strong_and_subtle
-        metrics = run(ratings, policy, seed=args.seed)
-        sinks.write_json(metrics, f"{args.out}/{sinks.result_name(args.experiment, [1, 4], args.dataset, args.seed)}")
+        metrics = written(run(ratings, policy, seed=args.seed), "metrics")
+        for start in (1, 4):  # one file for each pair of levels
+            own = metrics.where(metrics["method"].endswith(f"_{start}_5"))
+            sinks.write_json(own, f"{args.out}/{sinks.result_name(args.experiment, [start, 5], args.dataset, args.seed)}")
     metrics.show(100, truncate=False)
 
 

@@ -19,23 +19,25 @@ POLICIES = {"ML-100K": "strict", "ML-1M": "strict", "Douban_monti": "strict", "M
 
 def _long(rows: DataFrame, method: str, columns: list[str], suffix: str = "") -> DataFrame:
     """One row of metrics as (method, metric, value)."""
-    pairs = F.array(*(F.struct(F.lit(f"{c}{suffix}").alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))
+    pairs = F.array(*(F.struct(F.lit(f"{c}{suffix}").alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns))
     return rows.select(F.lit(method).alias("method"), F.explode(pairs).alias("x")).select("method", "x.metric", "x.value")
 
 
 def run_ranking(ratings: DataFrame, ks=(5, 10, 20), threshold: float = 4.0, test_ratio: float = 0.2, seed: int = 42, epsilon: float = 1e-9, first_side: str = "item") -> tuple[DataFrame, DataFrame]:
     """Holdout, fit, lists over all items, metrics at every k and the global rank distance.
 
-    Returns (metrics, per_user): (method, metric, value) and a row for each user and k.  Failures are raised.
+    Returns (metrics, per_user): (method, metric, value), the seconds of fit and lists among them, and a row for each user and k.  Failures are raised.
     """
     both = written(sampling.holdout(ratings.select(*_OWN), test_ratio, 5, threshold, seed), "split")
     train, test = both.where("NOT is_test").select(*_OWN), both.where("is_test").select(*_OWN)
     began = time.time()
     fit = scaling.fit_until(train, epsilon, first_side)
-    log.info("fitted in %d steps (converged: %s), %.1f s", fit.steps, fit.converged, time.time() - began)
+    trained = time.time()
+    log.info("fitted in %d steps (converged: %s), %.1f s", fit.steps, fit.converged, trained - began)
     items = both.select("item_id").distinct().join(fit.items, "item_id", "left").select("item_id", F.coalesce("b", F.lit(0.0)).alias("score"))
     items = written(items, "item-scores")
     top = written(ranking.top_items(items, train, max(ks)), "lists")
+    seconds = {"Train(s)": trained - began, "Infer(s)": time.time() - trained}
     metrics, users = None, None
     for k in ks:
         own = ranking.ranking_metrics(top, test, k).withColumn("k", F.lit(k))
@@ -45,7 +47,8 @@ def run_ranking(ratings: DataFrame, ks=(5, 10, 20), threshold: float = 4.0, test
         one = _long(ranking.macro(users.where(F.col("k") == k)), "UC", ["precision", "recall", "ndcg"], f"@{k}")
         metrics = one if metrics is None else metrics.unionByName(one)
     order = ranking.kendall(both.select(*_OWN).join(items, "item_id"))
-    return metrics.unionByName(_long(order, "UC", ["concordant", "discordant", "ties", "distance"], "")), users
+    times = order.sparkSession.range(1).select(*(F.lit(x).alias(c) for c, x in seconds.items()))
+    return metrics.unionByName(_long(order, "UC", ["concordant", "discordant", "ties", "distance"])).unionByName(_long(times, "UC", list(seconds))), users
 
 
 def _pair_metrics(train: DataFrame, test: DataFrame, policy: str, epsilon: float, seed: int, method: str) -> DataFrame:
@@ -81,8 +84,9 @@ def run_strong_and_subtle(ratings: DataFrame, policy: str = "strict", starts=(1.
     return out
 
 
-def run_sweep(ratings: DataFrame, ks: list[int], top: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rows, best): error and ndcg of truncated SVD for each k, and the k that is best by each."""
+def run_sweep(ratings: DataFrame, ks: list[int], tops: tuple[int, ...] = (10, 20), seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rows, best): error and ndcg of truncated SVD for each k, with the seconds of the whole sweep, and the k that is best by each."""
+    began = time.time()
     both = written(sampling.holdout(ratings.select(*_OWN), 0.2, 5, 1.0, seed), "split")
-    rows = written(svd.sweep(both.where("NOT is_test").select(*_OWN), both.where("is_test").select(*_OWN), ks, top), "sweep")
-    return rows, stats.best_k(rows)
+    rows = written(svd.sweep(both.where("NOT is_test").select(*_OWN), both.where("is_test").select(*_OWN), ks, tops), "sweep")
+    return rows.withColumn("sweep_s", F.lit(time.time() - began)), stats.best_k(rows)

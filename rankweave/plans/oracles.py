@@ -102,6 +102,23 @@ tail AS (SELECT * FROM cum WHERE cum_share > CAST(0.33 AS DOUBLE))"""
 _CANDIDATES = """
 cand AS (SELECT u.user_id, i.item_id FROM (SELECT DISTINCT user_id FROM train) u CROSS JOIN (SELECT DISTINCT item_id FROM train) i
          ANTI JOIN train t ON u.user_id = t.user_id AND i.item_id = t.item_id)"""
+
+
+def _drawn(cells: str, source: str) -> str:
+    """CTE drawn: the free cells of a user with their place k in the user's own order of draws."""
+    h = pair_hash_sql("user_id", "0")
+    return f"""
+it AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place FROM (SELECT DISTINCT item_id FROM {source})),
+cnt AS (SELECT greatest(2, count(*)) AS n FROM it),
+pr AS MATERIALIZED (SELECT min(p) AS p FROM (SELECT unnest(range(n, 2 * n + 1)) AS p FROM cnt)
+                    WHERE len(list_filter(range(2, CAST(floor(sqrt(p)) AS BIGINT) + 1), lambda d: p % d = 0)) = 0),
+ab AS MATERIALIZED (SELECT user_id, p, 1 + h % (p - 1) AS a, (h // (p - 1)) % p AS b
+                    FROM (SELECT user_id, p, {h} AS h FROM (SELECT DISTINCT user_id FROM {cells}), pr)),
+dr AS (SELECT user_id, t, (a * t + b) % p AS place FROM (SELECT user_id, p, a, b, unnest(range(p)) AS t FROM ab)),
+drawn AS (SELECT dr.user_id, it.item_id, row_number() OVER (PARTITION BY dr.user_id ORDER BY t) AS k
+          FROM dr JOIN it ON dr.place = it.place SEMI JOIN {cells} c ON dr.user_id = c.user_id AND it.item_id = c.item_id)"""
+
+
 _TOP_SELECT = "SELECT user_id, item_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM top"
 
 ORACLES = {
@@ -149,13 +166,13 @@ ORACLES = {
     "scale_complete": _sql("""SELECT s.user_id, s.item_id, round(CASE WHEN is_test THEN exp(coalesce(a, 0) + coalesce(b, 0)) ELSE rating END, 6) AS value
                               FROM sp s LEFT JOIN a4 ON s.user_id = a4.user_id LEFT JOIN b4 ON s.item_id = b4.item_id""", _SPLIT, _FIT),
     "candidates_full": _sql("SELECT user_id, count(*) AS n_candidates, CAST(sum(item_id) AS BIGINT) AS item_sum FROM cand GROUP BY 1", _SPLIT, _CANDIDATES),
-    "candidates_sampled": _sql(f"SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {H}, item_id) AS k FROM cand) WHERE k <= 10", _SPLIT, _CANDIDATES),
+    "candidates_sampled": _sql("SELECT user_id, item_id FROM drawn WHERE k <= 10", _SPLIT, _CANDIDATES, _drawn("cand", "train")),
     "candidates_negative": _sql(
-        f"""SELECT user_id, item_id, true AS is_test FROM test UNION ALL
-            SELECT user_id, item_id, false FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {H}, item_id) AS k FROM free) WHERE k <= 100""",
+        "SELECT user_id, item_id, true AS is_test FROM test UNION ALL SELECT user_id, item_id, false FROM drawn WHERE k <= 100",
         _SPLIT,
         """free AS (SELECT u.user_id, i.item_id FROM (SELECT DISTINCT user_id FROM test) u CROSS JOIN (SELECT DISTINCT item_id FROM sp) i
                     ANTI JOIN sp t ON u.user_id = t.user_id AND i.item_id = t.item_id)""",
+        _drawn("free", "sp"),
     ),
     "candidates_rerank": _sql("SELECT DISTINCT user_id, item_id FROM test", _SPLIT),
     "candidate_totals": _sql("SELECT CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS average FROM (SELECT user_id, count(*) AS n FROM cand GROUP BY 1)", _SPLIT, _CANDIDATES),

@@ -177,8 +177,8 @@ def candidates_rerank(spark, d):
 
 
 def candidate_totals(spark, d):
-    found = candidates.full_ranking(split(spark, d)[0]).groupBy("user_id").count()
-    return found.agg(F.sum("count").alias("total"), r(F.avg("count"), 6).alias("average"))
+    found = candidates.full_ranking_counts(split(spark, d)[0])
+    return found.agg(F.sum("n_candidates").alias("total"), r(F.avg("n_candidates"), 6).alias("average"))
 
 
 def array_candidates(spark, d):
@@ -309,6 +309,14 @@ def svd_scores(spark, d):
     return svd.score_cells(test.select("user_id", "item_id", "rating"), found, [1, 5]).withColumn("score", r("score", 4))
 
 
+def svd_sweep(spark, d):
+    """Error and ndcg at 10 and 20 for 1, 3, 5, ... 99 components of one decomposition; rounded, as iteration leaves some digits open."""
+    both = written(sampling.holdout(ratings_from_orders(spark, d), 0.2, 5, 1.0), "split")
+    own = ["user_id", "item_id", "rating"]
+    rows = svd.sweep(both.where("is_test = false").select(*own), both.where("is_test").select(*own), list(range(1, 100, 2)))
+    return rows.select("k", *(r(c, 4).alias(c) for c in ("rmse", "ndcg_10", "ndcg_20")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -319,6 +327,6 @@ QUERIES = {
         scale_converged, candidates_full, candidates_sampled, candidates_negative, candidates_rerank, candidate_totals,
         array_candidates, predictions_dict_explode, topk_items, topk_all_candidates, precision_recall_ndcg, ndcg_per_user,
         ranking_binary, hit_rate, pair_scores_strict, pair_scores_lenient, tied_predictions, macro_stats, bootstrap_ci,
-        train_plus_test, kendall_global, rmse, best_sweep, netflix_blocks, svd_scores,
+        train_plus_test, kendall_global, rmse, best_sweep, netflix_blocks, svd_scores, svd_sweep,
     )
 }

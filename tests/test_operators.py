@@ -150,6 +150,21 @@ def test_candidates(spark):
     assert candidates.full_ranking(train, negatives=1).count() == 2
 
 
+def test_draws_are_whole_unseen_and_differ_by_user(spark):
+    rng = np.random.default_rng(8)
+    rows = {(int(u), int(i)) for u, i in rng.integers(0, 40, (500, 2))} | {(99, i) for i in range(38)}
+    train = frame(spark, [(u, i, 1 + (u + i) % 5) for u, i in rows])
+    items = {i for _, i in rows}
+    for n in (1, 7, 100):
+        got = [(r["user_id"], r["item_id"]) for r in candidates.full_ranking(train, negatives=n).collect()]
+        assert len(set(got)) == len(got) and not set(got) & rows
+        for u in {u for u, _ in rows}:
+            assert sum(x == u for x, _ in got) == min(n, len(items) - sum(x == u for x, _ in rows))
+        assert got and (n > 1 or len({i for _, i in got}) > 10)
+    counts = {r["user_id"]: r["n_candidates"] for r in candidates.full_ranking_counts(train).collect()}
+    assert counts == {r["user_id"]: r["count"] for r in candidates.full_ranking(train).groupBy("user_id").count().collect()}
+
+
 def test_top_lists_equal_those_of_all_candidates(spark):
     rng = np.random.default_rng(3)
     train = frame(spark, [(u, i, 5) for u, i in {(int(a), int(b)) for a, b in rng.integers(0, 25, (200, 2))}])
@@ -173,6 +188,48 @@ def test_svd_against_numpy(spark):
     assert found.values == pytest.approx(s[:3].tolist(), rel=1e-4)
 
 
+def test_sweep_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    cells = {(int(u), int(i)): float(rng.integers(1, 6)) for u, i in rng.integers(0, 30, (420, 2))}
+    keys = sorted(cells)
+    test = {c: cells[c] for c in keys[::5]} | {(3, 77): 4.0}
+    train = {c: cells[c] for c in keys if c not in test}
+    items = sorted({i for _, i in train} | {77})
+    table = np.zeros((30, len(items)))
+    for (u, i), x in train.items():
+        table[u, items.index(i)] = x
+    a, s, b = np.linalg.svd(table)
+    got = {r["k"]: r for r in svd.sweep(frame(spark, [(*c, x) for c, x in train.items()]), frame(spark, [(*c, x) for c, x in test.items()]), [1, 4, 30], (2, 5)).collect()}
+    for k in (1, 4, 30):
+        full = (a[:, :k] * s[:k][None, : a.shape[1]]) @ b[: min(k, len(s))] if k <= len(s) else (a[:, : len(s)] * s) @ b[: len(s)]
+        assert got[k]["rmse"] == pytest.approx(np.sqrt(np.mean([(full[u, items.index(i)] - x) ** 2 for (u, i), x in test.items()])), abs=2e-2)
+        for top in (2, 5):
+            gains = []
+            for u in sorted({u for u, _ in test}):
+                own = {i for v, i in test if v == u}
+                listed = sorted((i for i in items if (u, i) not in train), key=lambda i: (-round(full[u, items.index(i)], 9), i))[:top]
+                ideal = sum(1 / math.log2(r + 2) for r in range(min(top, len(own))))
+                gains.append(sum(1 / math.log2(r + 2) for r, i in enumerate(listed) if i in own) / ideal)
+            if k < 30:
+                assert got[k][f"ndcg_{top}"] == pytest.approx(np.mean(gains), abs=1e-6)
+
+
+def test_best_items_of_blocks_equal_those_of_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    u, v = rng.integers(-2, 3, (17, 3)).astype(float), rng.integers(-2, 3, (23, 3)).astype(float)
+    users = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "user_id long, us array<double>")
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, v array<double>")
+    gone = {(int(a), int(b)) for a, b in rng.integers(0, 17, (60, 2))} | {(0, i) for i in range(21)}
+    pairs = spark.createDataFrame(sorted(gone), "user_id long, item_id long")
+    got = {(r["k"], r["user_id"], r["rank"]): r["item_id"] for r in svd.top_lists(users, items, pairs, [1, 3], 4, 5, 6).collect()}
+    want = {}
+    for k in (1, 3):
+        for a in range(17):
+            best = sorted((b for b in range(23) if (a, b) not in gone), key=lambda b: (-float(u[a, :k] @ v[b, :k]), b))[:4]
+            want |= {(k, a, rank): b for rank, b in enumerate(best, 1)}
+    assert got == want
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "movielens_100k_u1.base").write_text("1\t2\t3\t4\n")
     (tmp_path / "movielens_100k_u1.test").write_text("5\t6\t1\t8\n")

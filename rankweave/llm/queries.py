@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, main_text, mixing, near_dups, personal_data, scratch, token_counts, topk, toxicity, url_rules, warc
+from rankweave.llm import decontaminate, importance, main_text, mixing, near_dups, personal_data, scratch, token_counts, topk, toxicity, url_rules, warc
 
 
 #: The vocabulary file of op4.
@@ -98,5 +98,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_warc_round_trip, op3_decontaminate, op4_token_counts, op5_top_products, op6_near_duplicates, op7_personal_data, op8_mix_sources, op9_url_filter, op10_toxicity)}
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op6_near_duplicates": near_dups.ORACLE, "op9_url_filter": url_rules.ORACLE}
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the words of the benchmark."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, max_n=1, buckets=10_000, seed=2024, carry=["doc_id"])
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_warc_round_trip, op3_decontaminate, op4_token_counts, op5_top_products, op6_near_duplicates, op7_personal_data, op8_mix_sources, op9_url_filter, op10_toxicity, op12_resample)}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op6_near_duplicates": near_dups.ORACLE, "op9_url_filter": url_rules.ORACLE, "op12_resample": importance.ORACLE}

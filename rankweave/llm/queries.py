@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, importance, main_text, mixing, near_dups, personal_data, scratch, search, token_counts, topk, toxicity, url_rules, warc
+from rankweave.llm import decontaminate, importance, main_text, mixing, near_dups, personal_data, scratch, search, token_counts, token_shards, topk, toxicity, url_rules, warc
 
 
 #: The vocabulary file of op4.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: That of op11.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +101,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shards hold of every document: its place among all ids, their number and checksum."""
+    folder = scratch.Scratch(spark).path("shards")
+    token_shards.write_shards(table(spark, sf_dir, "documents"), folder, TOKENIZER, end_id=2)
+    return token_shards.read_shards(spark, folder, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, drawn towards the words of the benchmark."""
     found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, max_n=1, buckets=10_000, seed=2024, carry=["doc_id"])
@@ -110,5 +120,5 @@ def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_warc_round_trip, op3_decontaminate, op4_token_counts, op5_top_products, op6_near_duplicates, op7_personal_data, op8_mix_sources, op9_url_filter, op10_toxicity, op12_resample, op13_search)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_warc_round_trip, op3_decontaminate, op4_token_counts, op5_top_products, op6_near_duplicates, op7_personal_data, op8_mix_sources, op9_url_filter, op10_toxicity, op11_token_shards, op12_resample, op13_search)}
 ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_top_products": topk.ORACLE, "op6_near_duplicates": near_dups.ORACLE, "op9_url_filter": url_rules.ORACLE, "op12_resample": importance.ORACLE, "op13_search": search.ORACLE}

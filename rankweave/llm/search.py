@@ -26,7 +26,7 @@ from rankweave.llm.scratch import Scratch, received, send
 from rankweave.llm.words import ALNUM, split_words, whole_words
 
 #: A shard ends where it has so many documents or distinct (document, term) pairs; one longer document is a shard.
-SHARD_DOCS, SHARD_PAIRS = 1 << 16, 1 << 22
+SHARD_DOCS, SHARD_PAIRS = 1 << 16, 1 << 21
 #: Queries that are searched together; their terms' postings of one shard are in memory at once.
 QUERY_BLOCK = 4096
 #: Postings that are merged before the bar is looked at again: few at first, then up to so many.
@@ -83,7 +83,7 @@ class ShardBuilder:
         self.lengths += np.diff(words.first).tolist()
         if len(own):
             key, tf = np.unique(own << 32 | doc, return_counts=True)
-            self.parts.append((key >> 32, key & 0xFFFFFFFF, tf))
+            self.parts.append(((key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), tf.astype(np.int32)))
             self.pairs += len(key)
 
     def full(self) -> bool:
@@ -102,9 +102,14 @@ class ShardBuilder:
         if not self.parts:
             return
         term, doc, tf = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        doc = place[doc]
-        sort = np.lexsort((doc, term))
-        term, doc, tf = term[sort], doc[sort], tf[sort]
+        self.parts = []
+        key = term.astype(np.int64) << 32 | place[doc]
+        del term, doc
+        sort = np.argsort(key, kind="stable")
+        key, tf = key[sort], tf[sort]
+        del sort
+        term, doc = (key >> 32).astype(np.int32), key & 0xFFFFFFFF
+        del key
         edge = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
         gap = np.diff(doc, prepend=0)
         gap[edge[:-1]] = doc[edge[:-1]]

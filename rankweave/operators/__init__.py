@@ -1 +1,11 @@
-"""Operators on rating tables."""
+"""Filters, splits, models, candidates, scores and statistics of ratings.
+
+Functions that run in Python workers travel by value, so executors need no copy
+of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

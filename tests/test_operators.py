@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankweave.operators import candidates, filters, ranking, sampling, scaling, scoring, stats, svd
+from rankweave.operators import blocks, candidates, filters, ranking, sampling, scaling, scoring, stats, svd
 from rankweave.plans import experiments
 from rankweave.sources import ratings as sources
 from rankweave.sources import sinks
@@ -188,6 +188,55 @@ def test_svd_against_numpy(spark):
     assert found.values == pytest.approx(s[:3].tolist(), rel=1e-4)
 
 
+def test_blocked_products_against_numpy(spark, monkeypatch):
+    """Many small blocks, several slices, partial sums that are sent early; repeated pairs add up."""
+    for name, x in {"USER_BLOCK": 3, "ITEM_BLOCK": 4, "STEP": 5, "HELD_BYTES": 300, "DEALT": 1}.items():
+        monkeypatch.setattr(blocks, name, x)
+    rng = np.random.default_rng(8)
+    pairs = [(int(u) * 7, int(i) * 5 - 20, float(x)) for u, i, x in zip(rng.integers(0, 14, 90), rng.integers(0, 11, 90), rng.integers(1, 6, 90), strict=True)]
+    m = blocks.blocked(frame(spark, pairs))
+    users, items = ({r[0]: r[1] for r in d.collect()} for d in (m.users, m.items))
+    table = np.zeros((m.n_users, m.n_items))
+    for u, i, x in pairs:
+        table[users[u], items[i]] += x
+    start = np.vstack([np.random.default_rng([42, b]).standard_normal((min(4, m.n_items - 4 * b), 2)) for b in range(-(-m.n_items // 4))])
+    turn = np.array([[1.0, 2.0, 0.0], [0.5, 0.0, -1.0]])
+
+    def whole(df, size, rows, n):
+        out = np.zeros((rows + size, n))
+        for r in df.collect():
+            out[np.frombuffer(r["places"], "<i4") + r["block"] * size] += np.frombuffer(r["data"]).reshape(-1, n)
+        return out[:rows]
+
+    first = blocks.times(m, blocks.random_items(m, 2, 42), 2, turn)
+    assert whole(first, 3, m.n_users, 3) == pytest.approx(table @ start @ turn)
+    second = blocks.times(m, first, 3, transposed=True)
+    assert whole(second, 4, m.n_items, 3) == pytest.approx(table.T @ table @ start @ turn)
+    r = blocks.triangle(blocks.added(second, 4, 3), 3)
+    want = table.T @ table @ start @ turn
+    assert r.T @ r == pytest.approx(want.T @ want)
+
+
+def test_svd_of_a_share_and_the_projector(spark):
+    rng = np.random.default_rng(9)
+    table = rng.integers(0, 6, (12, 8)).astype(float)
+    own = frame(spark, [(u, i, table[u, i]) for u in range(12) for i in range(8) if table[u, i]])
+    found = svd.truncated_svd(own, percent=0.5)
+    assert len(found.values) == svd.rank_of(0.5, 12, 8) == 4
+    v = np.linalg.svd(table)[2][:4]
+    other = np.zeros((3, 8))  # users that the decomposition has not seen, one of them with an unknown item
+    for u, i, x in ((0, 1, 5.0), (0, 6, 2.0), (1, 3, 4.0), (2, 0, 1.0)):
+        other[u, i] = x
+    more = frame(spark, [(100, 1, 5), (100, 6, 2), (101, 3, 4), (102, 0, 1), (102, 55, 3)])
+    got = svd.project_cells(spark.createDataFrame([(100 + u, i) for u in range(3) for i in range(8)] + [(999, 1), (100, 55)], "user_id long, item_id long"), more, found)
+    want = other @ v.T @ v
+    for r in got.collect():
+        inside = r["user_id"] < 999 and r["item_id"] < 8
+        assert r["score"] == pytest.approx(want[r["user_id"] - 100, r["item_id"]] if inside else 0.0, abs=1e-4)
+    with pytest.raises(ValueError):
+        svd.truncated_svd(own, percent=0.01)
+
+
 def test_sweep_against_numpy(spark):
     rng = np.random.default_rng(6)
     cells = {(int(u), int(i)): float(rng.integers(1, 6)) for u, i in rng.integers(0, 30, (420, 2))}
@@ -221,7 +270,7 @@ def test_best_items_of_blocks_equal_those_of_all_pairs(spark):
     items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, v array<double>")
     gone = {(int(a), int(b)) for a, b in rng.integers(0, 17, (60, 2))} | {(0, i) for i in range(21)}
     pairs = spark.createDataFrame(sorted(gone), "user_id long, item_id long")
-    got = {(r["k"], r["user_id"], r["rank"]): r["item_id"] for r in svd.top_lists(users, items, pairs, [1, 3], 4, 5, 6).collect()}
+    got = {(r["k"], r["user_id"], r["rank"]): r["item_id"] for r in svd.top_lists(users, items, pairs, [1, 3], 4, 300).collect()}
     want = {}
     for k in (1, 3):
         for a in range(17):

@@ -23,7 +23,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,8 +43,10 @@ MANIFEST, DICTIONARY = "_manifest.json", "dictionary.zdict"
 LEVEL = 1
 #: The dictionary's size, and the sample it is trained on: so many documents of up to so many characters.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 112_640, 2_000, 16_384
-#: Ids of so many pieces of text are kept by a task, of up to so many characters.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
+#: Ids of pieces of text of up to so many characters are kept by a worker: the last so many pieces, and those of the time before.
+CACHE_PIECES, CACHE_CHARS, CACHE_TAILS = 600_000, 48, 10_000
+#: Texts are encoded together up to about so many characters.
+GROUP_CHARS = 2 << 20
 SHARD_BYTES = 256 << 20
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
 _END = "<QQ8s"
@@ -55,60 +58,118 @@ class Encoder:
 
     A byte-level vocabulary splits a text before each space that stands before
     anything but white space, whatever comes before, so the ids of such pieces
-    can be put together.  Other vocabularies take whole texts.
+    can be put together.  Other vocabularies take whole texts.  Unpickling makes
+    it anew from the vocabulary, so that all tasks of a worker share its pieces.
     """
 
     def __init__(self, vocabulary: str, end_id: int | None):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        self.source = vocabulary, end_id
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         rules = json.loads(vocabulary)
         before = rules.get("pre_tokenizer") or {}
         splits = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         self.by_piece = bool(splits) and rules.get("normalizer") is None
-        self.width = 2 if max(self.tokenizer.get_vocab_size() - 1, end_id or 0) < 1 << 16 else 4
+        self.model, self.before = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        shown = ByteLevel(add_prefix_space=False, use_regex=False)
+        # the character that stands for each byte: those of one byte tell their own, others follow from the bytes of a longer character
+        self.letters = dict(zip(range(128), "".join(shown.pre_tokenize_str(chr(b))[0][0] for b in range(128)), strict=True))
+        for c in map(chr, (*range(0x80, 0x800), *range(0x800, 0x10000, 0x40), *range(0x10000, 0x110000, 0x1000))):
+            if not 0xD800 <= ord(c) < 0xE000:
+                self.letters.update(zip(c.encode(), shown.pre_tokenize_str(c)[0][0], strict=True))
+        wide = max(self.tokenizer.get_vocab_size() - 1, end_id or 0) >= 1 << 16
+        self.kind, self.width = ("I", 4) if wide else ("H", 2)
         self.end = b"" if end_id is None else end_id.to_bytes(self.width, "little")
-        self.cut = re.compile(r" (?=\S)").split
-        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def __reduce__(self):
+        return Encoder, self.source
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, word: str) -> bytes:
+        """The ids of letters with a space before them, which the pattern leaves whole, straight from the model."""
+        shown = f" {word}".encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [x.id for x in self.model.tokenize(shown)]).tobytes()
+
+    def _split(self, piece: str) -> bytes:
+        """The ids of a piece with a space before it."""
+        ids = [x.id for shown, _ in self.before.pre_tokenize_str(f" {piece}") for x in self.model.tokenize(shown)]
+        return array(self.kind, ids).tobytes()
+
+    def _learn(self, new: Iterable[str]) -> None:
+        """Put the ids of pieces, each with a space before it, among those at hand: letters and the signs after them apart, others by the pattern."""
+        pieces, older, fresh = self.pieces, self.older, []
+        for piece in new:
+            ids = older.get(piece)
+            if ids is None:
+                fresh.append(piece)
+            else:
+                pieces[piece] = ids
+        heads = [x.rstrip(SIGNS) for x in fresh]
+        plain = [x.isalpha() for x in heads]
+        for head in {h for h, p in zip(heads, plain, strict=True) if p}.difference(pieces):
+            pieces[head] = self._whole(head)
+        for piece, head, p in zip(fresh, heads, plain, strict=True):
+            if not p:
+                pieces[piece] = self._split(piece)
+            elif len(piece) > len(head):
+                tail = piece[len(head) :]
+                if tail not in self.tails:
+                    if len(self.tails) > CACHE_TAILS:
+                        self.tails.clear()
+                    self.tails[tail] = self._encoded([tail])[0]
+                pieces[piece] = pieces[head] + self.tails[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian numbers."""
         if not self.by_piece:
             return [x + self.end for x in self._encoded(texts)]
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        out, long_cache = [], {}
-        for text in texts:
-            first, *rest = self.cut(text)  # the spaces before ``rest`` are left out
-            try:
-                ids = b"".join(map(cache.__getitem__, rest))
-            except KeyError:
-                new = list({x for x in rest if x not in cache})
-                for piece, own in zip(new, self._encoded([" " + x for x in new]), strict=True):
-                    (cache if len(piece) <= CACHE_CHARS else long_cache)[piece] = own
-                ids = b"".join([cache.get(x) or long_cache[x] for x in rest])
-                long_cache.clear()
-            out.append((self._encoded([first])[0] if first else b"") + ids + self.end)
+        cut = [pieces_of(text) for text in texts]
+        begins = self._encoded([x[0] for x in cut])
+        for x in cut:
+            x[0] = self.end  # in the first's place, to be put last
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces, self.older = {}, self.pieces
+        every = set().union(*(x[1:] for x in cut))
+        self._learn(every.difference(self.pieces))
+        known = self.pieces.__getitem__
+        out = [begin + b"".join(map(known, x[1:])) + x[0] for begin, x in zip(begins, cut, strict=True)]
+        for piece in [x for x in every if len(x) > CACHE_CHARS]:
+            del self.pieces[piece]
         return out
 
 
+#: Signs after a word that the pattern takes together, and white space as Python tells it.
+SIGNS = ".,;:!?)]}\"'-*/%"
+_ASCII_SPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f "
+_OTHER_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_cut = re.compile(r" (?=\S)").split
+
+
+def pieces_of(text: str) -> list[str]:
+    """A text cut at every space before anything but white space."""
+    if text.endswith(" ") or any(" " + c in text for c in _ASCII_SPACE) or not text.isascii() and any(c in text for c in _OTHER_SPACE):
+        return _cut(text)
+    return text.split(" ")
+
+
 def _encoder(sent):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder: Encoder | None = None
+        encoder = received(sent)
         for batch in batches:
-            if encoder is None:
-                encoder = Encoder(*received(sent))
             raw = batch["text"].cast(pa.large_binary()).fill_null(b"")
             at = 0
             while at < len(raw):  # some texts at a time, at least one
                 size, end = 0, at
                 texts: list[str] = []
-                while end < len(raw) and size < 4 << 20:
+                while end < len(raw) and size < GROUP_CHARS:
                     texts.append(raw[end].as_py().decode("utf-8", "replace"))
                     size += len(texts[-1])
                     end += 1
@@ -128,7 +189,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int | None = None, id_col:
     with open(vocabulary, encoding="utf-8") as f:
         text = f.read()
     own = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
-    return own.mapInArrow(_encoder(send(docs.sparkSession, (text, end_id))), "doc_id long, ids binary")
+    return own.mapInArrow(_encoder(send(docs.sparkSession, Encoder(text, end_id))), "doc_id long, ids binary")
 
 
 def id_width(vocabulary: str, end_id: int | None) -> int:

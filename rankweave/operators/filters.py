@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.storage import written
+from rankweave.functions.ranges import numbered, running_sum
 
 LEVELS = (1, 2, 3, 4, 5)
 
@@ -58,39 +58,16 @@ def long_tail(ratings: DataFrame, share: float = 0.33) -> DataFrame:
     """Items beyond the most popular ones that have ``share`` of all ratings: (item_id, n_ratings, cum_share).
 
     The item that crosses the share is among them.  Ties in popularity stand in
-    order of the id.  The running sum is first taken over popularity levels
-    (distinct counts), then inside each level by arithmetic, as its items have
-    the same count: no window sees all items.
+    order of the id.  The running sum goes by ranges of popularity and id (see
+    ``ranges``), so that no task sees all items of one count.
     """
-    items = popularity(ratings)
-    levels = items.groupBy("n_ratings").agg(F.count("*").alias("same"))
-    down = Window.orderBy(F.col("n_ratings").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.col("n_ratings") * F.col("same")
-    levels = levels.select(
-        "n_ratings",
-        F.coalesce(F.sum(total).over(down), F.lit(0)).alias("before"),
-        F.sum(total).over(everything).alias("all"),
-    )
-    place = F.row_number().over(Window.partitionBy("n_ratings").orderBy("item_id"))
-    ranked = items.withColumn("place", place).join(F.broadcast(levels), "n_ratings")
-    reached = (F.col("before") + F.col("place") * F.col("n_ratings")).cast("double") / F.col("all")
-    return ranked.select("item_id", "n_ratings", reached.alias("cum_share")).where(F.col("cum_share") > share)
+    summed = running_sum(popularity(ratings), [F.col("n_ratings").desc(), F.col("item_id")], "n_ratings", "reached", "every")
+    return summed.select("item_id", "n_ratings", (F.col("reached").cast("double") / F.col("every")).alias("cum_share")).where(F.col("cum_share") > share)
 
 
 def dictionary(ratings: DataFrame, key: str, name: str) -> DataFrame:
-    """Dense numbers from 0 in order of the id: (key, name).
-
-    Ids are sorted by range partitions; each partition adds the number of ids
-    in those before it, so that no task sees all ids.
-    """
-    ids = ratings.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    placed = ids.withColumn("part", F.spark_partition_id())
-    placed = written(placed, "ids")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return placed.withColumn("place", inside).join(F.broadcast(starts), "part").select(key, (F.col("start") + F.col("place")).alias(name))
+    """Dense numbers from 0 in order of the id: (key, name)."""
+    return numbered(ratings.select(key).distinct(), [key], name)
 
 
 def indexed(ratings: DataFrame) -> DataFrame:

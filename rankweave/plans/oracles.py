@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rankweave.functions.hashing import pair_hash_sql
+from rankweave.functions.permutation import permuted_sql
 
 H = pair_hash_sql("user_id", "item_id")
 
@@ -105,16 +106,12 @@ cand AS (SELECT u.user_id, i.item_id FROM (SELECT DISTINCT user_id FROM train) u
 
 
 def _drawn(cells: str, source: str) -> str:
-    """CTE drawn: the free cells of a user with their place k in the user's own order of draws."""
-    h = pair_hash_sql("user_id", "0")
+    """CTE drawn: the free cells of a user with their place k in the user's own order of all items."""
     return f"""
 it AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place FROM (SELECT DISTINCT item_id FROM {source})),
-cnt AS (SELECT greatest(2, count(*)) AS n FROM it),
-pr AS MATERIALIZED (SELECT min(p) AS p FROM (SELECT unnest(range(n, 2 * n + 1)) AS p FROM cnt)
-                    WHERE len(list_filter(range(2, CAST(floor(sqrt(p)) AS BIGINT) + 1), lambda d: p % d = 0)) = 0),
-ab AS MATERIALIZED (SELECT user_id, p, 1 + h % (p - 1) AS a, (h // (p - 1)) % p AS b
-                    FROM (SELECT user_id, p, {h} AS h FROM (SELECT DISTINCT user_id FROM {cells}), pr)),
-dr AS (SELECT user_id, t, (a * t + b) % p AS place FROM (SELECT user_id, p, a, b, unnest(range(p)) AS t FROM ab)),
+gr AS MATERIALIZED (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM it)),
+us AS (SELECT user_id, {pair_hash_sql("user_id", "0")} AS key FROM (SELECT DISTINCT user_id FROM {cells})),
+dr AS MATERIALIZED (SELECT user_id, t, {permuted_sql("t", "key", "n", "a", "b")} AS place FROM (SELECT user_id, key, n, a, b, unnest(range(n)) AS t FROM us, gr)),
 drawn AS (SELECT dr.user_id, it.item_id, row_number() OVER (PARTITION BY dr.user_id ORDER BY t) AS k
           FROM dr JOIN it ON dr.place = it.place SEMI JOIN {cells} c ON dr.user_id = c.user_id AND it.item_id = c.item_id)"""
 
@@ -167,6 +164,12 @@ ORACLES = {
                               FROM sp s LEFT JOIN a4 ON s.user_id = a4.user_id LEFT JOIN b4 ON s.item_id = b4.item_id""", _SPLIT, _FIT),
     "candidates_full": _sql("SELECT user_id, count(*) AS n_candidates, CAST(sum(item_id) AS BIGINT) AS item_sum FROM cand GROUP BY 1", _SPLIT, _CANDIDATES),
     "candidates_sampled": _sql("SELECT user_id, item_id FROM drawn WHERE k <= 10", _SPLIT, _CANDIDATES, _drawn("cand", "train")),
+    "candidate_contains": _sql(
+        """SELECT s.user_id, s.item_id, d.user_id IS NOT NULL AS contained FROM (SELECT user_id, item_id FROM r) s
+           LEFT JOIN (SELECT * FROM drawn WHERE k <= 100) d ON s.user_id = d.user_id AND s.item_id = d.item_id""",
+        _SPLIT, _CANDIDATES, _drawn("cand", "train"),
+    ),
+    "candidate_lengths": _sql("SELECT u.user_id, least(count(c.item_id), 100) AS n_candidates FROM (SELECT DISTINCT user_id FROM train) u LEFT JOIN cand c ON u.user_id = c.user_id GROUP BY 1", _SPLIT, _CANDIDATES),
     "candidates_negative": _sql(
         "SELECT user_id, item_id, true AS is_test FROM test UNION ALL SELECT user_id, item_id, false FROM drawn WHERE k <= 100",
         _SPLIT,
@@ -195,11 +198,27 @@ ORACLES = {
     "tied_predictions": _sql("SELECT CAST(count(*) FILTER (n = 2 AND a = b) AS BIGINT) AS ties, count(*) AS users FROM (SELECT user_id, count(*) AS n, min(score) AS a, max(score) AS b FROM ps GROUP BY 1)", *_STRONG),
     "macro_stats": _sql("SELECT count(*) AS n, round(avg(contradicts), 9) AS mean, round(stddev_pop(contradicts) / sqrt(count(*)), 9) AS std_error FROM st", *_STRONG),
     "bootstrap_ci": _sql(
-        """SELECT round(avg(mean), 9) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM (
-             SELECT b, avg(CASE WHEN ((((b * 1000003 + p * 7919 + 42 * 104729) % 2147483647) * 48271) % 2147483647) % n < ones THEN 1.0 ELSE 0.0 END) AS mean
-             FROM (SELECT count(*) AS n, sum(contradicts) AS ones FROM st), range(1000) AS x(b), unnest(range(n)) AS y(p) GROUP BY 1)""",
+        f"""SELECT round(avg(k / CAST(n AS DOUBLE)), 9) AS mean, round(quantile_cont(k / CAST(n AS DOUBLE), 0.025), 9) AS low, round(quantile_cont(k / CAST(n AS DOUBLE), 0.975), 9) AS high
+            FROM (SELECT b, n, coalesce(min(k), max(n)) AS k FROM un LEFT JOIN cdf ON cdf.reach >= un.u GROUP BY 1, 2)""",
+        *_STRONG,
+        "tot AS (SELECT count(*) AS n, CAST(sum(contradicts) AS BIGINT) AS ones, CAST(sum(contradicts) AS DOUBLE) / count(*) AS p FROM st)",
+        f"""un AS (SELECT b, n, (({(x := '((b * 1000003 + 42 * 104729) % 2147483647)')} * {x} % 2147483647 * {x} + 12345) % 2147483647 + 0.5::DOUBLE) / 2147483647 AS u FROM tot, range(1000) AS y(b))""",
+        """ks AS (SELECT n, p, unnest(range(CAST(greatest(0, floor(n * p - (12 * sqrt(n * p * (1 - p)) + 10))) AS BIGINT), CAST(least(n, ceil(n * p + (12 * sqrt(n * p * (1 - p)) + 10))) AS BIGINT) + 1)) AS k FROM tot)""",
+        """lw AS (SELECT k, sum(step) OVER (ORDER BY k) AS w FROM (SELECT k, CASE WHEN k = min(k) OVER () THEN 0 ELSE ln((n - k + 1) / CAST(k AS DOUBLE) * (p / (1 - p))) END AS step FROM ks))""",
+        "cdf AS MATERIALIZED (SELECT k, sum(exp(w - m)) OVER (ORDER BY k) / sum(exp(w - m)) OVER () AS reach FROM (SELECT *, max(w) OVER () AS m FROM lw))",
+    ),
+    "discordant_share": _sql(
+        "SELECT count(*) AS users, count(contradicts) AS scored, CAST(sum(contradicts) AS BIGINT) AS discordant, round(sum(contradicts) / CAST(count(*) AS DOUBLE), 9) AS share FROM (SELECT DISTINCT user_id FROM ps) u LEFT JOIN st USING (user_id)",
         *_STRONG,
     ),
+    "rerank_metrics": _sql(
+        """SELECT count(*) AS users, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(ndcg), 9) AS ndcg FROM m
+           SEMI JOIN (SELECT user_id FROM test GROUP BY 1 HAVING count(DISTINCT item_id) > 1) x ON m.user_id = x.user_id""",
+        *_BASIC,
+        """top AS MATERIALIZED (SELECT * FROM (SELECT t.user_id, t.item_id, s.score, row_number() OVER (PARTITION BY t.user_id ORDER BY s.score DESC, t.item_id) AS rank
+           FROM (SELECT DISTINCT user_id, item_id FROM test) t JOIN sc s ON t.item_id = s.item_id) WHERE rank <= 10)""",
+        _metrics(False),
+    ),
     "train_plus_test": _sql("SELECT user_id, item_id, sum(rating) AS rating FROM sp GROUP BY 1, 2", _SPLIT),
     "kendall_global": _sql(
         """SELECT p AS concordant, q AS discordant, t AS ties, p + q AS total_pairs, round(coalesce(q / nullif(CAST(p + q AS DOUBLE), 0), 0), 9) AS distance FROM (

@@ -167,6 +167,21 @@ def candidates_sampled(spark, d):
     return candidates.full_ranking(split(spark, d)[0], negatives=10)
 
 
+def _hundred(spark, d):
+    """A hundred unrated items for every user, described."""
+    train = split(spark, d)[0]
+    return candidates.sampled(train.select("user_id").distinct(), train.select("item_id").distinct(), train, 100)
+
+
+def candidate_contains(spark, d):
+    """Which of all rated pairs, most of which the training set lacks, are among a user's hundred candidates."""
+    return candidates.contains(_hundred(spark, d), ratings_from_orders(spark, d).select("user_id", "item_id"))
+
+
+def candidate_lengths(spark, d):
+    return candidates.lengths(_hundred(spark, d))
+
+
 def candidates_negative(spark, d):
     train, test = split(spark, d)
     return candidates.negative_sampling(train, test)
@@ -227,6 +242,16 @@ def ranking_binary(spark, d):
     return one.select("users", *(r(c, 9).alias(c) for c in ("precision", "recall", "ndcg")))
 
 
+def rerank_metrics(spark, d):
+    """Metrics of the held-out items ranked among themselves, for users who have more than one of them."""
+    train, test = split(spark, d)
+    own = candidates.rerank(test)
+    lists = ranking.top_scored(own.join(item_scores(train, test), "item_id"), TOP)
+    some = own.groupBy("user_id").agg(F.count("*").alias("n_candidates"))
+    one = ranking.macro(ranking.ranking_metrics(lists, test, TOP, candidates=some))
+    return one.select("users", *(r(c, 9).alias(c) for c in ("precision", "recall", "ndcg")))
+
+
 def hit_rate(spark, d):
     return ranking.macro(_metrics(spark, d, True)).select("users", r("hit_rate", 9).alias("hit_rate"))
 
@@ -251,6 +276,11 @@ def tied_predictions(spark, d):
     return scoring.tied_predictions(_pairs(spark, d))
 
 
+def discordant_share(spark, d):
+    one = scoring.discordant_share(_pairs(spark, d))
+    return one.select("users", "scored", "discordant", r("share", 9).alias("share"))
+
+
 def macro_stats(spark, d):
     own = stats.macro_stats(scoring.pair_scores(_pairs(spark, d)), "contradicts")
     return own.select("n", r("mean", 9).alias("mean"), r("std_error", 9).alias("std_error"))
@@ -261,6 +291,13 @@ def bootstrap_ci(spark, d):
     return own.select(*(r(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
+def bootstrap_residuals(spark, d):
+    """The same for scores of any value: absolute errors of the factor model on held-out ratings."""
+    train, test = split(spark, d)
+    errors = scaling.score_cells(test, scaling.fit_sweeps(train, SWEEPS)).select(r(F.abs(F.col("score") - F.col("rating")), 3).alias("error"))
+    return stats.bootstrap(errors, "error").select(*(r(c, 9).alias(c) for c in ("mean", "low", "high")))
+
+
 def train_plus_test(spark, d):
     train, test = split(spark, d)
     return train.unionByName(test).groupBy("user_id", "item_id").agg(F.sum("rating").alias("rating"))
@@ -324,9 +361,9 @@ QUERIES = {
         clean_matrix, min_user_filter, users_all_levels, users_all_levels_dense, pair_qualified_users, long_tail_items,
         long_tail_ratings, dense_index, holdout_train, holdout_test, pair_sample_strong, pair_sample_subtle, train_minus_pairs,
         long_tail_pairs, nonempty_item_compaction, scale_item_factors, scale_user_factors, scale_residuals, scale_complete,
-        scale_converged, candidates_full, candidates_sampled, candidates_negative, candidates_rerank, candidate_totals,
+        scale_converged, candidates_full, candidates_sampled, candidates_negative, candidate_contains, candidate_lengths, candidates_rerank, candidate_totals,
         array_candidates, predictions_dict_explode, topk_items, topk_all_candidates, precision_recall_ndcg, ndcg_per_user,
-        ranking_binary, hit_rate, pair_scores_strict, pair_scores_lenient, tied_predictions, macro_stats, bootstrap_ci,
+        ranking_binary, rerank_metrics, hit_rate, pair_scores_strict, pair_scores_lenient, tied_predictions, discordant_share, bootstrap_residuals, macro_stats, bootstrap_ci,
         train_plus_test, kendall_global, rmse, best_sweep, netflix_blocks, svd_scores, svd_sweep,
     )
 }

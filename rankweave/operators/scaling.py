@@ -7,12 +7,19 @@ step updates one side only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions.storage import written
+from rankweave.operators import blocks
+
+#: Cells of one batch of ``complete_all``.
+OUTER_ROWS = 1 << 17
 
 _TERM = {"user": "a", "item": "b"}
 _KEY = {"user": "user_id", "item": "item_id"}
@@ -99,3 +106,50 @@ def complete(cells: DataFrame, ratings: DataFrame, fit: Fit) -> DataFrame:
     """Values of cells (user_id, item_id): the rating where there is one, else the product of factors."""
     known = ratings.where("rating > 0").select("user_id", "item_id", "rating")
     return score_cells(cells, fit).join(known, ["user_id", "item_id"], "left").select("user_id", "item_id", F.coalesce("rating", "score").alias("value"))
+
+
+def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values of all cells of a block of users and a block of items: products of factors, known ratings in their places."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ub, ib, users, items = (batch[c][i].as_py() for c in ("ub", "ib", "us", "its"))
+            a, b = (np.array([x["term"] for x in own]) for own in (users, items))
+            value = np.exp(a[:, None] + b[None, :])
+            if batch["users"][i].is_valid:
+                near, far = (np.frombuffer(batch[c][i].as_py(), "<i4") for c in ("users", "items"))
+                value[near, far] = np.frombuffer(batch["values"][i].as_py())
+            ids = np.array([x["id"] for x in items], np.int64)
+            step = max(1, OUTER_ROWS // len(ids))
+            for at in range(0, len(users), step):
+                own = np.array([x["id"] for x in users[at : at + step]], np.int64)
+                n = len(own) * len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, ub, np.int32)), pa.array(np.full(n, ib, np.int32)), pa.array(np.repeat(own, len(ids))), pa.array(np.tile(ids, len(own))), pa.array(value[at : at + step].ravel())],
+                    names=["user_block", "item_block", "user_id", "item_id", "value"],
+                )
+
+
+def complete_all(ratings: DataFrame, fit: Fit) -> DataFrame:
+    """(user_block, item_block, user_id, item_id, value) of every user and item with a rating: the rating where there is one, else the product of factors.
+
+    Users and items are packed in blocks of a bounded size, which meet on the
+    grid of their numbers by equi-joins; known ratings, compressed by the same
+    grid, are put in inside each block.  A pair may be rated once.
+    """
+    m = blocks.blocked(ratings.where("rating > 0").select("user_id", "item_id", "rating"))
+    number = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias(name)
+
+    def packed(ids: DataFrame, terms: DataFrame, key: str, term: str, size: int, block: str, name: str) -> DataFrame:
+        own = ids.join(terms, key, "left").select(F.expr(f"int({key[:4]}_idx div {size})").alias(block), F.struct(F.col(f"{key[:4]}_idx").alias("place"), F.col(key).alias("id"), F.coalesce(term, F.lit(0.0)).alias("term")).alias("x"))
+        return own.groupBy(block).agg(F.array_sort(F.collect_list("x")).alias(name))  # size at most
+
+    users = packed(m.users, fit.users, "user_id", "a", blocks.USER_BLOCK, "ub", "us")
+    items = packed(m.items, fit.items, "item_id", "b", blocks.ITEM_BLOCK, "ib", "its")
+    grid = users.select("ub", "us", number("ib", -(-m.n_items // blocks.ITEM_BLOCK))).join(items, "ib")
+    met = grid.join(m.cells, ["ub", "ib"], "left").select("ub", "ib", "us", "its", "users", "items", "values")
+    return met.mapInArrow(_outer, "user_block int, item_block int, user_id long, item_id long, value double")
+
+
+def write_completed(ratings: DataFrame, fit: Fit, path: str) -> None:
+    """``complete_all`` as Parquet, partitioned by the grid, so that a block of users or items is read alone."""
+    complete_all(ratings, fit).write.partitionBy("user_block", "item_block").parquet(path)

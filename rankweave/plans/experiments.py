@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import logging
-import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.functions.measures import measured
 from rankweave.functions.storage import written
 from rankweave.operators import filters, ranking, sampling, scaling, scoring, stats, svd
 
@@ -26,18 +26,19 @@ def _long(rows: DataFrame, method: str, columns: list[str], suffix: str = "") ->
 def run_ranking(ratings: DataFrame, ks=(5, 10, 20), threshold: float = 4.0, test_ratio: float = 0.2, seed: int = 42, epsilon: float = 1e-9, first_side: str = "item") -> tuple[DataFrame, DataFrame]:
     """Holdout, fit, lists over all items, metrics at every k and the global rank distance.
 
-    Returns (metrics, per_user): (method, metric, value), the seconds of fit and lists among them, and a row for each user and k.  Failures are raised.
+    Returns (metrics, per_user): (method, metric, value), the seconds of fit and lists (of the run, and of all tasks) and the peak memory of a stage among them, and a row for each user and k.  Failures are raised.
     """
     both = written(sampling.holdout(ratings.select(*_OWN), test_ratio, 5, threshold, seed), "split")
     train, test = both.where("NOT is_test").select(*_OWN), both.where("is_test").select(*_OWN)
-    began = time.time()
-    fit = scaling.fit_until(train, epsilon, first_side)
-    trained = time.time()
-    log.info("fitted in %d steps (converged: %s), %.1f s", fit.steps, fit.converged, trained - began)
+    spark = ratings.sparkSession
+    with measured(spark, "train") as training:
+        fit = scaling.fit_until(train, epsilon, first_side)
+    log.info("fitted in %d steps (converged: %s), %.1f s", fit.steps, fit.converged, training.seconds)
     items = both.select("item_id").distinct().join(fit.items, "item_id", "left").select("item_id", F.coalesce("b", F.lit(0.0)).alias("score"))
-    items = written(items, "item-scores")
-    top = written(ranking.top_items(items, train, max(ks)), "lists")
-    seconds = {"Train(s)": trained - began, "Infer(s)": time.time() - trained}
+    with measured(spark, "infer") as inferring:
+        items = written(items, "item-scores")
+        top = written(ranking.top_items(items, train, max(ks)), "lists")
+    seconds = {"Train(s)": training.seconds, "Infer(s)": inferring.seconds, "TrainTasks(s)": training.task_seconds, "InferTasks(s)": inferring.task_seconds, "PeakMemory(MB)": max(training.peak_mb, inferring.peak_mb)}
     metrics, users = None, None
     for k in ks:
         own = ranking.ranking_metrics(top, test, k).withColumn("k", F.lit(k))
@@ -85,8 +86,18 @@ def run_strong_and_subtle(ratings: DataFrame, policy: str = "strict", starts=(1.
 
 
 def run_sweep(ratings: DataFrame, ks: list[int], tops: tuple[int, ...] = (10, 20), seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rows, best): error and ndcg of truncated SVD for each k, with the seconds of the whole sweep, and the k that is best by each."""
-    began = time.time()
-    both = written(sampling.holdout(ratings.select(*_OWN), 0.2, 5, 1.0, seed), "split")
-    rows = written(svd.sweep(both.where("NOT is_test").select(*_OWN), both.where("is_test").select(*_OWN), ks, tops), "sweep")
-    return rows.withColumn("sweep_s", F.lit(time.time() - began)), stats.best_k(rows)
+    """(rows, best): error and ndcg of truncated SVD for each k, and the k that is best by each.
+
+    ``Time(s)`` of a k has the seconds of all it needs of the one decomposition
+    and its errors, and the task seconds of the lists up to that k; the run's
+    seconds, task seconds and peak memory stand in columns of their own.
+    """
+    with measured(ratings.sparkSession, "sweep") as whole:
+        both = written(sampling.holdout(ratings.select(*_OWN), 0.2, 5, 1.0, seed), "split")
+        rows = written(svd.sweep(both.where("NOT is_test").select(*_OWN), both.where("is_test").select(*_OWN), ks, tops), "sweep")
+    lists = rows.agg(F.sum("seconds")).first()[0] or 0.0
+    fixed = max(0.0, whole.task_seconds - lists)  # the decomposition and the errors
+    upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # a row for each k
+    timed = rows.withColumn("Time(s)", F.lit(fixed) + F.sum("seconds").over(upto)).drop("seconds")
+    run = {"sweep_s": whole.seconds, "sweep_task_s": whole.task_seconds, "peak_mb": whole.peak_mb}
+    return timed.withColumns({c: F.lit(x) for c, x in run.items()}), stats.best_k(rows.drop("seconds"))

@@ -162,6 +162,11 @@ ORACLES = {
                                FROM train t JOIN a4 ON t.user_id = a4.user_id JOIN b4 ON t.item_id = b4.item_id""", _SPLIT, _FIT),
     "scale_complete": _sql("""SELECT s.user_id, s.item_id, round(CASE WHEN is_test THEN exp(coalesce(a, 0) + coalesce(b, 0)) ELSE rating END, 6) AS value
                               FROM sp s LEFT JOIN a4 ON s.user_id = a4.user_id LEFT JOIN b4 ON s.item_id = b4.item_id""", _SPLIT, _FIT),
+    "scale_complete_all": _sql(
+        """SELECT u.user_id, count(*) AS n, round(sum(coalesce(t.rating, exp(a + b))), 4) AS total, round(max(coalesce(t.rating, exp(a + b))), 6) AS greatest
+           FROM a4 u CROSS JOIN b4 i LEFT JOIN train t ON u.user_id = t.user_id AND i.item_id = t.item_id GROUP BY 1""",
+        _SPLIT, _FIT,
+    ),
     "candidates_full": _sql("SELECT user_id, count(*) AS n_candidates, CAST(sum(item_id) AS BIGINT) AS item_sum FROM cand GROUP BY 1", _SPLIT, _CANDIDATES),
     "candidates_sampled": _sql("SELECT user_id, item_id FROM drawn WHERE k <= 10", _SPLIT, _CANDIDATES, _drawn("cand", "train")),
     "candidate_contains": _sql(

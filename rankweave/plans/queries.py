@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.functions.storage import written
+from rankweave.functions.storage import new_path, written
 from rankweave.operators import candidates, filters, ranking, sampling, scaling, scoring, stats, svd
-from rankweave.sources.ratings import deduplicate, number_blocks, ratings_from_orders
+from rankweave.sources.rating_blocks import read_blocks, write_blocks
+from rankweave.sources.ratings import deduplicate, ratings_from_orders
 
 SWEEPS, TOP = 4, 10
 
@@ -153,6 +154,13 @@ def scale_complete(spark, d):
     return scaling.complete(cells, train, scaling.fit_sweeps(train, SWEEPS)).select("user_id", "item_id", r("value", 6).alias("value"))
 
 
+def scale_complete_all(spark, d):
+    """Every user with every item, completed, and summed by user (the table itself has users x items rows)."""
+    train = split(spark, d)[0]
+    every = scaling.complete_all(train, scaling.fit_sweeps(train, SWEEPS))
+    return every.groupBy("user_id").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"), r(F.max("value"), 6).alias("greatest"))
+
+
 def scale_converged(spark, d):
     fit = scaling.fit_until(split(spark, d)[0])
     return fit.items.select("item_id", r(F.exp("b"), 3).alias("factor"), F.lit(fit.steps).alias("steps"), F.lit(fit.converged).alias("converged"))
@@ -329,15 +337,10 @@ def best_sweep(spark, d):
 
 
 def netflix_blocks(spark, d):
-    """Ratings written as blocks of lines (a file for each item) and read again."""
-    ratings = ratings_from_orders(spark, d)
-    lines = ratings.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("user_id", "rating"))).alias("x"))
-    text = F.concat(
-        F.array(F.concat(F.col("item_id").cast("string"), F.lit(":"))),
-        F.transform("x", lambda c: F.concat(c["user_id"].cast("string"), F.lit(","), c["rating"].cast("int").cast("string"))),
-    )
-    rows = lines.select(F.col("item_id").alias("file"), F.posexplode(text).alias("line", "value"))
-    return number_blocks(rows).select("user_id", "item_id", "rating", "source_item_id")
+    """Ratings written as text files of blocks and read again by byte ranges."""
+    folder = new_path(spark, "blocks")
+    write_blocks(ratings_from_orders(spark, d), folder)
+    return read_blocks(spark, [folder]).select("user_id", "item_id", "rating", "source_item_id")
 
 
 def svd_scores(spark, d):
@@ -346,6 +349,14 @@ def svd_scores(spark, d):
     return svd.score_cells(test.select("user_id", "item_id", "rating"), found, [1, 5]).withColumn("score", r("score", 4))
 
 
+def svd_pair_scores(spark, d):
+    """Two held-out ratings a user, scored by the projector r Q Q' of the twentieth part of all components."""
+    train, test = sampling.qualified_pairs(ratings_from_orders(spark, d), (1.0, 5.0))
+    train, test = written(train.select("user_id", "item_id", "rating"), "train"), written(test.select("user_id", "item_id", "rating"), "test")
+    scored = svd.project_cells(test, train, svd.truncated_svd(train, percent=0.05))
+    return scoring.pair_scores(scored, "strict").select("user_id", F.col("contradicts").cast("long").alias("contradicts"))
+
+
 def svd_sweep(spark, d):
     """Error and ndcg at 10 and 20 for 1, 3, 5, ... 99 components of one decomposition; rounded, as iteration leaves some digits open."""
     both = written(sampling.holdout(ratings_from_orders(spark, d), 0.2, 5, 1.0), "split")
@@ -360,10 +371,10 @@ QUERIES = {
         ratings_view, ratings_summed, ratings_last, item_popularity, user_counts, distinct_counts, rating_pivot, threshold_filter,
         clean_matrix, min_user_filter, users_all_levels, users_all_levels_dense, pair_qualified_users, long_tail_items,
         long_tail_ratings, dense_index, holdout_train, holdout_test, pair_sample_strong, pair_sample_subtle, train_minus_pairs,
-        long_tail_pairs, nonempty_item_compaction, scale_item_factors, scale_user_factors, scale_residuals, scale_complete,
+        long_tail_pairs, nonempty_item_compaction, scale_item_factors, scale_user_factors, scale_residuals, scale_complete, scale_complete_all,
         scale_converged, candidates_full, candidates_sampled, candidates_negative, candidate_contains, candidate_lengths, candidates_rerank, candidate_totals,
         array_candidates, predictions_dict_explode, topk_items, topk_all_candidates, precision_recall_ndcg, ndcg_per_user,
         ranking_binary, rerank_metrics, hit_rate, pair_scores_strict, pair_scores_lenient, tied_predictions, discordant_share, bootstrap_residuals, macro_stats, bootstrap_ci,
-        train_plus_test, kendall_global, rmse, best_sweep, netflix_blocks, svd_scores, svd_sweep,
+        train_plus_test, kendall_global, rmse, best_sweep, netflix_blocks, svd_scores, svd_pair_scores, svd_sweep,
     )
 }

@@ -6,10 +6,13 @@ import json
 import os
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.sources.files import listed
+from rankweave.sources.matrix import read_matrix_ratings
+from rankweave.sources.rating_blocks import read_blocks
+
 _RAW = "user_id long, item_id long, rating double, ts long"
 
 
@@ -47,78 +50,12 @@ def read_triples(spark: SparkSession, folder: str, swap_axes: bool = False) -> D
     return rows.select(F.col(user).cast("long").alias("user_id"), F.col(item).cast("long").alias("item_id"), F.col("rating").cast("double"), F.lit(None).cast("long").alias("ts"))
 
 
-def matrix_to_triples(path: str, field: str, out: str) -> None:
-    """One-off export of a matrix file (HDF5 layout: dense, or group with ir, jc, data) to Parquet triples, users in columns' order."""
-    import h5py  # an optional package
-    import numpy as np
-
-    with h5py.File(path, "r") as f:
-        own = f[field]
-        if isinstance(own, h5py.Group):
-            starts, rows, values = own["jc"][:], own["ir"][:], own["data"][:]
-            users, items = rows, np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        else:
-            matrix = np.asarray(own).T
-            users, items = matrix.nonzero()
-            values = matrix[users, items]
-    pd.DataFrame({"user_id": users.astype("int64"), "item_id": items.astype("int64"), "rating": values.astype("float64")}).to_parquet(out)
-
-
-def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of blocks: a line ``item:`` and then lines ``user,rating[,date]``.
-
-    ``item_id`` is the block's number, counted on through the files in the given
-    order; ``source_item_id`` is what the line says.  Lines are numbered through
-    byte order; headers are counted by split of lines, so that only one count a
-    split is brought together, and each line finds its header by a window
-    inside its split.
-    """
-    frames = []
-    for place, path in enumerate(paths):
-        lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("line long, value string")
-        frames.append(lines.withColumn("file", F.lit(place)))
-    lines = frames[0]
-    for more in frames[1:]:
-        lines = lines.unionByName(more)
-    return number_blocks(lines)
-
-
-def number_blocks(lines: DataFrame, split_lines: int = 100_000) -> DataFrame:
-    """(file, line, value) to ratings; see ``read_blocks``."""
-    marked = lines.withColumns(
-        {
-            "header": F.regexp(F.trim("value"), F.lit("^[0-9]+:$")),
-            "split": F.floor(F.col("line") / split_lines),
-        }
-    )
-    splits = marked.groupBy("file", "split").agg(
-        F.sum(F.col("header").cast("long")).alias("n"),
-        F.max_by(F.when(F.col("header"), F.col("value")), F.when(F.col("header"), F.col("line"))).alias("last"),
-    )  # one row for each split_lines lines
-    earlier = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
-    carried = splits.select(
-        "file", "split",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.last("last", ignorenulls=True).over(earlier).alias("open"),
-    )
-    inside = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.join(F.broadcast(carried), ["file", "split"]).withColumns(
-        {
-            "item_id": F.col("before") + F.sum(F.col("header").cast("long")).over(inside),
-            "source": F.coalesce(F.last(F.when(F.col("header"), F.col("value")), ignorenulls=True).over(inside), F.col("open")),
-        }
-    )
-    cells = F.split("value", ",")
-    return (
-        numbered.where(~F.col("header") & (F.trim("value") != ""))
-        .select(
-            F.get(cells, F.lit(0)).cast("long").alias("user_id"),
-            "item_id",
-            F.get(cells, F.lit(1)).cast("double").alias("rating"),
-            F.lit(None).cast("long").alias("ts"),
-            F.regexp_replace(F.trim("source"), ":", "").cast("long").alias("source_item_id"),
-        )
-    )
+def read_douban(spark: SparkSession, folder: str) -> DataFrame:
+    """The set's matrix file ``M`` (users x items), a folder of compressed columns, or Parquet triples exported from it."""
+    names = {path.rsplit("/", 1)[-1]: path for path, _ in listed(folder)}
+    if "douban_monti_dataset.mat" in names:
+        return read_matrix_ratings(spark, names["douban_monti_dataset.mat"])
+    return read_matrix_ratings(spark, folder) if "jc.npy" in names else read_triples(spark, folder)
 
 
 def ratings_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +85,7 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ML-1M": read_ml1m,
     "ML-20M": read_ml20m,
     "Netflix": lambda spark, folder: read_blocks(spark, [f"{folder}/combined_data_2.txt", f"{folder}/combined_data_4.txt"]).drop("source_item_id"),
-    "Douban_monti": read_triples,
+    "Douban_monti": read_douban,
 }
 
 

@@ -1,13 +1,19 @@
 """Hand-made cases and properties of the operators."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pyspark.sql import functions as F
+
+from rankweave.functions import hashing, measures, permutation, ranges
 from rankweave.operators import blocks, candidates, filters, ranking, sampling, scaling, scoring, stats, svd
 from rankweave.plans import experiments
+from rankweave.sources import matrix
+from rankweave.sources import rating_blocks as blocks_of_ratings
 from rankweave.sources import ratings as sources
 from rankweave.sources import sinks
 
@@ -300,9 +306,162 @@ def test_blocks(spark, tmp_path):
     (tmp_path / "b.txt").write_text("2:\n13,1\n")
     got = sources.read_blocks(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
     assert {(r["user_id"], r["item_id"], r["rating"], r["source_item_id"]) for r in got.collect()} == {(11, 1, 5, 7), (12, 1, 3, 7), (11, 2, 4, 9), (13, 3, 1, 2)}
-    lines = spark.createDataFrame([(0, 0, "7:"), (0, 1, "1,5"), (0, 2, "2,5"), (0, 3, "3,4"), (1, 0, "8:"), (1, 1, "1,1")], "file int, line long, value string")
-    small = sources.number_blocks(lines, 2)
-    assert sorted((r["user_id"], r["item_id"], r["source_item_id"]) for r in small.collect()) == [(1, 1, 7), (1, 2, 8), (2, 1, 7), (3, 1, 7)]
+
+
+@pytest.mark.parametrize("split", [1, 3, 7, 64, 10_000])
+def test_blocks_by_byte_ranges(spark, tmp_path, split):
+    """Ranges that begin and end anywhere, files without a last line end, empty lines, spaces, dates on some lines, a block that goes on in the next file."""
+    texts = ["7:\n11,5,2005-01-01\n12,3\n\n9: \r\n11,4\r\n", "13,1\n2:\n14,2.5", "", "15,4\n7:\n16,1\n"]
+    want, item, source = [], 0, -1
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(text.encode())
+        for line in filter(None, (x.strip() for x in text.splitlines())):
+            if line.endswith(":"):
+                item, source = item + 1, int(line[:-1])
+            else:
+                want.append((int(line.split(",")[0]), item, float(line.split(",")[1]), source))
+    got = blocks_of_ratings.read_blocks(spark, [str(tmp_path)], split)
+    assert sorted((r["user_id"], r["item_id"], r["rating"], r["source_item_id"]) for r in got.collect()) == sorted(want)
+
+
+def test_one_large_block_is_written_and_read_by_ranges(spark, tmp_path):
+    own = spark.range(20_000).selectExpr("id AS user_id", "CASE WHEN id % 50 = 0 THEN id ELSE 17 END AS item_id", "CAST(1 + id % 5 AS DOUBLE) AS rating")
+    blocks_of_ratings.write_blocks(own, str(tmp_path / "blocks"))
+    back = blocks_of_ratings.read_blocks(spark, [str(tmp_path / "blocks")], 5_000)
+    same = back.selectExpr("user_id", "source_item_id AS item_id", "rating")
+    assert same.exceptAll(own).count() == own.exceptAll(same).count() == 0
+    assert back.rdd.getNumPartitions() > 20
+
+
+@pytest.mark.parametrize("split", [1, 5, 1000])
+def test_matrix_files(spark, tmp_path, split):
+    rng = np.random.default_rng(4)
+    table = rng.integers(1, 6, (9, 13)) * (rng.random((9, 13)) < 0.3)
+    table[:, [0, 5, 6, 12]] = 0  # empty columns
+    table[:, 7] = 3  # and a full one
+    rows = sorted((u, i, float(table[u, i])) for u in range(9) for i in range(13) if table[u, i])
+    row, col = np.nonzero(table.T)[::-1]
+    folder = tmp_path / "columns"
+    folder.mkdir()
+    np.save(folder / "jc.npy", np.concatenate([[0], np.cumsum((table != 0).sum(axis=0))]))
+    np.save(folder / "ir.npy", row.astype(np.uint32))
+    np.save(folder / "data.npy", table[row, col].astype(np.float32))
+    np.save(tmp_path / "dense.npy", table.astype(np.int16))
+    np.save(tmp_path / "turned.npy", np.asfortranarray(table.astype(float)))
+    for path in (folder, tmp_path / "dense.npy", tmp_path / "turned.npy"):
+        got = matrix.read_matrix_ratings(spark, str(path), split_entries=split)
+        assert sorted((r["user_id"], r["item_id"], r["rating"]) for r in got.collect()) == rows
+        assert split == 1000 or got.rdd.getNumPartitions() > 3
+    swapped = matrix.read_matrix_ratings(spark, str(folder), swap_axes=True)
+    assert sorted((r["item_id"], r["user_id"], r["rating"]) for r in swapped.collect()) == rows
+    assert sources.load_ratings(spark, "Douban_monti", str(folder)).count() == len(rows)
+    np.save(folder / "jc.npy", np.zeros(1, np.int64))
+    np.save(folder / "data.npy", np.zeros(0))
+    assert matrix.read_matrix(spark, str(folder)).count() == 0
+    (folder / "ir.npy").unlink()
+    with pytest.raises(Exception, match="lacks ir.npy"):
+        matrix.read_matrix(spark, str(folder)).count()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 100, 1000])
+def test_permutations_are_whole_and_invertible(spark, n):
+    key = F.col("key")
+    rows = spark.range(n).join(spark.createDataFrame([(0,), (12345,), (2147483646,)], "key long"))
+    got = rows.select("id", "key", permutation.permuted(F.col("id"), key, n).alias("place")).select("*", permutation.position(F.col("place"), key, n).alias("back")).collect()
+    assert all(r["back"] == r["id"] for r in got)
+    for k in (0, 12345, 2147483646):
+        assert sorted(r["place"] for r in got if r["key"] == k) == list(range(n))
+    assert n < 100 or len({tuple(r["place"] for r in got if r["key"] == k) for k in (0, 12345, 2147483646)}) == 3
+
+
+def test_draws_are_uniform_over_a_large_catalogue(spark):
+    """Chi-square of places and of pairs of draws, at 300,000 items."""
+    n, users, draws = 300_000, 3_000, 4
+    keys = spark.range(users).select("id", hashing.pair_hash("id", F.lit(0), 42).alias("key"))
+    own = keys.select("id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("t"), "key").select("id", "t", permutation.permuted(F.col("t"), F.col("key"), n).alias("place"))
+    table = np.zeros((users, draws))
+    for r in own.collect():
+        table[r["id"], r["t"]] = r["place"]
+    bound = lambda cells: cells - 1 + 5 * math.sqrt(2 * (cells - 1))
+    for t in range(draws):
+        seen = np.bincount((table[:, t] * 50 // n).astype(int), minlength=50)
+        assert ((seen - users / 50) ** 2 / (users / 50)).sum() < bound(50)
+        other = (t + 1) % draws
+        pairs = np.bincount((table[:, t] * 10 // n).astype(int) * 10 + (table[:, other] * 10 // n).astype(int), minlength=100)
+        assert ((pairs - users / 100) ** 2 / (users / 100)).sum() < bound(100)
+        steps = np.bincount((((table[:, other] - table[:, t]) % n) * 50 // n).astype(int), minlength=50)
+        assert ((steps - users / 50) ** 2 / (users / 50)).sum() < bound(50)
+    assert len(np.unique(table)) > 0.97 * users * draws
+
+
+@pytest.mark.parametrize("n", [1, 4, None])
+def test_described_candidates_answer_as_the_listed_ones(spark, n):
+    rng = np.random.default_rng(12)
+    rows = {(int(u), int(i) * 3) for u, i in rng.integers(0, 15, (90, 2))} | {(77, i * 3) for i in range(15)}  # one has rated all
+    train = frame(spark, [(u, i, 5) for u, i in rows])
+    users, items = train.select("user_id").distinct(), train.select("item_id").distinct()
+    own = candidates.sampled(users, items, train, n)
+    listed = {(r["user_id"], r["item_id"]) for r in candidates.listed(own).collect()}
+    every = spark.createDataFrame([(u, i) for u in (*range(15), 77, 999) for i in (*range(0, 45, 3), 1000)], "user_id long, item_id long")
+    assert {(r["user_id"], r["item_id"]) for r in candidates.contains(own, every).where("contained").collect()} == listed
+    assert candidates.contains(own, every).count() == 17 * 16
+    sizes = {r["user_id"]: r["n_candidates"] for r in candidates.lengths(own).collect()}
+    assert set(sizes) == {u for u, _ in rows} and sizes[77] == 0
+    assert all(x == sum(u == v for v, _ in listed) for u, x in sizes.items())
+    assert not listed & rows
+
+
+def test_rank_distance_against_all_pairs(spark):
+    rng = np.random.default_rng(13)
+    rows = [(int(u), int(i), float(a), float(b)) for u, i, a, b in zip(rng.integers(0, 9, 300), range(300), rng.integers(1, 6, 300), rng.integers(0, 4, 300), strict=True)]
+    rows += [(50, i, 3.0, 1.0) for i in range(20)] + [(51, 0, 1.0, 1.0)]
+    p = q = t = 0
+    for a, b in itertools.combinations(rows, 2):
+        if a[0] == b[0]:
+            x, y = np.sign(a[2] - b[2]), np.sign(a[3] - b[3])
+            p, q, t = p + (x != 0 and x == y), q + (x * y < 0), t + (x == 0)
+    own = spark.createDataFrame(rows, "user_id long, item_id long, rating double, score double")
+    got = ranking.kendall(own, None).first()
+    assert (got["concordant"], got["discordant"], got["ties"]) == (p, q, t)
+    assert ranking.kendall(own.where("user_id > 99")).first()["total_pairs"] == 0
+
+
+def test_bootstrap_of_any_scores(spark):
+    rng = np.random.default_rng(14)
+    for scores in (rng.integers(0, 2, 300).astype(float), np.where(rng.random(200) < 0.3, -2.5, 7.0), rng.integers(1, 6, 400) / 2, rng.normal(3, 2, 6000)):
+        own = spark.createDataFrame([(float(x),) for x in scores] + [(None,), (float("nan"),)], "s double")
+        got = stats.bootstrap(own, "s").first()
+        means = rng.choice(scores, (1000, len(scores))).mean(axis=1)
+        error = scores.std() / math.sqrt(len(scores))
+        assert got["mean"] == pytest.approx(scores.mean(), abs=0.15 * error)
+        assert got["low"] == pytest.approx(np.percentile(means, 2.5), abs=0.4 * error)
+        assert got["high"] == pytest.approx(np.percentile(means, 97.5), abs=0.4 * error)
+        assert stats.bootstrap(own, "s").first() == got
+    same = stats.bootstrap(spark.createDataFrame([(2.0,)] * 5, "s double"), "s").first()
+    assert (same["mean"], same["low"], same["high"]) == (2, 2, 2)
+    assert stats.bootstrap(spark.createDataFrame([], "s double"), "s").first()["mean"] is None
+
+
+def test_ranges_of_a_level_are_split(spark):
+    """Half of all items have one rating: their places and sums come from many ranges."""
+    own = spark.range(4_000).selectExpr("id AS item_id", "CASE WHEN id % 2 = 0 THEN 1 ELSE 2 + id % 7 END AS n")
+    got = ranges.running_sum(own, [F.col("n").desc(), F.col("item_id")], "n", "reached", "every").orderBy(F.col("n").desc(), "item_id").collect()
+    total = 0
+    for r in got:
+        total += r["n"]
+        assert r["reached"] == total and r["every"] == sum(x["n"] for x in got)
+    places = ranges.numbered(own, [F.col("n").desc(), F.col("item_id")], "place").orderBy("place").collect()
+    assert [r["place"] for r in places] == list(range(4_000)) and [(r["n"], r["item_id"]) for r in places] == [(r["n"], r["item_id"]) for r in got]
+
+
+def test_users_with_one_candidate_and_discordant_share(spark):
+    test = frame(spark, [(1, 10, 5), (1, 11, 4), (2, 10, 5)])
+    lists = spark.createDataFrame([(1, 10, 1.0, 1), (2, 10, 1.0, 1)], "user_id long, item_id long, score double, rank int")
+    some = spark.createDataFrame([(1, 2), (2, 1)], "user_id long, n_candidates long")
+    assert [r["user_id"] for r in ranking.ranking_metrics(lists, test, 2, candidates=some).collect()] == [1]
+    scored = spark.createDataFrame([(1, 10, 5.0, 1.0), (1, 11, 4.0, 2.0), (2, 10, 5.0, 1.0), (3, 1, 1.0, 1.0), (3, 2, 5.0, 2.0)], "user_id long, item_id long, rating double, score double")
+    got = scoring.discordant_share(scored).first()
+    assert (got["users"], got["scored"], got["discordant"], got["share"]) == (3, 2, 1, pytest.approx(1 / 3))
 
 
 def test_whole_experiments_and_sinks(spark, tmp_path):
@@ -321,10 +480,46 @@ def test_whole_experiments_and_sinks(spark, tmp_path):
     assert rows.count() == 2 and best.first()["k_rmse"] in (1, 3)
 
 
-def test_scores_of_cold_cells_and_bad_bootstrap_scores(spark):
+def test_scores_of_cold_cells(spark):
     train = spark.createDataFrame([(1, 1, 5.0), (1, 2, 3.0), (2, 1, 4.0), (2, 2, 1.0)], "user_id long, item_id long, rating double")
     cells = spark.createDataFrame([(1, 1, 5.0), (1, 9, 2.0), (8, 1, 3.0)], "user_id long, item_id long, rating double")
     got = {(r["user_id"], r["item_id"]): r["score"] for r in svd.score_cells(cells, svd.truncated_svd(train, 2), [2]).collect()}
     assert got[1, 9] == got[8, 1] == 0.0 and got[1, 1] == pytest.approx(5.0, abs=1e-6)
-    with pytest.raises(Exception, match="neither 0 nor 1"):
-        stats.bootstrap(cells, "rating", 10).collect()
+
+
+def test_full_completion_equals_that_of_all_cells(spark, monkeypatch, tmp_path):
+    for name, x in {"USER_BLOCK": 4, "ITEM_BLOCK": 3}.items():
+        monkeypatch.setattr(blocks, name, x)
+    monkeypatch.setattr(scaling, "OUTER_ROWS", 5)
+    rng = np.random.default_rng(15)
+    train = frame(spark, [(u, i, 1 + (u * i) % 5) for u, i in {(int(a) * 3, int(b) + 100) for a, b in rng.integers(0, 11, (50, 2))}] + [(500, 100, 0)])
+    fit = scaling.fit_sweeps(train, 3)
+    known = train.where("rating > 0")
+    cells = known.select("user_id").distinct().join(known.select("item_id").distinct())
+    want = {(r["user_id"], r["item_id"]): r["value"] for r in scaling.complete(cells, train, fit).collect()}
+    every = scaling.complete_all(train, fit)
+    assert "Cartesian" not in every._jdf.queryExecution().toString() and "NestedLoop" not in every._jdf.queryExecution().toString()
+    got = {(r["user_id"], r["item_id"]): r["value"] for r in every.collect()}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+    scaling.write_completed(train, fit, str(tmp_path / "grid"))
+    one = spark.read.parquet(str(tmp_path / "grid")).where("user_block = 1 AND item_block = 0")
+    assert one.count() == 4 * 3 and one.inputFiles()
+
+
+def test_parts_are_measured(spark):
+    with measures.measured(spark, "part") as part:
+        spark.range(200_000).repartition(3).selectExpr("sum(id * id)").collect()
+        spark.range(10).count()
+    assert part.jobs >= 2 and part.seconds > 0 and part.task_seconds > 0 and part.peak_mb >= 0
+    with measures.measured(spark, "nothing") as part:
+        pass
+    assert (part.jobs, part.task_seconds) == (0, 0.0)
+
+
+def test_sweep_times_grow_with_k(spark):
+    rng = np.random.default_rng(16)
+    own = frame(spark, [(u, i, 1 + (u + i) % 5) for u, i in {(int(a), int(b)) for a, b in rng.integers(0, 30, (600, 2))}])
+    rows, best = experiments.run_sweep(own, [1, 3, 6])
+    times = [r["Time(s)"] for r in rows.orderBy("k").collect()]
+    assert times == sorted(times) and times[0] > 0
+    assert set(rows.columns) >= {"k", "rmse", "ndcg_10", "ndcg_20", "Time(s)", "sweep_s", "sweep_task_s", "peak_mb"} and best.count() == 1

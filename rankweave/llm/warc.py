@@ -47,7 +47,7 @@ HOT_SHARES = 1000
 _HEAD = "<4s4x2sH2sHI"  # magic and flags, (mtime), xfl and os, extra length, subfield, its length, member length
 
 SCHEMA = "record_id string, record_type string, url string, refers_to string, payload_digest string, payload_bytes long, digest_ok boolean, payload binary"
-#: Columns that the record's own headers give; filters on them are decided before a payload is decoded.
+#: Columns that the record's own headers give; filters on them are decided before a payload is decoded, but for digest and length where it is.
 HEADER_COLUMNS = ("record_id", "record_type", "url", "refers_to", "payload_digest", "payload_bytes")
 
 
@@ -215,23 +215,26 @@ class WarcReader(DataSourceReader):
             "refers_to": strip(h.get("warc-refers-to")),
             "payload_digest": digest.removeprefix("sha1:") or None,
         }
+        # what is reported of a decoded payload is its own digest and length, so filters on them wait for it
+        decoded = self.payload and row["record_type"] != "revisit"
+        later = ("payload_bytes", "payload_digest") if decoded else ("payload_bytes",)
         for column, kind, value in self.wanted:
-            if column != "payload_bytes" and not holds(kind, row[column], value):
+            if column not in later and not holds(kind, row[column], value):
                 return None
         block = rest(self.payload)
         http, found, payload = block.partition(b"\r\n\r\n") if h.get("content-type", "").startswith("application/http") else (b"", b"x", block)
         told = headers(http).get("content-length")
         row["payload_bytes"] = int(told) if told is not None and told.isdigit() else (len(payload) if self.payload else None)
-        for column, kind, value in self.wanted:
-            if column == "payload_bytes" and not holds(kind, row[column], value):
-                return None
         ok = None
-        if self.payload and row["record_type"] != "revisit":
+        if decoded:
             own = sha1_label(hashlib.sha1(payload).digest())
             ok = own == row["payload_digest"] or not digest.startswith("sha1:")
             row["payload_digest"], row["payload_bytes"] = own, len(payload)
         else:
             payload = None
+        for column, kind, value in self.wanted:
+            if column in later and not holds(kind, row[column], value):
+                return None
         return (*row.values(), ok, payload)
 
 
@@ -282,7 +285,7 @@ def plain_records(f, start: int, end: int):
 
 
 def gzip_records(f, start: int, end: int):
-    """The same for one gzip member a record; members that tell their length are stepped over without inflating."""
+    """The same for gzip files: members that tell their length hold one record and are stepped over without inflating; what follows others is inflated in one go, however many records a member holds."""
     at = start
     while at < end:
         f.seek(at)
@@ -291,6 +294,9 @@ def gzip_records(f, start: int, end: int):
             return
         told = struct.unpack_from(_HEAD, data) if len(data) >= struct.calcsize(_HEAD) else None
         length = told[5] if told and told[3] == b"RW" and data[3] & 4 else None
+        if length is None:
+            yield from streamed_records(f, at)
+            return
         unpacker, out = zlib.decompressobj(31), b""
         feed = data
         while b"\r\n\r\n" not in out and not unpacker.eof and feed:
@@ -310,15 +316,52 @@ def gzip_records(f, start: int, end: int):
             return b"".join(state["out"])[:need]
 
         yield head, rest
-        if length is not None:
-            at += length
-            continue
-        while not unpacker.eof and state["feed"]:  # inflate, keep nothing
-            unpacker.decompress(state["feed"], 1 << 20)
-            state["feed"] = unpacker.unconsumed_tail or f.read(1 << 16)
-        at = f.tell() - len(unpacker.unused_data)
-        if not unpacker.eof:
-            return
+        at += length
+
+
+def streamed_records(f, at: int):
+    """Records of a gzip stream from a member's start to the end of the file; records and members need not begin together."""
+    f.seek(at)
+    state = {"unpacker": zlib.decompressobj(31), "feed": b"", "out": bytearray()}
+
+    def more() -> bool:
+        """Inflate some more; false at the end."""
+        while True:
+            if state["unpacker"].eof:
+                state["feed"] = state["unpacker"].unused_data.lstrip(b"\0")
+                state["unpacker"] = zlib.decompressobj(31)
+            state["feed"] = state["feed"] or f.read(1 << 16)
+            if not state["feed"]:
+                return False
+            got = state["unpacker"].decompress(state["feed"], 1 << 18)
+            state["feed"] = state["unpacker"].unconsumed_tail
+            if got:
+                state["out"] += got
+                return True
+
+    def filled(n: int) -> bytearray:
+        while len(state["out"]) < n and more():
+            pass
+        return state["out"]
+
+    while True:
+        while True:
+            while filled(1)[:1] in (b"\r", b"\n"):
+                del state["out"][:1]
+            cut = state["out"].find(b"\r\n\r\n")
+            if cut >= 0:
+                break
+            if not more():
+                return
+        head = bytes(state["out"][:cut])
+        del state["out"][: cut + 4]
+        size = int(headers(head).get("content-length", 0))
+        yield head, lambda whole, size=size: bytes(filled(size if whole else min(size, 4096))[: size if whole else min(size, 4096)])
+        left = size
+        while left and (state["out"] or more()):
+            n = min(left, len(state["out"]))
+            del state["out"][:n]
+            left -= n
 
 
 class WarcDataSource(DataSource):

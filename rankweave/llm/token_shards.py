@@ -20,12 +20,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,33 @@ _END = "<QQ8s"
 _INDEX_DOC = 8 + 1 + 3 * 8
 
 
+class Pieces(dict):
+    """Ids of pieces of text that follow a space, learnt when they are first asked for.
+
+    Letters and the signs after them are put together from each other's ids;
+    other pieces are split by the vocabulary's pattern.  Those of the time
+    before (``older``) are taken over.
+    """
+
+    def __init__(self, encoder: Encoder, older: dict[str, bytes]):
+        super().__init__()
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            head = piece.rstrip(SIGNS)
+            if not head.isalpha():
+                ids = self.encoder.split_ids(piece)
+            elif head == piece:
+                ids = self.encoder.word_ids(piece)
+            else:
+                ids = self[head] + self.encoder.tail_ids(piece[len(head) :])
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """A tokenizer of the tokenizers library, with the ids of frequent pieces of text at hand.
 
@@ -83,8 +112,7 @@ class Encoder:
         wide = max(self.tokenizer.get_vocab_size() - 1, end_id or 0) >= 1 << 16
         self.kind, self.width = ("I", 4) if wide else ("H", 2)
         self.end = b"" if end_id is None else end_id.to_bytes(self.width, "little")
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces = Pieces(self, {})
         self.tails: dict[str, bytes] = {}
 
     def __reduce__(self):
@@ -93,39 +121,23 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, word: str) -> bytes:
+    def word_ids(self, word: str) -> bytes:
         """The ids of letters with a space before them, which the pattern leaves whole, straight from the model."""
         shown = f" {word}".encode().decode("latin-1").translate(self.letters)
         return array(self.kind, [x.id for x in self.model.tokenize(shown)]).tobytes()
 
-    def _split(self, piece: str) -> bytes:
+    def split_ids(self, piece: str) -> bytes:
         """The ids of a piece with a space before it."""
         ids = [x.id for shown, _ in self.before.pre_tokenize_str(f" {piece}") for x in self.model.tokenize(shown)]
         return array(self.kind, ids).tobytes()
 
-    def _learn(self, new: Iterable[str]) -> None:
-        """Put the ids of pieces, each with a space before it, among those at hand: letters and the signs after them apart, others by the pattern."""
-        pieces, older, fresh = self.pieces, self.older, []
-        for piece in new:
-            ids = older.get(piece)
-            if ids is None:
-                fresh.append(piece)
-            else:
-                pieces[piece] = ids
-        heads = [x.rstrip(SIGNS) for x in fresh]
-        plain = [x.isalpha() for x in heads]
-        for head in {h for h, p in zip(heads, plain, strict=True) if p}.difference(pieces):
-            pieces[head] = self._whole(head)
-        for piece, head, p in zip(fresh, heads, plain, strict=True):
-            if not p:
-                pieces[piece] = self._split(piece)
-            elif len(piece) > len(head):
-                tail = piece[len(head) :]
-                if tail not in self.tails:
-                    if len(self.tails) > CACHE_TAILS:
-                        self.tails.clear()
-                    self.tails[tail] = self._encoded([tail])[0]
-                pieces[piece] = pieces[head] + self.tails[tail]
+    def tail_ids(self, tail: str) -> bytes:
+        """The ids of signs after a word."""
+        if tail not in self.tails:
+            if len(self.tails) > CACHE_TAILS:
+                self.tails.clear()
+            self.tails[tail] = self._encoded([tail])[0]
+        return self.tails[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian numbers."""
@@ -133,21 +145,15 @@ class Encoder:
             return [x + self.end for x in self._encoded(texts)]
         cut = [pieces_of(text) for text in texts]
         begins = self._encoded([x[0] for x in cut])
-        for x in cut:
-            x[0] = self.end  # in the first's place, to be put last
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces, self.older = {}, self.pieces
-        every = set().union(*(x[1:] for x in cut))
-        self._learn(every.difference(self.pieces))
-        known = self.pieces.__getitem__
-        out = [begin + b"".join(map(known, x[1:])) + x[0] for begin, x in zip(begins, cut, strict=True)]
-        for piece in [x for x in every if len(x) > CACHE_CHARS]:
-            del self.pieces[piece]
-        return out
-
-
-#: Signs after a word that the pattern takes together, and white space as Python tells it.
-SIGNS = ".,;:!?)]}\"'-*/%"
+            self.pieces.older = {}
+            self.pieces = Pieces(self, dict(self.pieces))
+        ids_of = self.pieces.__getitem__
+        return [begin + b"".join(map(ids_of, islice(x, 1, None))) + self.end for begin, x in zip(begins, cut, strict=True)]
+
+
+#: Signs, of which the pattern takes any run after a word together, and white space as Python tells it.
+SIGNS = string.punctuation
 _ASCII_SPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f "
 _OTHER_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _cut = re.compile(r" (?=\S)").split

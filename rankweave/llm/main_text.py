@@ -70,8 +70,6 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: How an element is hinted at: not at all, as furniture or a page around it, as furniture, as unseen.
 NONE, PERHAPS, FURNITURE, NEVER = range(4)
-#: Share of a page's own text that an element has to hold to be the page itself, whatever its name.
-WRAPPER_SHARE = 0.9
 
 
 def tokens(source: str) -> Iterator[tuple[str, str, str, int]]:
@@ -241,6 +239,7 @@ class Page:
         if not attributes:
             return hint
         words: set[str] = set()
+        part = NONE
         for key, value in _NAMES.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
@@ -248,13 +247,18 @@ class Page:
             if key == "role" and value.lower() in FURNITURE_ROLES:
                 hint = max(hint, PERHAPS if value.lower() == "form" else FURNITURE)
             if key in ("class", "id"):
-                words.update(w.lower() for w in _WORDS.findall(value))
+                for name_ in value.split():
+                    own = {w.lower() for w in _WORDS.findall(name_)}
+                    words |= own
+                    # the content of something else, such as ad-content or footer-content, is named by that
+                    if own & CONTENT_WORDS and own - CONTENT_WORDS and own - CONTENT_WORDS <= FURNITURE_WORDS:
+                        part = max(part, FURNITURE if own & (FURNITURE_WORDS - LAYOUT_WORDS) else PERHAPS)
         if name in ("html", "body"):
             return NONE
         if words & COMMENT_WORDS:
             return FURNITURE
         if name in ("article", "main") or words & CONTENT_WORDS:
-            return hint
+            return hint if name in ("article", "main") else max(hint, part)
         if words & FURNITURE_WORDS - LAYOUT_WORDS:
             return FURNITURE
         if words & LAYOUT_WORDS and not (words & HEADER_WORDS and not words & FURNITURE_WORDS and (inside or name in HEADINGS)):
@@ -265,25 +269,31 @@ class Page:
         """Elements that don't count: unseen ones and furniture.
 
         What may be furniture by its name alone (a form, a layout's words) is
-        the page itself if it holds nearly all text outside of sure furniture.
+        the page itself if the element with the greatest sum of densities lies
+        in it, whatever share of the text that is.
         """
         n = len(self.tag)
-        own = [0] * n
-        sure = [h >= FURNITURE for h in self.hint]
-        linked = [False] * n
+        sure, out = [False] * n, [False] * n
         for i in range(1, n):
-            sure[i] = sure[i] or sure[self.parent[i]]
-            linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
-        for i, text in self.events:
-            if text is not None and not sure[i] and not linked[i]:
-                own[i] += len(text) - text.count(" ")
-        for i in range(n - 1, 0, -1):
-            own[self.parent[i]] += own[i]
-        out = [False] * n
+            sure[i] = sure[self.parent[i]] or self.hint[i] >= FURNITURE
+        around: set[int] = set()
+        if PERHAPS in self.hint:
+            self.dropped = sure
+            i = self.leading(*self.densities())
+            while i > 0:
+                around.add(i)
+                i = self.parent[i]
         for i in range(1, n):
-            out[i] = out[self.parent[i]] or self.hint[i] >= FURNITURE or (self.hint[i] == PERHAPS and own[i] < WRAPPER_SHARE * own[0])
+            out[i] = out[self.parent[i]] or self.hint[i] >= FURNITURE or (self.hint[i] == PERHAPS and i not in around)
         return out
 
+    @staticmethod
+    def leading(density: list[float], total: list[float]) -> int:
+        """The element with the greatest sum over its children (among equals the outermost); of elements without children the densest."""
+        if any(total):
+            return max(range(len(total)), key=lambda i: (total[i], -i))
+        return max(range(len(density)), key=lambda i: (density[i], -i))
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density of every element, and the sum over its children.
 
@@ -331,7 +341,7 @@ class Page:
         density, total = self.densities()
         if not any(density):
             return []
-        best = max(range(len(total)), key=lambda i: (total[i], -i)) if any(total) else max(range(len(density)), key=lambda i: (density[i], -i))
+        best = self.leading(density, total)
         path = [best]
         while path[-1] not in (self.body, 0):
             path.append(self.parent[path[-1]])

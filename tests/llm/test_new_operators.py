@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rankweave.llm import importance, order, queries, search, token_shards, warc
+from rankweave.llm import importance, main_text, order, queries, search, token_shards, warc
 from rankweave.llm.scratch import Scratch, new_path
 from tests.llm import brute
 
@@ -267,3 +267,23 @@ def test_filters_on_digest_and_length_follow_what_is_reported(spark, tmp_path):
     assert [r["record_id"] for r in read.where(F.col("payload_bytes") == len(records[3][1])).collect()] == ["urn:x:3"]
     told = warc.read_archive(spark, str(tmp_path), payload=False)
     assert [r["record_id"] for r in told.where(F.col("payload_digest") == own(b"another")).collect()] == ["urn:x:2"]
+
+
+# --- main text in forms ---
+
+
+@pytest.mark.parametrize(("inside", "outside"), [(18, 2), (17, 3), (12, 8)])
+def test_a_form_around_the_text_is_no_furniture(inside, outside):
+    """Density decides, not the form's share of the page; a small form beside the text is still one."""
+    part = lambda n, mark="": "".join(f"<p>Paragraph {mark}{i} has some plain words that make up an ordinary text of a page, as it is.</p>" for i in range(n))
+    text = main_text.main_text(f"<body><form action=/x><div>{part(inside)}</div></form><div>{part(outside, 'o')}</div></body>")
+    assert all(f"Paragraph {i} " in text for i in range(inside))
+    text = main_text.main_text(f"<body><div>{part(inside)}</div><form action=/x>{part(2, 'f')}</form></body>")
+    assert text.count("Paragraph") == inside and "Paragraph f" not in text
+
+
+@pytest.mark.parametrize("name", ["ad-content", "sidebar-content", "footer-content", "main-nav"])
+def test_the_content_of_furniture_is_furniture(name):
+    part = "".join(f"<p>Paragraph {i} has some plain words that make up an ordinary text of a page, as it is.</p>" for i in range(6))
+    text = main_text.main_text(f"<body><div class='post content'>{part}</div><div class='{name}'><p>This is not a part of the text, and nobody reads it here.</p></div></body>")
+    assert text.count("Paragraph") == 6 and "nobody" not in text

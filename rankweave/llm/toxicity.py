@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,9 +32,10 @@ LEAST_USUAL = 6
 #: Longer units are scored by their best stretch of this many bytes.
 UNIT_BYTES = 32
 LANDMARK_BYTES = 12
-ORDER, DECAY, POWER = 3, 0.5, 3
-#: A subsequence stretches over this many bytes at most: two may be put in between three.
-SPAN = 5
+#: Subsequences of ORDER bytes count DECAY for every byte that they stretch over, however many that are.
+ORDER, DECAY, POWER = 3, 0.8, 4
+#: Letters that are put into the units of virtual examples.
+PUT_IN = (1, 2)
 #: A sentence ends at one of .!? or a line's end, or after this many words.
 SENTENCE_WORDS = 25
 CACHE_UNITS = 300_000
@@ -45,7 +47,9 @@ BLOCK_TRIPLES = 100_000
 BLOCK_SENTENCES = 2048
 #: What a unit adds up to this is taken for noise when a document's units are added up.
 UNIT_FLOOR = 0.2
-FEATURES = 4
+FEATURES = 6
+#: A clean document called toxic counts as so many toxic ones missed.
+CLEAN_WEIGHT = 2.0
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -105,16 +109,15 @@ def padded(units: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def stretches(length: int, order: int, decay: float, span: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all subsequences of a string that stretch over ``span`` bytes at most, and their weights."""
-    at = [x for x in combinations(range(length), order) if span is None or x[-1] - x[0] < span]
-    places = np.array(at, np.int64).reshape(-1, order).T
+def stretches(length: int, order: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of a string, and their weights."""
+    places = np.array(list(combinations(range(length), order)), np.int64).reshape(-1, order).T
     return places, decay ** (places[-1] - places[0] + 1.0)
 
 
-def own_kernel(s: np.ndarray, order: int = ORDER, decay: float = DECAY, span: int | None = SPAN) -> np.ndarray:
+def own_kernel(s: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The kernel of byte strings of one length each with itself."""
-    at, weights = stretches(s.shape[1], order, decay, span)
+    at, weights = stretches(s.shape[1], order, decay)
     if not len(weights) or not len(s):
         return np.zeros(len(s))
     codes = s[:, at[0]].astype(np.int64)
@@ -131,8 +134,8 @@ def own_kernel(s: np.ndarray, order: int = ORDER, decay: float = DECAY, span: in
 class Index:
     """Landmarks by their subsequences of ``order`` bytes, so that a unit meets only landmarks that share one with it."""
 
-    def __init__(self, marks: list[bytes], order: int = ORDER, decay: float = DECAY, span: int | None = None):
-        self.order, self.decay, self.span, self.size = order, decay, span, len(marks)
+    def __init__(self, marks: list[bytes], order: int = ORDER, decay: float = DECAY):
+        self.order, self.decay, self.size = order, decay, len(marks)
         self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         used = sorted(set(b"".join(marks)))
         self.symbol = np.zeros(256, np.int32)  # 0: in no landmark
@@ -150,7 +153,7 @@ class Index:
 
     def _places(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         if length not in self.known:
-            self.known[length] = stretches(length, self.order, self.decay, self.span)
+            self.known[length] = stretches(length, self.order, self.decay)
         return self.known[length]
 
     def _codes(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -202,6 +205,17 @@ def edged(unit: bytes) -> bytes:
     return b"\x02" + unit + b"\x03"
 
 
+def varied(unit: bytes, letters: int) -> bytes:
+    """A unit with letters put in, which and where a hash of it tells; never inside a character."""
+    h = zlib.crc32(unit)
+    for _ in range(letters):
+        places = [i for i in range(len(unit) + 1) if i == len(unit) or unit[i] & 0xC0 != 0x80]
+        h = (h * 1103515245 + 12345) % (1 << 31)
+        i = places[(h >> 8) % len(places)]
+        unit = unit[:i] + bytes([97 + (h >> 16) % 26]) + unit[i:]
+    return unit
+
+
 @dataclass
 class Units:
     """Units of the rows of a piece: words reduced to letters, and spelled-out words (rows of single letters) joined."""
@@ -278,7 +292,7 @@ class Model:
     scale: tuple[np.ndarray, np.ndarray]
 
     def __post_init__(self):
-        self.index = Index(self.marks, span=SPAN)
+        self.index = Index(self.marks)
         self.own = np.array([max(1e-12, own_kernel(padded([x], len(x)))[0]) for x in self.marks], np.float64)
         self.cache: dict[bytes, float] = {}
 
@@ -301,24 +315,34 @@ class Model:
                     self.cache[names[i]] = x
         return np.array(known, np.float64)[back] if known else np.zeros(0)
 
-    def features(self, u: Units) -> np.ndarray:
-        """Of each row: log of 1 + sentences beyond the margin, best sentence (clipped), log of 1 + units, log of 1 + what units add beyond UNIT_FLOOR."""
+    def features(self, u: Units, each: np.ndarray | None = None) -> np.ndarray:
+        """Of each row: log of 1 + sentences beyond the margin, best sentence (clipped), log of 1 + units, log of 1 + what units add beyond UNIT_FLOOR, log of the share of that in the units, second-best sentence (clipped).
+
+        ``each`` has what the units add, where that is known.
+        """
         out = np.zeros((u.count, FEATURES))
-        out[:, 1] = self.offset
+        out[:, [1, 5]] = self.offset
+        out[:, 4] = np.log(0.01)
         if len(u.rows):
             begins = np.flatnonzero(np.concatenate([[True], u.sentences[1:] != u.sentences[:-1]]))
-            each = self.unit_scores(u)
+            each = self.unit_scores(u) if each is None else each
             value = np.add.reduceat(each, begins) + self.offset
             rows = u.rows[begins]
             np.maximum.at(out[:, 1], rows, value)
             out[:, 0] = np.log1p(np.bincount(rows[value > 0], minlength=u.count))
             out[:, 2] = np.log1p(np.bincount(u.rows, minlength=u.count))
-            out[:, 3] = np.log1p(np.bincount(u.rows, np.maximum(0, each - UNIT_FLOOR), minlength=u.count))
+            beyond = np.bincount(u.rows, np.maximum(0, each - UNIT_FLOOR), minlength=u.count)
+            out[:, 3] = np.log1p(beyond)
+            out[:, 4] = np.log((beyond + 0.01) / (np.bincount(u.rows, minlength=u.count) + 1))
+            by_value = np.lexsort((-value, rows))
+            second = np.flatnonzero(np.concatenate([[False], rows[by_value][1:] == rows[by_value][:-1]]))
+            np.maximum.at(out[:, 5], rows[by_value[second]], value[by_value[second]])
+        out[:, 5] = np.clip(out[:, 5], -2, 2)
         out[:, 1] = np.clip(out[:, 1], -2, 2)
         return out
 
     def scores(self, u: Units) -> np.ndarray:
-        x = (self.features(u) - self.scale[0]) / self.scale[1]
+        x = with_products((self.features(u) - self.scale[0]) / self.scale[1])
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
 
 
@@ -487,13 +511,20 @@ def fit_machine(parts: list[np.ndarray], labels: list[np.ndarray], penalty: floa
     return w
 
 
-def fit_calibration(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+def with_products(x: np.ndarray) -> np.ndarray:
+    """Features and the products of any two of them."""
+    return np.hstack([x, *(x[:, i, None] * x[:, i:] for i in range(x.shape[1]))])
+
+
+def fit_calibration(x: np.ndarray, y: np.ndarray, clean_weight: float = CLEAN_WEIGHT, rounds: int = 50) -> np.ndarray:
+    """Logistic regression, in which rows with y = 0 count ``clean_weight``; the last weight is the offset."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     ridge = 1e-2 * np.eye(x.shape[1])
+    each = np.where(y > 0, 1.0, clean_weight)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (each * (y - p)) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -505,13 +536,14 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
 
     Distinct sentences are the examples of the machine and have the label that
     most documents with them have; sentences of toxic documents without an insult are noise that the
-    clean ones outvote.  Documents are then calibrated by logistic regression.
+    clean ones outvote.  What a first machine finds is an example again with one and two letters put into
+    it.  Documents, those with letters put into what is found too, are then calibrated by logistic regression.
     """
     texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
     pieces = [compact(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE)]
     y = np.array(toxic, np.float64)
     flat = (np.zeros(FEATURES), np.ones(FEATURES))
-    none = np.zeros(FEATURES)
+    none = np.zeros(FEATURES + FEATURES * (FEATURES + 1) // 2)
     rate = np.log((y.sum() + 1) / (len(y) - y.sum() + 2))  # without examples nothing is called toxic
     if not len(y) or y.min() == y.max():
         return Model([], np.zeros(0), 0.0, np.append(none, rate), flat)
@@ -533,27 +565,61 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
     every = list(names)
     for a in range(0, len(every), 4 * BLOCK_UNITS):
         kernel[a : a + 4 * BLOCK_UNITS] = similarity([edged(x) for x in every[a : a + 4 * BLOCK_UNITS]], model.index, model.own)
-    rows, labels = [], []
+    rows, labels, held = [], [], []
     for u, s, ids in zip(pieces, distinct_sentences(pieces, y, fresh), which, strict=True):
         ids = ids[of_sentences(s, len(u.rows))]
         begins = np.cumsum(np.append(0, np.diff(np.append(s.begins, len(u.rows)))[s.chosen]))
         for a in range(0, len(s.chosen), BLOCK_SENTENCES):
             at = begins[a : a + BLOCK_SENTENCES + 1]
-            rows.append((np.add.reduceat(kernel[ids[at[0] : at[-1]]].astype(np.float32), at[:-1] - at[0], axis=0).astype(np.float64) @ root).astype(np.float32))
+            held.append((ids[at[0] : at[-1]], at - at[0]))
+            rows.append(mapped(kernel[held[-1][0]], at[:-1] - at[0], root))
             labels.append(2 * s.labels[a : a + BLOCK_SENTENCES] - 1)
     w = fit_machine(rows, labels)
+    more = virtual_examples(every, kernel, model, held, rows, labels, root, w)
+    w = fit_machine(rows + [x for x, _ in more], labels + [x for _, x in more])
     model.weights, model.offset = root @ w[:-1], float(w[-1])
-    del rows
-    for a in range(0, len(every), 4 * BLOCK_UNITS):
-        model.cache.update(zip(every[a : a + 4 * BLOCK_UNITS], (kernel[a : a + 4 * BLOCK_UNITS].astype(np.float64) @ model.weights).tolist(), strict=True))
+    del rows, more
+    scores = [unit_values(kernel, model.weights)]
     del kernel
-    x = np.concatenate([model.features(u) for u in pieces])  # from the cache
+    found = np.flatnonzero(scores[0] > UNIT_FLOOR)
+    for letters in PUT_IN:  # documents with letters in what is found calibrate as well
+        scores.append(scores[0].copy())
+        scores[-1][found] = similarity([edged(varied(every[i], letters)) for i in found], model.index, model.own) @ model.weights
+    x = np.concatenate([model.features(u, known[ids]) for known in scores for u, ids in zip(pieces, which, strict=True)])
     model.scale = (x.mean(0), np.maximum(x.std(0), 1e-6))
-    model.calibration = fit_calibration((x - model.scale[0]) / model.scale[1], y)
-    model.cache.clear()
+    model.calibration = fit_calibration(with_products((x - model.scale[0]) / model.scale[1]), np.tile(y, len(scores)))
     return model
 
 
+def mapped(kernel: np.ndarray, begins: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The Nystroem map of sentences that begin at some of the units' rows."""
+    return (np.add.reduceat(kernel.astype(np.float32), begins, axis=0).astype(np.float64) @ root).astype(np.float32)
+
+
+def unit_values(kernel: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What units add, by their kernel with the landmarks."""
+    return np.concatenate([kernel[a : a + BLOCK_UNITS].astype(np.float64) @ weights for a in range(0, len(kernel), BLOCK_UNITS)] or [np.zeros(0)])
+
+
+def virtual_examples(every: list[bytes], kernel: np.ndarray, model: Model, held: list[tuple[np.ndarray, np.ndarray]], rows: list[np.ndarray], labels: list[np.ndarray], root: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sentences that a first machine finds, and clean ones inside its margin, once more for each of PUT_IN, with letters put into the units that speak for toxicity."""
+    found = np.flatnonzero(unit_values(kernel, root @ w[:-1]) > UNIT_FLOOR)
+    new = {n: similarity([edged(varied(every[i], n)) for i in found], model.index, model.own) for n in PUT_IN}
+    place = np.full(len(every), -1, np.int64)
+    place[found] = np.arange(len(found))
+    out = []
+    for (ids, begins), x, y in zip(held, rows, labels, strict=True):
+        near = x @ w[:-1] + w[-1] > np.where(y > 0, 0, -1)
+        sizes = np.diff(begins)
+        own = ids[np.repeat(near, sizes)]
+        changed = place[own] >= 0
+        for n in PUT_IN if changed.any() else ():
+            values = kernel[own].astype(np.float32)
+            values[changed] = new[n][place[own[changed]]]
+            out.append((mapped(values, np.cumsum(sizes[near]) - sizes[near], root), y[near]))
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

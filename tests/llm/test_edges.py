@@ -547,13 +547,18 @@ def test_kernel_against_all_subsequences():
     assert np.allclose(got, [[plain(s, t) for t in strings] for s in strings], rtol=1e-4, atol=1e-6)
     assert np.allclose(toxicity.subsequence_kernel(toxicity.padded(strings, 9)), [plain(s, s) for s in strings], rtol=1e-4, atol=1e-6)
 
-    def short(s, t, span):
-        weigh = lambda x: [(bytes(x[i] for i in at), toxicity.DECAY ** (at[-1] - at[0] + 1)) for at in combinations(range(len(x)), toxicity.ORDER) if at[-1] - at[0] < span]
-        return sum(v * w for a, v in weigh(s) for b, w in weigh(t) if a == b)
-
-    for span in (4, 5):
-        assert np.allclose(toxicity.Index(strings, span=span).kernel(toxicity.padded(strings, 9)), [[short(s, t, span) for t in strings] for s in strings], rtol=1e-4, atol=1e-6)
-        assert np.allclose([toxicity.own_kernel(toxicity.padded([s], len(s)), span=span)[0] for s in strings], [short(s, s, span) for s in strings])
+    for size, part in [(n, [s for s in strings if len(s) == n]) for n in range(1, 9)]:
+        assert np.allclose(toxicity.own_kernel(toxicity.padded(part, size)), [plain(s, s) for s in part], rtol=1e-4, atol=1e-6)
+    assert np.allclose(toxicity.Index(strings).kernel(toxicity.padded(strings, 9)), [[plain(s, t) for t in strings] for s in strings], rtol=1e-4, atol=1e-6)
+
+
+def test_letters_put_in():
+    for unit in (b"", b"a", b"grobnak", "r\u00e9eux".encode(), "\u00e9".encode() * 5):
+        for n in (1, 2):
+            more = toxicity.varied(unit, n)
+            assert len(more) == len(unit) + n and more == toxicity.varied(unit, n)
+            rest = iter(more.decode())
+            assert all(c in rest for c in unit.decode())
 
 
 # --- columns of other names ---

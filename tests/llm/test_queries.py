@@ -1,13 +1,16 @@
 """The registered queries over the smallest tables, against SQL or plain Python."""
 
 import hashlib
-from collections import defaultdict
+import random
+import re
+from collections import Counter, defaultdict
 
 import duckdb
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from rankweave.llm import queries, token_counts
+from rankweave.llm import queries, token_counts, toxicity
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +121,38 @@ def test_toxicity_held_out(spark):
     good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
     area = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
     assert len(good) >= 50 and area > 0.85, (len(good), area)
+
+
+def test_toxicity_with_letters_put_in(spark):
+    """Words that 50 toxic and no clean documents hold get one letter, or two, anywhere inside, in all held-out documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(docs, labels)
+    rows = docs.join(labels, "doc_id").where("text IS NOT NULL").select("doc_id", "toxic", "text", toxicity.held_out(F.col("doc_id")).alias("held")).collect()
+    held = [Counter(), Counter()]
+    for r in rows:
+        held[r["toxic"]].update(set(re.findall(r"[a-z]+", r["text"].lower())))
+    insults = [w for w, n in held[1].items() if n >= 50 and not held[0][w]]
+    assert len(insults) >= 5
+    pattern = re.compile(r"\b(" + "|".join(insults) + r")\b", re.IGNORECASE)
+
+    def put(rng, word, n):
+        for _ in range(n):
+            i = rng.randrange(1, len(word))
+            word = word[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[i:]
+        return word
+
+    for n, least in ((0, 0.85), (1, 0.8), (2, 0.6)):
+        changed = []
+        for r in rows:
+            if r["held"]:
+                rng = random.Random(r["doc_id"])
+                changed.append((r["doc_id"], r["toxic"], bool(pattern.search(r["text"])), pattern.sub(lambda m: put(rng, m[0], n), r["text"])))
+        got = toxicity.score_documents(spark.createDataFrame(changed, "doc_id long, toxic int, insulting boolean, text string"), model).collect()
+        toxic = [r for r in got if r["toxic"] == 1]
+        insulting = [r for r in toxic if r["insulting"]]
+        false = [r for r in got if r["toxic"] == 0 and r["predicted"] == 1]
+        print(n, len(toxic), sum(r["predicted"] for r in toxic), len(insulting), sum(r["predicted"] for r in insulting), len(false), len(got) - len(toxic))
+        assert sum(r["predicted"] for r in toxic) >= least * len(toxic)
+        assert len(insulting) >= 50 and sum(r["predicted"] for r in insulting) >= (0.9 if n < 2 else 0.8) * len(insulting)
+        assert len(false) <= 0.01 * (len(got) - len(toxic))

@@ -115,22 +115,6 @@ def stretches(length: int, order: int, decay: float) -> tuple[np.ndarray, np.nda
     return places, decay ** (places[-1] - places[0] + 1.0)
 
 
-def own_kernel(s: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """The kernel of byte strings of one length each with itself."""
-    at, weights = stretches(s.shape[1], order, decay)
-    if not len(weights) or not len(s):
-        return np.zeros(len(s))
-    codes = s[:, at[0]].astype(np.int64)
-    for x in at[1:]:
-        codes = codes * 256 + s[:, x]
-    sort = np.argsort(codes, axis=1)
-    codes = np.take_along_axis(codes, sort, 1)
-    new = np.ones(codes.shape, dtype=bool)
-    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
-    begins = np.flatnonzero(new)
-    return np.bincount(begins // len(weights), np.add.reduceat(weights[sort].ravel(), begins) ** 2, minlength=len(s))
-
-
 class Index:
     """Landmarks by their subsequences of ``order`` bytes, so that a unit meets only landmarks that share one with it."""
 
@@ -190,7 +174,7 @@ def similarity(units: list[bytes], index: Index, marks_own: np.ndarray) -> np.nd
         end = min(a + BLOCK_UNITS, len(parts), int(np.searchsorted(sizes, sizes[a], "right")))  # units of one length
         part = parts[a:end]
         s = padded([u for _, u in part], max(1, len(part[-1][1])))
-        norm = np.sqrt(np.maximum(own_kernel(s), 1e-12)[:, None] * marks_own[None, :])
+        norm = np.sqrt(np.maximum(subsequence_kernel(s), 1e-12).astype(np.float64)[:, None] * marks_own[None, :])
         value = np.minimum(1.0, index.kernel(s) / norm) ** POWER
         rows = np.array([i for i, _ in part])
         if len(np.unique(rows)) == len(rows):
@@ -293,7 +277,7 @@ class Model:
 
     def __post_init__(self):
         self.index = Index(self.marks)
-        self.own = np.array([max(1e-12, own_kernel(padded([x], len(x)))[0]) for x in self.marks], np.float64)
+        self.own = np.array([max(1e-12, float(subsequence_kernel(padded([x], len(x)))[0])) for x in self.marks], np.float64)
         self.cache: dict[bytes, float] = {}
 
     def __getstate__(self):

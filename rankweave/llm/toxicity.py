@@ -33,7 +33,9 @@ LEAST_USUAL = 6
 UNIT_BYTES = 32
 LANDMARK_BYTES = 12
 #: Subsequences of ORDER bytes count DECAY for every byte that they stretch over, however many that are.
-ORDER, DECAY, POWER = 3, 0.8, 4
+ORDER, DECAY = 3, 0.8
+#: The kernel to the fourth power.
+SQUARINGS = 2
 #: Letters that are put into the units of virtual examples.
 PUT_IN = (1, 2)
 #: A sentence ends at one of .!? or a line's end, or after this many words.
@@ -43,6 +45,10 @@ CACHE_UNITS = 300_000
 BLOCK_UNITS = 2048
 #: Subsequences that are looked up together.
 BLOCK_TRIPLES = 100_000
+#: Pairs of places that are compared together.
+BLOCK_CELLS = 200_000
+#: Subsequences that so many landmarks share are looked up as columns of a matrix.
+WIDE = 4
 #: Sentences whose units are added up together.
 BLOCK_SENTENCES = 2048
 #: What a unit adds up to this is taken for noise when a document's units are added up.
@@ -67,39 +73,28 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray | None = None, order: int =
     A common subsequence of ``order`` bytes counts ``decay`` to the power of its whole stretch in both strings.
     """
     if t is None:
-        ranked, columns, count = None, [np.where(c == 0, 1, c)[None, :] for c in s.T], [1] * s.shape[1]
-    else:  # longest first, so that the strings that reach a column are the first ones
-        ranked = np.argsort(-(t > 0).sum(1), kind="stable")
-        count = [int(n) for n in (t > 0).sum(0)]
-        columns = [t[ranked[:n], j, None] for j, n in enumerate(count) if n]
-    n, lam, square = len(columns), np.float32(decay), np.float32(decay * decay)
-    width = len(s)
-    total = np.zeros((count[0] if n else 1, width), np.float32)
-    # tails[i][j]: weight of common subsequences of i + 1 bytes in s so far and the first j bytes of t, up to both ends
-    tails = [[np.zeros((m, width), np.float32) for m in [count[0] if n else 1, *count[:n]]] for _ in range(order - 1)]
-    for x in np.ascontiguousarray(s.T):
-        if not x.any():
-            break
-        equal = [np.multiply(x == c, square, dtype=np.float32) for c in columns]
-        for j in range(n):
-            total[: count[j]] += equal[j] * tails[order - 2][j][: count[j]] if order > 1 else equal[j]
-        for i in range(order - 2, -1, -1):
-            run = None
-            for j in range(n):
-                new = equal[j] * tails[i - 1][j][: count[j]] if i else equal[j]
-                if run is not None:
-                    run = run[: count[j]]
-                    run *= lam
-                    run += new
-                else:
-                    run = new.copy()
-                tails[i][j + 1] *= lam
-                tails[i][j + 1] += run
-    if ranked is None:
-        return total[0]
-    out = np.zeros((len(t), width), np.float32)
-    out[ranked[: len(total)]] = total
-    return out.T
+        step = max(1, BLOCK_CELLS // max(1, s.shape[1] ** 2))
+        return np.concatenate([_kernel_of(x, x, order, decay) for x in np.split(s, range(step, len(s), step))])
+    return np.array([_kernel_of(s, np.broadcast_to(x, (len(s), len(x))), order, decay) for x in t]).reshape(len(t), len(s)).T
+
+
+def _kernel_of(s: np.ndarray, t: np.ndarray, order: int, decay: float) -> np.ndarray:
+    """Kernel of each string of ``s`` with that of ``t`` in the same row.
+
+    ``ends`` holds for two places the weight of common subsequences so far that end there; one byte
+    more sums what stands before both places, which is a product with a triangle of powers on either side.
+    """
+    equal = ((s[:, :, None] == t[:, None, :]) & (s > 0)[:, :, None]).astype(np.float64)
+    ends = equal
+    for _ in range(order - 1):
+        ends = equal * (_before(s.shape[1], decay).T @ (ends @ _before(t.shape[1], decay)))
+    return decay * decay * ends.sum((1, 2))
+
+
+def _before(length: int, decay: float) -> np.ndarray:
+    """Of places j < k: decay ** (k - j)."""
+    gap = np.arange(length)[None, :] - np.arange(length)[:, None]
+    return np.where(gap > 0, float(decay) ** np.maximum(gap, 0), 0.0)
 
 
 def padded(units: list[bytes], size: int) -> np.ndarray:
@@ -131,9 +126,19 @@ class Index:
             for code, w in zip(self._codes(self.symbol[np.frombuffer(m, np.uint8)][None, :], at)[0].tolist(), weights.tolist(), strict=True):
                 entries[code, i] = entries.get((code, i), 0.0) + w
         held = sorted(entries)
-        self.begin = np.searchsorted(np.array([c for c, _ in held], np.int64), np.arange(self.base**order + 1)).astype(np.int32)
-        self.owner = np.array([i for _, i in held], np.int64)
-        self.weight = np.array([entries[x] for x in held], np.float64)
+        owner = np.array([i for _, i in held], np.int64)
+        weight = np.array([entries[x] for x in held], np.float64)
+        begin = np.searchsorted(np.array([c for c, _ in held], np.int64), np.arange(self.base**order + 1))
+        count = np.diff(begin)
+        # subsequences of many landmarks are columns of a matrix, the others have lists
+        wide = np.flatnonzero(count >= WIDE)
+        self.column = np.full(len(count), -1, np.int32)
+        self.column[wide] = np.arange(len(wide))
+        self.shared = np.zeros((len(wide), self.size))
+        for k, c in enumerate(wide.tolist()):
+            self.shared[k, owner[begin[c] : begin[c + 1]]] = weight[begin[c] : begin[c + 1]]
+        self.few = np.where(count < WIDE, count, 0).astype(np.uint8)
+        self.begin, self.owner, self.weight = begin[:-1].astype(np.int32), owner, weight
 
     def _places(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         if length not in self.known:
@@ -141,31 +146,39 @@ class Index:
         return self.known[length]
 
     def _codes(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        codes = symbols[:, at[0]]
+        codes = np.take(symbols, at[0], 1)
         for x in at[1:]:
-            codes = codes * self.base + symbols[:, x]
+            codes *= self.base
+            codes += np.take(symbols, x, 1)
         return codes
 
     def kernel(self, s: np.ndarray) -> np.ndarray:
         """``subsequence_kernel`` of byte strings, padded with zeros, with all landmarks."""
         out = np.zeros((len(s), self.size), np.float32)
         at, weights = self._places(s.shape[1])
-        step = max(1, BLOCK_TRIPLES // max(1, len(weights)))
-        for a in range(0, len(s) if len(weights) and self.size else 0, step):
-            codes = self._codes(self.symbol[s[a : a + step]], at)
-            n = self.begin[codes + 1] - self.begin[codes]
-            row, place = np.nonzero(n)
-            n, first = n[row, place], self.begin[codes[row, place]]
-            entry = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
-            cell = np.repeat(row * self.size, n) + self.owner[entry]
-            rows = len(codes)
-            total = np.bincount(cell, np.repeat(weights[place], n) * self.weight[entry], minlength=rows * self.size)
-            out[a : a + step] = total.reshape(rows, self.size)
+        places, wide = len(weights), len(self.shared)
+        step = max(1, BLOCK_TRIPLES // max(1, places))
+        for a in range(0, len(s) if places and self.size else 0, step):
+            codes = self._codes(self.symbol[s[a : a + step]], at).ravel()
+            rows = len(codes) // places
+            column = self.column[codes]
+            hit = np.flatnonzero(column >= 0)
+            row = hit // places
+            total = np.bincount(row * wide + column[hit], weights[hit - row * places], minlength=rows * wide).reshape(rows, wide) @ self.shared
+            left = self.few[codes]
+            hit = np.flatnonzero(left)
+            left, entry, row = left[hit], self.begin[codes[hit]], hit // places
+            cell, weight = row * self.size, weights[hit - row * places]
+            while len(left):  # the first landmark of each list, then the second
+                total += np.bincount(cell + self.owner[entry], weight * self.weight[entry], minlength=total.size).reshape(total.shape)
+                more = np.flatnonzero(left > 1)
+                left, entry, cell, weight = left[more] - 1, entry[more] + 1, cell[more], weight[more]
+            out[a : a + step] = total
         return out
 
 
 def similarity(units: list[bytes], index: Index, marks_own: np.ndarray) -> np.ndarray:
-    """Normalised kernel to the power POWER, of units with landmarks; a long unit counts by its best stretch."""
+    """Normalised kernel, squared SQUARINGS times, of units with landmarks; a long unit counts by its best stretch."""
     out = np.zeros((len(units), index.size), np.float32)
     parts = [(i, u[a : a + UNIT_BYTES]) for i, u in enumerate(units) for a in range(0, max(1, len(u) - UNIT_BYTES // 2), UNIT_BYTES // 2)]
     parts.sort(key=lambda x: len(x[1]))
@@ -173,9 +186,12 @@ def similarity(units: list[bytes], index: Index, marks_own: np.ndarray) -> np.nd
     for a in np.unique(np.concatenate([np.arange(0, len(parts), BLOCK_UNITS), np.searchsorted(sizes, np.unique(sizes))])).tolist():
         end = min(a + BLOCK_UNITS, len(parts), int(np.searchsorted(sizes, sizes[a], "right")))  # units of one length
         part = parts[a:end]
-        s = padded([u for _, u in part], max(1, len(part[-1][1])))
-        norm = np.sqrt(np.maximum(subsequence_kernel(s), 1e-12).astype(np.float64)[:, None] * marks_own[None, :])
-        value = np.minimum(1.0, index.kernel(s) / norm) ** POWER
+        s = np.frombuffer(b"".join(u for _, u in part), np.uint8).reshape(len(part), -1) if sizes[a] else np.zeros((len(part), 1), np.uint8)
+        value = index.kernel(s) / np.sqrt(np.maximum(subsequence_kernel(s), 1e-12))[:, None]
+        value *= 1 / np.sqrt(marks_own)
+        np.minimum(1.0, value, out=value)
+        for _ in range(SQUARINGS):
+            value *= value
         rows = np.array([i for i, _ in part])
         if len(np.unique(rows)) == len(rows):
             out[rows] = np.maximum(out[rows], value)

@@ -52,6 +52,12 @@ FURNITURE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies discussion disqus respond".split())
 #: Words that layouts use for elements around everything too.
 LAYOUT_WORDS = frozenset("nav navbar menu sidebar sidebars aside banner header topbar footer foot search login signin signup notice notices overlay modal skip".split())
+#: Words that name furniture when they stand alone or with a word for a part of a page, and may name a subject beside any other word.
+SUBJECT_WORDS = frozenset("consent copyright discussion notice notices promotion related share sharing social subscription".split())
+PART_WORDS = frozenset(
+    "area article articles bar block blocks body bottom box btn button buttons container content entries entry group heading icon icons inner item items "
+    "left line link links list media module more news outer panel posts post right row section sections side story stories text title tools top wrap wrapper".split()
+)
 HEADER_WORDS = frozenset("header topbar".split())
 CONTENT_WORDS = frozenset("content article post entry body story main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -68,8 +74,8 @@ _NAMES = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: How an element is hinted at: not at all, as furniture or a page around it, as furniture, as unseen.
-NONE, PERHAPS, FURNITURE, NEVER = range(4)
+#: How an element is hinted at: not at all, as furniture or a page around it, as furniture or a subject's part, as furniture, as unseen.
+NONE, PERHAPS, SUBJECT, FURNITURE, NEVER = range(5)
 
 
 def tokens(source: str) -> Iterator[tuple[str, str, str, int]]:
@@ -239,7 +245,7 @@ class Page:
         if not attributes:
             return hint
         words: set[str] = set()
-        part = NONE
+        part = subject = NONE
         for key, value in _NAMES.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
@@ -249,12 +255,16 @@ class Page:
             if key in ("class", "id"):
                 for name_ in value.split():
                     own = {w.lower() for w in _WORDS.findall(name_)}
+                    if inside and is_subject(own, name, key):
+                        subject = SUBJECT
+                        continue
                     words |= own
                     # the content of something else, such as ad-content or footer-content, is named by that
                     if own & CONTENT_WORDS and own - CONTENT_WORDS and own - CONTENT_WORDS <= FURNITURE_WORDS:
                         part = max(part, FURNITURE if own & (FURNITURE_WORDS - LAYOUT_WORDS) else PERHAPS)
         if name in ("html", "body"):
             return NONE
+        hint = max(hint, subject)
         if words & COMMENT_WORDS:
             return FURNITURE
         if name in ("article", "main") or words & CONTENT_WORDS:
@@ -270,21 +280,29 @@ class Page:
 
         What may be furniture by its name alone (a form, a layout's words) is
         the page itself if the element with the greatest sum of densities lies
-        in it, whatever share of the text that is.
+        in it, whatever share of the text that is.  A part of an article whose name
+        may be that of its subject (``share-price``) is furniture if it is
+        less dense than all that is around that element.
         """
         n = len(self.tag)
         sure, out = [False] * n, [False] * n
         for i in range(1, n):
             sure[i] = sure[self.parent[i]] or self.hint[i] >= FURNITURE
         around: set[int] = set()
-        if PERHAPS in self.hint:
+        density, threshold = [0.0] * n, 0.0
+        if PERHAPS in self.hint or SUBJECT in self.hint:
             self.dropped = sure
-            i = self.leading(*self.densities())
+            density, total = self.densities()
+            i = self.leading(density, total)
+            threshold = density[i]
             while i > 0:
                 around.add(i)
+                if i >= self.body:
+                    threshold = min(threshold, density[i])
                 i = self.parent[i]
         for i in range(1, n):
-            out[i] = out[self.parent[i]] or self.hint[i] >= FURNITURE or (self.hint[i] == PERHAPS and i not in around)
+            thin = self.hint[i] == SUBJECT and i not in around and density[i] < threshold
+            out[i] = out[self.parent[i]] or self.hint[i] >= FURNITURE or (self.hint[i] == PERHAPS and i not in around) or thin
         return out
 
     @staticmethod
@@ -382,6 +400,16 @@ class Page:
         return "\n".join(blocks)
 
 
+def is_subject(words: set[str], element: str, attribute: str) -> bool:
+    """Whether a part of an article may be named by its subject: a furniture word beside one that names no part of a page, or a section headed "discussion"."""
+    found = words & FURNITURE_WORDS
+    if not found or not found <= SUBJECT_WORDS:
+        return False
+    if words == {"discussion"}:
+        return element == "section" and attribute == "id"
+    return any(w.isalpha() for w in words - found - PART_WORDS)
+
+
 def composite_density(chars: int, tags: int, linked: int, links: int, ratio: float) -> float:
     """Composite text density of an element with these characters and tags, of which some are in links; ``ratio`` is the body's linked share."""
     tags, other = max(1, tags), max(1, chars - linked)

@@ -582,3 +582,32 @@ def test_clashing_columns(spark, name):
     found = got.collect()
     assert len(found) == 4 and all(r["a.b"] == private.index("a.b") and r["row"] == 0 for r in found)
     assert function(spark, rows.limit(0)).count() == 0
+
+
+def _article(part: str) -> str:
+    words = "<p>" + "A sentence of the article that says something at length. " * 5 + "</p>"
+    return f"<body><ul class=menu><li><a href=/>Home</a></ul><article><h1>Title</h1>{words * 4}{part}{words * 3}</article><footer>foot</footer></body>"
+
+
+@pytest.mark.parametrize("open_tag", ['section id="discussion"', 'section id="copyright-law"', 'div class="related-work"', 'p class="share-price"', 'section id="promotion-policy"'])
+def test_parts_of_an_article_named_by_their_subject_stay(open_tag):
+    words = "Kept words that speak of the matter at some length, as dense as others. " * 4
+    assert words.strip() in main_text.main_text(_article(f"<{open_tag}>{words}</{open_tag.split()[0]}>"))
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="share-price"><a href=a>Gone</a> <a href=b>Gone</a></div>',  # a subject's name, but thinner than what is around it
+        '<div class="related-posts"><p>Gone</p></div>', '<div class="related">Gone</div>', '<div class="discussion"><p>Gone</p></div>',
+        '<div class="comment-policy"><p>Gone</p></div>', '<div class="ad-content"><p>Gone</p></div>', '<div class="footer-content"><p>Gone</p></div>',
+    ],
+)
+def test_furniture_inside_an_article_goes(part):
+    assert "Gone" not in main_text.main_text(_article(part))
+
+
+def test_density_decides_for_names_of_subjects(monkeypatch):
+    thin = _article('<div class="share-price"><a href=a>Gone</a> <a href=b>Gone</a></div>')
+    monkeypatch.setattr(main_text, "composite_density", lambda *_: 1.0)
+    assert "Gone" in main_text.main_text(thin)

@@ -28,7 +28,9 @@ def rows_of(kept: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the toxicity model does not reject, null and empty texts too."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return rows_of(toxicity.score_documents(whole_rows(docs), model, carry=["doc"]).where("predicted = 0"))
+    rest = F.struct(*(named(c).alias(c) for c in docs.columns if c != "text"))
+    kept = toxicity.score_documents(docs.select(rest.alias("doc"), "text"), model, carry=["doc", "text"]).where("predicted = 0")
+    return kept.select(*(F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankweave.llm.rows import named, packed, unpacked
-from rankweave.llm.scratch import Scratch, received, send
+from rankweave.llm.scratch import Scratch, lean, received, send
 from rankweave.llm.words import ALNUM, Words, member, mix, run_hash, split_words
 
 #: Words as the SQL functions count them: those of lower-cased text.
@@ -83,7 +83,7 @@ def build_sieve(found: DataFrame) -> Sieve:
             place = np.concatenate(places(batch["h"].to_numpy().view(np.uint64), bits))
             yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], names=["slot", "value"])
 
-    table = found.mapInArrow(spread, "slot long, value long").groupBy("slot").agg(F.bit_or("value").alias("value")).toArrow()  # 2 ** (bits - 6) rows at most
+    table = found.mapInArrow(lean(spread), "slot long, value long").groupBy("slot").agg(F.bit_or("value").alias("value")).toArrow()  # 2 ** (bits - 6) rows at most
     return Sieve(bits, table["slot"].to_numpy(), table["value"].to_numpy().view(np.uint64))
 
 
@@ -209,7 +209,7 @@ def find_leaks(
     usable = benchmark.select(named(item_col).alias("item"), named(item_text_col).alias("text")).where("text IS NOT NULL")
     item = usable.schema["item"].dataType
     shape = T.StructType([T.StructField("h", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("item", item)])
-    index = scratch.keep(usable.mapInArrow(_indexer(window, k), shape), "benchmark")
+    index = scratch.keep(usable.mapInArrow(lean(_indexer(window, k)), shape), "benchmark")
     known = scratch.keep(index.where("h IS NOT NULL").select("h").distinct(), "prints")
     windows = scratch.keep(index.where("digest IS NOT NULL").select("digest", "item").distinct(), "windows")
     lengths = sorted(r["n"] for r in index.select("n").distinct().collect())  # ``window`` numbers at most
@@ -219,12 +219,12 @@ def find_leaks(
 
     sieve = send(spark, build_sieve(known))
     texts = docs.select(text.alias("text")).where("text IS NOT NULL")
-    maybe = texts.mapInArrow(_finder(sieve, lengths, window, k), "text_key string, h long")
+    maybe = texts.mapInArrow(lean(_finder(sieve, lengths, window, k)), "text_key string, h long")
     shared = scratch.keep(maybe.join(known, "h").distinct().groupBy("text_key").agg(F.collect_list("h").alias("hashes")), "shared")
     keys = shared.select("text_key")
     keys = F.broadcast(keys) if shared.count() <= broadcast_keys else keys
     own = texts.withColumn("text_key", F.sha2("text", 256)).join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    around = own.join(shared, "text_key").mapInArrow(_extender(lengths, window, k), "text_key string, start long, n int, digest binary")
+    around = own.join(shared, "text_key").mapInArrow(lean(_extender(lengths, window, k)), "text_key string, start long, n int, digest binary")
     hits = scratch.keep(around.join(windows.select("digest").distinct(), "digest"), "hits")
 
     before = Window.partitionBy("text_key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
-from rankweave.llm.scratch import Scratch
+from rankweave.llm.scratch import Scratch, lean
 from rankweave.llm.words import NOT_SPACE, PIECE_BYTES, Words, mix, run_hash, split_words, whole_words
 
 BANDS, ROWS = 44, 8
@@ -251,14 +251,14 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sketches = scratch.keep(texts.mapInArrow(_sketcher(k), "doc_id long, n long, digest binary, registers binary"), "sketches")
+    sketches = scratch.keep(texts.mapInArrow(lean(_sketcher(k)), "doc_id long, n long, digest binary, registers binary"), "sketches")
     whole = sketches.where("n > 0 AND doc_id IS NOT NULL")
     # the smallest id names a class, unless an id in several rows can be the smallest of several classes
     repeated = not whole.groupBy("doc_id").count().where("count > 1").isEmpty()
     classes = whole.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id() if repeated else F.col("least")), "classes")
 
-    banded = classes.select("id", "registers").mapInArrow(_bander, "key long, id long")
+    banded = classes.select("id", "registers").mapInArrow(lean(_bander), "key long, id long")
     shared = scratch.keep(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"), "shared")
     members = scratch.keep(banded.join(shared, "key").select("key", "id", "size"), "members")
 
@@ -291,7 +291,7 @@ def _groups(members, classes, texts, same, scratch: Scratch, k: int, percent: in
         chosen = scratch.keep(classes.join(picked, "id", "left_semi"), "chosen")
         ids = chosen.select("least").distinct()
         ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-        own = texts.join(ids, F.col("doc_id") == F.col("least"), "left_semi").mapInArrow(_marker, "least long, digest binary, text string")
+        own = texts.join(ids, F.col("doc_id") == F.col("least"), "left_semi").mapInArrow(lean(_marker), "least long, digest binary, text string")
         own = own.groupBy("least", "digest").agg(F.first("text").alias("text"))
         sets = chosen.join(own, ["least", "digest"]).select("id", "n", "registers", "text")
     else:
@@ -322,7 +322,7 @@ def _groups(members, classes, texts, same, scratch: Scratch, k: int, percent: in
         dealt = sets.join(hot, F.col("id") == F.col("hot"), "left").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("hot", "parts")
         for x in "ab":
             full = full.join(dealt.toDF(*(f"{c}_{x}" for c in dealt.columns)), [f"id_{x}", f"slot_{x}"]).drop(f"id_{x}", f"slot_{x}")
-        return full.mapInArrow(_verifier(k, percent), "a long, b long, linked boolean")
+        return full.mapInArrow(lean(_verifier(k, percent)), "a long, b long, linked boolean")
 
     # the member of a bucket whose own buckets are the fullest has least of its own, so most others link to it
     central = members.groupBy("id").agg(F.sum("size").alias("rank"))
@@ -357,7 +357,7 @@ def _rare_pairs(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> Data
     filters).  Shingles that a document alone has come first, so documents
     with too many of their own drop out before they meet anything.
     """
-    held = docs.select("id", "component", "n", "text").mapInArrow(_lister(k), "id long, component long, n long, h long")
+    held = docs.select("id", "component", "n", "text").mapInArrow(lean(_lister(k)), "id long, component long, n long, h long")
     held = scratch.keep(held, "shingles")
     often = scratch.keep(held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
     most = max(64, held.count() // HOT_SHARES)

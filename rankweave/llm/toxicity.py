@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import tempfile
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankweave.llm.rows import named, packed, unpacked
-from rankweave.llm.scratch import received, send
+from rankweave.llm.scratch import give_back, lean, received, send
 from rankweave.llm.words import NOT_SPACE, Words, _words, mix, split_words
 
 #: Labelled documents that the model is fitted on at most (those with the least hashed ids).
@@ -262,6 +263,12 @@ def compact(u: Units) -> Units:
     return Units(small, u.rows.astype(np.int32), u.sentences.astype(np.int32), u.count)
 
 
+def without_letters(u: Units) -> Units:
+    """Rows and sentences alone, where it is known what each unit adds."""
+    none = np.zeros(0, np.int32)
+    return Units(Words(np.zeros(0, np.uint8), none, none, none, np.zeros(0, np.uint64), none), u.rows, u.sentences, u.count)
+
+
 def _spelled(u: Units) -> Units:
     """Join runs of four or more single letters of one row."""
     single = (u.letters.ends - u.letters.starts) == 1
@@ -541,6 +548,7 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
     """
     texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
     pieces = [compact(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE)]
+    del texts
     y = np.array(toxic, np.float64)
     flat = (np.zeros(FEATURES), np.ones(FEATURES))
     none = np.zeros(FEATURES + FEATURES * (FEATURES + 1) // 2)
@@ -561,12 +569,16 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
     for u in pieces:
         here, back = u.letters.distinct()
         which.append(np.array([names.setdefault(x, len(names)) for x in here], np.int32)[back] if here else np.zeros(0, np.int32))
-    kernel = np.zeros((len(names), len(marks)), np.float16)
     every = list(names)
+    sentences = distinct_sentences(pieces, y, fresh)
+    pieces = [without_letters(u) for u in pieces]
+    del names, fresh
+    give_back()
+    kernel = mapped_file((len(every), len(marks)))
     for a in range(0, len(every), 4 * BLOCK_UNITS):
         kernel[a : a + 4 * BLOCK_UNITS] = similarity([edged(x) for x in every[a : a + 4 * BLOCK_UNITS]], model.index, model.own)
     rows, labels, held = [], [], []
-    for u, s, ids in zip(pieces, distinct_sentences(pieces, y, fresh), which, strict=True):
+    for u, s, ids in zip(pieces, sentences, which, strict=True):
         ids = ids[of_sentences(s, len(u.rows))]
         begins = np.cumsum(np.append(0, np.diff(np.append(s.begins, len(u.rows)))[s.chosen]))
         for a in range(0, len(s.chosen), BLOCK_SENTENCES):
@@ -574,11 +586,13 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
             held.append((ids[at[0] : at[-1]], at - at[0]))
             rows.append(mapped(kernel[held[-1][0]], at[:-1] - at[0], root))
             labels.append(2 * s.labels[a : a + BLOCK_SENTENCES] - 1)
+    give_back()
     w = fit_machine(rows, labels)
     more = virtual_examples(every, kernel, model, held, rows, labels, root, w)
     w = fit_machine(rows + [x for x, _ in more], labels + [x for _, x in more])
     model.weights, model.offset = root @ w[:-1], float(w[-1])
-    del rows, more
+    del rows, more, held
+    give_back()
     scores = [unit_values(kernel, model.weights)]
     del kernel
     found = np.flatnonzero(scores[0] > UNIT_FLOOR)
@@ -591,6 +605,12 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
     return model
 
 
+def mapped_file(shape: tuple[int, int]) -> np.ndarray:
+    """A matrix of zeros in a nameless temporary file, which the system may page out and which goes with the matrix."""
+    with tempfile.TemporaryFile() as f:
+        return np.asarray(np.memmap(f, np.float16, "w+", shape=shape))
+
+
 def mapped(kernel: np.ndarray, begins: np.ndarray, root: np.ndarray) -> np.ndarray:
     """The Nystroem map of sentences that begin at some of the units' rows."""
     return (np.add.reduceat(kernel.astype(np.float32), begins, axis=0).astype(np.float64) @ root).astype(np.float32)
@@ -637,12 +657,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     )
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes // 16).join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
-    found = rows.select("text", F.col("toxic").cast("int").alias("toxic")).coalesce(1).mapInArrow(_fitter(sample_bytes), "model binary").collect()
+    found = rows.select("text", F.col("toxic").cast("int").alias("toxic")).coalesce(1).mapInArrow(lean(_fitter(sample_bytes)), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit([], [])
 
 
 def _fitter(sample_bytes: int):
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier tasks of this worker left
         texts, toxic, size = [], [], 0
         for batch in batches:
             ends = size + np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
@@ -650,17 +671,22 @@ def _fitter(sample_bytes: int):
             texts.append(part["text"])
             toxic += part["toxic"].to_pylist()
             size = ends[-1] if len(ends) else size
-        model = fit(pa.chunked_array(texts, pa.string()).combine_chunks(), toxic)
-        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(model)], pa.binary())], names=["model"])
+        model = cloudpickle.dumps(fit(pa.chunked_array(texts, pa.string()).combine_chunks(), toxic))
+        del texts
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     return fitted
 
 
-def _scorer(sent):
+def _scorer(sent, inside: str | None):
+    """``inside``: the field of the rows that is the text; else the text stands beside them."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = received(sent)
         for batch in batches:
-            parts = [model.scores(units(words, count)) for _, count, words in split_words(batch["text"], NOT_SPACE)]
+            texts = batch["text"] if inside is None else batch["row"].field(inside)
+            parts = [model.scores(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE)]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())], names=["row", "score"])
 
     return score
@@ -678,5 +704,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", carry
     """
     sent = send(docs.sparkSession, model)
     work = docs.select(packed(docs, ("score", "predicted"), carry).alias("row"), named(text_col).alias("text"))
-    out = work.mapInArrow(_scorer(sent), T.StructType([work.schema["row"], T.StructField("score", T.DoubleType())]))
+    inside = text_col if work.schema["row"].dataType.names.count(text_col) == 1 and work.schema["row"].dataType[text_col].dataType == T.StringType() else None
+    work = work if inside is None else work.select("row")  # a text that is carried goes to the workers once
+    out = work.mapInArrow(lean(_scorer(sent, inside)), T.StructType([work.schema["row"], T.StructField("score", T.DoubleType())]))
     return out.select(*unpacked(out), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

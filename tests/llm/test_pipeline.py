@@ -1,6 +1,9 @@
 """The corpus pipeline: every stage on small tables and edge cases, and the whole of it."""
 
+import os
 import random
+import subprocess
+import sys
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -76,3 +79,41 @@ def test_whole_pipeline(spark, folder):
     for r in got:
         assert "jo@ab.org" not in (r["text"] or "") and 0 <= r["taken"] <= 3 * r["size"]
         assert r["size"] == len(brute.space_words(r["text"]))
+
+
+def test_toxicity_sends_texts_once(spark, folder):
+    """A text goes to the workers inside its row or beside it, not both."""
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    plan = stage("toxicity")(spark, docs, path)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sent = plan[next(i for i, x in enumerate(plan) if "MapInArrow" in x) + 1]
+    assert "Project" in sent and "AS row#" in sent and "AS text#" not in sent and ", text#" not in sent.split(" AS row#")[1]
+
+
+KEPT = r"""
+import re
+import numpy as np
+from rankweave.llm import scratch, toxicity
+def held():
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+def grow(batches):
+    for n in batches:
+        blocks = [np.ones(25_000) for _ in range(n)]  # 200 kB each: on the C library's heap
+        keep.append(blocks[-1])
+        yield held()
+keep = []
+before = held()
+full = list(scratch.lean(grow)(iter([1000])))[0]
+print(full - before, held() - before)
+before = held()
+kernel = toxicity.mapped_file((50_000, 1000))
+kernel[:] = 1
+print(held() - before, int(kernel.sum(dtype=float)))
+"""
+
+
+def test_worker_gives_memory_back():
+    """What a task of the toxicity or near-duplicate stage took is free for the later stages of the same worker."""
+    out = subprocess.run([sys.executable, "-c", KEPT], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.path.dirname(corpus_pipeline.__file__)}).stdout.split()
+    full, kept, kernel, total = map(int, out)
+    assert full > 150 and kept < 40 and kernel < 20 and total == 50_000_000

@@ -6,7 +6,7 @@ import pickle
 import tempfile
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -41,7 +41,8 @@ SQUARINGS = 2
 PUT_IN = (1, 2)
 #: A sentence ends at one of .!? or a line's end, or after this many words.
 SENTENCE_WORDS = 25
-CACHE_UNITS = 300_000
+#: Slots for what known units add, 40 bytes each; a power of two.
+CACHE_UNITS = 1 << 20
 #: Units that meet the landmarks together.
 BLOCK_UNITS = 2048
 #: Subsequences that are looked up together.
@@ -49,7 +50,7 @@ BLOCK_TRIPLES = 100_000
 #: Pairs of places that are compared together.
 BLOCK_CELLS = 200_000
 #: Subsequences that so many landmarks share are looked up as columns of a matrix.
-WIDE = 4
+WIDE = 8
 #: Sentences whose units are added up together.
 BLOCK_SENTENCES = 2048
 #: What a unit adds up to this is taken for noise when a document's units are added up.
@@ -65,6 +66,10 @@ for _sign, _as in zip(b"0134579@$", b"oieastgas", strict=True):
     _LOOKS_LIKE[_sign] = _as
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?\n")] = True
+#: All numbers of two bytes as four bytes, which is much faster than converting them.
+_HALF = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
+#: The first so many of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray | None = None, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -188,13 +193,14 @@ def similarity(units: list[bytes], index: Index, marks_own: np.ndarray) -> np.nd
         end = min(a + BLOCK_UNITS, len(parts), int(np.searchsorted(sizes, sizes[a], "right")))  # units of one length
         part = parts[a:end]
         s = np.frombuffer(b"".join(u for _, u in part), np.uint8).reshape(len(part), -1) if sizes[a] else np.zeros((len(part), 1), np.uint8)
-        value = index.kernel(s) / np.sqrt(np.maximum(subsequence_kernel(s), 1e-12))[:, None]
-        value *= 1 / np.sqrt(marks_own)
-        np.minimum(1.0, value, out=value)
+        value = index.kernel(s)
+        value *= (1 / np.sqrt(np.maximum(subsequence_kernel(s), 1e-12))).astype(np.float32)[:, None]
+        value *= (1 / np.sqrt(marks_own)).astype(np.float32)
+        np.minimum(np.float32(1), value, out=value)
         for _ in range(SQUARINGS):
             value *= value
         rows = np.array([i for i, _ in part])
-        if len(np.unique(rows)) == len(rows):
+        if sizes[a] <= UNIT_BYTES // 2 or len(np.unique(rows)) == len(rows):  # parts of a longer unit are longer
             out[rows] = np.maximum(out[rows], value)
         else:
             np.maximum.at(out, rows, value)
@@ -288,6 +294,45 @@ def _spelled(u: Units) -> Units:
     return Units(again, u.rows[keep], u.sentences[keep], u.count)
 
 
+class Known:
+    """What units of at most UNIT_BYTES add, in a table of fixed size: a slot for the hash of each, in which a new unit takes the place of another one.
+
+    Units are told apart by their bytes, which stand in the table with zeros after them.
+    """
+
+    def __init__(self, slots: int = 0):
+        self.keys = np.zeros((slots or CACHE_UNITS, UNIT_BYTES // 8), np.uint64)
+        self.values = np.full(len(self.keys), np.nan)
+
+    def slots(self, w: Words) -> np.ndarray:
+        return (w.hashes & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def get(self, w: Words) -> np.ndarray:
+        """NaN for units that are not known."""
+        at = self.slots(w)
+        out = self.values[at]
+        here, keys = self.keys[at], first_bytes(w)
+        out[(here != keys).any(1) | (w.ends - w.starts > UNIT_BYTES)] = np.nan
+        return out
+
+    def put(self, w: Words, values: np.ndarray) -> None:
+        at, one = np.unique(self.slots(w), return_index=True)
+        fits = (w.ends - w.starts)[one] <= UNIT_BYTES
+        at, one = at[fits], one[fits]
+        self.keys[at], self.values[at] = first_bytes(w)[one], values[one]
+
+
+def first_bytes(w: Words) -> np.ndarray:
+    """The first UNIT_BYTES of each word as numbers of eight bytes, with zeros after a shorter word."""
+    raw = np.concatenate([w.data, np.zeros(UNIT_BYTES + 8, np.uint8)])
+    eight = np.ndarray(len(w.data) + UNIT_BYTES, "<u8", raw.data, strides=(1,)).copy()  # eight bytes from every place
+    size = w.ends - w.starts
+    out = np.empty((len(size), UNIT_BYTES // 8), np.uint64)
+    for k in range(out.shape[1]):
+        out[:, k] = eight[w.starts + 8 * k if k else w.starts] & _FIRST[np.clip(size - 8 * k, 0, 8)]
+    return out
+
+
 @dataclass
 class Model:
     """Weights of landmarks, the machine's offset, and the calibration of documents."""
@@ -301,26 +346,25 @@ class Model:
     def __post_init__(self):
         self.index = Index(self.marks)
         self.own = np.array([max(1e-12, float(subsequence_kernel(padded([x], len(x)))[0])) for x in self.marks], np.float64)
-        self.cache: dict[bytes, float] = {}
+        self.known: Known | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
+        return {**self.__dict__, "known": None}
 
     def unit_scores(self, u: Units) -> np.ndarray:
-        """What each unit adds to its sentence; distinct units are computed once."""
-        names, back = u.letters.distinct()
-        known = [self.cache.get(x) for x in names]
-        missing = [i for i, x in enumerate(known) if x is None]
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        for a in range(0, len(missing), 4 * BLOCK_UNITS):
-            part = missing[a : a + 4 * BLOCK_UNITS]
-            values = similarity([edged(names[i]) for i in part], self.index, self.own) @ self.weights if self.marks else np.zeros(len(part))
-            for i, x in zip(part, values.tolist(), strict=True):
-                known[i] = x
-                if len(names[i]) <= UNIT_BYTES:
-                    self.cache[names[i]] = x
-        return np.array(known, np.float64)[back] if known else np.zeros(0)
+        """What each unit adds to its sentence; distinct units are computed once, and those that the worker has met lately are known."""
+        self.known = self.known or Known()
+        out = self.known.get(u.letters)
+        missing = np.flatnonzero(np.isnan(out))
+        if len(missing):
+            new = only(u, missing).letters
+            names, back = new.distinct()
+            values = np.zeros(len(names))
+            for a in range(0, len(names) if self.marks else 0, 4 * BLOCK_UNITS):
+                values[a : a + 4 * BLOCK_UNITS] = similarity([edged(x) for x in names[a : a + 4 * BLOCK_UNITS]], self.index, self.own) @ self.weights
+            out[missing] = values[back]
+            self.known.put(new, out[missing])
+        return out
 
     def features(self, u: Units, each: np.ndarray | None = None) -> np.ndarray:
         """Of each row: log of 1 + sentences beyond the margin, best sentence (clipped), log of 1 + units, log of 1 + what units add beyond UNIT_FLOOR, log of the share of that in the units, second-best sentence (clipped).
@@ -420,19 +464,18 @@ def choose_landmarks(pieces: list[Units], y: np.ndarray, level: float = LEVEL) -
     """
     held: dict[bytes, int] = {}
     toxic: Counter = Counter()
-    for names, n in _by_label(pieces, y, 1):
-        toxic.update(dict(zip(names, n, strict=True)))
+    for unit, n in _by_label(pieces, y, 1):
+        toxic[unit] += n
     for unit, n in toxic.items():
         for g in affixes(unit):
             held[g] = held.get(g, 0) + n
     del toxic
     counts = {g: [n, 0] for g, n in held.items() if n >= 3}
     del held
-    for names, n in _by_label(pieces, y, 0):
-        for unit, own in zip(names, n, strict=True):
-            for g in affixes(unit):
-                if g in counts:
-                    counts[g][1] += own
+    for unit, n in _by_label(pieces, y, 0):
+        for g in affixes(unit):
+            if g in counts:
+                counts[g][1] += n
     share = y.mean()
     ranked = sorted((-((a - (a + b) * share) ** 2) / ((a + b) * share), -len(g), g) for g, (a, b) in counts.items() if a > (a + b) * share)
     signs: list[bytes] = []
@@ -458,15 +501,23 @@ def _pairs(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[new], hashes[new], order[new]
 
 
-def _by_label(pieces: list[Units], y: np.ndarray, label: int) -> Iterator[tuple[list[bytes], list[int]]]:
-    """For each piece the distinct units of documents with a label, and in how many of them they are."""
-    done = 0
+def _by_label(pieces: list[Units], y: np.ndarray, label: int) -> Iterator[tuple[bytes, int]]:
+    """The distinct units of documents with a label, and in how many of them each is."""
+    hashes, places, numbers, done = [], [], [], 0
     for u in pieces:
-        rows, hashes, at = _pairs(u)
+        rows, own, at = _pairs(u)
         mine = y[done + rows] == label
-        _, where, n = np.unique(hashes[mine], return_index=True, return_counts=True)
-        yield [u.text(i)[1:-1] for i in at[mine][where]], n.tolist()
+        own, where, n = np.unique(own[mine], return_index=True, return_counts=True)
+        hashes.append(own)
+        places.append(at[mine][where])
+        numbers.append(n)
         done += u.count
+    begins = np.cumsum([0, *map(len, hashes)])
+    _, first, back = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+    total = np.bincount(back, np.concatenate([*numbers, np.zeros(0, np.int64)]), minlength=len(first)).astype(np.int64)
+    piece = np.searchsorted(begins, first, "right") - 1
+    for k, i, n in zip(piece.tolist(), (first - begins[piece]).tolist(), total.tolist(), strict=True):
+        yield pieces[k].text(places[k][i])[1:-1], n
 
 
 def _usual(pieces: list[Units], y: np.ndarray, most: int) -> list[bytes]:
@@ -497,20 +548,25 @@ def affixes(unit: bytes) -> set[bytes]:
     return out
 
 
-def fit_machine(parts: list[np.ndarray], labels: list[np.ndarray], penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Primal support vector machine with squared hinge loss, by Newton steps over parts of the rows; the last weight is the offset."""
+def fit_machine(parts: list[np.ndarray], labels: list[np.ndarray], penalty: float = 1.0, rounds: int = 25, start: np.ndarray | None = None) -> np.ndarray:
+    """Primal support vector machine with squared hinge loss, by Newton steps over parts of the rows; the last weight is the offset.
+
+    Between rounds only rows that come to lie inside the margin, or leave it, change the sums.
+    """
     size = parts[0].shape[1] + 1
-    w = np.zeros(size)
-    ridge = penalty * np.eye(size)
-    ridge[-1, -1] = 1e-6
+    w = np.zeros(size) if start is None else start
+    curve, pull = penalty * np.eye(size), np.zeros(size)
+    curve[-1, -1] = 1e-6
+    active = [np.zeros(len(y), dtype=bool) for y in labels]
     for _ in range(rounds):
-        curve, pull = ridge.copy(), np.zeros(size)
-        for part, y in zip(parts, labels, strict=True):
-            x = np.hstack([part, np.ones((len(part), 1))])
-            active = y * (x @ w) < 1
-            own = x[active]
-            curve += own.T @ own
-            pull += own.T @ y[active]
+        for part, y, was in zip(parts, labels, active, strict=True):
+            now = y * (part @ w[:-1] + w[-1]) < 1
+            for changed, sign in ((now & ~was, 1), (was & ~now, -1)):
+                if changed.any():
+                    own = np.hstack([part[changed], np.ones((int(changed.sum()), 1))])
+                    curve += sign * (own.T @ own)
+                    pull += sign * (own.T @ y[changed])
+            was[:] = now
         new = np.linalg.solve(curve, pull)
         if np.allclose(new, w, atol=1e-8):
             break
@@ -547,7 +603,7 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
     it.  Documents, those with letters put into what is found too, are then calibrated by logistic regression.
     """
     texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
-    pieces = [compact(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE)]
+    pieces = [compact(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE, hashed=False)]
     del texts
     y = np.array(toxic, np.float64)
     flat = (np.zeros(FEATURES), np.ones(FEATURES))
@@ -584,12 +640,12 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
         for a in range(0, len(s.chosen), BLOCK_SENTENCES):
             at = begins[a : a + BLOCK_SENTENCES + 1]
             held.append((ids[at[0] : at[-1]], at - at[0]))
-            rows.append(mapped(kernel[held[-1][0]], at[:-1] - at[0], root))
+            rows.append(mapped(lambda which, own=held[-1][0]: halves(kernel, own[which]), at - at[0], root))
             labels.append(2 * s.labels[a : a + BLOCK_SENTENCES] - 1)
     give_back()
     w = fit_machine(rows, labels)
     more = virtual_examples(every, kernel, model, held, rows, labels, root, w)
-    w = fit_machine(rows + [x for x, _ in more], labels + [x for _, x in more])
+    w = fit_machine(rows + [x for x, _ in more], labels + [x for _, x in more], start=w)
     model.weights, model.offset = root @ w[:-1], float(w[-1])
     del rows, more, held
     give_back()
@@ -611,14 +667,27 @@ def mapped_file(shape: tuple[int, int]) -> np.ndarray:
         return np.asarray(np.memmap(f, np.float16, "w+", shape=shape))
 
 
-def mapped(kernel: np.ndarray, begins: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """The Nystroem map of sentences that begin at some of the units' rows."""
-    return (np.add.reduceat(kernel.astype(np.float32), begins, axis=0).astype(np.float64) @ root).astype(np.float32)
+def halves(kernel: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """Some rows of a matrix of two-byte numbers."""
+    return _HALF[kernel[at].view(np.uint16)]
+
+
+def mapped(rows_of: Callable[[np.ndarray], np.ndarray], begins: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The Nystroem map of sentences: ``rows_of`` gives the units' rows, of which a sentence's begin at ``begins`` (which has the end, too)."""
+    sizes = np.diff(begins)
+    longest = np.argsort(-sizes, kind="stable")
+    total = np.zeros((len(sizes), len(root)), np.float32)
+    for k in range(int(sizes.max(initial=0))):  # the first unit of each sentence, then the second
+        n = int((sizes > k).sum())
+        total[:n] += rows_of(begins[longest[:n]] + k)
+    out = np.empty_like(total)
+    out[longest] = total.astype(np.float64) @ root
+    return out
 
 
 def unit_values(kernel: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """What units add, by their kernel with the landmarks."""
-    return np.concatenate([kernel[a : a + BLOCK_UNITS].astype(np.float64) @ weights for a in range(0, len(kernel), BLOCK_UNITS)] or [np.zeros(0)])
+    return np.concatenate([halves(kernel, slice(a, a + BLOCK_UNITS)) @ weights for a in range(0, len(kernel), BLOCK_UNITS)] or [np.zeros(0)])
 
 
 def virtual_examples(every: list[bytes], kernel: np.ndarray, model: Model, held: list[tuple[np.ndarray, np.ndarray]], rows: list[np.ndarray], labels: list[np.ndarray], root: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -628,15 +697,18 @@ def virtual_examples(every: list[bytes], kernel: np.ndarray, model: Model, held:
     place = np.full(len(every), -1, np.int64)
     place[found] = np.arange(len(found))
     out = []
+
+    def changed(own: np.ndarray, n: int) -> np.ndarray:
+        values, at = halves(kernel, own), place[own]
+        values[at >= 0] = new[n][at[at >= 0]]
+        return values
+
     for (ids, begins), x, y in zip(held, rows, labels, strict=True):
         near = x @ w[:-1] + w[-1] > np.where(y > 0, 0, -1)
         sizes = np.diff(begins)
         own = ids[np.repeat(near, sizes)]
-        changed = place[own] >= 0
-        for n in PUT_IN if changed.any() else ():
-            values = kernel[own].astype(np.float32)
-            values[changed] = new[n][place[own[changed]]]
-            out.append((mapped(values, np.cumsum(sizes[near]) - sizes[near], root), y[near]))
+        for n in PUT_IN if (place[own] >= 0).any() else ():
+            out.append((mapped(lambda at, own=own, n=n: changed(own[at], n), np.cumsum(np.append(0, sizes[near])), root), y[near]))
     return out
 
 
@@ -686,7 +758,7 @@ def _scorer(sent, inside: str | None):
         model = received(sent)
         for batch in batches:
             texts = batch["text"] if inside is None else batch["row"].field(inside)
-            parts = [model.scores(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE)]
+            parts = [model.scores(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE, hashed=False)]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())], names=["row", "score"])
 
     return score

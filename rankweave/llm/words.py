@@ -168,8 +168,8 @@ def whole_words(texts: pa.Array, keep: np.ndarray, lower: bool = True) -> Words:
     return _words(LOWER[data] if lower else data, offsets - offsets[0], keep)
 
 
-def split_words(texts: pa.Array, keep: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, Words]]:
-    """For pieces of the column: first row, number of rows, and their words (rows counted inside the piece)."""
+def split_words(texts: pa.Array, keep: np.ndarray, lower: bool = True, hashed: bool = True) -> Iterator[tuple[int, int, Words]]:
+    """For pieces of the column: first row, number of rows, and their words (rows counted inside the piece), without hashes if none are asked for."""
     offsets, raw = _buffers(texts)
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -177,11 +177,11 @@ def split_words(texts: pa.Array, keep: np.ndarray, lower: bool = True) -> Iterat
         end = min(max(end, row + 1), rows)
         data = raw[offsets[row] : offsets[end]]
         data = LOWER[data] if lower else data
-        yield row, end - row, _words(data, offsets[row : end + 1] - offsets[row], keep)
+        yield row, end - row, _words(data, offsets[row : end + 1] - offsets[row], keep, hashed)
         row = end
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, hashed: bool = True) -> Words:
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
     inside[1:-1] = keep[data]
@@ -191,6 +191,10 @@ def _words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> Words:
     stops = inside[1:-1] & ~inside[2:]
     stops[edges - 1] = inside[1:-1][edges - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    first = np.searchsorted(rows, np.arange(len(offsets)))
+    if not hashed:
+        return Words(data, starts, ends, rows, np.zeros(0, np.uint64), first)
     up_a, down_a, up_b, down_b = _power_tables(n + 1)
     value = data.astype(np.int64) + 1
     halves = []
@@ -198,8 +202,6 @@ def _words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> Words:
         sums = _running(value * up[:n], prime)
         halves.append(((sums[ends] - sums[starts]) % prime * down[starts] % prime).astype(np.uint64))
     hashes = mix(halves[0] << np.uint64(32) ^ halves[1] ^ ((ends - starts).astype(np.uint64) << np.uint64(31)))
-    rows = np.searchsorted(offsets, starts, "right") - 1
-    first = np.searchsorted(rows, np.arange(len(offsets)))
     return Words(data, starts, ends, rows, hashes, first)
 
 

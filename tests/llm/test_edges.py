@@ -550,6 +550,65 @@ def test_kernel_against_all_subsequences():
     assert np.allclose(toxicity.Index(strings).kernel(toxicity.padded(strings, 9)), [[plain(s, t) for t in strings] for s in strings], rtol=1e-4, atol=1e-6)
 
 
+def test_known_units_are_not_computed_again():
+    """400,000 different units, scored twice: a full table forgets the units of some slots, not all."""
+    computed = []
+
+    class Counting(toxicity.Index):
+        def kernel(self, s):
+            computed.append(len(s))
+            return s[:, 1:4].sum(1, dtype=np.float32)[:, None]
+
+    model = toxicity.Model([b"\x02loser\x03"], np.ones(1), 0.0, np.zeros(28), (np.zeros(6), np.ones(6)))
+    model.index = Counting(model.marks)
+    letters = [chr(97 + i) for i in range(26)]
+    made = [a + b + c + d + "q" for a in letters[:23] for b in letters for c in letters for d in letters][:400_000]
+    texts = pa.array([" ".join(made[a : a + 20_000]) for a in range(0, len(made), 20_000)])
+    first, again = (np.concatenate([model.unit_scores(toxicity.units(w, n)) for _, n, w in split_words(texts, NOT_SPACE)]) for _ in range(2))
+    assert len(first) == len(made) and (first == again).all()
+    assert len(made) <= sum(computed) < 1.4 * len(made)
+
+
+def test_units_of_one_slot():
+    """Units are told apart by their bytes, whatever their slot and hash; longer ones than the table holds are never known."""
+    names = [b"a", b"ab", b"abcdefgh", b"abcdefghi", b"b" * 16, b"b" * 32, b"b" * 33, "\u00e9\u00e8".encode()]
+    w = toxicity.units(*[(w, n) for _, n, w in split_words(pa.array([b" ".join(names).decode()]), NOT_SPACE)][0]).letters
+    w.hashes[:] = 5
+    for slots in (1, 8):
+        known = toxicity.Known(slots)
+        for i in range(len(names)):
+            one = toxicity.only(toxicity.Units(w, np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), 1), np.array([i])).letters
+            known.put(one, np.array([float(i)]))
+            got = known.get(w)
+            if len(names[i]) <= toxicity.UNIT_BYTES:
+                assert got[i] == i and np.isnan(np.delete(got, i)).all()
+            else:
+                assert np.isnan(got[i]) and got[i - 1] == i - 1
+
+
+def test_machine_by_changes_against_whole_sums():
+    """Rows that come into the margin and leave it change the sums; the result is that of summing all rows in each round, whatever the start."""
+    rng = np.random.default_rng(7)
+    parts = [rng.normal(size=(n, 5)).astype(np.float32) for n in (300, 1, 80)]
+    labels = [np.where(x @ [1.0, -1, 0.5, 0, 0] + 0.3 * rng.normal(size=len(x)) > 0.2, 1.0, -1.0) for x in parts]
+    x, y, w = np.hstack([np.vstack(parts), np.ones((381, 1))]), np.concatenate(labels), np.zeros(6)
+    ridge = np.diag([1.0] * 5 + [1e-6])
+    for _ in range(50):
+        own = y * (x @ w) < 1
+        w = np.linalg.solve(ridge + x[own].T @ x[own], x[own].T @ y[own])
+    assert np.allclose(toxicity.fit_machine(parts, labels), w, atol=1e-6)
+    assert np.allclose(toxicity.fit_machine(parts, labels, start=np.full(6, 0.5)), w, atol=1e-6)
+
+
+def test_map_of_sentences_against_sums():
+    rng = np.random.default_rng(9)
+    kernel, root = rng.random((40, 3)).astype(np.float16), rng.normal(size=(3, 3))
+    ids, begins = rng.integers(0, 40, 60), np.array([0, 1, 26, 29, 60])
+    got = toxicity.mapped(lambda at: toxicity.halves(kernel, ids[at]), begins, root)
+    want = np.add.reduceat(kernel[ids].astype(np.float64), begins[:-1], axis=0) @ root
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and toxicity.mapped(lambda at: kernel[:0], np.zeros(1, np.int64), root).shape == (0, 3)
+
+
 def test_letters_put_in():
     for unit in (b"", b"a", b"grobnak", "r\u00e9eux".encode(), "\u00e9".encode() * 5):
         for n in (1, 2):

@@ -13,10 +13,8 @@ from pyspark.sql import types as T
 
 from rankweave.llm.rows import named, packed, unpacked
 from rankweave.llm.scratch import Scratch, lean, received, send
-from rankweave.llm.words import ALNUM, Words, member, mix, run_hash, split_words
+from rankweave.llm.words import ALNUM, SMALL_PIECE, Words, member, mix, run_hash, split_words
 
-#: Words as the SQL functions count them: those of lower-cased text.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The largest Bloom filter that is sent to every executor has 2 ** SIEVE_BITS bits (16 MB).
 SIEVE_BITS = 27
 #: Most keys of texts (64 characters) and items of theirs that are sent to every executor; more are shuffled.
@@ -92,7 +90,7 @@ def _indexer(window: int, k: int):
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, _, words in split_words(batch["text"], ALNUM):
+            for row, _, words in split_words(batch["text"], ALNUM, piece=SMALL_PIECE):
                 sizes = np.diff(words.first)
                 whole, _ = words.grams(window)
                 _, chosen = prints(words, window, k)
@@ -128,7 +126,7 @@ def _finder(sent, lengths: list[int], window: int, k: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = received(sent)
         for batch in batches:
-            for row, count, words in split_words(batch["text"], ALNUM):
+            for row, count, words in split_words(batch["text"], ALNUM, piece=SMALL_PIECE):
                 rows, hashes = [], []
                 for _, starts, h in _places_of(words, lengths, window, k):
                     through = sieve.holds(h)
@@ -148,7 +146,7 @@ def _extender(lengths: list[int], window: int, k: int):
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, count, words in split_words(batch["text"], ALNUM):
+            for row, count, words in split_words(batch["text"], ALNUM, piece=SMALL_PIECE):
                 shared = [np.sort(np.array(batch["hashes"][row + r].as_py(), np.int64).view(np.uint64)) for r in range(count)]
                 for n, starts, hashes in _places_of(words, lengths, window, k):
                     mine = np.zeros(len(starts), dtype=bool)
@@ -169,6 +167,13 @@ def _extender(lengths: list[int], window: int, k: int):
     return extend
 
 
+@F.arrow_udf(T.LongType())
+def word_counts(texts: pa.Array) -> pa.Array:
+    """Words of every text."""
+    counts = [np.diff(words.first) for _, _, words in split_words(texts, ALNUM, hashed=False, piece=SMALL_PIECE)]
+    return pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]), pa.int64())
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -203,8 +208,7 @@ def find_leaks(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = named(text_col)
-    work = docs.select(packed(docs, ("n_words", "n_hit", "items", "contaminated"), carry).alias("row"), text.alias("text"))
-    counted = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    work = docs.select(packed(docs, ("n_words", "n_hit", "items", "contaminated"), carry).alias("row"), F.sha2(text, 256).alias("text_key"), word_counts(text).alias("n_words"))
 
     usable = benchmark.select(named(item_col).alias("item"), named(item_text_col).alias("text")).where("text IS NOT NULL")
     item = usable.schema["item"].dataType
@@ -215,7 +219,7 @@ def find_leaks(
     lengths = sorted(r["n"] for r in index.select("n").distinct().collect())  # ``window`` numbers at most
     none = F.array().cast(T.ArrayType(item))
     if not lengths:
-        return work.select(*unpacked(work), counted, F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.lit(False).alias("contaminated"))
+        return work.select(*unpacked(work), "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.lit(False).alias("contaminated"))
 
     sieve = send(spark, build_sieve(known))
     texts = docs.select(text.alias("text")).where("text IS NOT NULL")
@@ -235,9 +239,9 @@ def find_leaks(
     found = scratch.keep(inside.join(items, "text_key"), "found")
     size = found.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
     found = F.broadcast(found) if max(size) <= broadcast_keys else found
-    out = work.withColumn("text_key", F.sha2("text", 256)).join(found, "text_key", "left")
+    out = work.join(found, "text_key", "left")
     return out.select(
-        *unpacked(out), counted, F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated")
+        *unpacked(out), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated")
     )
 
 

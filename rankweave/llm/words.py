@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Texts are taken together up to about this many bytes.
 PIECE_BYTES = 1 << 20
+#: The same where several arrays stand for every byte, and two workers share an executor's memory with a full heap.
+SMALL_PIECE = 1 << 18
 
 #: Two primes below 2**31 and a base for each: a word's hash is its value as a polynomial modulo both.
 _PRIMES = (2147483647, 2147483629)
@@ -51,7 +53,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of both bases and of their inverses, for exponents up to n - 1."""
     global _powers
     if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + 1)
+        size = max(n, SMALL_PIECE + 1) if n <= SMALL_PIECE + 1 else max(n, PIECE_BYTES + 1)
         tables = []
         for prime, base in zip(_PRIMES, _BASES, strict=True):
             for b in (base, pow(base, -1, prime)):
@@ -168,12 +170,12 @@ def whole_words(texts: pa.Array, keep: np.ndarray, lower: bool = True) -> Words:
     return _words(LOWER[data] if lower else data, offsets - offsets[0], keep)
 
 
-def split_words(texts: pa.Array, keep: np.ndarray, lower: bool = True, hashed: bool = True) -> Iterator[tuple[int, int, Words]]:
-    """For pieces of the column: first row, number of rows, and their words (rows counted inside the piece), without hashes if none are asked for."""
+def split_words(texts: pa.Array, keep: np.ndarray, lower: bool = True, hashed: bool = True, piece: int = PIECE_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """For pieces of the column (of about ``piece`` bytes): first row, number of rows, and their words (rows counted inside the piece), without hashes if none are asked for."""
     offsets, raw = _buffers(texts)
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        end = int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + piece, "right")) - 1
         end = min(max(end, row + 1), rows)
         data = raw[offsets[row] : offsets[end]]
         data = LOWER[data] if lower else data

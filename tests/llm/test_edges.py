@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 from itertools import combinations
 
@@ -168,6 +169,18 @@ def test_leaks_against_plain_python(spark, most):
         assert r["contaminated"] == (want[1] > 0)
 
 
+def test_words_are_counted_without_patterns(spark):
+    """Counts of odd texts, of texts longer than a piece and of nulls; matching a pattern over all texts took three quarters of the query's time."""
+    texts = [None, "", " \t-", "A-b c9_d", "Ünï 漢字 x\x7fy", "\x00a\x00b", "a", "ab " * 200_000, "z" * 600_000 + " é", "end"]
+    rows = docs(spark, list(enumerate(texts)))
+    bench = docs(spark, [(7, "a b"), (8, None)]).withColumnRenamed("doc_id", "item_id")
+    found = decontaminate.find_leaks(rows, bench, carry=["doc_id"])
+    assert "regexp" not in found._jdf.queryExecution().toString().lower()
+    want = {i: len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["n_words"] for r in found.collect()} == want
+    assert {r["doc_id"]: r["n_words"] for r in decontaminate.find_leaks(rows, bench.where("item_id = 8"), carry=["doc_id"]).collect()} == want
+
+
 def test_leaks_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id string, text string")
     got = decontaminate.find_leaks(docs(spark, [(1, "a b")]).withColumn("items", F.lit(3)), bench).collect()

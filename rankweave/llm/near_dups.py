@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
 from rankweave.llm.scratch import Scratch, lean
-from rankweave.llm.words import NOT_SPACE, PIECE_BYTES, Words, mix, run_hash, split_words, whole_words
+from rankweave.llm.words import NOT_SPACE, SMALL_PIECE, Words, mix, run_hash, split_words, whole_words
 
 BANDS, ROWS = 44, 8
 REGISTERS = BANDS * ROWS
@@ -147,7 +147,7 @@ def _digests(words: Words) -> pa.Array:
 
 def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, count, words in split_words(batch["text"], NOT_SPACE):
+        for row, count, words in split_words(batch["text"], NOT_SPACE, piece=SMALL_PIECE):
             part = batch.slice(row, count)
             yield pa.RecordBatch.from_arrays([part["doc_id"], _digests(words), part["text"]], names=["least", "digest", "text"])
 
@@ -155,7 +155,7 @@ def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketcher(k: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, count, words in split_words(batch["text"], NOT_SPACE):
+            for row, count, words in split_words(batch["text"], NOT_SPACE, piece=SMALL_PIECE):
                 hashes, rows, first = shingle_sets(words, count, k)
                 regs = registers(hashes, rows, count)
                 yield pa.RecordBatch.from_arrays(
@@ -197,7 +197,7 @@ def _verifier(k: int, percent: int):
             size = np.cumsum(pc.add(pc.binary_length(some["text_a"]), pc.binary_length(some["text_b"])).to_numpy(zero_copy_only=False)) if len(rows) else rows
             at = 0
             while at < len(rows):  # as many pairs as make a piece
-                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE_BYTES, "right")))
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SMALL_PIECE, "right")))
                 ok[rows[at:end]] = linked(some["text_a"].slice(at, end - at), some["text_b"].slice(at, end - at), k, percent)
                 at = end
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok)], names=["a", "b", "linked"])
@@ -389,7 +389,7 @@ def _rare_pairs(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> Data
 def _lister(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, count, words in split_words(batch["text"], NOT_SPACE):
+            for row, count, words in split_words(batch["text"], NOT_SPACE, piece=SMALL_PIECE):
                 hashes, owner, _ = shingle_sets(words, count, k)
                 part = batch.slice(row, count)
                 columns = [part[c].take(pa.array(owner)) for c in ("id", "component", "n")]

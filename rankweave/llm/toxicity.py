@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from rankweave.llm.rows import named, packed, unpacked
 from rankweave.llm.scratch import give_back, lean, received, send
-from rankweave.llm.words import NOT_SPACE, Words, _words, mix, split_words
+from rankweave.llm.words import NOT_SPACE, SMALL_PIECE, Words, _words, mix, split_words
 
 #: Labelled documents that the model is fitted on at most (those with the least hashed ids).
 SAMPLE_DOCS = 5000
@@ -548,24 +548,27 @@ def affixes(unit: bytes) -> set[bytes]:
     return out
 
 
-def fit_machine(parts: list[np.ndarray], labels: list[np.ndarray], penalty: float = 1.0, rounds: int = 25, start: np.ndarray | None = None) -> np.ndarray:
+def fit_machine(parts: list[np.ndarray], labels: list[np.ndarray], penalty: float = 1.0, rounds: int = 25, start: np.ndarray | None = None, times: list[np.ndarray] | None = None) -> np.ndarray:
     """Primal support vector machine with squared hinge loss, by Newton steps over parts of the rows; the last weight is the offset.
 
+    A row counts as often as ``times`` tells, once if that is not given.
     Between rounds only rows that come to lie inside the margin, or leave it, change the sums.
     """
+    times = [np.ones(len(y)) for y in labels] if times is None else times
     size = parts[0].shape[1] + 1
     w = np.zeros(size) if start is None else start
     curve, pull = penalty * np.eye(size), np.zeros(size)
     curve[-1, -1] = 1e-6
     active = [np.zeros(len(y), dtype=bool) for y in labels]
     for _ in range(rounds):
-        for part, y, was in zip(parts, labels, active, strict=True):
+        for part, y, n, was in zip(parts, labels, times, active, strict=True):
             now = y * (part @ w[:-1] + w[-1]) < 1
             for changed, sign in ((now & ~was, 1), (was & ~now, -1)):
                 if changed.any():
                     own = np.hstack([part[changed], np.ones((int(changed.sum()), 1))])
-                    curve += sign * (own.T @ own)
-                    pull += sign * (own.T @ y[changed])
+                    each = sign * own * n[changed, None]
+                    curve += own.T @ each
+                    pull += each.T @ y[changed]
             was[:] = now
         new = np.linalg.solve(curve, pull)
         if np.allclose(new, w, atol=1e-8):
@@ -644,8 +647,8 @@ def fit(texts: list[str | None] | pa.Array, toxic: list[int], level: float = LEV
             labels.append(2 * s.labels[a : a + BLOCK_SENTENCES] - 1)
     give_back()
     w = fit_machine(rows, labels)
-    more = virtual_examples(every, kernel, model, held, rows, labels, root, w)
-    w = fit_machine(rows + [x for x, _ in more], labels + [x for _, x in more], start=w)
+    more, times = virtual_examples(every, kernel, model, held, rows, labels, root, w)
+    w = fit_machine(rows + [x for x, _ in more], labels + [x for _, x in more], start=w, times=times + [np.ones(len(x)) for _, x in more])
     model.weights, model.offset = root @ w[:-1], float(w[-1])
     del rows, more, held
     give_back()
@@ -690,13 +693,16 @@ def unit_values(kernel: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([halves(kernel, slice(a, a + BLOCK_UNITS)) @ weights for a in range(0, len(kernel), BLOCK_UNITS)] or [np.zeros(0)])
 
 
-def virtual_examples(every: list[bytes], kernel: np.ndarray, model: Model, held: list[tuple[np.ndarray, np.ndarray]], rows: list[np.ndarray], labels: list[np.ndarray], root: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sentences that a first machine finds, and clean ones inside its margin, once more for each of PUT_IN, with letters put into the units that speak for toxicity."""
+def virtual_examples(every: list[bytes], kernel: np.ndarray, model: Model, held: list[tuple[np.ndarray, np.ndarray]], rows: list[np.ndarray], labels: list[np.ndarray], root: np.ndarray, w: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Sentences that a first machine finds, and clean ones inside its margin, once more for each of PUT_IN, with letters put into the units that speak for toxicity.
+
+    Returns the sentences that this changes, with their labels, and how often each row counts: those that it leaves as they are count again and are not copied.
+    """
     found = np.flatnonzero(unit_values(kernel, root @ w[:-1]) > UNIT_FLOOR)
     new = {n: similarity([edged(varied(every[i], n)) for i in found], model.index, model.own) for n in PUT_IN}
     place = np.full(len(every), -1, np.int64)
     place[found] = np.arange(len(found))
-    out = []
+    out, times = [], []
 
     def changed(own: np.ndarray, n: int) -> np.ndarray:
         values, at = halves(kernel, own), place[own]
@@ -706,10 +712,14 @@ def virtual_examples(every: list[bytes], kernel: np.ndarray, model: Model, held:
     for (ids, begins), x, y in zip(held, rows, labels, strict=True):
         near = x @ w[:-1] + w[-1] > np.where(y > 0, 0, -1)
         sizes = np.diff(begins)
+        touched = np.bincount(np.repeat(np.arange(len(sizes)), sizes), place[ids] >= 0, len(sizes)) > 0
+        some = (near & touched).any()  # of a part in which nothing changes no row counts again
+        times.append(1.0 + len(PUT_IN) * (some & near & ~touched))
+        near &= touched
         own = ids[np.repeat(near, sizes)]
-        for n in PUT_IN if (place[own] >= 0).any() else ():
+        for n in PUT_IN if some else ():
             out.append((mapped(lambda at, own=own, n=n: changed(own[at], n), np.cumsum(np.append(0, sizes[near])), root), y[near]))
-    return out
+    return out, times
 
 
 def held_out(doc_id: Column) -> Column:
@@ -758,7 +768,7 @@ def _scorer(sent, inside: str | None):
         model = received(sent)
         for batch in batches:
             texts = batch["text"] if inside is None else batch["row"].field(inside)
-            parts = [model.scores(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE, hashed=False)]
+            parts = [model.scores(units(words, count)) for _, count, words in split_words(texts, NOT_SPACE, hashed=False, piece=SMALL_PIECE)]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())], names=["row", "score"])
 
     return score

@@ -613,6 +613,44 @@ def test_machine_by_changes_against_whole_sums():
     assert np.allclose(toxicity.fit_machine(parts, labels, start=np.full(6, 0.5)), w, atol=1e-6)
 
 
+def test_rows_that_count_several_times_against_copies():
+    rng = np.random.default_rng(11)
+    parts = [rng.normal(size=(n, 4)).astype(np.float32) for n in (200, 30)]
+    labels = [np.where(x[:, 0] + 0.5 * rng.normal(size=len(x)) > 0, 1.0, -1.0) for x in parts]
+    times = [rng.integers(1, 4, len(y)).astype(float) for y in labels]
+    copies = [np.repeat(np.arange(len(n)), n.astype(int)) for n in times]
+    want = toxicity.fit_machine([x[i] for x, i in zip(parts, copies, strict=True)], [y[i] for y, i in zip(labels, copies, strict=True)])
+    assert np.allclose(toxicity.fit_machine(parts, labels, times=times), want, atol=1e-6)
+
+
+def test_virtual_examples_copy_what_they_change_alone():
+    """A clean sentence inside the margin without a unit that speaks for toxicity counts again, and is not held again."""
+    every = [b"moron", b"hello", b"there"]
+    model = toxicity.Model([b"\x02moron\x03"], np.array([1.0]), 0.0, np.zeros(1), (np.zeros(1), np.ones(1)))
+    kernel = toxicity.similarity([toxicity.edged(x) for x in every], model.index, model.own).astype(np.float16)
+    root, w = np.eye(1), np.array([1.0, -0.5])
+    ids, begins = np.array([0, 1, 1, 2, 2, 1]), np.array([0, 2, 4, 6])
+    rows = [toxicity.mapped(lambda at: toxicity.halves(kernel, ids[at]), begins, root)]
+    more, times = toxicity.virtual_examples(every, kernel, model, [(ids, begins)], rows, [np.array([1.0, -1.0, -1.0])], root, w)
+    assert [len(y) for _, y in more] == [1] * len(toxicity.PUT_IN) and all(y.tolist() == [1.0] for _, y in more)
+    assert times[0].tolist() == [1.0] + [1.0 + len(toxicity.PUT_IN)] * 2
+    nothing, once = toxicity.virtual_examples(every[1:], kernel[1:], model, [(np.array([0, 1]), np.array([0, 2]))], [rows[0][1:2]], [np.array([-1.0])], root, w)
+    assert nothing == [] and once[0].tolist() == [1.0]
+
+
+def test_scores_take_less_memory_than_a_piece_of_a_megabyte(monkeypatch):
+    """Scores are computed by small pieces, and are those of whole texts."""
+    texts = [f"word{i} you moron " * 2000 for i in range(40)] + [None, ""]
+    sizes = []
+    model = toxicity.fit(["you moron"] * 40 + ["a fine day"] * 60, [1] * 40 + [0] * 60)
+    whole = [model.scores(toxicity.units(w, n)) for _, n, w in split_words(pa.array(texts), NOT_SPACE)]
+    seen = toxicity.units
+    monkeypatch.setattr(toxicity, "units", lambda words, count: sizes.append(len(words.data)) or seen(words, count))
+    monkeypatch.setattr(toxicity, "received", lambda sent: sent)
+    got = list(toxicity._scorer(model, None)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["row", "text"])])))
+    assert np.allclose(got[0]["score"].to_numpy(), np.concatenate(whole)) and max(sizes) <= 1 << 18 and sum(sizes) == sum(len(x or "") for x in texts)
+
+
 def test_map_of_sentences_against_sums():
     rng = np.random.default_rng(9)
     kernel, root = rng.random((40, 3)).astype(np.float16), rng.normal(size=(3, 3))

@@ -36,14 +36,6 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Collect the driver's garbage once a quarter of its heap is in use: plans and broadcasts of many small jobs else make the heap grow to its limit, and what they left elsewhere goes late and all at once."""
-    jvm = spark.sparkContext._jvm
-    runtime = jvm.java.lang.Runtime.getRuntime()
-    if runtime.totalMemory() - runtime.freeMemory() > runtime.maxMemory() // 4:
-        jvm.System.gc()
-
-
 class Scratch:
     """Written tables of one job.
 
@@ -61,7 +53,6 @@ class Scratch:
         path = new_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(path)
         self.paths.append(path)
-        tidy(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:

@@ -171,6 +171,16 @@ def test_draws_are_whole_unseen_and_differ_by_user(spark):
     assert counts == {r["user_id"]: r["count"] for r in candidates.full_ranking(train).groupBy("user_id").count().collect()}
 
 
+def test_counts_and_sums_of_candidates_equal_those_of_pairs(spark):
+    rng = np.random.default_rng(9)
+    train = frame(spark, [(u, i, 1 + (u * i) % 5) for u, i in {(int(a), int(b)) for a, b in rng.integers(0, 20, (150, 2))}] + [(77, i, 5) for i in range(20)])
+    want = {tuple(r) for r in candidates.full_ranking(train).groupBy("user_id").agg(F.count("*"), F.sum("item_id")).collect()}
+    found = candidates.full_ranking_counts(train)
+    assert {tuple(r) for r in found.select("user_id", "n_candidates", "item_sum").collect()} == want and 77 not in {u for u, _, _ in want}
+    missing = spark.createDataFrame([(1, None, 5.0), (2, 4, 5.0)], SCHEMA)  # SQL's anti-join leaves a missing item to all
+    assert {tuple(r) for r in candidates.full_ranking_counts(missing).select("user_id", "n_candidates", "item_sum").collect()} == {(1, 2, 4), (2, 1, None)}
+
+
 def test_top_lists_equal_those_of_all_candidates(spark):
     rng = np.random.default_rng(3)
     train = frame(spark, [(u, i, 5) for u, i in {(int(a), int(b)) for a, b in rng.integers(0, 25, (200, 2))}])

@@ -34,6 +34,29 @@ def test_oracle(spark, duck, name):
     assert rows(names, got) == rows(names, want)
 
 
+@pytest.mark.parametrize("name", ["candidates_full"])
+def test_no_table_of_all_pairs_is_made(spark, name):
+    """No step has more rows than ratings and lists: all pairs of these tables are over 20,000."""
+    tracker = spark.sparkContext._jsc.sc().listenerBus()
+    df = queries.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    tracker.waitUntilEmpty()
+    most, nodes = 0, [plan]
+    while nodes:
+        node = nodes.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            nodes.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+            continue
+        counts = [node.metrics().apply(c).value() for c in ("numOutputRows", "pythonNumRowsReceived") if node.metrics().contains(c)]
+        most = max([most, *counts])
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < most < 20_000
+
+
 def test_entry_has_a_row(spark):
     one = __spark_entry__.entry(spark).collect()
     assert len(one) == 1 and one[0]["users"] > 100

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.storage import written
 from rankweave.operators import blocks
+from rankweave.operators.ranking import top_items
 
 #: Cells of one batch of ``complete_all``.
 OUTER_ROWS = 1 << 17
@@ -150,6 +151,25 @@ def complete_all(ratings: DataFrame, fit: Fit) -> DataFrame:
     return met.mapInArrow(_outer, "user_block int, item_block int, user_id long, item_id long, value double")
 
 
+def completed_sums(ratings: DataFrame, fit: Fit) -> DataFrame:
+    """(user_id, n, total, greatest) of ``complete_all`` by user, without its cells.
+
+    A user's products of factors add up to the user's factor times the sum of
+    all items' factors, and known ratings replace their own products in it.
+    The greatest product is that of the first unrated item in order of the factor.
+    """
+    users, items = written(fit.users, "user-terms"), written(fit.items, "item-terms")
+    n, whole = items.agg(F.count("*"), F.coalesce(F.sum(F.exp("b")), F.lit(0.0))).first()
+    known = ratings.where("rating > 0").select("user_id", "item_id", "rating")
+    changed = known.join(items, "item_id").join(users, "user_id").groupBy("user_id").agg(F.sum(F.col("rating") - F.exp(F.col("a") + F.col("b"))).alias("change"), F.max("rating").alias("rated"))
+    first = top_items(items.select("item_id", F.col("b").alias("score")), known, 1).select("user_id", "score")
+    rows = users.join(changed, "user_id", "left").join(first, "user_id", "left")
+    return rows.select(
+        "user_id", F.lit(n).cast("long").alias("n"), (F.exp("a") * F.lit(whole) + F.coalesce("change", F.lit(0.0))).alias("total"),
+        F.greatest("rated", F.exp(F.col("a") + F.col("score"))).alias("greatest"),
+    )
+
+
 def write_completed(ratings: DataFrame, fit: Fit, path: str) -> None:
     """``complete_all`` as Parquet, partitioned by the grid, so that a block of users or items is read alone."""
     complete_all(ratings, fit).write.partitionBy("user_block", "item_block").parquet(path)

@@ -516,6 +516,16 @@ def test_full_completion_equals_that_of_all_cells(spark, monkeypatch, tmp_path):
     assert one.count() == 4 * 3 and one.inputFiles()
 
 
+def test_sums_of_the_completion_equal_those_of_its_cells(spark):
+    rng = np.random.default_rng(16)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 15, (90, 2))} | {(40, i) for i in range(15)}  # a user without unrated items
+    train = frame(spark, [(u, i, 1 + (u * i) % 5) for u, i in pairs] + [(500, 3, 0)])
+    fit = scaling.fit_sweeps(train, 3)
+    want = {r[0]: tuple(r[1:]) for r in scaling.complete_all(train, fit).groupBy("user_id").agg(F.count("*"), F.sum("value"), F.max("value")).collect()}
+    got = {r[0]: tuple(r[1:]) for r in scaling.completed_sums(train, fit).select("user_id", "n", "total", "greatest").collect()}
+    assert got.keys() == want.keys() and 500 not in got and all(got[u] == pytest.approx(want[u], rel=1e-12) for u in want)
+
+
 def test_parts_are_measured(spark):
     with measures.measured(spark, "part") as part:
         spark.range(200_000).repartition(3).selectExpr("sum(id * id)").collect()

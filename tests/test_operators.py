@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import functions as F
 
-from rankweave.functions import hashing, measures, permutation, ranges
+from rankweave.functions import hashing, measures, permutation, ranges, storage
 from rankweave.operators import blocks, candidates, filters, ranking, sampling, scaling, scoring, stats, svd
 from rankweave.plans import experiments
 from rankweave.sources import matrix
@@ -233,6 +234,42 @@ def test_blocked_products_against_numpy(spark, monkeypatch):
     assert r.T @ r == pytest.approx(want.T @ want)
 
 
+def test_vectors_are_sent_once_or_by_slices_of_many_ratings(spark, monkeypatch):
+    """One row of vectors a block, though there are many blocks on the far side; a block with many ratings goes to several tasks, with the same product."""
+    for name, x in {"USER_BLOCK": 1, "ITEM_BLOCK": 4}.items():
+        monkeypatch.setattr(blocks, name, x)
+    rows = [(u, i, 1 + (u * i) % 5) for u in range(40) for i in range(12) if (u + i) % 3 or i < 4]
+    table = np.zeros((40, 12))
+    for u, i, x in rows:
+        table[u, i] = x
+    start = np.vstack([np.random.default_rng([42, b]).standard_normal((4, 2)) for b in range(3)])
+    for most, slices in ((1 << 19, {}), (120, {0: 2})):
+        monkeypatch.setattr(blocks, "SLICE_RATINGS", most)
+        m = blocks.blocked(frame(spark, rows))
+        vectors = blocks.random_items(m, 2, 42)
+        assert m.item_slices == slices and blocks.dealt(m, vectors, 2)[0].where("kind = 0").count() == 3 + len(slices)
+        out = np.zeros((40, 2))
+        for r in blocks.times(m, vectors, 2).collect():
+            out[np.frombuffer(r["places"], "<i4") + r["block"]] += np.frombuffer(r["data"]).reshape(-1, 2)
+        assert out == pytest.approx(table @ start)
+
+
+def test_tables_and_shuffles_of_earlier_rounds_are_gone(spark):
+    rng = np.random.default_rng(19)
+    own = frame(spark, [(u, i, rng.integers(1, 6)) for u in range(12) for i in range(9)])
+    paths, new_path = [], storage.new_path
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(storage, "new_path", lambda s, name: paths.append((name, new_path(s, name))) or paths[-1][1])
+        files = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+        storage.written(own.groupBy("user_id").count(), "counts")
+        before = files.size()
+        storage.written(own.groupBy("item_id").count(), "counts")
+        assert files.size() <= before
+        found = svd.truncated_svd(own, 2, rounds=5, settled=0.0)
+    there = [os.path.exists(path.removeprefix("file://")) for name, path in paths if name == "block"]
+    assert found.rounds == 5 and len(there) == 7 and sum(there) == 2  # the last items' and the users'
+
+
 def test_svd_of_a_share_and_the_projector(spark):
     rng = np.random.default_rng(9)
     table = rng.integers(0, 6, (12, 8)).astype(float)

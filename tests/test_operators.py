@@ -254,6 +254,29 @@ def test_vectors_are_sent_once_or_by_slices_of_many_ratings(spark, monkeypatch):
         assert out == pytest.approx(table @ start)
 
 
+def test_vectors_of_a_block_go_in_small_rows(spark, monkeypatch):
+    """Rows of vectors are bounded in bytes, and batches in rows while the rounds run; products, triangles and settings stay what they are."""
+    for name, x in {"USER_BLOCK": 16, "ITEM_BLOCK": 16, "PIECE_BYTES": 64}.items():
+        monkeypatch.setattr(blocks, name, x)
+    rng = np.random.default_rng(4)
+    table = rng.integers(0, 6, (40, 30)).astype(float)
+    own = frame(spark, [(u, i, table[u, i]) for u in range(40) for i in range(30) if table[u, i]])
+    m = blocks.blocked(own)
+    vectors = blocks.added(blocks.times(m, blocks.random_items(m, 3, 42), 3), 16, 3)
+    rows = vectors.collect()
+    assert len(rows) > 20 and max(len(r["data"]) for r in rows) <= 64
+    out = np.zeros((48, 3))
+    for r in rows:
+        out[np.frombuffer(r["places"], "<i4") + 16 * r["block"]] += np.frombuffer(r["data"]).reshape(-1, 3)
+    start = np.vstack([np.random.default_rng([42, b]).standard_normal((min(16, 30 - 16 * b), 3)) for b in range(2)])
+    assert out[:40] == pytest.approx(table @ start)
+    r = blocks.triangle(vectors, 3)
+    assert r.T @ r == pytest.approx(out.T @ out)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    assert svd.truncated_svd(own, 2).values == pytest.approx(np.linalg.svd(table)[1][:2].tolist(), rel=1e-4)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == before
+
+
 def test_tables_and_shuffles_of_earlier_rounds_are_gone(spark):
     rng = np.random.default_rng(19)
     own = frame(spark, [(u, i, rng.integers(1, 6)) for u in range(12) for i in range(9)])
